@@ -23,20 +23,35 @@ from tidemark.functions.scalars import ColumnOrName, sdiv
 from tidemark.session import rows_per_bucket
 
 _SAMPLES_PER_BUCKET = 32
+# a group's cut points travel with its rows, so their number is limited; beyond it buckets grow instead
+_MAX_CUTS = 2048
 
 
 def _cut_points(value: Column) -> Column:
+    """Every 32nd sampled value, or a wider step where that would exceed the cut limit."""
     ordered = F.sort_array(F.collect_list(value))
-    every = F.filter(ordered, lambda _, i: (i + 1) % _SAMPLES_PER_BUCKET == 0)
-    return F.array_distinct(every)
+    step = F.greatest(F.lit(_SAMPLES_PER_BUCKET), F.ceil(F.size(ordered) / F.lit(float(_MAX_CUTS))).cast("int"))
+    return F.array_distinct(F.filter(ordered, lambda _, i: (i + 1) % step == 0))
 
 
 def _bucket(value: Column, cuts: Column) -> Column:
     """Even numbers lie between cut points, odd ones on them, -1 holds nulls."""
-    below = F.size(F.filter(cuts, lambda c: c < value))
-    on_cut = F.exists(cuts, lambda c: c == value)
+    count = F.size(cuts)
+    halvings = F.array_repeat(F.lit(0), F.ceil(F.log2(count + 1.0)).cast("int"))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = ((state["low"] + state["high"]) / 2).cast("int")
+        right = F.get(cuts, middle) < value
+        return F.struct(
+            F.when(right, middle + 1).otherwise(state["low"]).alias("low"),
+            F.when(right, state["high"]).otherwise(middle).alias("high"),
+        )
+
+    start = F.struct(F.lit(0).alias("low"), count.alias("high"))
+    below = F.aggregate(halvings, start, halve, lambda s: s["low"])
+    on_cut = F.coalesce(F.get(cuts, below) == value, F.lit(False))
     place = 2 * below + F.when(on_cut, 1).otherwise(0)
-    return F.when(value.isNull(), -1).when(cuts.isNull(), 0).otherwise(place)
+    return F.when(value.isNull(), -1).when(cuts.isNull() | (count == 0), 0).otherwise(place)
 
 
 def group_layout(
