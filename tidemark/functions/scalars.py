@@ -61,7 +61,13 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
+GRID_OFFSET = 0.3819660112501051
+
+
 def grid(c: ColumnOrName, digits: int = 6) -> Column:
-    """Floor to a decimal grid, for comparing results of sums taken in different orders."""
+    """Floor to a decimal grid, for comparing results of sums taken in different orders.
+
+    The offset keeps ordinary values (halves, tenths, ..) away from the cell borders.
+    """
     scale = float(10**digits)
-    return F.floor(col(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.floor(col(c) * F.lit(scale) + F.lit(GRID_OFFSET)) / F.lit(scale)

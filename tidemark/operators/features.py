@@ -199,9 +199,15 @@ def with_industry_means(df: DataFrame) -> DataFrame:
     return joined.withColumn("industry_neutral_ret_1d", F.col("ret_1d") - F.col("industry_ret_1d_mean"))
 
 
-def cross_features(df: DataFrame, returns: DataFrame, ranks: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    ranks = {**DATE_RANKS, **INDUSTRY_RANKS} if ranks is None else ranks
-    out = with_winsor(with_industry_means(with_benchmark(df, returns)), WINSOR_COLUMNS)
+def cross_features(df: DataFrame, returns: DataFrame, wanted: set[str] | None = None) -> DataFrame:
+    """Cross-sectional features; winsor bounds and ranks only for ``wanted`` names (all by default)."""
+    all_ranks = {**DATE_RANKS, **INDUSTRY_RANKS}
+    ranks = {n: r for n, r in all_ranks.items() if wanted is None or n in wanted}
+    needed = {c for _, c in ranks.values()} | (wanted or set())
+    clipped = [c for c in WINSOR_COLUMNS if wanted is None or f"{c}_winsor" in needed]
+    out = with_industry_means(with_benchmark(df, returns))
+    if clipped:
+        out = with_winsor(out, clipped)
     if not ranks:
         return out
     return out.join(cross_rank_pct(out, ranks), KEYS, "left")
@@ -287,8 +293,10 @@ def beta(n: int) -> Column:
     return sdiv(mean(x * y) - mean(x) * mean(y), mean(x * x) - mean(x) * mean(x))
 
 
-def history_features(df: DataFrame, windows: Sequence[int] = WINDOWS, betas: Sequence[int] = (20, 60)) -> DataFrame:
-    out = with_macd(df).withColumns({**price_features(), **return_features(), **rolling_features(windows)})
+def history_features(
+    df: DataFrame, windows: Sequence[int] = WINDOWS, betas: Sequence[int] = (20, 60), macd: bool = True
+) -> DataFrame:
+    out = (with_macd(df) if macd else df).withColumns({**price_features(), **return_features(), **rolling_features(windows)})
     out = out.withColumns({f"beta_{n}d": beta(n) for n in betas})
     return out.withColumns(
         {f"residual_ret_{n}d": F.col("ret_1d") - F.col(f"beta_{n}d") * F.col("benchmark_ret_1d") for n in betas}
@@ -298,9 +306,17 @@ def history_features(df: DataFrame, windows: Sequence[int] = WINDOWS, betas: Seq
 # --- the whole library ------------------------------------------------------------------------------
 
 
-def add_features(panel: DataFrame, returns: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:
-    """Every feature of the library; windows run over the rows of ``panel`` as given."""
-    return history_features(cross_features(row_features(panel), returns), windows)
+def add_features(
+    panel: DataFrame, returns: DataFrame, windows: Sequence[int] = WINDOWS, wanted: Sequence[str] | None = None
+) -> DataFrame:
+    """The feature library; windows run over the rows of ``panel`` as given.
+
+    With ``wanted`` the joins and folds no wanted feature needs are left out (unused window columns are
+    pruned by the optimizer anyway).
+    """
+    names = None if wanted is None else set(wanted)
+    macd = names is None or any(n.startswith("macd_") for n in names)
+    return history_features(cross_features(row_features(panel), returns, names), windows, macd=macd)
 
 
 def lag_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:

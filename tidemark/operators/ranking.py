@@ -72,21 +72,21 @@ def group_layout(
     binned = narrow.join(cuts, keys, "left")
     pieces = F.array(
         *[
-            F.struct(F.lit(v).alias("which"), _bucket(F.col(f"_v_{v}"), F.col(f"cuts_{v}")).alias("bucket"))
+            F.struct(F.lit(v).alias("_which"), _bucket(F.col(f"_v_{v}"), F.col(f"cuts_{v}")).alias("bucket"))
             for v in names
         ]
     )
     counts = (
         binned.select(*keys, F.explode(pieces).alias("p"))
-        .groupBy(*keys, F.col("p.which").alias("which"), F.col("p.bucket").alias("bucket"))
+        .groupBy(*keys, F.col("p._which").alias("_which"), F.col("p.bucket").alias("bucket"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     # one row per bucket of a group: a short window
-    before = Window.partitionBy(*keys, "which").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys, "_which").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     live = F.when(F.col("bucket") >= 0, F.col("rows")).otherwise(0)
     offsets = counts.select(
         *keys,
-        "which",
+        "_which",
         F.struct(
             "bucket",
             F.struct(F.coalesce(F.sum(live).over(before), F.lit(0)).alias("offset"), F.col("rows")).alias("at"),
@@ -94,8 +94,8 @@ def group_layout(
         live.alias("live"),
     )
     per_group = offsets.groupBy(*keys).agg(
-        *[F.map_from_entries(F.collect_list(F.when(F.col("which") == v, F.col("entry")))).alias(f"hist_{v}") for v in names],
-        *[F.sum(F.when(F.col("which") == v, F.col("live"))).alias(f"n_{v}") for v in names],
+        *[F.map_from_entries(F.collect_list(F.when(F.col("_which") == v, F.col("entry")))).alias(f"hist_{v}") for v in names],
+        *[F.sum(F.when(F.col("_which") == v, F.col("live"))).alias(f"n_{v}") for v in names],
     )
     return per_group.join(cuts, keys, "left")
 

@@ -5,14 +5,24 @@ Entity = supplier, period = ship month. Sums are taken as decimals, so they are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.scalars import sdiv
 from tidemark.functions.windows import history, lagged
+from tidemark.operators.calendar import open_days
+from tidemark.operators.labels import LABEL
+from tidemark.operators.membership import build_intervals, normalize_snapshots
+from tidemark.operators.state import daily_state
+from tidemark.plans.mart import build_mart, with_tradable_state
+from tidemark.session import stage
 
 INDEX_CODE = "TOP30"
 BENCHMARK = "ALL"
 INDEX_SIZE = 30
+STATE_VERSION = "v1"
+FIRST, LAST = "19000101", "99991231"
 
 # Rules of the derived panel. Codes end in a digit; two boards, two reforms each.
 LIMIT_RULES = {
@@ -43,6 +53,17 @@ LIMIT_RULES = {
 }
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A derived table, written once per session: reports read stored tables, as they do in production."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        _STORED[key] = stage(build(spark, folder), name)
+    return _STORED[key]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -52,7 +73,11 @@ def entity_code(suppkey) -> F.Column:
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per (entity, month) with every base sum; the only pass over the line items."""
+    return stored(spark, folder, "cells", build_cells)
+
+
+def build_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per (entity, month) with every base sum, from one pass over the line items."""
     money = F.col("l_extendedprice").cast("decimal(18,2)")
     qty = F.col("l_quantity").cast("decimal(18,2)")
     price = F.col("l_extendedprice") / F.col("l_quantity")
@@ -97,45 +122,43 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def daily(spark: SparkSession, folder: str) -> DataFrame:
-    c = cells(spark, folder)
-    return c.select(
-        "trade_date", "ts_code", "open", "high", "low", "close", lagged("close", 1).alias("pre_close"), "vol", "amount"
-    )
+def _nation(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "supplier").select(entity_code(F.col("s_suppkey")).alias("ts_code"), "s_nationkey")
 
 
-def metric(spark: SparkSession, folder: str) -> DataFrame:
-    """Valuation ratios; market values are running sums of the entity and of its nation."""
-    c = cells(spark, folder)
-    nation = table(spark, folder, "supplier").select(entity_code(F.col("s_suppkey")).alias("ts_code"), "s_nationkey")
+def wide(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(spark, folder, "wide", build_wide)
+
+
+def build_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices, valuation ratios and money flow of every cell; market values are running sums of the entity
+    and of its nation."""
+    c = cells(spark, folder).join(_nation(spark, folder), "ts_code", "left")
     so_far = history().rowsBetween(Window.unboundedPreceding, 0)
-    placed = c.join(nation, "ts_code", "left")
-    by_nation = placed.groupBy("s_nationkey", "trade_date").agg(F.sum("amount_dec").alias("nation_amount"))
     nation_so_far = Window.partitionBy("s_nationkey").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    by_nation = by_nation.select(
-        "s_nationkey", "trade_date", F.sum("nation_amount").over(nation_so_far).cast("double").alias("total_mv")
-    )
-    return (
-        placed.withColumn("turnover_rate", sdiv("vol", F.avg("vol").over(so_far)))
-        .withColumn("turnover_rate_f", sdiv("vol", F.col("lines").cast("double")))
-        .withColumn("volume_ratio", sdiv("vol", lagged("vol", 1)))
-        .withColumn("pe_ttm", sdiv("amount", "tax_amount"))
-        .withColumn("pb", sdiv("amount", "discount_amount"))
-        .withColumn("ps_ttm", sdiv("close", "high"))
-        .withColumn("circ_mv", F.sum("amount_dec").over(so_far).cast("double"))
-        .join(by_nation, ["s_nationkey", "trade_date"], "left")
-        .select(
-            "trade_date", "ts_code", "turnover_rate", "turnover_rate_f", "volume_ratio", "pe_ttm", "pb", "ps_ttm",
-            "total_mv", "circ_mv",
-        )
+    by_nation = (
+        c.groupBy("s_nationkey", "trade_date")
+        .agg(F.sum("amount_dec").alias("nation_amount"))
+        .select("s_nationkey", "trade_date", F.sum("nation_amount").over(nation_so_far).cast("double").alias("total_mv"))
     )
-
-
-def moneyflow(spark: SparkSession, folder: str) -> DataFrame:
-    c = cells(spark, folder)
-    return c.select(
+    return c.join(by_nation, ["s_nationkey", "trade_date"], "left").select(
         "trade_date",
         "ts_code",
+        "open",
+        "high",
+        "low",
+        "close",
+        lagged("close", 1).alias("pre_close"),
+        "vol",
+        "amount",
+        sdiv("vol", F.avg("vol").over(so_far)).alias("turnover_rate"),
+        sdiv("vol", F.col("lines").cast("double")).alias("turnover_rate_f"),
+        sdiv("vol", lagged("vol", 1)).alias("volume_ratio"),
+        sdiv("amount", "tax_amount").alias("pe_ttm"),
+        sdiv("amount", "discount_amount").alias("pb"),
+        sdiv("close", "high").alias("ps_ttm"),
+        "total_mv",
+        F.sum("amount_dec").over(so_far).cast("double").alias("circ_mv"),
         (F.col("n_amount") - F.col("r_amount")).alias("net_mf_amount"),
         "net_mf_vol",
         "buy_lg_amount",
@@ -143,6 +166,26 @@ def moneyflow(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+DAILY = ["trade_date", "ts_code", "open", "high", "low", "close", "pre_close", "vol", "amount"]
+METRIC = [
+    "trade_date", "ts_code", "turnover_rate", "turnover_rate_f", "volume_ratio", "pe_ttm", "pb", "ps_ttm", "total_mv",
+    "circ_mv",
+]
+MONEYFLOW = ["trade_date", "ts_code", "net_mf_amount", "net_mf_vol", "buy_lg_amount", "sell_lg_amount"]
+
+
+def daily(spark: SparkSession, folder: str) -> DataFrame:
+    return wide(spark, folder).select(*DAILY)
+
+
+def metric(spark: SparkSession, folder: str) -> DataFrame:
+    return wide(spark, folder).select(*METRIC)
+
+
+def moneyflow(spark: SparkSession, folder: str) -> DataFrame:
+    return wide(spark, folder).select(*MONEYFLOW)
+
+
 def basic(spark: SparkSession, folder: str) -> DataFrame:
     """Entity dimension: industry = region, market = nation; every 17th entity has no list date."""
     supplier = table(spark, folder, "supplier")
@@ -164,6 +207,12 @@ def basic(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def panel(spark: SparkSession, folder: str) -> DataFrame:
+    """The base panel: every cell with its industry and market, unknown ones named so."""
+    dim = basic(spark, folder).select("ts_code", "industry", "market", "list_date")
+    return wide(spark, folder).join(dim, "ts_code", "left").fillna("UNKNOWN", ["industry", "market"])
+
+
 def market(spark: SparkSession, folder: str) -> DataFrame:
     """The benchmark series: all entities together, one row per month."""
     per_month = (
@@ -203,3 +252,45 @@ def st_list(spark: SparkSession, folder: str) -> DataFrame:
     """Flagged (entity, month) pairs: returns make up more than 60 % of the amount."""
     c = cells(spark, folder)
     return c.where(F.col("r_amount") > 0.6 * F.col("amount")).select("trade_date", "ts_code")
+
+
+def state(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(spark, folder, "state", build_state)
+
+
+def build_state(spark: SparkSession, folder: str) -> DataFrame:
+    return daily_state(
+        daily(spark, folder),
+        basic(spark, folder),
+        st_list(spark, folder),
+        open_days(trade_calendar(spark, folder)),
+        LIMIT_RULES,
+        STATE_VERSION,
+    )
+
+
+def intervals(spark: SparkSession, folder: str) -> DataFrame:
+    return build_intervals(normalize_snapshots(index_weight(spark, folder), INDEX_CODE), STATE_VERSION)
+
+
+def tradable_panel(spark: SparkSession, folder: str, pool: DataFrame | None = None) -> DataFrame:
+    return with_tradable_state(panel(spark, folder), state(spark, folder), STATE_VERSION, FIRST, LAST, pool)
+
+
+# a handful of features of every kind: returns, flows, ranks, rolling values, flags, exposures
+REPORT_FEATURES = [
+    "lag1_ret_1d", "lag1_intraday_return", "lag1_turnover_rate", "lag1_turnover_rate_f", "lag1_log_circ_mv",
+    "lag1_net_mf_amount_to_amount", "lag1_large_order_imbalance", "lag1_main_mf_strength", "lag1_close_position",
+    "lag1_ret_5d_mean", "lag1_ret_20d_std", "lag1_amount_rank_pct", "lag1_limit_touch_up", "lag1_month",
+]
+
+
+def dataset(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(spark, folder, "dataset", build_dataset)
+
+
+def build_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """The labelled table the factor reports run on."""
+    wanted = [f.removeprefix("lag1_") for f in REPORT_FEATURES]
+    mart, _ = build_mart(tradable_panel(spark, folder), market(spark, folder), BENCHMARK, features=wanted)
+    return mart.dropna(subset=[LABEL])
