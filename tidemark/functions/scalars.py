@@ -64,6 +64,11 @@ def flag(condition: Column) -> Column:
 GRID_OFFSET = 0.3819660112501051
 
 
+def grid_sql(c: str, digits: int = 6) -> str:
+    scale = 10**digits
+    return f"(floor(`{c}` * {scale}D + {GRID_OFFSET}D) / {scale}D)"
+
+
 def grid(c: ColumnOrName, digits: int = 6) -> Column:
     """Floor to a decimal grid, for comparing results of sums taken in different orders.
 

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, Window, WindowSpec, functions as F
 
-from tidemark.functions.scalars import ColumnOrName, col, sdiv
-
 ENTITY = "ts_code"
 DATE = "trade_date"
 
@@ -18,28 +16,39 @@ def history(entity: str = ENTITY, date: str = DATE) -> WindowSpec:
     return Window.partitionBy(entity).orderBy(date)
 
 
-def trailing(n: int, entity: str = ENTITY, date: str = DATE) -> WindowSpec:
+def over(frame: str = "", entity: str = ENTITY, date: str = DATE) -> str:
+    """SQL text of a window over an entity's history. Library features are many, and one parsed expression
+    is much cheaper to build than a tree of column calls."""
+    return f"OVER (PARTITION BY `{entity}` ORDER BY `{date}` {frame})"
+
+
+def trailing(n: int, entity: str = ENTITY, date: str = DATE) -> str:
     """The current row and the n-1 rows before it."""
-    return history(entity, date).rowsBetween(-(n - 1), 0)
+    return over(f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW", entity, date)
 
 
 def default_min_obs(n: int) -> int:
     return max(2, n // 2)
 
 
-def rolling(fn, c: ColumnOrName, n: int, min_obs: int | None = None, entity: str = ENTITY, date: str = DATE) -> Column:
-    """``fn`` over the last n rows, null with fewer than ``min_obs`` non-null values."""
+def rolling_sql(fn: str, c: str, n: int, min_obs: int | None = None, entity: str = ENTITY, date: str = DATE) -> str:
     w = trailing(n, entity, date)
     need = default_min_obs(n) if min_obs is None else min_obs
-    return F.when(F.count(col(c)).over(w) >= need, fn(col(c)).over(w))
+    return f"(CASE WHEN count({c}) {w} >= {need} THEN {fn}({c}) {w} END)"
+
+
+def rolling(fn: str, c: str, n: int, min_obs: int | None = None, entity: str = ENTITY, date: str = DATE) -> Column:
+    """Aggregate ``fn`` of SQL expression ``c`` over the last n rows, null with fewer than ``min_obs``
+    non-null values."""
+    return F.expr(rolling_sql(fn, c, n, min_obs, entity, date))
 
 
-def lagged(c: ColumnOrName, k: int, entity: str = ENTITY, date: str = DATE) -> Column:
-    return F.lag(col(c), k).over(history(entity, date))
+def lagged(c: str, k: int, entity: str = ENTITY, date: str = DATE) -> Column:
+    return F.expr(f"lag({c}, {k}) {over('', entity, date)}")
 
 
-def led(c: ColumnOrName, k: int, entity: str = ENTITY, date: str = DATE) -> Column:
-    return F.lead(col(c), k).over(history(entity, date))
+def led(c: str, k: int, entity: str = ENTITY, date: str = DATE) -> Column:
+    return F.expr(f"lead({c}, {k}) {over('', entity, date)}")
 
 
 def ema(series: Column, span: int, min_obs: int) -> Column:
@@ -75,19 +84,19 @@ def ema(series: Column, span: int, min_obs: int) -> Column:
     return F.aggregate(series, start, step, lambda state: state["out"])
 
 
-def rolling_rank_pct(c: ColumnOrName, n: int, min_obs: int, entity: str = ENTITY, date: str = DATE) -> Column:
+def rolling_rank_pct(c: str, n: int, min_obs: int, entity: str = ENTITY, date: str = DATE) -> Column:
     """Average-tie percentile rank of the current value among the last n rows."""
-    x = col(c)
-    seen = F.collect_list(x).over(trailing(n, entity, date))
+    seen = F.expr(f"collect_list({c}) {trailing(n, entity, date)}")
+    x = F.expr(c)
     below = F.size(F.filter(seen, lambda v: v < x))
     same = F.size(F.filter(seen, lambda v: v == x))
-    rank = sdiv(below + (same + 1) / 2.0, F.size(seen))
+    rank = F.try_divide(below + (same + 1) / 2.0, F.size(seen))
     return F.when(x.isNotNull() & (F.size(seen) >= min_obs), rank)
 
 
 def trailing_matrix(columns: list[str], n: int, entity: str = ENTITY, date: str = DATE) -> Column:
     """The last n rows of ``columns`` as array<array<float>>; null when short or when any cell is null."""
-    row = F.array(*[F.col(c).cast("float") for c in columns])
-    rows = F.collect_list(row).over(trailing(n, entity, date))
+    row = ", ".join(f"CAST(`{c}` AS FLOAT)" for c in columns)
+    rows = F.expr(f"collect_list(array({row})) {trailing(n, entity, date)}")
     complete = (F.size(rows) == n) & ~F.exists(rows, lambda r: F.exists(r, lambda v: v.isNull()))
     return F.when(complete, rows)

@@ -293,12 +293,16 @@ def quality(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def _shared_counts(df: DataFrame, features: Sequence[str]) -> dict[tuple[str, str], int]:
     """Rows where both features are known, for every pair (and each feature with itself).
 
-    The result has one number per pair of configured features.
+    Rows are counted per pattern of known features first, which leaves few rows for the pair sums. The
+    result has one number per pair of configured features.
     """
-    known = df.select(*[F.when(finite(f).isNotNull(), 1.0).otherwise(0.0).alias(f) for f in features])
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    row = known.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
-    return {pair: int(row[i] or 0) for i, pair in enumerate(pairs)}
+    names = [f"k{i}" for i in range(len(features))]
+    known = df.select(*[finite(f).isNotNull().alias(k) for f, k in zip(features, names)])
+    patterns = known.groupBy(*names).agg(F.count(F.lit(1)).alias("rows"))
+    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
+    sums = [F.sum(F.when(F.col(names[i]) & F.col(names[j]), F.col("rows"))).alias(f"c{i}_{j}") for i, j in pairs]
+    row = patterns.agg(*sums).first()
+    return {(features[i], features[j]): int(row[n] or 0) for n, (i, j) in enumerate(pairs)}
 
 
 def _row_sets(features: Sequence[str], shared: dict[tuple[str, str], int]) -> dict[tuple[str, str], tuple[str, ...]]:
@@ -343,22 +347,35 @@ def correlation_pairs(df: DataFrame, features: Sequence[str], top_n: int | None
             names = members.setdefault(rows, [])
             names += [f for f in (a, b) if f not in names]
     clean = df.select(*KEYS, *[finite(f).alias(f) for f in features])
+    spark = df.sparkSession
+    schema = "feature_left string, feature_right string, spearman_corr double"
+    if not members:
+        return spark.createDataFrame([], schema)
+    ordered_sets = sorted(members)
+    long = None
+    for number, rows in enumerate(ordered_sets):
+        complete = F.lit(True)
+        for f in rows:
+            complete = complete & F.col(f).isNotNull()
+        part = clean.where(complete).unpivot(KEYS, members[rows], "feature", "x").withColumn("row_set", F.lit(number))
+        long = part if long is None else long.unionByName(part)
+    ranked = with_ranks(long, ["row_set", "feature"], ["x"], KEYS)
+    # one row per (row set, key): the ranks of its features, absent ones as 0
+    rank_of = {f: F.coalesce(F.max(F.when(F.col("feature") == f, average_rank("x"))), F.lit(0.0)) for f in features}
+    vectors = ranked.groupBy("row_set", *KEYS).agg(F.array(*rank_of.values()).alias("r"))
+    vectors = stage(vectors.select("row_set", "r"), "rank-vectors")  # read twice per row set
     found = []
-    for rows, names in members.items():
-        names = [f for f in features if f in names]
-        complete = clean.dropna(subset=list(dict.fromkeys([*rows, *names])))
-        long = complete.unpivot(KEYS, names, "feature", "x")
-        ranked = with_ranks(long, ["feature"], ["x"], KEYS).select(*KEYS, "feature", average_rank("x").alias("r"))
-        wide = ranked.groupBy(*KEYS).agg(*[F.max(F.when(F.col("feature") == f, F.col("r"))).alias(f) for f in names])
-        vectors = wide.select(array_to_vector(F.array(*names)).alias("v"))
-        matrix = Correlation.corr(vectors, "v", "pearson").first()[0].toArray()
-        at = {f: i for i, f in enumerate(names)}
+    for number, rows in enumerate(ordered_sets):
+        places = [i for i, f in enumerate(features) if f in members[rows]]
+        used = F.array(*[F.col("r")[i] for i in places])
+        part = vectors.where(F.col("row_set") == number).select(array_to_vector(used).alias("v"))
+        matrix = Correlation.corr(part, "v", "pearson").first()[0].toArray()
+        at = {features[i]: n for n, i in enumerate(places)}
         for (a, b), own in sets.items():
-            if own == rows and a in at and b in at and shared[(a, b)] >= need:
+            if own == rows and shared[(a, b)] >= need:
                 value = float(matrix[at[a], at[b]])
                 if value == value:
                     found.append((a, b, value))
-    spark = df.sparkSession
-    table = spark.createDataFrame(found, "feature_left string, feature_right string, spearman_corr double")
+    table = spark.createDataFrame(found, schema)
     ordered = table.orderBy(F.desc(F.abs("spearman_corr")), "feature_left", "feature_right")
     return ordered.limit(top_n) if top_n is not None else ordered

@@ -15,8 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.scalars import as_date, clip, flag, growth, sdiv
-from tidemark.functions.windows import ema, history, rolling
+from tidemark.functions.windows import ema, over, rolling, rolling_sql
 from tidemark.operators.ranking import group_quantiles, rank_pct, with_ranks
+from tidemark.session import stage
 
 WINDOWS = (5, 10, 20, 60)
 KEYS = ["trade_date", "ts_code"]
@@ -169,7 +170,8 @@ def winsor_bounds(df: DataFrame, columns: Sequence[str], lower: float = 0.01, up
 def with_winsor(df: DataFrame, columns: Sequence[str], lower: float = 0.01, upper: float = 0.99) -> DataFrame:
     """Add ``<c>_winsor``: each column clipped to its date's quantiles."""
     present = [c for c in columns if c in df.columns]
-    bounds = winsor_bounds(df, present, lower, upper)
+    # one row per date, stored because ranks of clipped columns read it several times
+    bounds = stage(winsor_bounds(df, present, lower, upper), "winsor")
     joined = df.join(bounds, "trade_date", "left")
     clipped = {f"{c}_winsor": clip(c, F.col(f"{c}_low"), F.col(f"{c}_high")) for c in present}
     return joined.withColumns(clipped).drop(*[f"{c}_{s}" for c in present for s in ("low", "high")])
@@ -241,56 +243,59 @@ def with_macd(df: DataFrame) -> DataFrame:
     )
 
 
+def _growth(a: str, b: str) -> str:
+    return f"(try_divide({a}, {b}) - 1)"
+
+
 def rsi(ret: str, n: int = 14, min_obs: int = 7) -> Column:
-    gain = F.when(F.col(ret).isNotNull(), F.greatest(F.col(ret), F.lit(0.0)))
-    loss = F.when(F.col(ret).isNotNull(), F.greatest(-F.col(ret), F.lit(0.0)))
-    strength = sdiv(rolling(F.avg, gain, n, min_obs), rolling(F.avg, loss, n, min_obs))
-    return 100 - sdiv(F.lit(100.0), 1 + strength)
+    gain = f"CASE WHEN {ret} IS NOT NULL THEN greatest({ret}, 0D) END"
+    loss = f"CASE WHEN {ret} IS NOT NULL THEN greatest(-{ret}, 0D) END"
+    strength = f"try_divide({rolling_sql('avg', gain, n, min_obs)}, {rolling_sql('avg', loss, n, min_obs)})"
+    return F.expr(f"100 - try_divide(100D, 1 + {strength})")
 
 
 def price_features() -> dict[str, Column]:
-    ma5, ma20, ma60 = (rolling(F.avg, "close", n, m) for n, m in ((5, 3), (20, 10), (60, 30)))
-    peak = rolling(F.max, "close", 20, 10)
-    lag = lambda k: F.lag("close", k).over(history())
-    return {
-        "ret_5d": growth("close", lag(5)),
-        "ret_20d": growth("close", lag(20)),
-        "ma_ratio_5_20": growth(ma5, ma20),
-        "ma_ratio_20_60": growth(ma20, ma60),
-        "price_to_ma20": growth("close", ma20),
-        "bollinger_z_20d": sdiv(F.col("close") - ma20, rolling(F.stddev_samp, "close", 20, 10)),
-        "max_drawdown_20d": growth("close", peak),
-        "new_high_20d": flag(F.col("close") >= peak),
+    ma5, ma20, ma60 = (rolling_sql("avg", "close", n, m) for n, m in ((5, 3), (20, 10), (60, 30)))
+    peak, spread = rolling_sql("max", "close", 20, 10), rolling_sql("stddev_samp", "close", 20, 10)
+    text = {
+        "ret_5d": _growth("close", f"lag(close, 5) {over()}"),
+        "ret_20d": _growth("close", f"lag(close, 20) {over()}"),
+        "ma_ratio_5_20": _growth(ma5, ma20),
+        "ma_ratio_20_60": _growth(ma20, ma60),
+        "price_to_ma20": _growth("close", ma20),
+        "bollinger_z_20d": f"try_divide(close - {ma20}, {spread})",
+        "max_drawdown_20d": _growth("close", peak),
+        "new_high_20d": f"CAST(coalesce(close >= {peak}, false) AS INT)",
     }
+    return {name: F.expr(e) for name, e in text.items()}
 
 
 def return_features() -> dict[str, Column]:
     return {
         "rsi_14d": rsi("ret_1d"),
-        "turnover_acceleration": growth("turnover_rate", rolling(F.avg, "turnover_rate", 20, 10)),
-        "industry_neutral_ret_20d": rolling(F.avg, "industry_neutral_ret_1d", 20, 10),
+        "turnover_acceleration": F.expr(_growth("turnover_rate", rolling_sql("avg", "turnover_rate", 20, 10))),
+        "industry_neutral_ret_20d": rolling("avg", "industry_neutral_ret_1d", 20, 10),
     }
 
 
 def rolling_features(windows: Sequence[int] = WINDOWS) -> dict[str, Column]:
     out = {}
     for n in windows:
-        out[f"ret_{n}d_mean"] = rolling(F.avg, "ret_1d", n)
-        out[f"ret_{n}d_std"] = rolling(F.stddev_samp, "ret_1d", n)
-        out[f"amount_{n}d_mean"] = rolling(F.avg, "amount", n)
-        out[f"turnover_{n}d_mean"] = rolling(F.avg, "turnover_rate", n)
-        out[f"turnover_{n}d_std"] = rolling(F.stddev_samp, "turnover_rate", n)
-        out[f"net_mf_strength_{n}d_mean"] = rolling(F.avg, "net_mf_amount_to_amount", n)
-        out[f"excess_ret_{n}d_mean"] = rolling(F.avg, "excess_ret_1d", n)
+        out[f"ret_{n}d_mean"] = rolling("avg", "ret_1d", n)
+        out[f"ret_{n}d_std"] = rolling("stddev_samp", "ret_1d", n)
+        out[f"amount_{n}d_mean"] = rolling("avg", "amount", n)
+        out[f"turnover_{n}d_mean"] = rolling("avg", "turnover_rate", n)
+        out[f"turnover_{n}d_std"] = rolling("stddev_samp", "turnover_rate", n)
+        out[f"net_mf_strength_{n}d_mean"] = rolling("avg", "net_mf_amount_to_amount", n)
+        out[f"excess_ret_{n}d_mean"] = rolling("avg", "excess_ret_1d", n)
     return out
 
 
 def beta(n: int) -> Column:
     """Rolling slope on the benchmark; each moment has its own count of non-null values."""
-    need = max(10, n // 2)
-    x, y = F.col("benchmark_ret_1d"), F.col("ret_1d")
-    mean = lambda c: rolling(F.avg, c, n, need)
-    return sdiv(mean(x * y) - mean(x) * mean(y), mean(x * x) - mean(x) * mean(x))
+    x, y = "benchmark_ret_1d", "ret_1d"
+    mx, my, mxy, mxx = (rolling_sql("avg", e, n, max(10, n // 2)) for e in (x, y, f"{x} * {y}", f"{x} * {x}"))
+    return F.expr(f"try_divide({mxy} - {mx} * {my}, {mxx} - {mx} * {mx})")
 
 
 def history_features(
@@ -322,8 +327,6 @@ def add_features(
 def lag_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """Shift every feature by one row of its entity; only the shifted columns are published."""
     present = [c for c in features if c in df.columns]
-    lag = lambda c: F.lag(F.col(c).cast("double"), 1).over(history())
     names = [f"{LAG_PREFIX}{c}" for c in present]
-    return df.select(*KEYS, *keep, *[lag(c).alias(n) for c, n in zip(present, names)]), names
-
-
+    shifted = [f"lag(CAST(`{c}` AS DOUBLE), 1) {over()} AS `{n}`" for c, n in zip(present, names)]
+    return df.selectExpr(*KEYS, *keep, *shifted), names

@@ -34,24 +34,20 @@ def _cut_points(value: Column) -> Column:
     return F.array_distinct(F.filter(ordered, lambda _, i: (i + 1) % step == 0))
 
 
-def _bucket(value: Column, cuts: Column) -> Column:
-    """Even numbers lie between cut points, odd ones on them, -1 holds nulls."""
-    count = F.size(cuts)
-    halvings = F.array_repeat(F.lit(0), F.ceil(F.log2(count + 1.0)).cast("int"))
-
-    def halve(state: Column, _: Column) -> Column:
-        middle = ((state["low"] + state["high"]) / 2).cast("int")
-        right = F.get(cuts, middle) < value
-        return F.struct(
-            F.when(right, middle + 1).otherwise(state["low"]).alias("low"),
-            F.when(right, state["high"]).otherwise(middle).alias("high"),
-        )
-
-    start = F.struct(F.lit(0).alias("low"), count.alias("high"))
-    below = F.aggregate(halvings, start, halve, lambda s: s["low"])
-    on_cut = F.coalesce(F.get(cuts, below) == value, F.lit(False))
-    place = 2 * below + F.when(on_cut, 1).otherwise(0)
-    return F.when(value.isNull(), -1).when(cuts.isNull() | (count == 0), 0).otherwise(place)
+def _bucket(value: str, cuts: str) -> Column:
+    """Even numbers lie between cut points, odd ones on them, -1 holds nulls. Binary search by halving."""
+    below = f"""aggregate(
+        array_repeat(0, CAST(ceil(log2(size({cuts}) + 1D)) AS INT)),
+        named_struct('low', 0, 'high', size({cuts})),
+        (s, _) -> CASE WHEN get({cuts}, (s.low + s.high) DIV 2) < {value}
+            THEN named_struct('low', CAST((s.low + s.high) DIV 2 AS INT) + 1, 'high', s.high)
+            ELSE named_struct('low', s.low, 'high', CAST((s.low + s.high) DIV 2 AS INT)) END,
+        s -> s.low)"""
+    return F.expr(
+        f"""CASE WHEN {value} IS NULL THEN -1
+            WHEN {cuts} IS NULL OR size({cuts}) = 0 THEN 0
+            ELSE 2 * {below} + CASE WHEN coalesce(get({cuts}, {below}) = {value}, false) THEN 1 ELSE 0 END END"""
+    )
 
 
 def group_layout(
@@ -72,7 +68,7 @@ def group_layout(
     binned = narrow.join(cuts, keys, "left")
     pieces = F.array(
         *[
-            F.struct(F.lit(v).alias("_which"), _bucket(F.col(f"_v_{v}"), F.col(f"cuts_{v}")).alias("bucket"))
+            F.struct(F.lit(v).alias("_which"), _bucket(f"_v_{v}", f"cuts_{v}").alias("bucket"))
             for v in names
         ]
     )
@@ -105,9 +101,10 @@ def _placed(
 ) -> DataFrame:
     """``df`` with each group's layout and, per value, its bucket, the bucket's offset and row count."""
     out = df.join(group_layout(df, keys, values, ids, extremes), list(keys), "left")
-    out = out.withColumns({f"_b_{v}": _bucket(expr, F.col(f"cuts_{v}")) for v, expr in values.items()})
+    out = out.withColumns({f"_v_{v}": expr for v, expr in values.items()})
+    out = out.withColumns({f"_b_{v}": _bucket(f"_v_{v}", f"cuts_{v}") for v in values})
     out = out.withColumns({f"_at_{v}": F.element_at(F.col(f"hist_{v}"), F.col(f"_b_{v}")) for v in values})
-    return out.drop(*[f"cuts_{v}" for v in values], *[f"hist_{v}" for v in values])
+    return out.drop(*[f"{part}_{v}" for v in values for part in ("cuts", "hist", "_v")])
 
 
 def _spread(df: DataFrame, keys: Sequence[str], v: str, ids: Sequence[str]) -> DataFrame:

@@ -21,7 +21,7 @@ def regime_source(market: DataFrame, benchmark: str) -> DataFrame:
         "trade_date",
         growth("close", lagged("close", 20)).alias("benchmark_ret_20d"),
         growth("close", lagged("close", 60)).alias("benchmark_ret_60d"),
-        rolling(F.stddev_samp, "ret", 20, 10).alias("benchmark_vol_20d"),
+        rolling("stddev_samp", "ret", 20, 10).alias("benchmark_vol_20d"),
         rolling_rank_pct("amount", 60, 20).alias("benchmark_amount_rank_60d"),
     )
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions.scalars import grid
+from tidemark.functions.scalars import grid, grid_sql
 from tidemark.operators import calendar, coverage, datasets, factors, features, labels, membership, regimes, selection, state
 from tidemark.operators.features import KEYS
 from tidemark.operators.panel import latest
@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 def report(df: DataFrame, keys: Sequence[str], values: Sequence[str], digits: int = 6, wide: Sequence[str] = ()) -> DataFrame:
     """Keys plus values on a comparison grid; ``wide`` names values of large magnitude."""
-    return df.select(*keys, *[grid(v, 2 if v in wide else digits).alias(v) for v in values])
+    return df.selectExpr(*keys, *[f"{grid_sql(v, 2 if v in wide else digits)} AS `{v}`" for v in values])
 
 
 def sreport(source: str, keys: Sequence[str], values: Sequence[str], digits: int = 6, wide: Sequence[str] = (), where: str = "") -> str:
@@ -325,7 +325,7 @@ _SHIP_DAYS = "(SELECT DISTINCT strftime(l_shipdate, '%Y%m') || '01' AS trade_dat
 @query(
     "coverage",
     f"SELECT e.n AS expected_trade_dates, c.n AS covered_trade_dates, e.n - c.n AS missing_trade_dates, s.n - c.n AS extra_trade_dates, "
-    f"0 AS broken_rows, CASE WHEN e.n = c.n THEN 'PASS' ELSE 'FAIL' END AS coverage_check "
+    f"CAST(0 AS BIGINT) AS broken_rows, CASE WHEN e.n = c.n THEN 'PASS' ELSE 'FAIL' END AS coverage_check "
     f"FROM (SELECT count(*) AS n FROM {_ORDER_DAYS}) e, (SELECT count(*) AS n FROM {_SHIP_DAYS}) s, "
     f"(SELECT count(*) AS n FROM (SELECT * FROM {_ORDER_DAYS} INTERSECT SELECT * FROM {_SHIP_DAYS})) c",
 )
@@ -511,7 +511,7 @@ def label_query(spark, folder):
     return report(labels.add_labels(tb.panel(spark, folder), forward), KEYS, labels.LABEL_COLUMNS)
 
 
-@query("lookahead", "SELECT trade_date, ts_code, 0.0 AS lag1_ret_5d_mean, 0.0 AS lag1_amount_rank_pct FROM wide WHERE false")
+@query("lookahead", "SELECT trade_date, ts_code, CAST(0 AS DOUBLE) AS lag1_ret_5d_mean, CAST(0 AS DOUBLE) AS lag1_amount_rank_pct FROM wide WHERE false")
 def lookahead(spark, folder):
     """Rows that would reveal look-ahead when the panel is cut at the end of 1998: none."""
     returns = features.benchmark_returns(tb.market(spark, folder), tb.BENCHMARK)
@@ -562,7 +562,7 @@ SEQ_FEATURES = ["lag1_ret_1d", "lag1_turnover_rate_f", "lag1_ret_5d_mean"]
 def _sequence_sql(lookback: int) -> str:
     frame = f"OVER ({E} ROWS BETWEEN {lookback - 1} PRECEDING AND CURRENT ROW)"
     whole = " AND ".join(f"count({f}) {frame} = {lookback}" for f in SEQ_FEATURES)
-    sums = ", ".join(f"sum({f}) {frame} AS s{i}" for i, f in enumerate(SEQ_FEATURES))
+    sums = ", ".join(f"sum(CAST(CAST({f} AS REAL) AS DOUBLE)) {frame} AS s{i}" for i, f in enumerate(SEQ_FEATURES))
     firsts = f"first_value({SEQ_FEATURES[0]}) {frame} AS oldest"
     return (
         f"(SELECT *, {sums}, {firsts}, {whole} AS complete FROM flat) WHERE complete"

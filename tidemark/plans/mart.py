@@ -59,7 +59,11 @@ def build_mart(
     windows: Sequence[int] = WINDOWS,
     features: Sequence[str] | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """All published features (one session late) and labels of a tradable panel."""
+    """All published features (one session late) and labels of a tradable panel.
+
+    The joined panel is stored first: winsor bounds, ranks and histories each read a few of its columns.
+    """
+    panel = stage(panel, "panel")
     featured = add_features(panel, benchmark_returns(market, benchmark), windows, features)
     labelled = add_labels(featured, benchmark_forward(market, benchmark, horizon), horizon)
     return lag_features(labelled, features or published_features(windows), keep=LABEL_COLUMNS)
