@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalars import ColumnOrName, sdiv
-from tidemark.session import rows_per_bucket
+from tidemark.session import rows_per_bucket, stage
 
 _SAMPLES_PER_BUCKET = 32
 # a group's cut points travel with its rows, so their number is limited; beyond it buckets grow instead
@@ -50,33 +50,40 @@ def _bucket(value: str, cuts: str) -> Column:
     )
 
 
+def _buckets(names: Sequence[str], cut: bool) -> dict[str, Column]:
+    """Bucket expressions of the value columns ``_v_*``; one bucket per group where nothing was cut."""
+    if cut:
+        return {v: _bucket(f"_v_{v}", f"cuts_{v}") for v in names}
+    return {v: F.expr(f"CASE WHEN _v_{v} IS NULL THEN -1 ELSE 0 END") for v in names}
+
+
 def group_layout(
     df: DataFrame, keys: Sequence[str], values: dict[str, Column], ids: Sequence[str], extremes: str | None = None
-) -> DataFrame:
-    """One row per group: for each value ``cuts_v``, ``hist_v`` (bucket -> offset, count), ``n_v``; and
-    ``group_min``, ``group_max`` of the column ``extremes``."""
-    keys = list(keys)
+) -> tuple[DataFrame, bool]:
+    """One row per group: for each value ``hist_v`` (bucket -> offset, count), ``n_v`` and, where some
+    group was cut, ``cuts_v``; and ``group_min``, ``group_max`` of the column ``extremes``.
+
+    Cut points and layout are stored: their size is then known, so the joins with them move only the small
+    side while it is small, and are ordinary (skew-aware) joins beyond that.
+    """
+    keys, names = list(keys), list(values)
     modulus = max(1, rows_per_bucket(df.sparkSession) // _SAMPLES_PER_BUCKET)
-    names = list(values)
     watched = [F.col(extremes).alias("_x")] if extremes else []
     narrow = df.select(*keys, *ids, *[values[v].alias(f"_v_{v}") for v in names], *watched)
-    picked = F.pmod(F.xxhash64(*ids), F.lit(modulus)) == 0
-    limits = [F.min("_x").alias("group_min"), F.max("_x").alias("group_max")] if extremes else []
-    cuts = narrow.groupBy(*keys).agg(
-        *[_cut_points(F.when(picked, F.col(f"_v_{v}"))).alias(f"cuts_{v}") for v in names], *limits
-    )
-    binned = narrow.join(cuts, keys, "left")
-    pieces = F.array(
-        *[
-            F.struct(F.lit(v).alias("_which"), _bucket(f"_v_{v}", f"cuts_{v}").alias("bucket"))
-            for v in names
-        ]
-    )
-    counts = (
-        binned.select(*keys, F.explode(pieces).alias("p"))
-        .groupBy(*keys, F.col("p._which").alias("_which"), F.col("p.bucket").alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+    sampled = narrow.where(F.pmod(F.xxhash64(*ids), F.lit(modulus)) == 0)
+    sampled = sampled.groupBy(*keys).agg(*[_cut_points(F.col(f"_v_{v}")).alias(f"cuts_{v}") for v in names])
+    any_cut = " OR ".join(f"size(cuts_{v}) > 0" for v in names)
+    cuts = stage(sampled.where(any_cut), "cuts")
+    cut = not cuts.isEmpty()
+    binned = narrow.join(cuts, keys, "left") if cut else narrow
+    buckets = _buckets(names, cut)
+    if len(names) == 1:
+        placed = binned.select(*keys, F.lit(names[0]).alias("_which"), buckets[names[0]].alias("bucket"), *(["_x"] if extremes else []))
+    else:
+        pieces = F.array(*[F.struct(F.lit(v).alias("_which"), buckets[v].alias("bucket")) for v in names])
+        placed = binned.select(*keys, F.inline(pieces))
+    limits = [F.min("_x").alias("_min"), F.max("_x").alias("_max")] if extremes else []
+    counts = placed.groupBy(*keys, "_which", "bucket").agg(F.count(F.lit(1)).alias("rows"), *limits)
     # one row per bucket of a group: a short window
     before = Window.partitionBy(*keys, "_which").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     live = F.when(F.col("bucket") >= 0, F.col("rows")).otherwise(0)
@@ -88,23 +95,28 @@ def group_layout(
             F.struct(F.coalesce(F.sum(live).over(before), F.lit(0)).alias("offset"), F.col("rows")).alias("at"),
         ).alias("entry"),
         live.alias("live"),
+        *(["_min", "_max"] if extremes else []),
     )
-    per_group = offsets.groupBy(*keys).agg(
-        *[F.map_from_entries(F.collect_list(F.when(F.col("_which") == v, F.col("entry")))).alias(f"hist_{v}") for v in names],
-        *[F.sum(F.when(F.col("_which") == v, F.col("live"))).alias(f"n_{v}") for v in names],
+    own = {v: F.col("_which") == v for v in names}
+    layout = offsets.groupBy(*keys).agg(
+        *[F.map_from_entries(F.collect_list(F.when(own[v], F.col("entry")))).alias(f"hist_{v}") for v in names],
+        *[F.sum(F.when(own[v], F.col("live"))).alias(f"n_{v}") for v in names],
+        *([F.min("_min").alias("group_min"), F.max("_max").alias("group_max")] if extremes else []),
     )
-    return per_group.join(cuts, keys, "left")
+    layout = layout.join(cuts, keys, "left") if cut else layout
+    return stage(layout, "layout"), cut
 
 
 def _placed(
     df: DataFrame, keys: Sequence[str], values: dict[str, Column], ids: Sequence[str], extremes: str | None = None
 ) -> DataFrame:
-    """``df`` with each group's layout and, per value, its bucket, the bucket's offset and row count."""
-    out = df.join(group_layout(df, keys, values, ids, extremes), list(keys), "left")
-    out = out.withColumns({f"_v_{v}": expr for v, expr in values.items()})
-    out = out.withColumns({f"_b_{v}": _bucket(f"_v_{v}", f"cuts_{v}") for v in values})
-    out = out.withColumns({f"_at_{v}": F.element_at(F.col(f"hist_{v}"), F.col(f"_b_{v}")) for v in values})
-    return out.drop(*[f"{part}_{v}" for v in values for part in ("cuts", "hist", "_v")])
+    """``df`` with, per value, its group's size, its bucket, and the bucket's offset and row count."""
+    layout, cut = group_layout(df, keys, values, ids, extremes)
+    names = list(values)
+    out = df.join(layout, list(keys), "left").withColumns({f"_v_{v}": expr for v, expr in values.items()})
+    out = out.withColumns({f"_b_{v}": b for v, b in _buckets(names, cut).items()})
+    out = out.withColumns({f"_at_{v}": F.element_at(F.col(f"hist_{v}"), F.col(f"_b_{v}")) for v in names})
+    return out.drop(*[f"{part}_{v}" for v in names for part in ("cuts", "hist", "_v")])
 
 
 def _spread(df: DataFrame, keys: Sequence[str], v: str, ids: Sequence[str]) -> DataFrame:
@@ -118,6 +130,12 @@ def _spread(df: DataFrame, keys: Sequence[str], v: str, ids: Sequence[str]) -> D
     return df.withColumn(f"_s_{v}", salt).repartition(*keys, f"_b_{v}", f"_s_{v}")
 
 
+def _local_rank(part: Sequence[str], v: str) -> tuple[Column, Column]:
+    """Smaller rows and equal rows inside a bucket, from one sort."""
+    ordered = Window.partitionBy(*part).orderBy(v)
+    return F.rank().over(ordered) - 1, F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
+
+
 def with_ranks(df: DataFrame, keys: Sequence[str], values: Sequence[str], ids: Sequence[str]) -> DataFrame:
     """Add per value column v: ``v__lt`` (smaller values in the group), ``v__eq`` (equal ones, itself
     included) and ``v__n`` (non-null values). ``ids`` tell the rows of a group apart."""
@@ -127,8 +145,7 @@ def with_ranks(df: DataFrame, keys: Sequence[str], values: Sequence[str], ids: S
     for v in values:
         out = _spread(out, keys, v, ids)
         part = [*keys, f"_b_{v}", f"_s_{v}"]
-        local = F.rank().over(Window.partitionBy(*part).orderBy(v)) - 1
-        peers = F.count(F.lit(1)).over(Window.partitionBy(*part, v))
+        local, peers = _local_rank(part, v)
         own = F.col(f"_b_{v}") % 2 == 1
         at = F.col(f"_at_{v}")
         known = F.col(v).isNotNull() & at.isNotNull()
@@ -198,8 +215,7 @@ def group_quantiles(
     near = _spread(placed.where(wanted), keys, "q", ids)
     part = [*keys, "_b_q", "_s_q"]
     own = F.col("_b_q") % 2 == 1
-    local = F.rank().over(Window.partitionBy(*part).orderBy(value)) - 1
-    peers = F.count(F.lit(1)).over(Window.partitionBy(*part, value))
+    local, peers = _local_rank(part, value)
     ranked = near.select(*keys, value, "n_q", at.alias("at"), own.alias("own"), local.alias("local"), peers.alias("peers")).select(
         *keys,
         value,
