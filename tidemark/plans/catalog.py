@@ -571,7 +571,8 @@ def _sequence_sql(lookback: int) -> str:
 
 @query(
     "sequence_dataset",
-    f"SELECT trade_date, ts_code, split, 10 AS steps, {sgrid('label_rel_return', 4)} AS y, {sgrid('oldest', 4)} AS oldest, "
+    f"SELECT trade_date, ts_code, split, 10 AS steps, {sgrid('CAST(CAST(label_rel_return AS REAL) AS DOUBLE)', 4)} AS y, "
+    f"{sgrid('CAST(CAST(oldest AS REAL) AS DOUBLE)', 4)} AS oldest, "
     f"{', '.join(f'{sgrid(f's{i}', 3)} AS s{i}' for i in range(3))} FROM {_sequence_sql(10)}",
 )
 def sequence_dataset(spark, folder):

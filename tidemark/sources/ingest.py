@@ -41,6 +41,20 @@ def _read_or_none(spark: SparkSession, build) -> DataFrame | None:
         raise
 
 
+def file_entries(files: DataFrame, dataset: Dataset) -> DataFrame:
+    """Whole-file rows as (dataset, source_path, filename, md5, modified_time, file_size, header)."""
+    first_line = F.regexp_extract(F.decode("content", F.lit("UTF-8")), r"^\x{FEFF}?([^\r\n]*)", 1)
+    return files.select(
+        F.lit(dataset.name).alias("dataset"),
+        F.col("path").alias("source_path"),
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"),
+        F.md5("content").alias("md5"),
+        F.date_trunc("second", "modificationTime").alias("modified_time"),
+        F.col("length").alias("file_size"),
+        first_line.alias("header"),
+    )
+
+
 def discover(spark: SparkSession, root: str, datasets: Sequence[Dataset] | None = None) -> DataFrame:
     """The source files with name, md5, time, size and header line; missing datasets are skipped.
 
@@ -56,18 +70,7 @@ def discover(spark: SparkSession, root: str, datasets: Sequence[Dataset] | None
         files = _read_or_none(spark, lambda: reader.load(f"{root}/{d.path}"))
         if files is None:
             continue
-        first_line = F.regexp_extract(F.decode("content", F.lit("UTF-8")), r"^\x{FEFF}?([^\r\n]*)", 1)
-        found = found.unionByName(
-            files.select(
-                F.lit(d.name).alias("dataset"),
-                F.col("path").alias("source_path"),
-                F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"),
-                F.md5("content").alias("md5"),
-                F.date_trunc("second", "modificationTime").alias("modified_time"),
-                F.col("length").alias("file_size"),
-                first_line.alias("header"),
-            )
-        )
+        found = found.unionByName(file_entries(files, d))
     return found
 
 
