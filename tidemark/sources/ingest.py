@@ -43,7 +43,7 @@ def _read_or_none(spark: SparkSession, build) -> DataFrame | None:
 
 def file_entries(files: DataFrame, dataset: Dataset) -> DataFrame:
     """Whole-file rows as (dataset, source_path, filename, md5, modified_time, file_size, header)."""
-    first_line = F.regexp_extract(F.decode("content", F.lit("UTF-8")), r"^\x{FEFF}?([^\r\n]*)", 1)
+    first_line = F.regexp_extract(F.decode("content", "UTF-8"), r"^\x{FEFF}?([^\r\n]*)", 1)
     return files.select(
         F.lit(dataset.name).alias("dataset"),
         F.col("path").alias("source_path"),
