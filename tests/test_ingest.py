@@ -25,7 +25,7 @@ def daily(close, code="000001.SZ"):
 
 @pytest.fixture
 def lake(tmp_path):
-    source = str(tmp_path / "source")
+    source = str(tmp_path / "源 data+1%")
     put(f"{source}/daily/20200101.csv", daily(1.5))
     put(f"{source}/daily/20200102.csv", daily(1.6))
     # another column order, an extra column, missing values

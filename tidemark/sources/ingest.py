@@ -101,6 +101,11 @@ def changes(found: DataFrame, registry: DataFrame) -> DataFrame:
 # --- reading, checking, typing ----------------------------------------------------------------------
 
 
+def plain_path(encoded: Column) -> Column:
+    """A metadata path without its percent encoding, as the file listing shows it."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+
+
 def read_csv(spark: SparkSession, files: Sequence[tuple[str, str]], dataset: Dataset) -> DataFrame:
     """Rows of CSV files as text, plus their file path; ``files`` are (path, header line) pairs.
 
@@ -117,7 +122,7 @@ def read_csv(spark: SparkSession, files: Sequence[tuple[str, str]], dataset: Dat
         rows = spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").csv(paths)
         rows = rows.select(
             *[F.when(~F.col(f"`{c}`").isin(NULL_TEXT), F.col(f"`{c}`")).alias(c) for c in names],
-            F.col("_metadata.file_path").alias(FILE_COLUMN),
+            plain_path(F.col("_metadata.file_path")).alias(FILE_COLUMN),
             F.col("_metadata.file_name").alias("_file_name"),
         )
         if dataset.date_from == "filename" and "trade_date" not in names:
