@@ -83,6 +83,27 @@ def test_quantiles_equal_pandas(spark, buckets):
 def test_hot_value_is_spread_over_tasks(spark, tiny_buckets):
     df = spark.range(4000).select(F.lit("d").alias("d"), F.col("id").cast("string").alias("id"),
                                   F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id") * 1.0).alias("x"))
-    placed = ranking._spread(ranking._placed(df, ["d"], {"x": F.col("x")}, ["id"]), ["d"], "x", ["id"])
+    placed, cut = ranking._placed(df, ["d"], {"x": F.col("x")}, ["id"])
+    assert cut
+    placed = ranking._spread(placed, ["d"], "x", ["id"], cut)
     largest = placed.groupBy("_b_x", "_s_x").count().agg(F.max("count")).first()[0]
     assert largest < 400
+
+
+def test_plain_groups_are_shuffled_once_per_value(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("d"), F.col("id").cast("string").alias("id"), F.rand(1).alias("x"))
+    for out in (
+        ranking.with_ranks(df.where("x is not null"), ["d"], ["x"], ["id"]),
+        ranking.with_position(df, ["d"], ["x", "id"], ["id"]),
+    ):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_hot_null_key_and_null_values(spark):
+    df = spark.createDataFrame([(None, str(i), 1.0) for i in range(50)] + [("a", "x", None), ("a", "y", 2.0)], "d string, id string, x double")
+    got = ranking.with_ranks(df, ["d"], ["x"], ["id"])
+    assert got.count() == 52
+    known = got.where("x__lt is not null").collect()
+    assert [(r.id, r.x__lt, r.x__eq, r.x__n) for r in known] == [("y", 0, 1, 1)]

@@ -233,7 +233,8 @@ def neutral_rows(df: DataFrame, features: Sequence[str], label: str | None) -> D
         F.when(on_a, F.lit(0.0)).otherwise(F.coalesce(sdiv("_vbv", "_vbb"), F.lit(0.0)))
     )
     fits = moments.select("trade_date", "feature", "_ma", "_mb", "_mv", slope_a.alias("_sa"), slope_b.alias("_sb"))
-    fitted = rows.join(fits, ["trade_date", "feature"], "left")
+    # stored, so the join knows its size and need not move the rows by date
+    fitted = rows.join(stage(fits, "fits"), ["trade_date", "feature"], "left")
     residual = (v - F.col("_mv")) - F.col("_sa") * (a - F.col("_ma")) - F.col("_sb") * (b - F.col("_mb"))
     return fitted.select(
         *KEYS, *(["y"] if label else []), F.concat("feature", F.lit(NEUTRAL_SUFFIX)).alias("feature"), residual.alias("x")

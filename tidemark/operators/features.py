@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.scalars import as_date, clip, flag, growth, sdiv
 from tidemark.functions.windows import ema, over, rolling, rolling_sql
 from tidemark.operators.ranking import group_quantiles, rank_pct, with_ranks
-from tidemark.session import stage
+from tidemark.session import by_entity, stage
 
 WINDOWS = (5, 10, 20, 60)
 KEYS = ["trade_date", "ts_code"]
@@ -197,7 +197,9 @@ def industry_means(df: DataFrame) -> DataFrame:
 
 
 def with_industry_means(df: DataFrame) -> DataFrame:
-    joined = df.join(industry_means(df), ["trade_date", "industry"], "left")
+    # stored, so the join knows its size and need not move the panel by (date, industry)
+    means = stage(industry_means(df), "industry-means")
+    joined = df.join(means, ["trade_date", "industry"], "left")
     return joined.withColumn("industry_neutral_ret_1d", F.col("ret_1d") - F.col("industry_ret_1d_mean"))
 
 
@@ -207,12 +209,11 @@ def cross_features(df: DataFrame, returns: DataFrame, wanted: set[str] | None =
     ranks = {n: r for n, r in all_ranks.items() if wanted is None or n in wanted}
     needed = {c for _, c in ranks.values()} | (wanted or set())
     clipped = [c for c in WINSOR_COLUMNS if wanted is None or f"{c}_winsor" in needed]
-    out = with_industry_means(with_benchmark(df, returns))
-    if clipped:
-        out = with_winsor(out, clipped)
+    clean = with_winsor(df, clipped) if clipped else df
+    out = with_industry_means(with_benchmark(clean, returns))
     if not ranks:
         return out
-    return out.join(cross_rank_pct(out, ranks), KEYS, "left")
+    return by_entity(out).join(cross_rank_pct(clean, ranks), KEYS, "left")
 
 
 # --- stage 3: one entity's history ------------------------------------------------------------------

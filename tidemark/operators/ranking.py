@@ -109,17 +109,24 @@ def group_layout(
 
 def _placed(
     df: DataFrame, keys: Sequence[str], values: dict[str, Column], ids: Sequence[str], extremes: str | None = None
-) -> DataFrame:
-    """``df`` with, per value, its group's size, its bucket, and the bucket's offset and row count."""
+) -> tuple[DataFrame, bool]:
+    """``df`` with, per value, its group's size, its bucket, and the bucket's offset and row count; and
+    whether any group was cut."""
     layout, cut = group_layout(df, keys, values, ids, extremes)
     names = list(values)
     out = df.join(layout, list(keys), "left").withColumns({f"_v_{v}": expr for v, expr in values.items()})
     out = out.withColumns({f"_b_{v}": b for v, b in _buckets(names, cut).items()})
     out = out.withColumns({f"_at_{v}": F.element_at(F.col(f"hist_{v}"), F.col(f"_b_{v}")) for v in names})
-    return out.drop(*[f"{part}_{v}" for v in names for part in ("cuts", "hist", "_v")])
+    return out.drop(*[f"{part}_{v}" for v in names for part in ("cuts", "hist", "_v")]), cut
+
+
+def _part(keys: Sequence[str], v: str, cut: bool) -> list[str]:
+    """The columns that place a row for sorting. Without cuts the bucket only tells nulls apart, and the
+    optimizer may fold it to a constant, which would no longer match the partitioning asked for."""
+    return [*keys, f"_b_{v}", f"_s_{v}"] if cut else [*keys, f"_s_{v}"]
 
 
-def _spread(df: DataFrame, keys: Sequence[str], v: str, ids: Sequence[str]) -> DataFrame:
+def _spread(df: DataFrame, keys: Sequence[str], v: str, ids: Sequence[str], cut: bool) -> DataFrame:
     """Co-locate each bucket; rows of one repeated value (or null) get as many parts as they need, and
     rows with a null group key, which have no rank, go anywhere."""
     limit = rows_per_bucket(df.sparkSession)
@@ -127,12 +134,12 @@ def _spread(df: DataFrame, keys: Sequence[str], v: str, ids: Sequence[str]) -> D
     shared_rank = F.col(f"_b_{v}") % 2 != 0
     parts = F.when(at.isNull(), F.lit(4096)).when(shared_rank, F.ceil(at["rows"] / F.lit(float(limit)))).otherwise(1)
     salt = F.when(parts > 1, F.pmod(F.xxhash64(*ids), parts)).otherwise(F.lit(0).cast("long"))
-    return df.withColumn(f"_s_{v}", salt).repartition(*keys, f"_b_{v}", f"_s_{v}")
+    return df.withColumn(f"_s_{v}", salt).repartition(*_part(keys, v, cut))
 
 
 def _local_rank(part: Sequence[str], v: str) -> tuple[Column, Column]:
     """Smaller rows and equal rows inside a bucket, from one sort."""
-    ordered = Window.partitionBy(*part).orderBy(v)
+    ordered = Window.partitionBy(*part).orderBy(F.asc_nulls_last(v))
     return F.rank().over(ordered) - 1, F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
 
 
@@ -141,10 +148,10 @@ def with_ranks(df: DataFrame, keys: Sequence[str], values: Sequence[str], ids: S
     included) and ``v__n`` (non-null values). ``ids`` tell the rows of a group apart."""
     keys, ids = list(keys), list(ids)
     exprs = {v: F.col(v) for v in values}
-    out = _placed(df, keys, exprs, ids)
+    out, cut = _placed(df, keys, exprs, ids)
     for v in values:
-        out = _spread(out, keys, v, ids)
-        part = [*keys, f"_b_{v}", f"_s_{v}"]
+        out = _spread(out, keys, v, ids, cut)
+        part = _part(keys, v, cut)
         local, peers = _local_rank(part, v)
         own = F.col(f"_b_{v}") % 2 == 1
         at = F.col(f"_at_{v}")
@@ -188,8 +195,9 @@ def with_position(
     """
     keys, ids = list(keys), list(ids)
     place = {"o": F.struct(*order)}
-    out = _spread(_placed(df, keys, place, ids, extremes=order[0]), keys, "o", ids)
-    local = F.row_number().over(Window.partitionBy(*keys, "_b_o", "_s_o").orderBy(*order))
+    placed, cut = _placed(df, keys, place, ids, extremes=order[0])
+    out = _spread(placed, keys, "o", ids, cut)
+    local = F.row_number().over(Window.partitionBy(*_part(keys, "o", cut)).orderBy(*order))
     return (
         out.withColumn(position, F.col("_at_o.offset") + local)
         .withColumnRenamed("n_o", size)
@@ -205,15 +213,15 @@ def group_quantiles(
     Only the buckets that hold a wanted position are sorted.
     """
     keys, ids = list(keys), list(ids)
-    placed = _placed(df.where(F.col(value).isNotNull()), keys, {"q": F.col(value)}, ids)
+    placed, cut = _placed(df.where(F.col(value).isNotNull()), keys, {"q": F.col(value)}, ids)
     at, n = F.col("_at_q"), F.col("n_q")
     low = {name: F.floor((n - 1) * F.lit(p)) for name, p in probabilities.items()}
     wanted = F.lit(False)
     for name in probabilities:
         for index in (low[name], low[name] + 1):
             wanted = wanted | ((at["offset"] <= index) & (index < at["offset"] + at["rows"]))
-    near = _spread(placed.where(wanted), keys, "q", ids)
-    part = [*keys, "_b_q", "_s_q"]
+    near = _spread(placed.where(wanted), keys, "q", ids, cut)
+    part = _part(keys, "q", cut)
     own = F.col("_b_q") % 2 == 1
     local, peers = _local_rank(part, value)
     ranked = near.select(*keys, value, "n_q", at.alias("at"), own.alias("own"), local.alias("local"), peers.alias("peers")).select(

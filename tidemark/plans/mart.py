@@ -13,7 +13,7 @@ from tidemark.operators.labels import LABEL, LABEL_COLUMNS, add_labels, benchmar
 from tidemark.operators.membership import members_only
 from tidemark.operators.panel import attach, latest
 from tidemark.operators.state import query_state
-from tidemark.session import stage
+from tidemark.session import by_entity, stage
 
 METRIC_COLUMNS = [
     "turnover_rate", "turnover_rate_f", "volume_ratio", "pe_ttm", "pb", "ps_ttm", "total_mv", "circ_mv",
@@ -35,7 +35,7 @@ def base_panel(
     dim = latest(
         basic.select("ts_code", "industry", "market", "list_date"), ["ts_code"], ["list_date", "industry", "market"]
     ).fillna("UNKNOWN", ["industry", "market"])
-    panel = attach(ranged[0], ranged[1], KEYS, METRIC_COLUMNS)
+    panel = attach(by_entity(ranged[0]), ranged[1], KEYS, METRIC_COLUMNS)
     panel = attach(panel, ranged[2], KEYS, FLOW_COLUMNS)
     panel = attach(panel, dim, ["ts_code"], ["industry", "market", "list_date"])
     return panel if pool is None else members_only(panel, pool)

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_BUCKET_KEY = "tidemark.rank.rowsPerBucket"
+CO_PARTITION_KEY = "spark.sql.requireAllClusterKeysForCoPartition"
 _FALLBACK_ROOT_KEY = "tidemark.checkpoint.fallback"
 
 
@@ -19,6 +20,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(CO_PARTITION_KEY, "false")
         .config("spark.driver.memory", "12g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
@@ -55,3 +57,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def rows_per_bucket(spark: SparkSession) -> int:
     """Upper aim for the rows of one sort bucket in a distributed rank."""
     return int(spark.conf.get(ROWS_PER_BUCKET_KEY, "1000000"))
+
+
+def by_entity(df: DataFrame, entity: str = "ts_code") -> DataFrame:
+    """Partition a panel by entity, where the session lets joins on (entity, date) use that.
+
+    An entity has at most one row per day, so the partitions stay even. All later joins and windows of the
+    panel then run where its rows already are. With the session's default every such join asks for both
+    keys and would move the rows again, so nothing is done.
+    """
+    if df.sparkSession.conf.get(CO_PARTITION_KEY, "true").lower() == "true":
+        return df
+    return df.repartition(entity)
