@@ -6,16 +6,12 @@ most one row per calendar day and a window over it stays small however large the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 ENTITY = "ts_code"
 DATE = "trade_date"
 
 
-def history(entity: str = ENTITY, date: str = DATE) -> WindowSpec:
-    return Window.partitionBy(entity).orderBy(date)
-
-
 def over(frame: str = "", entity: str = ENTITY, date: str = DATE) -> str:
     """SQL text of a window over an entity's history. Library features are many, and one parsed expression
     is much cheaper to build than a tree of column calls."""
@@ -31,16 +27,30 @@ def default_min_obs(n: int) -> int:
     return max(2, n // 2)
 
 
-def rolling_sql(fn: str, c: str, n: int, min_obs: int | None = None, entity: str = ENTITY, date: str = DATE) -> str:
+def rolling(fn: str, c: str, n: int, min_obs: int | None = None, entity: str = ENTITY, date: str = DATE) -> Column:
+    """Aggregate ``fn`` of SQL expression ``c`` over the last n rows, null with fewer than ``min_obs``
+    non-null values."""
     w = trailing(n, entity, date)
     need = default_min_obs(n) if min_obs is None else min_obs
-    return f"(CASE WHEN count({c}) {w} >= {need} THEN {fn}({c}) {w} END)"
+    return F.expr(f"CASE WHEN count({c}) {w} >= {need} THEN {fn}({c}) {w} END")
 
 
-def rolling(fn: str, c: str, n: int, min_obs: int | None = None, entity: str = ENTITY, date: str = DATE) -> Column:
-    """Aggregate ``fn`` of SQL expression ``c`` over the last n rows, null with fewer than ``min_obs``
-    non-null values."""
-    return F.expr(rolling_sql(fn, c, n, min_obs, entity, date))
+def with_rolled(df: DataFrame, wanted: dict[str, tuple[str, str, int, int]], entity: str = ENTITY, date: str = DATE) -> DataFrame:
+    """Add many rolling columns: name -> (fn, column, n, min_obs).
+
+    Each (fn, column, n) and each count is evaluated once, whatever the number of columns that use it, and
+    all of them on one sort.
+    """
+    raw: dict[tuple[str, str, int], str] = {}
+    for fn, c, n, _ in wanted.values():
+        for key in ((fn, c, n), ("count", c, n)):
+            raw.setdefault(key, f"_r{len(raw)}")
+    out = df.withColumns({name: F.expr(f"{fn}(`{c}`) {trailing(n, entity, date)}") for (fn, c, n), name in raw.items()})
+    guarded = {
+        name: F.expr(f"CASE WHEN {raw['count', c, n]} >= {need} THEN {raw[fn, c, n]} END")
+        for name, (fn, c, n, need) in wanted.items()
+    }
+    return out.withColumns(guarded).drop(*raw.values())
 
 
 def lagged(c: str, k: int, entity: str = ENTITY, date: str = DATE) -> Column:

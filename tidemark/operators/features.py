@@ -11,11 +11,12 @@ Three stages, so that data moves as little as possible:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.scalars import as_date, clip, flag, growth, sdiv
-from tidemark.functions.windows import ema, over, rolling, rolling_sql
+from tidemark.functions.windows import default_min_obs, ema, over, with_rolled
 from tidemark.operators.ranking import group_quantiles, rank_pct, with_ranks
 from tidemark.session import by_entity, stage
 
@@ -244,69 +245,93 @@ def with_macd(df: DataFrame) -> DataFrame:
     )
 
 
-def _growth(a: str, b: str) -> str:
-    return f"(try_divide({a}, {b}) - 1)"
+@dataclass(frozen=True)
+class Block:
+    """Features over an entity's past: SQL of helper inputs, rolling columns (fn, column, n, min_obs), and SQL
+    of the outputs made from them. Names that start with '_' are not kept."""
+
+    inputs: dict[str, str] = field(default_factory=dict)
+    rolled: dict[str, tuple[str, str, int, int]] = field(default_factory=dict)
+    outputs: dict[str, str] = field(default_factory=dict)
+
 
+def with_blocks(df: DataFrame, *blocks: Block) -> DataFrame:
+    """Evaluate blocks together, so that they share windows and one sort."""
+    inputs, rolled, outputs = ({k: v for b in blocks for k, v in getattr(b, part).items()} for part in ("inputs", "rolled", "outputs"))
+    out = df.withColumns({k: F.expr(e) for k, e in inputs.items()}) if inputs else df
+    out = with_rolled(out, rolled)
+    if outputs:
+        out = out.withColumns({k: F.expr(e) for k, e in outputs.items()})
+    return out.drop(*[k for k in [*inputs, *rolled] if k.startswith("_")])
 
-def rsi(ret: str, n: int = 14, min_obs: int = 7) -> Column:
-    gain = f"CASE WHEN {ret} IS NOT NULL THEN greatest({ret}, 0D) END"
-    loss = f"CASE WHEN {ret} IS NOT NULL THEN greatest(-{ret}, 0D) END"
-    strength = f"try_divide({rolling_sql('avg', gain, n, min_obs)}, {rolling_sql('avg', loss, n, min_obs)})"
-    return F.expr(f"100 - try_divide(100D, 1 + {strength})")
 
+def _growth(a: str, b: str) -> str:
+    return f"(try_divide({a}, {b}) - 1)"
 
-def price_features() -> dict[str, Column]:
-    ma5, ma20, ma60 = (rolling_sql("avg", "close", n, m) for n, m in ((5, 3), (20, 10), (60, 30)))
-    peak, spread = rolling_sql("max", "close", 20, 10), rolling_sql("stddev_samp", "close", 20, 10)
-    text = {
+
+PRICES = Block(
+    rolled={
+        "_ma5": ("avg", "close", 5, 3),
+        "_ma20": ("avg", "close", 20, 10),
+        "_ma60": ("avg", "close", 60, 30),
+        "_sd20": ("stddev_samp", "close", 20, 10),
+        "_peak20": ("max", "close", 20, 10),
+    },
+    outputs={
         "ret_5d": _growth("close", f"lag(close, 5) {over()}"),
         "ret_20d": _growth("close", f"lag(close, 20) {over()}"),
-        "ma_ratio_5_20": _growth(ma5, ma20),
-        "ma_ratio_20_60": _growth(ma20, ma60),
-        "price_to_ma20": _growth("close", ma20),
-        "bollinger_z_20d": f"try_divide(close - {ma20}, {spread})",
-        "max_drawdown_20d": _growth("close", peak),
-        "new_high_20d": f"CAST(coalesce(close >= {peak}, false) AS INT)",
-    }
-    return {name: F.expr(e) for name, e in text.items()}
-
-
-def return_features() -> dict[str, Column]:
-    return {
-        "rsi_14d": rsi("ret_1d"),
-        "turnover_acceleration": F.expr(_growth("turnover_rate", rolling_sql("avg", "turnover_rate", 20, 10))),
-        "industry_neutral_ret_20d": rolling("avg", "industry_neutral_ret_1d", 20, 10),
-    }
-
-
-def rolling_features(windows: Sequence[int] = WINDOWS) -> dict[str, Column]:
-    out = {}
-    for n in windows:
-        out[f"ret_{n}d_mean"] = rolling("avg", "ret_1d", n)
-        out[f"ret_{n}d_std"] = rolling("stddev_samp", "ret_1d", n)
-        out[f"amount_{n}d_mean"] = rolling("avg", "amount", n)
-        out[f"turnover_{n}d_mean"] = rolling("avg", "turnover_rate", n)
-        out[f"turnover_{n}d_std"] = rolling("stddev_samp", "turnover_rate", n)
-        out[f"net_mf_strength_{n}d_mean"] = rolling("avg", "net_mf_amount_to_amount", n)
-        out[f"excess_ret_{n}d_mean"] = rolling("avg", "excess_ret_1d", n)
-    return out
+        "ma_ratio_5_20": _growth("_ma5", "_ma20"),
+        "ma_ratio_20_60": _growth("_ma20", "_ma60"),
+        "price_to_ma20": _growth("close", "_ma20"),
+        "bollinger_z_20d": "try_divide(close - _ma20, _sd20)",
+        "max_drawdown_20d": _growth("close", "_peak20"),
+        "new_high_20d": "CAST(coalesce(close >= _peak20, false) AS INT)",
+    },
+)
+RSI = Block(
+    inputs={
+        "_gain": "CASE WHEN ret_1d IS NOT NULL THEN greatest(ret_1d, 0D) END",
+        "_loss": "CASE WHEN ret_1d IS NOT NULL THEN greatest(-ret_1d, 0D) END",
+    },
+    rolled={"_up14": ("avg", "_gain", 14, 7), "_down14": ("avg", "_loss", 14, 7)},
+    outputs={"rsi_14d": "100 - try_divide(100D, 1 + try_divide(_up14, _down14))"},
+)
+TURNOVER = Block(
+    rolled={"_turnover20": ("avg", "turnover_rate", 20, 10)},
+    outputs={"turnover_acceleration": _growth("turnover_rate", "_turnover20")},
+)
+INDUSTRY = Block(rolled={"industry_neutral_ret_20d": ("avg", "industry_neutral_ret_1d", 20, 10)})
+_ROLLED_FROM = {
+    "ret_{n}d_mean": ("avg", "ret_1d"),
+    "ret_{n}d_std": ("stddev_samp", "ret_1d"),
+    "amount_{n}d_mean": ("avg", "amount"),
+    "turnover_{n}d_mean": ("avg", "turnover_rate"),
+    "turnover_{n}d_std": ("stddev_samp", "turnover_rate"),
+    "net_mf_strength_{n}d_mean": ("avg", "net_mf_amount_to_amount"),
+    "excess_ret_{n}d_mean": ("avg", "excess_ret_1d"),
+}
 
 
-def beta(n: int) -> Column:
-    """Rolling slope on the benchmark; each moment has its own count of non-null values."""
-    x, y = "benchmark_ret_1d", "ret_1d"
-    mx, my, mxy, mxx = (rolling_sql("avg", e, n, max(10, n // 2)) for e in (x, y, f"{x} * {y}", f"{x} * {x}"))
-    return F.expr(f"try_divide({mxy} - {mx} * {my}, {mxx} - {mx} * {mx})")
+def rolling_block(windows: Sequence[int] = WINDOWS, families: Sequence[str] = tuple(ROLLING_FAMILIES)) -> Block:
+    return Block(rolled={f.format(n=n): (*_ROLLED_FROM[f], n, default_min_obs(n)) for f in families for n in windows})
 
 
-def history_features(
-    df: DataFrame, windows: Sequence[int] = WINDOWS, betas: Sequence[int] = (20, 60), macd: bool = True
-) -> DataFrame:
-    out = (with_macd(df) if macd else df).withColumns({**price_features(), **return_features(), **rolling_features(windows)})
-    out = out.withColumns({f"beta_{n}d": beta(n) for n in betas})
-    return out.withColumns(
-        {f"residual_ret_{n}d": F.col("ret_1d") - F.col(f"beta_{n}d") * F.col("benchmark_ret_1d") for n in betas}
-    )
+def beta_block(windows: Sequence[int] = (20, 60)) -> Block:
+    """Rolling slope on the benchmark and the residual; each moment has its own count of non-null values."""
+    inputs = {"_xy": "benchmark_ret_1d * ret_1d", "_xx": "benchmark_ret_1d * benchmark_ret_1d"}
+    rolled, outputs = {}, {}
+    for n in windows:
+        for name, source in {"x": "benchmark_ret_1d", "y": "ret_1d", "xy": "_xy", "xx": "_xx"}.items():
+            rolled[f"_m{name}{n}"] = ("avg", source, n, max(10, n // 2))
+        slope = f"try_divide(_mxy{n} - _mx{n} * _my{n}, _mxx{n} - _mx{n} * _mx{n})"
+        outputs[f"beta_{n}d"] = slope
+        outputs[f"residual_ret_{n}d"] = f"ret_1d - {slope} * benchmark_ret_1d"
+    return Block(inputs, rolled, outputs)
+
+
+def history_features(df: DataFrame, windows: Sequence[int] = WINDOWS, macd: bool = True) -> DataFrame:
+    out = with_macd(df) if macd else df
+    return with_blocks(out, PRICES, RSI, TURNOVER, INDUSTRY, rolling_block(windows), beta_block())
 
 
 # --- the whole library ------------------------------------------------------------------------------

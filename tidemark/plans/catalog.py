@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +13,9 @@ from tidemark.operators.features import KEYS
 from tidemark.operators.panel import latest
 from tidemark.plans import mart, oracle, testbed as tb
 from tidemark.plans.oracle import E, avg_rank, div, grid as sgrid, growth, lag, pct_rank, roll, with_ctes
+from tidemark.session import checkpoint_root
 from tidemark.sources import ingest
+from tidemark.sources.schemas import DATASETS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -173,6 +176,32 @@ def data_version(spark, folder):
     return ingest.latest_version(file_bounds(spark, folder))
 
 
+def _ingested(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The membership snapshots written as CSV files, ingested, and read back: (raw rows, registry)."""
+    root = f"{checkpoint_root(spark)}/tidemark/lake-{uuid.uuid4().hex}"
+    tb.index_weight(spark, folder).write.option("header", True).csv(f"{root}/source/index_weight")
+    ingest.ingest_all(spark, f"{root}/source", f"{root}/raw", f"{root}/registry", [DATASETS["index_weight"]])
+    registry = ingest.read_registry(spark, f"{root}/registry")
+    return ingest.read_raw(spark, f"{root}/raw", registry, "index_weight"), registry
+
+
+@query("ingest_raw", "SELECT index_code, ts_code AS con_code, trade_date, index_weight AS weight FROM snapshots")
+def ingest_raw(spark, folder):
+    return _ingested(spark, folder)[0].select("index_code", "con_code", "trade_date", "weight")
+
+
+@query(
+    "ingest_registry",
+    "SELECT 'index_weight' AS dataset, 'ingested' AS status, CAST(count(*) AS BIGINT) AS row_count, min(trade_date) AS trade_date_min, "
+    "max(trade_date) AS trade_date_max FROM snapshots",
+)
+def ingest_registry(spark, folder):
+    registry = _ingested(spark, folder)[1]
+    return registry.groupBy("dataset", "status").agg(
+        F.sum("row_count").alias("row_count"), F.min("trade_date_min").alias("trade_date_min"), F.max("trade_date_max").alias("trade_date_max")
+    )
+
+
 # --- membership -------------------------------------------------------------------------------------
 
 
@@ -394,7 +423,7 @@ def _feature_query(name: str, source: str, build: Callable[[SparkSession, str],
     query(name, sreport(source, keys, columns, wide=LARGE))(lambda spark, folder: report(build(spark, folder), keys, columns, wide=LARGE))
 
 
-_feature_query("returns", "base_hist", lambda s, f: _row(s, f).withColumns(features.price_features()), ["ret_1d", "ret_5d", "ret_20d"])
+_feature_query("returns", "base_hist", lambda s, f: features.with_blocks(_row(s, f), features.PRICES), ["ret_1d", "ret_5d", "ret_20d"])
 _feature_query("log_size", "base_row", _row, ["amount_log", "vol_log", "log_total_mv", "log_circ_mv"])
 _feature_query("flow", "base_row", _row, ["net_mf_amount_to_amount", "large_order_imbalance", "main_mf_strength"])
 _feature_query("liquidity", "base_row", _row, ["turnover_cost_proxy", "illiquidity_proxy"])
@@ -419,49 +448,43 @@ _feature_query(
 )
 _feature_query(
     "industry_neutral", "base_hist",
-    lambda s, f: features.with_industry_means(_row(s, f)).withColumns(
-        {"industry_neutral_ret_20d": features.return_features()["industry_neutral_ret_20d"]}
-    ),
+    lambda s, f: features.with_blocks(features.with_industry_means(_row(s, f)), features.INDUSTRY),
     [
         "industry_ret_1d_mean", "industry_neutral_ret_1d", "industry_neutral_ret_20d", "industry_net_mf_strength_mean",
         "industry_net_mf_positive_ratio",
     ],
 )
 _feature_query(
-    "rsi", "base_hist", lambda s, f: _row(s, f).withColumn("rsi_14d", features.rsi("ret_1d")), ["rsi_14d"],
+    "rsi", "base_hist", lambda s, f: features.with_blocks(_row(s, f), features.RSI), ["rsi_14d"],
 )
 _feature_query(
     "macd", "base_macd", lambda s, f: features.with_macd(tb.panel(s, f).select(*KEYS, "close")), ["macd_diff", "macd_dea"],
 )
 _feature_query(
-    "moving_average", "base_hist", lambda s, f: tb.panel(s, f).withColumns(features.price_features()),
+    "moving_average", "base_hist", lambda s, f: features.with_blocks(tb.panel(s, f), features.PRICES),
     ["ma_ratio_5_20", "ma_ratio_20_60", "price_to_ma20", "bollinger_z_20d"],
 )
 _feature_query(
-    "drawdown_high", "base_hist", lambda s, f: tb.panel(s, f).withColumns(features.price_features()), ["max_drawdown_20d"],
+    "drawdown_high", "base_hist", lambda s, f: features.with_blocks(tb.panel(s, f), features.PRICES), ["max_drawdown_20d"],
     exact=["new_high_20d"],
 )
 _feature_query(
     "turnover_acceleration", "base_hist",
-    lambda s, f: tb.panel(s, f).withColumns({"turnover_acceleration": features.return_features()["turnover_acceleration"]}),
+    lambda s, f: features.with_blocks(tb.panel(s, f), features.TURNOVER),
     ["turnover_acceleration"],
 )
 
 
-def _rolled(spark, folder):
-    return _bench(spark, folder).withColumns(features.rolling_features())
-
-
-for _family in ("ret_{n}d_mean", "ret_{n}d_std", "amount_{n}d_mean", "turnover_{n}d_mean", "turnover_{n}d_std", "net_mf_strength_{n}d_mean", "excess_ret_{n}d_mean"):
+for _family in features.ROLLING_FAMILIES:
     _feature_query(
-        "rolling_" + _family.replace("_{n}d", ""), "base_hist", _rolled, [_family.format(n=n) for n in features.WINDOWS]
+        "rolling_" + _family.replace("_{n}d", ""),
+        "base_hist",
+        lambda s, f, family=_family: features.with_blocks(_bench(s, f), features.rolling_block(families=[family])),
+        [_family.format(n=n) for n in features.WINDOWS],
     )
 
 _feature_query(
-    "beta", "base_hist",
-    lambda s, f: _bench(s, f)
-    .withColumns({f"beta_{n}d": features.beta(n) for n in (20, 60)})
-    .withColumns({f"residual_ret_{n}d": F.col("ret_1d") - F.col(f"beta_{n}d") * F.col("benchmark_ret_1d") for n in (20, 60)}),
+    "beta", "base_hist", lambda s, f: features.with_blocks(_bench(s, f), features.beta_block()),
     ["beta_20d", "beta_60d", "residual_ret_20d", "residual_ret_60d"],
 )
 _feature_query(

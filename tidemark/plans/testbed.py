@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.scalars import sdiv
-from tidemark.functions.windows import history, lagged
+from tidemark.functions.windows import lagged
 from tidemark.operators.calendar import open_days
 from tidemark.operators.labels import LABEL
 from tidemark.operators.membership import build_intervals, normalize_snapshots
@@ -134,7 +134,7 @@ def build_wide(spark: SparkSession, folder: str) -> DataFrame:
     """Prices, valuation ratios and money flow of every cell; market values are running sums of the entity
     and of its nation."""
     c = cells(spark, folder).join(_nation(spark, folder), "ts_code", "left")
-    so_far = history().rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("ts_code").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
     nation_so_far = Window.partitionBy("s_nationkey").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
     by_nation = (
         c.groupBy("s_nationkey", "trade_date")
