@@ -11,7 +11,7 @@ from tidemark.functions.scalars import grid, grid_sql
 from tidemark.operators import calendar, coverage, datasets, factors, features, labels, membership, regimes, selection, state
 from tidemark.operators.features import KEYS
 from tidemark.operators.panel import latest
-from tidemark.plans import mart, oracle, testbed as tb
+from tidemark.plans import mart, oracle, reports, testbed as tb
 from tidemark.plans.oracle import E, avg_rank, div, grid as sgrid, growth, lag, pct_rank, roll, with_ctes
 from tidemark.session import checkpoint_root
 from tidemark.sources import ingest
@@ -916,22 +916,12 @@ def correlation_top(spark, folder):
 
 # --- selection --------------------------------------------------------------------------------------
 
-TRAIN_END, EVAL_START = "19981231", "19990101"
-
-
-@query("recommend")
-def recommend(spark, folder):
-    """Scores and classes from the training window; the pick order makes this a fold, not SQL."""
-    from tidemark.plans.reports import recommendation
-
-    df = tb.dataset(spark, folder).where(F.col("trade_date") <= TRAIN_END)
-    table = recommendation(df, FEATURES, LABEL, QUANTILES, MIN_CS, 0.6)
-    return report(table, ["feature", "recommendation", "reason", "unique_values"], ["score", "missing_ratio", "rank_ic_mean", "long_short_mean_return"])
-
+TRAIN_END, EVAL_START, MAX_CORR = "19981231", "19990101", 0.6
 
 oracle.CTES["scored"] = (
     "SELECT i.feature, coalesce(abs(i.rank_ic_mean), 0) * 100 + coalesce(abs(l.long_short_mean_return), 0) * 100 "
-    "+ coalesce(l.long_short_win_ratio, 0) * 0.5 - coalesce(q.missing_ratio, 1) * 0.5 AS score, q.unique_values "
+    "+ coalesce(l.long_short_win_ratio, 0) * 0.5 - coalesce(q.missing_ratio, 1) * 0.5 AS score, q.unique_values, q.missing_ratio, "
+    "i.rank_ic_mean, l.long_short_mean_return, l.long_short_t_stat "
     "FROM ics i LEFT JOIN ls5 l ON l.feature = i.feature LEFT JOIN qual q ON q.feature = i.feature"
 )
 
@@ -948,12 +938,59 @@ def feature_score(spark, folder):
     return report(scored, ["feature", "unique_values"], ["score"])
 
 
-@query("holdout_spread")
+_REPORT_BLOCKS = ["long", "dic_ranked", "dic", "ics", "b5", "ls5", "qual", "corr", "scored"]
+oracle.copy_over(_REPORT_BLOCKS, "_train", "ds", f"SELECT * FROM ds WHERE trade_date <= '{TRAIN_END}'")
+oracle.copy_over(["long", "b5", "ls5"], "_eval", "ds", f"SELECT * FROM ds WHERE trade_date >= '{EVAL_START}'")
+_GROUP = "CASE " + " ".join(f"WHEN feature IN ({', '.join(repr(f) for f in g)}) THEN {i}" for i, g in enumerate(selection.NEAR_DUPLICATES)) + " END"
+_RESERVED = " OR ".join(f"contains(feature, '{part}')" for part in selection.SEQUENCE_ONLY)
+oracle.CTES["gated"] = (
+    f"SELECT *, CASE WHEN missing_ratio IS NULL OR missing_ratio > 0.35 OR unique_values < 5 THEN 'low' WHEN {_RESERVED} THEN 'reserved' "
+    f"WHEN grp IS NOT NULL AND winner <> feature THEN 'duplicate' WHEN rank_ic_mean IS NULL AND long_short_mean_return IS NULL THEN 'no_signal' "
+    f"WHEN abs(rank_ic_mean) >= 0.015 OR abs(long_short_mean_return) >= 0.006 OR abs(long_short_t_stat) >= 2 THEN 'candidate' ELSE 'weak' END AS gate "
+    f"FROM (SELECT *, first_value(feature) OVER (PARTITION BY grp ORDER BY score DESC, feature) AS winner FROM (SELECT *, {_GROUP} AS grp FROM scored_train))"
+)
+oracle.CTES["strong_pairs"] = (
+    f"SELECT feature_left AS a, feature_right AS b FROM corr_train WHERE abs(spearman_corr) >= {MAX_CORR} UNION ALL "
+    f"SELECT feature_right, feature_left FROM corr_train WHERE abs(spearman_corr) >= {MAX_CORR}"
+)
+oracle.CTES["candidates"] = (
+    "SELECT row_number() OVER (ORDER BY score DESC, feature) AS k, feature, coalesce(near, []) AS near FROM gated "
+    "LEFT JOIN (SELECT a, list(b) AS near FROM strong_pairs GROUP BY 1) n ON n.a = feature WHERE gate = 'candidate'"
+)
+oracle.CTES["walk"] = (
+    "SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS feature, CAST([] AS VARCHAR[]) AS picked, CAST(NULL AS VARCHAR) AS blocker UNION ALL "
+    "SELECT k, feature, CASE WHEN blocker IS NULL THEN list_append(picked, feature) ELSE picked END, blocker FROM (SELECT c.k, c.feature, w.picked, "
+    "list_filter(w.picked, lambda p: list_contains(c.near, p))[1] AS blocker FROM walk w JOIN candidates c ON c.k = w.k + 1)"
+)
+oracle.CTES["classes"] = (
+    "SELECT g.feature, g.unique_values, g.score, g.missing_ratio, g.rank_ic_mean, g.long_short_mean_return, "
+    "CASE WHEN gate IN ('low', 'no_signal') THEN 'drop' WHEN gate = 'candidate' AND w.blocker IS NULL THEN 'baseline' ELSE 'advanced' END AS recommendation, "
+    "CASE gate WHEN 'low' THEN 'low_coverage_or_low_variation' WHEN 'reserved' THEN 'reserved_for_advanced_or_sequence_model' "
+    "WHEN 'duplicate' THEN 'pruned_by_collinearity_group:' || winner WHEN 'no_signal' THEN 'no_validation_signal' "
+    "WHEN 'weak' THEN 'weak_but_potential_sequence_signal' ELSE coalesce('correlated_with_baseline:' || w.blocker, 'stable_cross_section_signal') END AS reason "
+    "FROM gated g LEFT JOIN walk w ON w.feature = g.feature"
+)
+_CLASS_KEYS = ["feature", "recommendation", "reason", "unique_values"]
+_CLASS_VALUES = ["score", "missing_ratio", "rank_ic_mean", "long_short_mean_return"]
+
+
+@query("recommend", sreport("classes", _CLASS_KEYS, _CLASS_VALUES))
+def recommend(spark, folder):
+    """Scores and classes from the training window."""
+    df = tb.dataset(spark, folder).where(F.col("trade_date") <= TRAIN_END)
+    return report(reports.recommendation(df, FEATURES, LABEL, QUANTILES, MIN_CS, MAX_CORR), _CLASS_KEYS, _CLASS_VALUES)
+
+
+@query(
+    "holdout_spread",
+    sreport(
+        "(SELECT l.* FROM ls5_eval l JOIN classes c ON c.feature = l.feature WHERE c.recommendation <> 'drop')",
+        ["feature", "quantiles", "days"], SPREAD_VALUES,
+    ),
+)
 def holdout_spread(spark, folder):
     """Features chosen on the training window, judged on the later one."""
-    from tidemark.plans.reports import holdout
-
-    table = holdout(tb.dataset(spark, folder), FEATURES, LABEL, TRAIN_END, EVAL_START, QUANTILES, MIN_CS, 0.6)
+    table = reports.holdout(tb.dataset(spark, folder), FEATURES, LABEL, TRAIN_END, EVAL_START, QUANTILES, MIN_CS, MAX_CORR)
     return report(table, ["feature", "quantiles", "days"], SPREAD_VALUES)
 
 

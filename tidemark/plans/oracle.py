@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from tidemark.functions.scalars import GRID_OFFSET
 from tidemark.plans import testbed
@@ -368,4 +369,12 @@ def with_ctes(body: str) -> str:
 
     visit(body)
     parts = [f"{n} AS ({CTES[n].strip()})" for n in CTES if n in needed]
-    return f"WITH {', '.join(parts)} {body}" if parts else body
+    return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
+
+
+def copy_over(names: Sequence[str], suffix: str, source: str, body: str) -> None:
+    """Register ``body`` as ``<source><suffix>`` and copies of the named blocks that read it."""
+    CTES[f"{source}{suffix}"] = body
+    known = "|".join([source, *names])
+    for name in names:
+        CTES[f"{name}{suffix}"] = re.sub(rf"\b({known})\b(?!')", rf"\1{suffix}", CTES[name])
