@@ -27,11 +27,17 @@ _SAMPLES_PER_BUCKET = 32
 _MAX_CUTS = 2048
 
 
-def _cut_points(value: Column) -> Column:
-    """Every 32nd sampled value, or a wider step where that would exceed the cut limit."""
-    ordered = F.sort_array(F.collect_list(value))
-    step = F.greatest(F.lit(_SAMPLES_PER_BUCKET), F.ceil(F.size(ordered) / F.lit(float(_MAX_CUTS))).cast("int"))
-    return F.array_distinct(F.filter(ordered, lambda _, i: (i + 1) % step == 0))
+def _cut_points(sampled: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Per group and value every 32nd sampled value, or a wider step where that would exceed the limit."""
+    ordered = sampled.groupBy(*keys).agg(*[F.sort_array(F.collect_list(f"_v_{v}")).alias(f"sample_{v}") for v in names])
+    # the step is a column of its own: inside the filter it would be worked out again for every element
+    steps = {
+        f"step_{v}": F.expr(f"greatest({_SAMPLES_PER_BUCKET}, CAST(ceil(size(sample_{v}) / {_MAX_CUTS}D) AS INT))") for v in names
+    }
+    stepped = ordered.withColumns(steps)
+    return stepped.select(
+        *keys, *[F.expr(f"array_distinct(filter(sample_{v}, (x, i) -> (i + 1) % step_{v} = 0))").alias(f"cuts_{v}") for v in names]
+    )
 
 
 def _bucket(value: str, cuts: str) -> Column:
@@ -71,7 +77,7 @@ def group_layout(
     watched = [F.col(extremes).alias("_x")] if extremes else []
     narrow = df.select(*keys, *ids, *[values[v].alias(f"_v_{v}") for v in names], *watched)
     sampled = narrow.where(F.pmod(F.xxhash64(*ids), F.lit(modulus)) == 0)
-    sampled = sampled.groupBy(*keys).agg(*[_cut_points(F.col(f"_v_{v}")).alias(f"cuts_{v}") for v in names])
+    sampled = _cut_points(sampled, keys, names)
     any_cut = " OR ".join(f"size(cuts_{v}) > 0" for v in names)
     cuts = stage(sampled.where(any_cut), "cuts")
     cut = not cuts.isEmpty()
