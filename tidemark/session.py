@@ -31,10 +31,12 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one only on a single machine that names none."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     fallback = spark.conf.get(_FALLBACK_ROOT_KEY, None)
     if fallback is None:
         fallback = tempfile.mkdtemp(prefix="spark-tidemark-")
