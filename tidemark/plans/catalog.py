@@ -851,13 +851,14 @@ def neutral_residuals(spark, folder):
 
 # flags and calendar parts leave residuals that tie up to rounding, so their ranks are not comparable
 SMOOTH = [f for f in FEATURES if f not in ("lag1_month", "lag1_limit_touch_up", "lag1_amount_rank_pct")]
+_SMOOTH_NEUTRAL = [f"{f}__neutral" for f in SMOOTH if f not in factors.NOT_NEUTRALIZED]
 
 
 @query(
     "neutral_ic",
     sreport(
-        f"(SELECT feature, {_IC_STATS} FROM nic WHERE feature NOT IN ('lag1_month__neutral', 'lag1_limit_touch_up__neutral', "
-        f"'lag1_amount_rank_pct__neutral') GROUP BY 1)",
+        f"(SELECT l.feature, s.* EXCLUDE (feature, days), coalesce(s.days, 0) AS days FROM (SELECT unnest({_SMOOTH_NEUTRAL}) AS feature) l "
+        f"LEFT JOIN (SELECT feature, {_IC_STATS} FROM nic GROUP BY 1) s ON s.feature = l.feature)",
         ["feature", "days"], IC_VALUES,
     ),
 )
