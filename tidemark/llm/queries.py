@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import base, packing, token_store
+from tidemark.llm import base, packing, simhash, token_store
 
 
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,9 +21,15 @@ def op6_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(base.documents(spark, folder))
+    return found.select("doc_id", simhash.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_token_store": op6_token_store,
+    "op8_simhash_trie": op8_simhash_trie,
 }
 
 ORACLE: dict[str, str] = {}
