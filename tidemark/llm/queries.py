@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import base, packing, simhash, token_store
+from tidemark.llm import base, neighbours, packing, simhash, token_store
 
 
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,10 +26,16 @@ def op8_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
 
 
+def op10_multiprobe_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return neighbours.nearest_neighbours(vectors, F.col("id") % 100 == 0).withColumnRenamed("distance", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_token_store": op6_token_store,
     "op8_simhash_trie": op8_simhash_trie,
+    "op10_multiprobe_neighbours": op10_multiprobe_neighbours,
 }
 
 ORACLE: dict[str, str] = {}
