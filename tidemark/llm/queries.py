@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import base, neighbours, packing, simhash, token_store
+from tidemark.llm import base, langid, neighbours, packing, simhash, token_store
 
 
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,6 +15,12 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_cross_parsing_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = base.documents(spark, folder), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.train(docs, learn=~held_out & F.col("doc_id").isNotNull())
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_store(spark: SparkSession, folder: str) -> DataFrame:
     manifest = token_store.write_token_store(base.documents(spark, folder))
     docs = token_store.read_token_store(spark, manifest)
@@ -33,6 +39,7 @@ def op10_multiprobe_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_cross_parsing_language": op5_cross_parsing_language,
     "op6_token_store": op6_token_store,
     "op8_simhash_trie": op8_simhash_trie,
     "op10_multiprobe_neighbours": op10_multiprobe_neighbours,
