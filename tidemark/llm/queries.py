@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import base, langid, neighbours, packing, simhash, token_store
+from tidemark.llm import base, langid, linededup, neighbours, packing, simhash, token_store
+
+
+def op3_line_neighbourhoods(spark: SparkSession, folder: str) -> DataFrame:
+    found = linededup.dedup_lines(base.documents(spark, folder))
+    return found.select("doc_id", "line_count", "lines_removed", "text")
 
 
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +43,7 @@ def op10_multiprobe_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_neighbourhoods": op3_line_neighbourhoods,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_cross_parsing_language": op5_cross_parsing_language,
     "op6_token_store": op6_token_store,
