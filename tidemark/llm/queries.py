@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import base, langid, linededup, neighbours, packing, simhash, token_store
+from tidemark.llm import base, langid, linededup, neighbours, packing, pii, simhash, token_store
+
+
+def op1_boosted_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_personal_data(base.documents(spark, folder))
+    counts = [F.size(F.filter("base", pii.of_kind(k))).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(4)]
+    named = [F.sha2(pii.joined_names(F.col("base")), 256).alias("base_sha256"), pii.joined_names(F.array_sort(F.concat("base", "added"))).alias("spans")]
+    return found.select("doc_id", *counts, *named)
 
 
 def op3_line_neighbourhoods(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,6 +50,7 @@ def op10_multiprobe_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_boosted_personal_data": op1_boosted_personal_data,
     "op3_line_neighbourhoods": op3_line_neighbourhoods,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_cross_parsing_language": op5_cross_parsing_language,
