@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import base, langid, linededup, neighbours, packing, pii, simhash, token_store
+from tidemark.llm import base, langid, linededup, neighbours, packing, pii, quality_rules, simhash, token_store
 
 
 def op1_boosted_personal_data(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_boosted_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, *named)
 
 
+def op2_adaptive_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_rules.apply_rules(base.documents(spark, folder))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_line_neighbourhoods(spark: SparkSession, folder: str) -> DataFrame:
     found = linededup.dedup_lines(base.documents(spark, folder))
     return found.select("doc_id", "line_count", "lines_removed", "text")
@@ -51,6 +56,7 @@ def op10_multiprobe_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_boosted_personal_data": op1_boosted_personal_data,
+    "op2_adaptive_quality_rules": op2_adaptive_quality_rules,
     "op3_line_neighbourhoods": op3_line_neighbourhoods,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_cross_parsing_language": op5_cross_parsing_language,
@@ -59,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_multiprobe_neighbours": op10_multiprobe_neighbours,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_adaptive_quality_rules": quality_rules.SQL}
