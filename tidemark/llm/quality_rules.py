@@ -127,8 +127,8 @@ def apply_rules(docs: DataFrame, spread: int = 3, least_rows: int = 200, min_wor
     )
 
 
-#: The same in DuckDB SQL, with the default parameters.
-SQL = r"""
+#: Counts of each row in DuckDB SQL, up to the table ``counted``.
+COUNTED_SQL = r"""
 WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
     CASE WHEN lang IS NULL THEN '-' ELSE '+' || lang END AS in_lang, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS in_source FROM documents),
 words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM rows)),
@@ -140,7 +140,11 @@ lines AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_du
     WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 counted AS (SELECT doc_id, in_lang, in_source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, coalesce(n_symbols, 0) AS n_symbols,
     coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
-    FROM rows LEFT JOIN sized USING (r) LEFT JOIN repeats USING (r) LEFT JOIN lines USING (r)),
+    FROM rows LEFT JOIN sized USING (r) LEFT JOIN repeats USING (r) LEFT JOIN lines USING (r))
+"""
+
+#: The op2 query in DuckDB SQL, with the default parameters.
+SQL = COUNTED_SQL + r""",
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10000 * word_chars // greatest(n_words, 1) AS word_length,
     10000 * n_symbols // greatest(word_chars, 1) AS symbols, 10000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines, 10000 * n_repeat_words // greatest(n_words, 1) AS repeats FROM counted),
 long AS (UNPIVOT (SELECT in_lang, in_source, word_length, symbols, dup_lines, repeats FROM judged WHERE NOT base_failed) ON word_length, symbols, dup_lines, repeats INTO NAME metric VALUE value),

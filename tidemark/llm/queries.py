@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import base, langid, linededup, neighbours, packing, pii, quality_rules, simhash, token_store
+from tidemark.llm import base, langid, linededup, mixing, neighbours, packing, pii, quality_rules, simhash, site_quality, token_store
 
 
 def op1_boosted_personal_data(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,11 +44,23 @@ def op6_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_poisson_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(base.documents(spark, folder)).select("doc_id", "source", "copy", "place", "text")
+
+
 def op8_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(base.documents(spark, folder))
     return found.select("doc_id", simhash.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
 
 
+def op9_site_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = base.documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    found = site_quality.classify(docs, labels, F.col("source"), path, ("source", "lang"))
+    rounded = [F.round(c, 6).alias(c) for c in ("evidence", "host_rate", "path_rate", "score")]
+    return found.select("doc_id", *rounded, "kept")
+
+
 def op10_multiprobe_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     return neighbours.nearest_neighbours(vectors, F.col("id") % 100 == 0).withColumnRenamed("distance", "score")
@@ -61,8 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_cross_parsing_language": op5_cross_parsing_language,
     "op6_token_store": op6_token_store,
+    "op7_poisson_mixing": op7_poisson_mixing,
     "op8_simhash_trie": op8_simhash_trie,
+    "op9_site_quality": op9_site_quality,
     "op10_multiprobe_neighbours": op10_multiprobe_neighbours,
 }
 
-ORACLE: dict[str, str] = {"op2_adaptive_quality_rules": quality_rules.SQL}
+ORACLE: dict[str, str] = {"op2_adaptive_quality_rules": quality_rules.SQL, "op7_poisson_mixing": mixing.SQL, "op9_site_quality": site_quality.SQL}
