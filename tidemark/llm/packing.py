@@ -76,19 +76,19 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], l
     return windows, offsets
 
 
-def _tokenize(path: str, style: str, end_id: int, seq_len: int):
+def _tokenize(path: str, style: str, end_id: int, seq_len: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, window = encoder(path, style), np.array([end_id], dtype="<u4").tobytes(), 4 * seq_len
+        coder, end, window = encoder(path, style), np.array([end_id], dtype="<u4").tobytes(), width * seq_len
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
         rows: list[list] = [[], [], [], [], []]
         held = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                blob = coder.encode(text.as_py()) + end
-                total = len(blob) // 4
+                blob = np.frombuffer(coder.encode(text.as_py()) + end, dtype="<u4").astype(f"<u{width}").tobytes()
+                total = len(blob) // width
                 for at in range(0, len(blob), window):
                     piece = blob[at : at + window]
-                    for column, value in zip(rows, (doc_id, at // 4, len(piece) // 4, total, piece), strict=True):
+                    for column, value in zip(rows, (doc_id, at // width, len(piece) // width, total, piece), strict=True):
                         column.append(value)
                 held += len(blob)
                 if held > _BATCH_BYTES:
@@ -100,12 +100,24 @@ def _tokenize(path: str, style: str, end_id: int, seq_len: int):
     return run
 
 
-def token_pieces(docs: DataFrame, path: str, style: str = "byte", end_id: int = 1, seq_len: int = 2048) -> DataFrame:
-    """Every id of every document in exactly one piece of at most ``seq_len`` ids; all but a document's last are full."""
-    return base.pick(docs, "doc_id", "text").mapInArrow(_tokenize(path, style, end_id, seq_len), PIECES)
+def token_pieces(docs: DataFrame, path: str, style: str = "byte", end_id: int = 1, seq_len: int = 2048, width: int = 2) -> DataFrame:
+    """Every id of every document in exactly one piece of at most ``seq_len`` ids; all but a document's last are full.
+
+    ``ids`` are little-endian of ``width`` bytes; 2 serve vocabularies of up to 65,536.
+    """
+    return base.pick(docs, "doc_id", "text").mapInArrow(_tokenize(path, style, end_id, seq_len, width), PIECES)
+
+
+def _widened(column: pa.ChunkedArray, width: int) -> pa.Array:
+    """Blobs of ``width``-byte ids as blobs of 4-byte ids."""
+    blobs = column.combine_chunks()
+    offsets = np.frombuffer(blobs.buffers()[1], dtype=np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
+    ids = np.frombuffer(blobs.buffers()[2], dtype=f"<u{width}")[offsets[0] // width : offsets[-1] // width].astype("<u4")
+    wide = ((offsets - offsets[0]) * 4 // width).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(blobs), [None, pa.py_buffer(wide.tobytes()), pa.py_buffer(ids.tobytes())])
 
 
-def _pack(seq_len: int):
+def _pack(seq_len: int, width: int):
     def run(shard: pa.Table) -> pa.Table:
         number = shard.column("shard")[0].as_py()
         keys = pa.table({"length": shard.column("length"), "doc_id": shard.column("doc_id"), "start": shard.column("start"), "check": shard.column("check")})
@@ -113,7 +125,7 @@ def _pack(seq_len: int):
         shard = shard.take(order)
         windows, offsets = best_fit_decreasing(shard.column("length").to_pylist(), seq_len)
         sequence = np.array(windows, dtype=np.int64) + (number << 24)
-        packed = shard.select(["doc_id", "start", "length", "doc_tokens", "ids"])
+        packed = shard.select(["doc_id", "start", "length", "doc_tokens"]).append_column("ids", _widened(shard.column("ids"), width))
         return packed.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(np.array(offsets, dtype=np.int64)))
 
     return run
@@ -126,15 +138,17 @@ def pack_documents(
     end_id: int = 1,
     seq_len: int = 2048,
     shard_tokens: int = 1 << 20,
+    width: int = 2,
 ) -> DataFrame:
     """Pieces with their ``ids`` (4-byte little-endian), the sequence that holds them and their offset there.
 
     ``sequence_id`` is the shard's number times 2**24 plus the window's number in it, so a shard may hold up to 2**24
-    windows; ``shard_tokens`` keeps it far below. Each shard leaves about one window partly filled.
+    windows; ``shard_tokens`` keeps it far below. Between the jobs ids take ``width`` bytes (2 for a vocabulary of up to
+    65,536), in the result 4. Each shard leaves about one window partly filled.
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
-    pieces = base.stage(token_pieces(docs, path, style, end_id, seq_len), "token-pieces")
+    pieces = base.stage(token_pieces(docs, path, style, end_id, seq_len, width), "token-pieces")
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_tokens))
     dealt = pieces.withColumn("check", F.crc32("ids")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "check"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(_pack(seq_len), PACKED)
+    return dealt.groupBy("shard").applyInArrow(_pack(seq_len, width), PACKED)
