@@ -32,6 +32,25 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"col_{df.columns.index(n)}").alias(n) for n in names])
 
 
+def first_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """The first columns by position, under their names, where an operator has appended others of any name."""
+    return positional(df).select(*[f"col_{i}" for i in range(len(names))]).toDF(*names)
+
+
+def one_row_for_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each (doc_id, text_key) in ``keys`` (columns doc_id and key), with its columns.
+
+    Rows that agree in both hold the same text; which of them stays shows in other columns at most.
+    """
+    plain = positional(docs)
+    doc_id, text = (F.col(f"col_{docs.columns.index(n)}") for n in ("doc_id", "text"))
+    keyed = plain.withColumn("key", text_key(text))
+    wanted = keys.select(F.col("doc_id").alias("wanted_id"), F.col("key").alias("wanted_key"))
+    kept = keyed.join(wanted, doc_id.eqNullSafe(F.col("wanted_id")) & F.col("key").eqNullSafe(F.col("wanted_key")), "left_semi")
+    once = kept.dropDuplicates([f"col_{docs.columns.index('doc_id')}", "key"])
+    return once.drop("key").toDF(*docs.columns)
+
+
 def text_key(text: Column) -> Column:
     """A stable 64-bit key of a text, used only to order or tell apart rows that share a doc_id."""
     return F.xxhash64(text)

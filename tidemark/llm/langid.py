@@ -26,8 +26,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import base
 
@@ -195,6 +196,17 @@ def _predictor(model):
     return run
 
 
+def decided(texts: Column, model: Model) -> Column:
+    """Whether a text has a language ahead of the others; false for a null text or one without a letter."""
+    shared = SparkSession.active().sparkContext.broadcast(model)  # bounded by languages, slots and doc_chars
+
+    def ahead(column: pa.Array) -> pa.Array:
+        names, scores = shared.value.predict(column.to_pylist())
+        return pa.array([n != UNKNOWN and s > 0 for n, s in zip(names, scores, strict=True)], pa.bool_())
+
+    return F.arrow_udf(ahead, T.BooleanType())(texts)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, key, lang_pred, score) of each row; ``key`` is a hash of the text."""
     rows = base.pick(docs, "doc_id", "text").select("doc_id", "text", base.text_key(F.col("text")).alias("key"))

@@ -204,11 +204,14 @@ def trie_self_join(classes: DataFrame, budget: int = 3, group_rows: int = 20_000
 
 
 def near_duplicates(docs: DataFrame, budget: int = 3, size: int = 3, group_rows: int = 20_000) -> DataFrame:
-    """(doc_id, key, print, component_id) for each row; the component's id is the smallest doc_id that links reach."""
+    """(doc_id, key, print, root, component_id) for each row.
+
+    ``root`` is the component's least fingerprint, ``component_id`` the smallest doc_id that links reach.
+    """
     rows = base.stage(fingerprints(docs, size), "fingerprints")
     classes = base.stage(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
     roots = components(trie_self_join(classes, budget, group_rows)).withColumnRenamed("u", "print")
     rooted = classes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = base.stage(rooted.join(least, "root").select("print", "component_id"), "fingerprint-components")
-    return rows.join(named, "print").select("doc_id", "key", "print", "component_id")
+    named = base.stage(rooted.join(least, "root").select("print", "root", "component_id"), "fingerprint-components")
+    return rows.join(named, "print").select("doc_id", "key", "print", "root", "component_id")
