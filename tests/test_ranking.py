@@ -90,10 +90,25 @@ def test_hot_value_is_spread_over_tasks(spark, tiny_buckets):
     assert largest < 400
 
 
-def test_plain_groups_are_shuffled_once_per_value(spark):
-    df = spark.range(1000).select((F.col("id") % 7).alias("d"), F.col("id").cast("string").alias("id"), F.rand(1).alias("x"))
+def test_large_groups_are_cut_again(spark, tiny_buckets):
+    spark.conf.set("tidemark.rank.maxCuts", "3")
+    try:
+        df = spark.range(30000).select(F.lit("d").alias("d"), F.col("id").cast("string").alias("id"), F.when(F.col("id") % 5 == 0, 7.0).otherwise(F.col("id") * 1.0).alias("x"))
+        layout = ranking.group_layout(df, ["d"], {"x": F.col("x")}, ["id"])
+        assert len(layout.finer) > 1
+        sorted_rows = layout.offsets["x"].where("_b_x % 2 = 0").agg(F.max("_at_x.rows"), F.count("*")).first()
+        assert sorted_rows[0] <= 160 and sorted_rows[1] > 200
+        got = ranking.with_ranks(df, ["d"], ["x"], ["id"]).select("id", ranking.average_rank("x").alias("r")).toPandas().set_index("id")["r"].sort_index()
+    finally:
+        spark.conf.unset("tidemark.rank.maxCuts")
+    values = pd.Series({str(i): 7.0 if i % 5 == 0 else float(i) for i in range(30000)}).sort_index()
+    assert (got == values.rank()).all()
+
+
+def test_plain_groups_are_shuffled_once(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("d"), F.col("id").cast("string").alias("id"), F.rand(1).alias("x"), F.rand(2).alias("y"))
     for out in (
-        ranking.with_ranks(df.where("x is not null"), ["d"], ["x"], ["id"]),
+        ranking.with_ranks(df.where("x is not null"), ["d"], ["x", "y"], ["id"]),
         ranking.with_position(df, ["d"], ["x", "id"], ["id"]),
     ):
         out.collect()

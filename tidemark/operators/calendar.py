@@ -35,15 +35,17 @@ def next_open_index(dates: DataFrame, column: str, days: DataFrame) -> DataFrame
     return counted.where(F.col("opens") == 0).select(F.col("day").alias(column), "next_index")
 
 
-def with_listed_days(panel: DataFrame, days: DataFrame | None, output: str = "listed_days") -> DataFrame:
+def with_listed_days(panel: DataFrame, days: DataFrame | None, output: str = "listed_days", entities: DataFrame | None = None) -> DataFrame:
     """Trading days since listing, the listing day counted; 0 for a null list date or a closed day.
 
-    Without a calendar: plain days between the two dates.
+    Without a calendar: plain days between the two dates. ``entities`` is a table that holds all list dates (one row per
+    entity), so that the panel need not be read for them. List dates number at most the days of the calendar's
+    span, so their numbers are broadcast and the panel stays where it is.
     """
     if days is None:
         gap = F.datediff(as_date("trade_date"), as_date("list_date"))
         return panel.withColumn(output, F.greatest(F.coalesce(gap, F.lit(0)), F.lit(0)).cast("long"))
-    listed = next_open_index(panel, "list_date", days)
+    listed = F.broadcast(next_open_index(panel if entities is None else entities, "list_date", days))
     today = F.broadcast(days.select(F.col("cal_date").alias("trade_date"), "trade_index"))  # one row per day
     joined = panel.join(today, "trade_date", "left").join(listed, "list_date", "left")
     gap = F.col("trade_index") - F.col("next_index") + 1

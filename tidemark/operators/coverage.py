@@ -26,9 +26,9 @@ def edge_dates(dates: DataFrame, k: int = 3) -> DataFrame:
     return placed.where((F.col("_up") <= k) | (F.col("_down") <= k)).select("trade_date")
 
 
-def coverage_report(expected: DataFrame, state: DataFrame, version: str, sample_edges: int | None = 3) -> DataFrame:
-    """Expected, covered, missing and extra dates, broken rows on the sampled edge dates (all covered
-    dates with ``sample_edges=None``), and PASS or FAIL."""
+def coverage_report(expected: DataFrame, state: DataFrame, version: str, sample_edges: int | None = None) -> DataFrame:
+    """Expected, covered, missing and extra dates, broken rows on all covered dates (with ``sample_edges`` only on
+    the first and last so many), and PASS or FAIL."""
     from tidemark.operators.state import state_checks
 
     own = state.where(F.col("state_version") == version)

@@ -78,7 +78,7 @@ def ic_summary(daily: DataFrame, features: Sequence[str], by: Sequence[str] = ()
         F.avg("n").alias("avg_cross_section"),
     )
     names = [(f,) for f in features]
-    wanted = F.broadcast(daily.sparkSession.createDataFrame(names, "feature string"))  # the configured features
+    wanted = daily.sparkSession.createDataFrame(names, "feature string")  # the configured features
     if by:
         slices = daily.select(*by).distinct()
         wanted = slices.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
@@ -183,11 +183,13 @@ def quantile_detail(
 
 # --- neutralisation ---------------------------------------------------------------------------------
 
+# Exposures and features that are not neutralised.
 SIZE_EXPOSURE = "lag1_log_circ_mv"
 LIQUIDITY_CANDIDATES = ["lag1_turnover_rate_f", "lag1_turnover_rate", "lag1_turnover_5d_mean", "lag1_turnover_60d_mean"]
 NOT_NEUTRALIZED = ["lag1_log_circ_mv", "lag1_turnover_rate", "lag1_turnover_rate_f"]
 NEUTRAL_SUFFIX = "__neutral"
 _SINGULAR = 1e-12
+_RESIDUAL_GRAIN = 1e-10
 
 
 def neutral_rows(df: DataFrame, features: Sequence[str], label: str | None) -> DataFrame:
@@ -214,6 +216,7 @@ def neutral_rows(df: DataFrame, features: Sequence[str], label: str | None) -> D
             F.avg(a).alias("_ma"),
             F.avg(b).alias("_mb"),
             F.avg(v).alias("_mv"),
+            F.stddev_pop(v).alias("_sd"),
             F.var_pop(a).alias("_vaa"),
             F.var_pop(b).alias("_vbb"),
             F.covar_pop(a, b).alias("_vab"),
@@ -232,10 +235,13 @@ def neutral_rows(df: DataFrame, features: Sequence[str], label: str | None) -> D
     slope_b = F.when(regular, sdiv(F.col("_vbv") * F.col("_vaa") - F.col("_vav") * F.col("_vab"), det)).otherwise(
         F.when(on_a, F.lit(0.0)).otherwise(F.coalesce(sdiv("_vbv", "_vbb"), F.lit(0.0)))
     )
-    fits = moments.select("trade_date", "feature", "_ma", "_mb", "_mv", slope_a.alias("_sa"), slope_b.alias("_sb"))
+    fits = moments.select("trade_date", "feature", "_ma", "_mb", "_mv", "_sd", slope_a.alias("_sa"), slope_b.alias("_sb"))
     # stored, so the join knows its size and need not move the rows by date
     fitted = rows.join(stage(fits, "fits"), ["trade_date", "feature"], "left")
     residual = (v - F.col("_mv")) - F.col("_sa") * (a - F.col("_ma")) - F.col("_sb") * (b - F.col("_mb"))
+    # equal residuals must tie in ranks whatever the order of the sums above
+    grain = F.col("_sd") * F.lit(_RESIDUAL_GRAIN)
+    residual = F.when(residual.isNotNull(), F.coalesce(F.round(sdiv(residual, grain)) * grain, F.lit(0.0)))
     return fitted.select(
         *KEYS, *(["y"] if label else []), F.concat("feature", F.lit(NEUTRAL_SUFFIX)).alias("feature"), residual.alias("x")
     )
@@ -331,15 +337,18 @@ def _row_sets(features: Sequence[str], shared: dict[tuple[str, str], int]) -> di
     return out
 
 
-def correlation_pairs(df: DataFrame, features: Sequence[str], top_n: int | None = 100) -> DataFrame:
+def correlation_pairs(df: DataFrame, features: Sequence[str], top_n: int | None = 100, min_shared: int | None = None) -> DataFrame:
     """Spearman correlation of every feature pair over its pairwise complete rows, strongest first.
 
+    Pairs with fewer than ``min_shared`` common rows (by default a hundredth of all rows, 20 at least) have none.
+    ``top_n`` is for printed tables; None gives all pairs.
+
     Pairs that share the same complete rows share one ranking: features are ranked once per such row set,
     and a distributed Gram matrix of the ranks gives all its correlations.
     """
     features = list(features)
     total = df.count()
-    need = max(20, total // 100)
+    need = max(20, total // 100) if min_shared is None else min_shared
     shared = _shared_counts(df, features)
     sets = _row_sets(features, shared)
     members: dict[tuple[str, ...], list[str]] = {}
@@ -364,7 +373,7 @@ def correlation_pairs(df: DataFrame, features: Sequence[str], top_n: int | None
     # one row per (row set, key): the ranks of its features, absent ones as 0
     rank_of = {f: F.coalesce(F.max(F.when(F.col("feature") == f, average_rank("x"))), F.lit(0.0)) for f in features}
     vectors = ranked.groupBy("row_set", *KEYS).agg(F.array(*rank_of.values()).alias("r"))
-    vectors = stage(vectors.select("row_set", "r"), "rank-vectors")  # read twice per row set
+    vectors = stage(vectors.select("row_set", "r"), "rank-vectors", ["row_set"])  # each row set reads its own folder
     found = []
     for number, rows in enumerate(ordered_sets):
         places = [i for i, f in enumerate(features) if f in members[rows]]

@@ -22,6 +22,7 @@ from tidemark.session import by_entity, stage
 
 WINDOWS = (5, 10, 20, 60)
 KEYS = ["trade_date", "ts_code"]
+# The columns clipped to their date's quantiles.
 WINSOR_COLUMNS = ["pe_ttm", "pb", "ps_ttm"]
 LAG_PREFIX = "lag1_"
 
@@ -40,10 +41,12 @@ BASE_FEATURES = [
     "industry_net_mf_positive_ratio", "amount_rank_pct", "turnover_cost_proxy", "illiquidity_proxy",
     "max_drawdown_20d", "new_high_20d", "turnover_acceleration", "weekday", "month", "is_month_end",
 ]
+# The state columns that features read.
 STATE_INPUTS = [
     "is_limit_up", "is_limit_down", "has_price_limit", "limit_ratio", "limit_up_price", "limit_down_price",
     "listed_trading_days",
 ]
+# The published rolling features, one for each window.
 ROLLING_FAMILIES = [
     "ret_{n}d_mean", "ret_{n}d_std", "amount_{n}d_mean", "turnover_{n}d_mean", "turnover_{n}d_std",
     "net_mf_strength_{n}d_mean", "excess_ret_{n}d_mean",

@@ -4,40 +4,55 @@ A plain window over a date would sort the whole cross-section in one task. Here
 value buckets first:
 
 1. a fixed hash picks about 32 rows per ``rows_per_bucket`` rows; their sorted values, thinned to every
-   32nd, are the group's cut points (a group below that size has none, hence one bucket);
+   32nd, are the group's cut points (a group below that size has none, hence one bucket). A group's sample is
+   thinned by a second hash so that its cut points stay within ``max_cuts``; a bucket that is still too
+   large is then cut again in the same way, and so on, so buckets are bounded whatever the group's size;
 2. rows are counted per bucket, which gives every bucket its offset in the group;
 3. only inside a bucket are rows sorted; offset + local rank is the exact group rank.
 
 A value so frequent that it becomes a cut point owns a bucket of its own. All its rows share one rank,
 known from the counts, so they are spread over as many tasks as their number asks for, like null rows.
 The cut points depend on the data alone, so recomputed tasks agree with the first run.
+
+Cut points and bucket counts are stored while a plan is built, so these functions run small jobs at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalars import ColumnOrName, sdiv
-from tidemark.session import rows_per_bucket, stage
+from tidemark.session import max_cuts, rows_per_bucket, stage
 
 _SAMPLES_PER_BUCKET = 32
-# a group's cut points travel with its rows, so their number is limited; beyond it buckets grow instead
-_MAX_CUTS = 2048
 
 
-def _cut_points(sampled: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Per group and value every 32nd sampled value, or a wider step where that would exceed the limit."""
-    ordered = sampled.groupBy(*keys).agg(*[F.sort_array(F.collect_list(f"_v_{v}")).alias(f"sample_{v}") for v in names])
-    # the step is a column of its own: inside the filter it would be worked out again for every element
-    steps = {
-        f"step_{v}": F.expr(f"greatest({_SAMPLES_PER_BUCKET}, CAST(ceil(size(sample_{v}) / {_MAX_CUTS}D) AS INT))") for v in names
-    }
-    stepped = ordered.withColumns(steps)
-    return stepped.select(
-        *keys, *[F.expr(f"array_distinct(filter(sample_{v}, (x, i) -> (i + 1) % step_{v} = 0))").alias(f"cuts_{v}") for v in names]
-    )
+@dataclass
+class Layout:
+    """How the rows of each group are dealt: cut points by group, finer cut points by bucket, bucket offsets."""
+
+    cuts: DataFrame | None
+    finer: list[tuple[str, DataFrame]]
+    offsets: dict[str, DataFrame]
+    extremes: DataFrame | None
+
+    @property
+    def cut(self) -> bool:
+        return self.cuts is not None
+
+
+def _cut_points(sampled: DataFrame, keys: Sequence[str], name: str, ids: Sequence[str]) -> DataFrame:
+    """Every 32nd value of each group's sample, after thinning samples that would give too many."""
+    limit = _SAMPLES_PER_BUCKET * max_cuts(sampled.sparkSession)
+    known = sampled.where(F.col(f"_v_{name}").isNotNull())
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    thin = F.pmod(F.xxhash64(F.lit(1), *ids), F.ceil(F.col("_n") / F.lit(float(limit)))) == 0
+    ordered = known.join(sizes, list(keys)).where(thin).groupBy(*keys).agg(F.sort_array(F.collect_list(f"_v_{name}")).alias("_sample"))
+    picked = F.expr(f"array_distinct(filter(_sample, (x, i) -> (i + 1) % {_SAMPLES_PER_BUCKET} = 0))")
+    return ordered.select(*keys, picked.alias(f"cuts_{name}"))
 
 
 def _bucket(value: str, cuts: str) -> Column:
@@ -50,67 +65,76 @@ def _bucket(value: str, cuts: str) -> Column:
             ELSE named_struct('low', s.low, 'high', CAST((s.low + s.high) DIV 2 AS INT)) END,
         s -> s.low)"""
     return F.expr(
-        f"""CASE WHEN {value} IS NULL THEN -1
-            WHEN {cuts} IS NULL OR size({cuts}) = 0 THEN 0
-            ELSE 2 * {below} + CASE WHEN coalesce(get({cuts}, {below}) = {value}, false) THEN 1 ELSE 0 END END"""
+        f"""CASE WHEN {value} IS NULL THEN -1L
+            WHEN {cuts} IS NULL OR size({cuts}) = 0 THEN 0L
+            ELSE get(transform(array({below}), b -> 2L * b + CASE WHEN coalesce(get({cuts}, b) = {value}, false) THEN 1 ELSE 0 END), 0) END"""
     )
 
 
-def _buckets(names: Sequence[str], cut: bool) -> dict[str, Column]:
-    """Bucket expressions of the value columns ``_v_*``; one bucket per group where nothing was cut."""
-    if cut:
-        return {v: _bucket(f"_v_{v}", f"cuts_{v}") for v in names}
-    return {v: F.expr(f"CASE WHEN _v_{v} IS NULL THEN -1 ELSE 0 END") for v in names}
+def _with_buckets(df: DataFrame, keys: Sequence[str], names: Sequence[str], cuts: DataFrame | None, finer: list[tuple[str, DataFrame]]) -> DataFrame:
+    """``df``, which has the value columns ``_v_*``, with each value's bucket ``_b_*``."""
+    if cuts is None:
+        return df.withColumns({f"_b_{v}": F.when(F.col(f"_v_{v}").isNull(), -1).otherwise(0).cast("long") for v in names})
+    # bucket numbers of one level fit below this; a finer level's number is appended to the coarser one's
+    level = 1 << (2 * max_cuts(df.sparkSession) + 2).bit_length()
+    out = df.join(cuts, list(keys), "left")
+    out = out.withColumns({f"_b_{v}": _bucket(f"_v_{v}", f"cuts_{v}") for v in names}).drop(*[f"cuts_{v}" for v in names])
+    for v, table in finer:
+        own, inner = F.col(f"_b_{v}"), _bucket(f"_v_{v}", f"cuts_{v}")
+        number = F.when(own < 0, own).when(F.col(f"cuts_{v}").isNull(), own * level + own % 2).otherwise(own * level + inner)
+        out = out.join(table, [*keys, f"_b_{v}"], "left").withColumn(f"_b_{v}", number).drop(f"cuts_{v}")
+    return out
+
+
+def _bucket_counts(binned: DataFrame, keys: Sequence[str], names: Sequence[str], extremes: bool) -> DataFrame:
+    pieces = F.array(*[F.struct(F.lit(v).alias("_which"), F.col(f"_b_{v}").alias("bucket")) for v in names])
+    placed = binned.select(*keys, *(["_x"] if extremes else []), F.inline(pieces))
+    limits = [F.min("_x").alias("_min"), F.max("_x").alias("_max")] if extremes else []
+    return stage(placed.groupBy(*keys, "_which", "bucket").agg(F.count(F.lit(1)).alias("rows"), *limits), "bucket-counts")
 
 
 def group_layout(
     df: DataFrame, keys: Sequence[str], values: dict[str, Column], ids: Sequence[str], extremes: str | None = None
-) -> tuple[DataFrame, bool]:
-    """One row per group: for each value ``hist_v`` (bucket -> offset, count), ``n_v`` and, where some
-    group was cut, ``cuts_v``; and ``group_min``, ``group_max`` of the column ``extremes``.
-
-    Cut points and layout are stored: their size is then known, so the joins with them move only the small
-    side while it is small, and are ordinary (skew-aware) joins beyond that.
-    """
-    keys, names = list(keys), list(values)
-    modulus = max(1, rows_per_bucket(df.sparkSession) // _SAMPLES_PER_BUCKET)
+) -> Layout:
+    """Cut points and bucket offsets of each value's groups. The tables are stored: their size is then known, so the
+    joins with them move only the small side while it is small, and are ordinary (skew-aware) joins beyond that."""
+    keys, names, limit = list(keys), list(values), rows_per_bucket(df.sparkSession)
     watched = [F.col(extremes).alias("_x")] if extremes else []
     narrow = df.select(*keys, *ids, *[values[v].alias(f"_v_{v}") for v in names], *watched)
-    sampled = narrow.where(F.pmod(F.xxhash64(*ids), F.lit(modulus)) == 0)
-    sampled = _cut_points(sampled, keys, names)
-    any_cut = " OR ".join(f"size(cuts_{v}) > 0" for v in names)
-    cuts = stage(sampled.where(any_cut), "cuts")
-    cut = not cuts.isEmpty()
-    binned = narrow.join(cuts, keys, "left") if cut else narrow
-    buckets = _buckets(names, cut)
-    if len(names) == 1:
-        placed = binned.select(*keys, F.lit(names[0]).alias("_which"), buckets[names[0]].alias("bucket"), *(["_x"] if extremes else []))
-    else:
-        pieces = F.array(*[F.struct(F.lit(v).alias("_which"), buckets[v].alias("bucket")) for v in names])
-        placed = binned.select(*keys, F.inline(pieces))
-    limits = [F.min("_x").alias("_min"), F.max("_x").alias("_max")] if extremes else []
-    counts = placed.groupBy(*keys, "_which", "bucket").agg(F.count(F.lit(1)).alias("rows"), *limits)
+    modulus = max(1, limit // _SAMPLES_PER_BUCKET)
+    sampled = stage(narrow.where(F.pmod(F.xxhash64(*ids), F.lit(modulus)) == 0), "rank-sample")
+    cuts, finer = None, []
+    if not sampled.isEmpty():
+        for v in names:
+            own = _cut_points(sampled, keys, v, ids)
+            cuts = own if cuts is None else cuts.join(own, keys, "full")
+        cuts = stage(cuts.where(" OR ".join(f"size(cuts_{v}) > 0" for v in names)), "cuts")
+        cuts = None if cuts.isEmpty() else cuts
+    binned = _with_buckets(narrow, keys, names, cuts, finer)
+    counts = _bucket_counts(binned, keys, names, extremes is not None)
+    while cuts is not None:
+        large = counts.where((F.col("bucket") >= 0) & (F.col("bucket") % 2 == 0) & (F.col("rows") > 4 * limit))
+        wide = [r["_which"] for r in large.select("_which").distinct().collect()]  # at most the value names
+        if not wide:
+            break
+        for v in wide:
+            inside = binned.join(large.where(F.col("_which") == v).select(*keys, F.col("bucket").alias(f"_b_{v}")), [*keys, f"_b_{v}"], "left_semi")
+            again = inside.where(F.pmod(F.xxhash64(F.lit(len(finer) + 2), *ids), F.lit(modulus)) == 0)
+            finer.append((v, stage(_cut_points(again, [*keys, f"_b_{v}"], v, ids), "finer-cuts")))
+        binned = _with_buckets(narrow, keys, names, cuts, finer)
+        counts = _bucket_counts(binned, keys, names, extremes is not None)
     # one row per bucket of a group: a short window
-    before = Window.partitionBy(*keys, "_which").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*keys, "_which")
     live = F.when(F.col("bucket") >= 0, F.col("rows")).otherwise(0)
-    offsets = counts.select(
-        *keys,
-        "_which",
-        F.struct(
-            "bucket",
-            F.struct(F.coalesce(F.sum(live).over(before), F.lit(0)).alias("offset"), F.col("rows")).alias("at"),
-        ).alias("entry"),
-        live.alias("live"),
-        *(["_min", "_max"] if extremes else []),
-    )
-    own = {v: F.col("_which") == v for v in names}
-    layout = offsets.groupBy(*keys).agg(
-        *[F.map_from_entries(F.collect_list(F.when(own[v], F.col("entry")))).alias(f"hist_{v}") for v in names],
-        *[F.sum(F.when(own[v], F.col("live"))).alias(f"n_{v}") for v in names],
-        *([F.min("_min").alias("group_min"), F.max("_max").alias("group_max")] if extremes else []),
-    )
-    layout = layout.join(cuts, keys, "left") if cut else layout
-    return stage(layout, "layout"), cut
+    before = F.coalesce(F.sum(live).over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select(*keys, "_which", "bucket", F.struct(before.alias("offset"), F.col("rows")).alias("at"), F.sum(live).over(group).alias("n"))
+    placed = stage(placed, "layout")
+    offsets = {
+        v: placed.where(F.col("_which") == v).select(*keys, F.col("bucket").alias(f"_b_{v}"), F.col("at").alias(f"_at_{v}"), F.col("n").alias(f"n_{v}"))
+        for v in names
+    }
+    ends = counts.groupBy(*keys).agg(F.min("_min").alias("group_min"), F.max("_max").alias("group_max")) if extremes else None
+    return Layout(cuts, finer, offsets, stage(ends, "group-ends") if extremes else None)
 
 
 def _placed(
@@ -118,28 +142,35 @@ def _placed(
 ) -> tuple[DataFrame, bool]:
     """``df`` with, per value, its group's size, its bucket, and the bucket's offset and row count; and
     whether any group was cut."""
-    layout, cut = group_layout(df, keys, values, ids, extremes)
+    layout = group_layout(df, keys, values, ids, extremes)
     names = list(values)
-    out = df.join(layout, list(keys), "left").withColumns({f"_v_{v}": expr for v, expr in values.items()})
-    out = out.withColumns({f"_b_{v}": b for v, b in _buckets(names, cut).items()})
-    out = out.withColumns({f"_at_{v}": F.element_at(F.col(f"hist_{v}"), F.col(f"_b_{v}")) for v in names})
-    return out.drop(*[f"{part}_{v}" for v in names for part in ("cuts", "hist", "_v")]), cut
+    out = _with_buckets(df.withColumns({f"_v_{v}": expr for v, expr in values.items()}), keys, names, layout.cuts, layout.finer)
+    for v in names:
+        out = out.join(layout.offsets[v], [*keys, f"_b_{v}"], "left")
+    if layout.extremes is not None:
+        out = out.join(layout.extremes, list(keys), "left")
+    return out.drop(*[f"_v_{v}" for v in names]), layout.cut
 
 
 def _part(keys: Sequence[str], v: str, cut: bool) -> list[str]:
-    """The columns that place a row for sorting. Without cuts the bucket only tells nulls apart, and the
-    optimizer may fold it to a constant, which would no longer match the partitioning asked for."""
-    return [*keys, f"_b_{v}", f"_s_{v}"] if cut else [*keys, f"_s_{v}"]
+    """The columns that place a row for sorting. Uncut groups have one place for all values."""
+    return [*keys, f"_b_{v}", f"_s_{v}"] if cut else [*keys, "_s"]
 
 
 def _spread(df: DataFrame, keys: Sequence[str], v: str, ids: Sequence[str], cut: bool) -> DataFrame:
     """Co-locate each bucket; rows of one repeated value (or null) get as many parts as they need, and
-    rows with a null group key, which have no rank, go anywhere."""
+    rows with a null group key, which have no rank, go anywhere. Uncut groups are moved once for all values."""
+    homeless = F.lit(False)
+    for k in keys:
+        homeless = homeless | F.col(k).isNull()
+    anywhere = F.xxhash64(*ids)
+    if not cut:
+        if "_s" in df.columns:
+            return df
+        return df.withColumn("_s", F.when(homeless, anywhere).otherwise(F.lit(0).cast("long"))).repartition(*keys, "_s")
     limit = rows_per_bucket(df.sparkSession)
-    at = F.col(f"_at_{v}")
-    shared_rank = F.col(f"_b_{v}") % 2 != 0
-    parts = F.when(at.isNull(), F.lit(4096)).when(shared_rank, F.ceil(at["rows"] / F.lit(float(limit)))).otherwise(1)
-    salt = F.when(parts > 1, F.pmod(F.xxhash64(*ids), parts)).otherwise(F.lit(0).cast("long"))
+    parts = F.when(F.col(f"_b_{v}") % 2 != 0, F.ceil(F.col(f"_at_{v}")["rows"] / F.lit(float(limit)))).otherwise(1)
+    salt = F.when(homeless, anywhere).when(parts > 1, F.pmod(anywhere, parts)).otherwise(F.lit(0).cast("long"))
     return df.withColumn(f"_s_{v}", salt).repartition(*_part(keys, v, cut))
 
 
@@ -169,7 +200,7 @@ def with_ranks(df: DataFrame, keys: Sequence[str], values: Sequence[str], ids: S
                 f"{v}__n": F.when(known, F.col(f"n_{v}")),
             }
         ).drop("_local", "_peers", f"_b_{v}", f"_s_{v}", f"_at_{v}", f"n_{v}")
-    return out
+    return out.drop("_s")
 
 
 def average_rank(v: str) -> Column:
@@ -207,7 +238,7 @@ def with_position(
     return (
         out.withColumn(position, F.col("_at_o.offset") + local)
         .withColumnRenamed("n_o", size)
-        .drop("_b_o", "_s_o", "_at_o")
+        .drop("_b_o", "_s_o", "_s", "_at_o")
     )
 
 

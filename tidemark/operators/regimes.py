@@ -36,7 +36,7 @@ def label_regimes(source: DataFrame) -> DataFrame:
         F.percentile("benchmark_ret_20d", F.lit(2 / 3)).alias("ret_high"),
         F.percentile("benchmark_ret_20d", F.lit(1 / 3)).alias("ret_low"),
     )
-    joined = source.withColumn("_one", F.lit(1)).join(F.broadcast(cut.withColumn("_one", F.lit(1))), "_one")
+    joined = source.join(F.broadcast(cut))  # one row
     return joined.select(
         "trade_date",
         F.when(F.col("benchmark_vol_20d") >= F.col("vol_high"), "high_vol")

@@ -18,6 +18,7 @@ NEAR_DUPLICATES = [
     ["lag1_macd_diff", "lag1_macd_dea", "lag1_macd_hist"],
     ["lag1_dist_to_limit_up", "lag1_dist_to_limit_down", "lag1_ret_1d"],
 ]
+# The limits of the recommendation gates.
 MAX_MISSING, MIN_UNIQUE = 0.35, 5
 MIN_RANK_IC, MIN_SPREAD, MIN_T = 0.015, 0.006, 2.0
 

@@ -21,10 +21,6 @@ STATE_COLUMNS = [
 PRICES = ["open", "high", "low", "close", "pre_close"]
 
 # The default rule set of the market.
-_MAIN_BOARD = [
-    {"effective_from": "19000101", "normal_limit_ratio": 0.10, "st_limit_ratio": 0.05, "ipo_no_limit_trading_days": 0},
-    {"effective_from": "20230410", "normal_limit_ratio": 0.10, "st_limit_ratio": 0.05, "ipo_no_limit_trading_days": 5},
-]
 DEFAULT_LIMIT_RULES: dict[str, Any] = {
     "tick_size": 0.01,
     "price_tolerance": 0.000001,
@@ -36,17 +32,35 @@ DEFAULT_LIMIT_RULES: dict[str, Any] = {
                 {"effective_from": "20200824", "normal_limit_ratio": 0.20, "st_limit_ratio": 0.20, "ipo_no_limit_trading_days": 5},
             ],
         },
-        "sz_main": {"code_patterns": [r"^00\d{4}\.SZ$"], "reforms": _MAIN_BOARD},
-        "sh_main": {"code_patterns": [r"^60\d{4}\.SH$"], "reforms": _MAIN_BOARD},
+        "sz_main": {
+            "code_patterns": [r"^00\d{4}\.SZ$"],
+            "reforms": [
+                {"effective_from": "19000101", "normal_limit_ratio": 0.10, "st_limit_ratio": 0.05, "ipo_no_limit_trading_days": 0},
+                {"effective_from": "20230410", "normal_limit_ratio": 0.10, "st_limit_ratio": 0.05, "ipo_no_limit_trading_days": 5},
+            ],
+        },
+        "sh_main": {
+            "code_patterns": [r"^60\d{4}\.SH$"],
+            "reforms": [
+                {"effective_from": "19000101", "normal_limit_ratio": 0.10, "st_limit_ratio": 0.05, "ipo_no_limit_trading_days": 0},
+                {"effective_from": "20230410", "normal_limit_ratio": 0.10, "st_limit_ratio": 0.05, "ipo_no_limit_trading_days": 5},
+            ],
+        },
         "star": {
             "code_patterns": [r"^68\d{4}\.SH$"],
             "reforms": [
                 {"effective_from": "19000101", "normal_limit_ratio": 0.20, "st_limit_ratio": 0.20, "ipo_no_limit_trading_days": 5},
             ],
         },
-        "unknown": {"code_patterns": [], "reforms": [_MAIN_BOARD[0]]},
+        "unknown": {
+            "code_patterns": [],
+            "reforms": [
+                {"effective_from": "19000101", "normal_limit_ratio": 0.10, "st_limit_ratio": 0.05, "ipo_no_limit_trading_days": 0},
+            ],
+        },
     },
 }
+# The market text of the growth board, and the ratio where no rule applies.
 CHINEXT_MARKET_PATTERN = "(?i)创业|CYB|ChiNext"
 DEFAULT_RATIO = 0.10
 _BEGINNING, _END = "00000000", "99999999"

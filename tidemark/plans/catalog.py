@@ -13,7 +13,7 @@ from tidemark.operators.features import KEYS
 from tidemark.operators.panel import latest
 from tidemark.plans import mart, oracle, reports, testbed as tb
 from tidemark.plans.oracle import E, avg_rank, div, grid as sgrid, growth, lag, pct_rank, roll, with_ctes
-from tidemark.session import checkpoint_root
+from tidemark.session import MAX_CUTS_KEY, ROWS_PER_BUCKET_KEY, run_folder
 from tidemark.sources import ingest
 from tidemark.sources.schemas import DATASETS
 
@@ -178,7 +178,7 @@ def data_version(spark, folder):
 
 def _ingested(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The membership snapshots written as CSV files, ingested, and read back: (raw rows, registry)."""
-    root = f"{checkpoint_root(spark)}/tidemark/lake-{uuid.uuid4().hex}"
+    root = f"{run_folder(spark)}/lake-{uuid.uuid4().hex}"
     tb.index_weight(spark, folder).write.option("header", True).csv(f"{root}/source/index_weight")
     ingest.ingest_all(spark, f"{root}/source", f"{root}/raw", f"{root}/registry", [DATASETS["index_weight"]])
     registry = ingest.read_registry(spark, f"{root}/registry")
@@ -1001,3 +1001,24 @@ def holdout_spread(spark, folder):
 )
 def report_summary(spark, folder):
     return state.query_summary(tb.dataset(spark, folder))
+
+
+def _many_buckets(name: str) -> QueryFn:
+    """The same query with its groups cut into many buckets, as large groups are."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        before = {key: spark.conf.get(key, None) for key in (ROWS_PER_BUCKET_KEY, MAX_CUTS_KEY)}
+        spark.conf.set(ROWS_PER_BUCKET_KEY, "16")
+        spark.conf.set(MAX_CUTS_KEY, "8")
+        try:
+            return QUERIES[name](spark, folder)
+        finally:
+            for key, value in before.items():
+                spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+    return run
+
+
+for _name in ("rank_pct", "winsor", "industry_rank", "daily_ic", "quantile_buckets", "quality"):
+    QUERIES[f"{_name}_cut"] = _many_buckets(_name)
+    ORACLE[f"{_name}_cut"] = ORACLE[_name]

@@ -21,6 +21,14 @@ METRIC_COLUMNS = [
 FLOW_COLUMNS = ["net_mf_amount", "net_mf_vol", "buy_lg_amount", "sell_lg_amount"]
 
 
+def _one_a_day(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per key: the last ingested, then the one of greatest values. All histories rest on this."""
+    recency = [c for c in ("ingested_at",) if c in df.columns]
+    carried = [c for c in columns if c not in recency]
+    kept = latest(by_entity(df).select(*KEYS, *recency, *carried), KEYS, [*recency, *carried])
+    return kept.select(*KEYS, *columns)
+
+
 def base_panel(
     daily: DataFrame,
     metric: DataFrame,
@@ -31,11 +39,12 @@ def base_panel(
     pool: DataFrame | None = None,
 ) -> DataFrame:
     """Prices with valuation, money flow and dimension columns; dates filtered before any join."""
-    ranged = [df.where(F.col("trade_date").between(start, end)) for df in (daily, metric, moneyflow)]
+    wanted = ((daily, [c for c in daily.columns if c not in KEYS]), (metric, METRIC_COLUMNS), (moneyflow, FLOW_COLUMNS))
+    ranged = [_one_a_day(df.where(F.col("trade_date").between(start, end)), columns) for df, columns in wanted]
     dim = latest(
         basic.select("ts_code", "industry", "market", "list_date"), ["ts_code"], ["list_date", "industry", "market"]
     ).fillna("UNKNOWN", ["industry", "market"])
-    panel = attach(by_entity(ranged[0]), ranged[1], KEYS, METRIC_COLUMNS)
+    panel = attach(ranged[0], ranged[1], KEYS, METRIC_COLUMNS)
     panel = attach(panel, ranged[2], KEYS, FLOW_COLUMNS)
     panel = attach(panel, dim, ["ts_code"], ["industry", "market", "list_date"])
     return panel if pool is None else members_only(panel, pool)

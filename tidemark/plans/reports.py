@@ -12,6 +12,7 @@ from tidemark.operators.state import query_summary
 from tidemark.session import stage
 from tidemark.sources.tables import write_report
 
+# The report stages.
 STAGES = ["ic", "quality", "correlation", "quantile", "extended-quantile", "neutralized", "regime-ic", "recommendation"]
 
 
@@ -26,18 +27,25 @@ class ReportSettings:
 
 
 def recommendation(
-    df: DataFrame, features: Sequence[str], label: str, quantiles: int, min_cross_section: int, max_corr: float
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    quantiles: int,
+    min_cross_section: int,
+    max_corr: float,
+    known: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """Reports of ``df`` joined, scored and classified; ``df`` should be a stored table."""
-    daily = factors.daily_ic(df, features, label, min_cross_section)
-    scored = selection.scored_features(
-        features,
-        factors.ic_summary(daily, features),
-        factors.quantile_spread(df, features, label, quantiles, min_cross_section),
-        factors.quality(df, features),
-    )
+    """Reports of ``df`` joined, scored and classified; ``df`` should be a stored table.
+
+    ``known`` holds stored reports over the same rows (``ic``, ``spread``, ``quality``, ``pairs``), which are then not made again.
+    """
+    known = known or {}
+    ic = known["ic"] if "ic" in known else factors.ic_summary(factors.daily_ic(df, features, label, min_cross_section), features)
+    spread = known["spread"] if "spread" in known else factors.quantile_spread(df, features, label, quantiles, min_cross_section)
+    scored = selection.scored_features(features, ic, spread, known["quality"] if "quality" in known else factors.quality(df, features))
+    pairs = known["pairs"] if "pairs" in known else factors.correlation_pairs(df, features, top_n=None)
     # the scores are consumed several times; the table has one row per feature
-    return selection.recommend(stage(scored, "scores"), factors.correlation_pairs(df, features), max_corr)
+    return selection.recommend(stage(scored, "scores"), pairs, max_corr)
 
 
 def windows(df: DataFrame, train_end: str | None, eval_start: str | None) -> tuple[DataFrame, DataFrame]:
@@ -87,7 +95,7 @@ def run_reports(
 ) -> dict[str, str]:
     """Compute the chosen stages and write one table per report; returns their paths.
 
-    A report that later stages need is read back from where it was written.
+    Without a training window the recommendation reads back the reports written before it.
     """
     unknown = sorted(set(stages) - set(STAGES))
     if unknown:
@@ -105,19 +113,29 @@ def run_reports(
         paths[name] = f"{output}/{name}"
         write_report(table, paths[name], csv)
 
+    known: dict[str, DataFrame] = {}
+
+    def keep(part: str, table: DataFrame) -> DataFrame:
+        """Store a report that the recommendation needs, if that is asked for and looks at the same rows."""
+        if "recommendation" in stages and settings.train_end is None:
+            table = known[part] = stage(table, f"report-{part}")
+        return table
+
     daily = None
     if {"ic", "regime-ic"} & set(stages):
         daily = stage(factors.daily_ic(df, features, label, cs), "daily-ic")
     regime = regimes.label_regimes(regimes.regime_source(market, benchmark))
     if "ic" in stages:
         emit("factor_daily_ic", daily)
-        emit("factor_ic_rankic", factors.ordered_ic(factors.ic_summary(daily, features)))
+        emit("factor_ic_rankic", factors.ordered_ic(keep("ic", factors.ic_summary(daily, features))))
     if "quality" in stages:
-        emit("feature_quality", factors.quality(df, features).orderBy("missing_ratio", "feature"))
+        emit("feature_quality", keep("quality", factors.quality(df, features)).orderBy("missing_ratio", "feature"))
     if "correlation" in stages:
-        emit("feature_correlation_top", factors.correlation_pairs(df, features))
+        pairs = keep("pairs", factors.correlation_pairs(df, features, top_n=None))
+        ordered = pairs.orderBy(F.desc(F.abs("spearman_corr")), "feature_left", "feature_right")
+        emit("feature_correlation_top", ordered.limit(100))  # the printed table
     if "quantile" in stages:
-        emit("factor_quantile_long_short", factors.ordered_spread(factors.quantile_spread(df, features, label, q, cs)))
+        emit("factor_quantile_long_short", factors.ordered_spread(keep("spread", factors.quantile_spread(df, features, label, q, cs))))
     if "extended-quantile" in stages:
         emit("factor_quantile_detail", factors.quantile_detail(df, features, label, q, cs))
         emit("factor_yearly_quantile_long_short", factors.yearly_quantile_spread(df, features, label, q, cs))
@@ -127,7 +145,7 @@ def run_reports(
     if "regime-ic" in stages:
         emit("factor_regime_ic", regimes.regime_ic_summary(daily, regime, features))
     if "recommendation" in stages:
-        classes = stage(recommendation(train, features, label, q, cs, settings.max_corr), "classes")
+        classes = stage(recommendation(train, features, label, q, cs, settings.max_corr, known), "classes")
         emit("feature_recommendations", classes.orderBy(F.desc("score"), "feature"))
         held = holdout_spread(judge, classes, features, label, q, cs)
         emit("factor_holdout_quantile_long_short", factors.ordered_spread(held))

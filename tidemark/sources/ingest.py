@@ -144,8 +144,8 @@ def check_columns(names: Sequence[str], expected: dict[str, str], path: str, dat
         raise ValueError(f"{path}: unexpected columns {extra}")
 
 
-def violations(rows: DataFrame, schema: dict[str, str], per_column: int = 5, file_column: str = "source_path") -> DataFrame:
-    """Text values that do not fit their column's type: the least ``per_column`` of each file and column."""
+def _misfits(rows: DataFrame, schema: dict[str, str], file_column: str) -> DataFrame:
+    """(file, column_name, value, expected_type) of every text value that does not fit its column's type."""
     unknown = sorted(set(schema.values()) - set(SPARK_TYPES))
     if unknown:
         raise ValueError(f"unsupported types {unknown}")
@@ -161,12 +161,20 @@ def violations(rows: DataFrame, schema: dict[str, str], per_column: int = 5, fil
         .when(kind == "integer", number.isNull() | (number % 1 != 0))
         .otherwise(~F.regexp_replace("value", r"\.0$", "").rlike(r"^\d{8}$"))
     )
+    return long.where(F.col("value").isNotNull()).withColumn("expected_type", typed[F.col("column_name")]).where(bad)
+
+
+def violation_counts(rows: DataFrame, schema: dict[str, str], file_column: str = "source_path") -> DataFrame:
+    """How many values of each file and column do not fit."""
+    return _misfits(rows, schema, file_column).groupBy(file_column, "column_name", "expected_type").agg(F.count(F.lit(1)).alias("bad_values"))
+
+
+def violations(rows: DataFrame, schema: dict[str, str], per_column: int = 5, file_column: str = "source_path") -> DataFrame:
+    """Values that do not fit, for a message: the least ``per_column`` of each file and column."""
     # the rank filter becomes a group limit, so each task passes on at most per_column rows of a group
     least = Window.partitionBy(file_column, "column_name").orderBy("value")
     return (
-        long.where(F.col("value").isNotNull())
-        .withColumn("expected_type", typed[F.col("column_name")])
-        .where(bad)
+        _misfits(rows, schema, file_column)
         .withColumn("place", F.row_number().over(least))
         .where(F.col("place") <= per_column)
         .select(file_column, "column_name", "expected_type", "value", "place")

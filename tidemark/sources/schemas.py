@@ -24,60 +24,119 @@ class Dataset:
         return "ts_code" if self.layout == FILE_PER_SYMBOL else None
 
 
-def _typed(**by_type: str) -> dict[str, str]:
-    return {c: t for t, names in by_type.items() for c in names.split()}
-
-
-# The raw datasets and their columns by type.
-_FLOW_SIZES = ["sm", "md", "lg", "elg"]
-_FLOW_COLUMNS = " ".join(f"{side}_{size}_{unit}" for size in _FLOW_SIZES for side in ("buy", "sell") for unit in ("vol", "amount"))
+# The raw datasets, their columns in file order and their types.
+BASIC = {
+    "ts_code": "string",
+    "symbol": "string",
+    "name": "string",
+    "area": "string",
+    "industry": "string",
+    "cnspell": "string",
+    "market": "string",
+    "list_date": "date_yyyymmdd",
+    "act_name": "string",
+    "act_ent_type": "string",
+}
+TRADE_CAL = {
+    "exchange": "string",
+    "cal_date": "date_yyyymmdd",
+    "is_open": "integer",
+    "pretrade_date": "date_yyyymmdd",
+}
+DAILY = {
+    "ts_code": "string",
+    "trade_date": "date_yyyymmdd",
+    "open": "numeric",
+    "high": "numeric",
+    "low": "numeric",
+    "close": "numeric",
+    "pre_close": "numeric",
+    "change": "numeric",
+    "pct_chg": "numeric",
+    "vol": "numeric",
+    "amount": "numeric",
+    "vwap": "numeric",
+}
+STOCK_ST = {
+    "ts_code": "string",
+    "name": "string",
+    "trade_date": "date_yyyymmdd",
+    "type": "string",
+    "type_name": "string",
+}
+INDEX_WEIGHT = {
+    "index_code": "string",
+    "con_code": "string",
+    "trade_date": "date_yyyymmdd",
+    "weight": "numeric",
+}
+METRIC = {
+    "ts_code": "string",
+    "trade_date": "date_yyyymmdd",
+    "close": "numeric",
+    "turnover_rate": "numeric",
+    "turnover_rate_f": "numeric",
+    "volume_ratio": "numeric",
+    "pe": "numeric",
+    "pe_ttm": "numeric",
+    "pb": "numeric",
+    "ps": "numeric",
+    "ps_ttm": "numeric",
+    "dv_ratio": "numeric",
+    "dv_ttm": "numeric",
+    "total_share": "numeric",
+    "float_share": "numeric",
+    "free_share": "numeric",
+    "total_mv": "numeric",
+    "circ_mv": "numeric",
+}
+MONEYFLOW = {
+    "ts_code": "string",
+    "trade_date": "date_yyyymmdd",
+    "buy_sm_vol": "numeric",
+    "buy_sm_amount": "numeric",
+    "sell_sm_vol": "numeric",
+    "sell_sm_amount": "numeric",
+    "buy_md_vol": "numeric",
+    "buy_md_amount": "numeric",
+    "sell_md_vol": "numeric",
+    "sell_md_amount": "numeric",
+    "buy_lg_vol": "numeric",
+    "buy_lg_amount": "numeric",
+    "sell_lg_vol": "numeric",
+    "sell_lg_amount": "numeric",
+    "buy_elg_vol": "numeric",
+    "buy_elg_amount": "numeric",
+    "sell_elg_vol": "numeric",
+    "sell_elg_amount": "numeric",
+    "net_mf_vol": "numeric",
+    "net_mf_amount": "numeric",
+}
+MARKET = {
+    "ts_code": "string",
+    "trade_date": "date_yyyymmdd",
+    "close": "numeric",
+    "open": "numeric",
+    "high": "numeric",
+    "low": "numeric",
+    "pre_close": "numeric",
+    "change": "numeric",
+    "pct_chg": "numeric",
+    "vol": "numeric",
+    "amount": "numeric",
+}
 
 DATASETS = {
     d.name: d
     for d in [
-        Dataset(
-            "basic", "basic.csv", SINGLE,
-            _typed(string="ts_code symbol name area industry cnspell market act_name act_ent_type", date_yyyymmdd="list_date"),
-        ),
-        Dataset(
-            "trade_cal", "trade_cal.csv", SINGLE,
-            _typed(string="exchange", date_yyyymmdd="cal_date pretrade_date", integer="is_open"), "column", "cal_date",
-        ),
-        Dataset(
-            "daily", "daily", FILE_PER_DATE,
-            _typed(
-                string="ts_code", date_yyyymmdd="trade_date",
-                numeric="open high low close pre_close change pct_chg vol amount vwap",
-            ),
-            "filename",
-        ),
-        Dataset(
-            "stock_st", "stock_st", FILE_PER_DATE, _typed(string="ts_code name type type_name", date_yyyymmdd="trade_date"), "filename",
-        ),
-        Dataset(
-            "index_weight", "index_weight", INDEX_FILES,
-            _typed(string="index_code con_code", date_yyyymmdd="trade_date", numeric="weight"), "column",
-        ),
-        Dataset(
-            "metric", "metric", FILE_PER_DATE,
-            _typed(
-                string="ts_code", date_yyyymmdd="trade_date",
-                numeric="close turnover_rate turnover_rate_f volume_ratio pe pe_ttm pb ps ps_ttm dv_ratio dv_ttm total_share "
-                "float_share free_share total_mv circ_mv",
-            ),
-            "filename",
-        ),
-        Dataset(
-            "moneyflow", "moneyflow", FILE_PER_DATE,
-            _typed(string="ts_code", date_yyyymmdd="trade_date", numeric=f"{_FLOW_COLUMNS} net_mf_vol net_mf_amount"), "filename",
-        ),
-        Dataset(
-            "market", "market", FILE_PER_SYMBOL,
-            _typed(
-                string="ts_code", date_yyyymmdd="trade_date", numeric="close open high low pre_close change pct_chg vol amount",
-            ),
-            "column",
-        ),
+        Dataset("basic", "basic.csv", SINGLE, BASIC),
+        Dataset("trade_cal", "trade_cal.csv", SINGLE, TRADE_CAL, "column", "cal_date"),
+        Dataset("daily", "daily", FILE_PER_DATE, DAILY, "filename"),
+        Dataset("stock_st", "stock_st", FILE_PER_DATE, STOCK_ST, "filename"),
+        Dataset("index_weight", "index_weight", INDEX_FILES, INDEX_WEIGHT, "column"),
+        Dataset("metric", "metric", FILE_PER_DATE, METRIC, "filename"),
+        Dataset("moneyflow", "moneyflow", FILE_PER_DATE, MONEYFLOW, "filename"),
+        Dataset("market", "market", FILE_PER_SYMBOL, MARKET, "column"),
     ]
 }
 

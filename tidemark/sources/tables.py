@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def replace_dates(state: DataFrame, path: str) -> None:
     """Write state rows, replacing exactly the dates they hold.
 
-    Rows are spread by date and a hash of the entity, so one large date is written by many tasks.
+    Rows are balanced by date: a large date is split over as many tasks as its bytes ask for, small ones share a task.
     """
-    spread = state.repartition("trade_date", F.pmod(F.xxhash64("ts_code"), F.lit(16)))
+    spread = state.hint("rebalance", "trade_date")
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trade_date").parquet(path)
 
 
