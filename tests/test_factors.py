@@ -1,3 +1,5 @@
+import statistics
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -62,34 +64,51 @@ def test_ic_summary_lists_absent_features(spark):
     assert got["gone"].days == 0 and got["gone"].ic_mean is None
 
 
-def buckets(pdf, f, q, cs):
-    w = pdf.dropna(subset=[f, "y"]).sort_values(["trade_date", "ts_code"])
-    g = w.groupby("trade_date")[f]
-    n = g.transform("size")
-    ok = (n >= max(q, cs)) & (g.transform("nunique") >= 2)
-    b = np.floor((g.rank(method="first") - 1) * q / n) + 1
-    return w[ok].assign(bucket=b[ok].clip(1, q))
+def dealt(pdf, f, q, least):
+    """Per date a list of q lists of y: rows in order of (value, entity), the k-th of n in part k * q // n."""
+    out = {}
+    for d in sorted(set(pdf["trade_date"])):
+        rows = sorted((r[f], r["ts_code"], r["y"]) for r in pdf[pdf["trade_date"] == d].to_dict("records") if r[f] == r[f] and r["y"] == r["y"])
+        if len(rows) < max(q, least) or rows[0][0] == rows[-1][0]:
+            continue
+        parts = [[] for _ in range(q)]
+        for k, (_, _, y) in enumerate(rows):
+            parts[k * q // len(rows)].append(y)
+        out[d] = parts
+    return out
+
+
+def deepest_fall(returns):
+    level = peak = 1.0
+    worst = 0.0
+    for i, r in enumerate(returns):
+        level *= 1 + r
+        peak = level if i == 0 else max(peak, level)
+        worst = min(worst, level / peak - 1)
+    return worst
 
 
 def test_quantile_spread_and_detail(spark, bucket_rows):
     pdf, q = make(), 7  # 7 does not divide the cross-sections
     df = spark_frame(spark, pdf)
-    table = fx.quantile_spread(df, FEATS, "y", q, 30).toPandas().set_index("feature")
-    detail = fx.quantile_detail(df, FEATS, "y", q, 30).toPandas().set_index(["feature", "quantile"])
-    assert "lag1_const" not in table.index
+    table = {r["feature"]: r for r in fx.quantile_spread(df, FEATS, "y", q, 30).collect()}
+    detail = {(r["feature"], r["quantile"]): r["mean_return"] for r in fx.quantile_detail(df, FEATS, "y", q, 30).collect()}
+    assert "lag1_const" not in table
     for f in FEATS[:3]:
-        w = buckets(pdf, f, q, 30)
-        pivot = w.groupby(["trade_date", "bucket"])["y"].mean().unstack()
-        ls = pivot[q] - pivot[1]
-        curve = (1 + ls.fillna(0)).cumprod()
-        want = [pivot[1].mean(), pivot[q].mean(), ls.mean(), ls.mean() / ls.std() * np.sqrt(ls.count()), (ls > 0).mean(), (curve / curve.cummax() - 1).min()]
-        cols = ["q1_mean_return", "q_top_mean_return", "long_short_mean_return", "long_short_t_stat", "long_short_win_ratio", "long_short_max_drawdown"]
-        np.testing.assert_allclose(table.loc[f, cols].to_numpy(float), want, rtol=1e-9, atol=1e-12)
-        assert table.loc[f, "days"] == ls.count()
-        pooled = w.groupby("bucket")["y"].mean()
-        np.testing.assert_allclose(detail.loc[f]["mean_return"].sort_index().to_numpy(), pooled.to_numpy(), rtol=1e-9)
-        sizes = w.groupby(["trade_date", "bucket"]).size().unstack()
-        assert (sizes.max(axis=1) - sizes.min(axis=1)).max() <= 1
+        days = dealt(pdf, f, q, 30)
+        low, high = ([statistics.fmean(parts[k]) for parts in days.values()] for k in (0, q - 1))
+        gaps = [h - x for x, h in zip(low, high, strict=True)]
+        row = table[f]
+        assert row["days"] == len(gaps)
+        assert row["q1_mean_return"] == pytest.approx(statistics.fmean(low)) and row["q_top_mean_return"] == pytest.approx(statistics.fmean(high))
+        assert row["long_short_mean_return"] == pytest.approx(statistics.fmean(gaps))
+        assert row["long_short_t_stat"] == pytest.approx(statistics.fmean(gaps) / (statistics.stdev(gaps) / len(gaps) ** 0.5))
+        assert row["long_short_win_ratio"] == pytest.approx(sum(g > 0 for g in gaps) / len(gaps))
+        assert row["long_short_max_drawdown"] == pytest.approx(deepest_fall(gaps))
+        for k in range(q):
+            pooled = [y for parts in days.values() for y in parts[k]]
+            assert detail[f, k + 1] == pytest.approx(statistics.fmean(pooled))
+        assert all(max(map(len, parts)) - min(map(len, parts)) <= 1 for parts in days.values())
 
 
 def test_detail_direction(spark):
@@ -107,28 +126,47 @@ def test_empty_input_gives_empty_typed_tables(spark):
     assert fx.daily_ic(df, FEATS, "y", 30).count() == 0
 
 
-def test_neutral_residuals_equal_lstsq(spark):
+def without_parts(y, *others):
+    """y less its projections on a constant and the other lists, one orthogonal direction after the other."""
+    dot = lambda a, b: sum(x * z for x, z in zip(a, b, strict=True))
+    directions = []
+    for vector in ([1.0] * len(y), *others):
+        left = list(vector)
+        for d in directions:
+            part = dot(left, d) / dot(d, d)
+            left = [x - part * z for x, z in zip(left, d, strict=True)]
+        if dot(left, left) > 1e-12 * max(dot(vector, vector), 1e-300):
+            directions.append(left)
+    left = list(y)
+    for d in directions:
+        part = dot(left, d) / dot(d, d)
+        left = [x - part * z for x, z in zip(left, d, strict=True)]
+    return left
+
+
+def test_neutral_residuals_are_what_projections_leave(spark):
     pdf = make()
     pdf.loc[pdf.trade_date == "20200102", "lag1_turnover_rate_f"] = 1.0  # constant exposure
     pdf.loc[pdf.trade_date == "20200103", "lag1_turnover_rate_f"] = pdf["lag1_log_circ_mv"] * 2 + 1  # dependent exposures
     pdf.loc[(pdf.trade_date == "20200105") & (pdf.ts_code > "E003"), "lag1_log_circ_mv"] = np.nan  # four usable rows
-    got = fx.neutral_rows(spark_frame(spark, pdf), [*FEATS, "lag1_log_circ_mv"], "y").toPandas()
-    assert set(got["feature"]) == {f"{f}__neutral" for f in FEATS}
-    got = got.set_index(["feature", "trade_date", "ts_code"])["x"].sort_index()
-    checked = 0
+    found = fx.neutral_rows(spark_frame(spark, pdf), [*FEATS, "lag1_log_circ_mv"], "y").collect()
+    assert {r["feature"] for r in found} == {f"{f}__neutral" for f in FEATS}
+    got = {(r["feature"], r["trade_date"], r["ts_code"]): r["x"] for r in found}
+    fitted = 0
     for f in FEATS:
-        for d, g in pdf.groupby("trade_date"):
-            ok = g[[f, "lag1_log_circ_mv", "lag1_turnover_rate_f"]].notna().all(axis=1)
-            mine = got.loc[f"{f}__neutral", d].reindex(g["ts_code"]).to_numpy(float)
-            want = np.full(len(g), np.nan)
-            if ok.sum() > 4 and g.loc[ok, f].nunique() >= 2:
-                x = np.column_stack([np.ones(ok.sum()), g.loc[ok, ["lag1_log_circ_mv", "lag1_turnover_rate_f"]]])
-                y = g.loc[ok, f].to_numpy()
-                want[ok.to_numpy()] = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-                np.testing.assert_allclose(np.nansum(mine), 0, atol=1e-9)
-            np.testing.assert_allclose(mine, want, atol=1e-9)
-            checked += 1
-    assert checked == 24
+        for d in sorted(set(pdf["trade_date"])):
+            rows = pdf[pdf["trade_date"] == d].to_dict("records")
+            usable = [r for r in rows if all(r[c] == r[c] for c in (f, "lag1_log_circ_mv", "lag1_turnover_rate_f"))]
+            want = {}
+            if len(usable) > 4 and len({r[f] for r in usable}) > 1:
+                left = without_parts(*[[r[c] for r in usable] for c in (f, "lag1_log_circ_mv", "lag1_turnover_rate_f")])
+                want = {r["ts_code"]: x for r, x in zip(usable, left, strict=True)}
+                fitted += 1
+            for r in rows:
+                mine = got[f"{f}__neutral", d, r["ts_code"]]
+                assert (mine is None) == (r["ts_code"] not in want)
+                assert mine is None or mine == pytest.approx(want[r["ts_code"]], abs=1e-8)
+    assert fitted == 15
 
 
 def test_neutral_ic(spark):
