@@ -314,6 +314,53 @@ def state_checks(spark, folder):
     return state.state_checks(tb.state(spark, folder))
 
 
+_D = "substr(ts_code, 6, 1)"
+_M = "substr(trade_date, 5, 2)"
+_BROKEN = (
+    f"SELECT * REPLACE (CASE WHEN {_M} = '03' AND {_D} = '7' THEN NULL ELSE is_tradable END AS is_tradable, "
+    f"CASE WHEN {_M} = '05' AND {_D} = '3' THEN false ELSE price_valid END AS price_valid, "
+    f"CASE WHEN {_M} = '06' AND {_D} = '4' THEN false ELSE volume_valid END AS volume_valid, "
+    f"CASE WHEN {_M} = '07' AND {_D} = '1' THEN -1 ELSE listed_days END AS listed_days, "
+    f"CASE WHEN {_M} = '08' AND {_D} = '2' THEN -5 ELSE listed_trading_days END AS listed_trading_days, "
+    f"CASE WHEN {_D} = '5' THEN false ELSE has_price_limit END AS has_price_limit, "
+    f"CASE WHEN {_M} = '10' AND {_D} = '6' THEN NULL ELSE limit_up_price END AS limit_up_price) FROM state "
+    f"UNION ALL SELECT * FROM state WHERE {_M} = '11' AND {_D} = '9'"
+)
+
+
+def _broken_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The state with some rows spoiled in every way the checks look for."""
+    whole = tb.state(spark, folder)
+    month, digit = F.substring("trade_date", 5, 2), F.substring("ts_code", 6, 1)
+    spoiled = {
+        "is_tradable": ((month == "03") & (digit == "7"), None),
+        "price_valid": ((month == "05") & (digit == "3"), False),
+        "volume_valid": ((month == "06") & (digit == "4"), False),
+        "listed_days": ((month == "07") & (digit == "1"), -1),
+        "listed_trading_days": ((month == "08") & (digit == "2"), -5),
+        "has_price_limit": (digit == "5", False),
+        "limit_up_price": ((month == "10") & (digit == "6"), None),
+    }
+    changed = whole.withColumns({c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, (hit, v) in spoiled.items()})
+    return changed.unionByName(whole.where((month == "11") & (digit == "9")))
+
+
+_CHECKS_SQL = (
+    "SELECT 'duplicate_key' AS check_name, (SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT trade_date, ts_code FROM {t})) AS broken_rows "
+    "UNION ALL SELECT 'null_tradable', count(*) FILTER (is_tradable IS NULL) FROM {t} UNION ALL SELECT 'negative_listed_days', count(*) FILTER (listed_days < 0) FROM {t} "
+    "UNION ALL SELECT 'negative_listed_trading_days', count(*) FILTER (listed_trading_days < 0) FROM {t} "
+    "UNION ALL SELECT 'tradable_without_valid_price', count(*) FILTER (is_tradable AND NOT price_valid) FROM {t} "
+    "UNION ALL SELECT 'tradable_without_valid_volume', count(*) FILTER (is_tradable AND NOT volume_valid) FROM {t} "
+    "UNION ALL SELECT 'limit_hit_without_limit', count(*) FILTER (NOT has_price_limit AND (is_limit_up OR is_limit_down)) FROM {t} "
+    "UNION ALL SELECT 'limited_without_limit_price', count(*) FILTER (has_price_limit AND price_valid AND (limit_up_price IS NULL OR limit_down_price IS NULL)) FROM {t}"
+)
+
+
+@query("state_checks_broken", _CHECKS_SQL.format(t=f"({_BROKEN})"))
+def state_checks_broken(spark, folder):
+    return state.state_checks(_broken_state(spark, folder))
+
+
 @query(
     "state_totals",
     "SELECT count(*) AS state_rows, count(*) FILTER (is_st) AS st_filtered, count(*) FILTER (NOT price_valid) AS invalid_price_rows, "
@@ -366,6 +413,26 @@ def coverage_query(spark, folder):
     return coverage.coverage_report(expected, tb.state(spark, folder), tb.STATE_VERSION)
 
 
+_COVERED = f"(SELECT * FROM {_ORDER_DAYS} INTERSECT SELECT * FROM {_SHIP_DAYS})"
+
+
+@query(
+    "coverage_broken",
+    f"SELECT e.n AS expected_trade_dates, c.n AS covered_trade_dates, e.n - c.n AS missing_trade_dates, s.n - c.n AS extra_trade_dates, "
+    f"b.n AS broken_rows, CASE WHEN e.n = c.n AND b.n = 0 THEN 'PASS' ELSE 'FAIL' END AS coverage_check "
+    f"FROM (SELECT count(*) AS n FROM {_ORDER_DAYS}) e, (SELECT count(*) AS n FROM {_SHIP_DAYS}) s, (SELECT count(*) AS n FROM {_COVERED}) c, "
+    f"(SELECT CAST(sum(broken_rows) AS BIGINT) AS n FROM ("
+    + _CHECKS_SQL.format(t=f"(SELECT * FROM ({_BROKEN}) WHERE trade_date IN {_COVERED})")
+    + ") WHERE check_name IN ('duplicate_key', 'null_tradable', 'tradable_without_valid_price', 'tradable_without_valid_volume')) b",
+)
+def coverage_broken(spark, folder):
+    """Coverage of a state that has broken rows on dates in the middle."""
+    expected = tb.table(spark, folder, "orders").select(
+        F.concat(F.date_format("o_orderdate", "yyyyMM"), F.lit("01")).alias("trade_date")
+    )
+    return coverage.coverage_report(expected, _broken_state(spark, folder), tb.STATE_VERSION)
+
+
 @query(
     "date_gaps",
     f"SELECT trade_date, 'missing' AS side FROM (SELECT * FROM {_ORDER_DAYS} EXCEPT SELECT * FROM {_SHIP_DAYS}) UNION ALL "
@@ -403,6 +470,32 @@ def affected_dates(spark, folder):
     return state.affected_dates(raw, built, "F")
 
 
+_EARLIER = "CASE WHEN month(l_shipdate) % 2 = 0 THEN l_shipdate - INTERVAL 5 DAY ELSE l_shipdate END"
+
+
+@query(
+    "affected_dates_stale",
+    "SELECT r.trade_date FROM (SELECT strftime(o_orderdate, '%Y%m') AS trade_date, max(o_orderdate) AS raw_time, "
+    "count(*) FILTER (o_orderstatus = 'O') AS daily_files FROM orders GROUP BY 1) r LEFT JOIN (SELECT strftime(l_shipdate, '%Y%m') AS "
+    f"trade_date, max({_EARLIER}) AS state_time, count(*) FILTER (l_linestatus = 'O') AS own FROM lineitem GROUP BY 1) s "
+    "ON s.trade_date = r.trade_date WHERE daily_files > 0 AND (own IS NULL OR own = 0 OR raw_time > state_time)",
+)
+def affected_dates_stale(spark, folder):
+    """As above, with a state version that is absent from early months and files of even months written too early."""
+    raw = tb.table(spark, folder, "orders").select(
+        F.date_format("o_orderdate", "yyyyMM").alias("trade_date"),
+        F.when(F.col("o_orderstatus") == "O", "daily").otherwise("stock_st").alias("dataset"),
+        F.col("o_orderdate").alias("modified_time"),
+    )
+    shipped = F.col("l_shipdate")
+    built = tb.table(spark, folder, "lineitem").select(
+        F.date_format("l_shipdate", "yyyyMM").alias("trade_date"),
+        F.col("l_linestatus").alias("state_version"),
+        F.when(F.month(shipped) % 2 == 0, shipped - F.expr("INTERVAL 5 DAY")).otherwise(shipped).alias("modified_time"),
+    )
+    return state.affected_dates(raw, built, "O")
+
+
 # --- features ---------------------------------------------------------------------------------------
 
 LARGE = [f"amount_{n}d_mean" for n in features.WINDOWS]
