@@ -62,7 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents`` of a folder."""
     docs = base.documents(spark, sf_dir)
     for name, stage in STAGES:
-        path = f"{base.checkpoint_root(spark)}/tidemark/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        path = f"{base.run_folder(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpoint_root, stage
+from tidemark.session import checkpoint_root, run_folder, stage
 
-__all__ = ["checkpoint_root", "documents", "pick", "positional", "stage", "text_key"]
+__all__ = ["checkpoint_root", "documents", "pick", "positional", "run_folder", "stage", "text_key"]
 
 #: Characters of a word, as a Java and a Python pattern: all but space and the ASCII controls from tab to return.
 WORD = r"[^\x20\x09-\x0D]+"

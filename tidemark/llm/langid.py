@@ -36,6 +36,7 @@ BLOCK = 256
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _STEPS = 1 << 14
+_CHARS = 1 << 20
 
 
 def normalise(text: str) -> str:
@@ -178,20 +179,25 @@ def train(docs: DataFrame, slots: int = 64, doc_chars: int = 256, learn: Column
     return Model.train({lang: list(found.values()) for lang, found in texts.items()})
 
 
+def _predicted(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
+    """Languages and scores of a batch, whole texts at a time, about ``_CHARS`` characters together."""
+    languages, scores, texts, held = [], [], [], 0
+    for i, text in enumerate(column):
+        texts.append(text.as_py())
+        held += len(texts[-1] or "")
+        if held > _CHARS or i == len(column) - 1:
+            named, score = model.predict(texts)
+            languages += named
+            scores.append(score)
+            texts, held = [], 0
+    return languages, np.concatenate(scores or [np.zeros(0)])
+
+
 def _predictor(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = model.value
         for batch in batches:
-            languages, scores, texts, held = [], [], [], 0
-            for i, text in enumerate(batch.column(1)):
-                texts.append(text.as_py())
-                held += len(texts[-1] or "")
-                if held > 1 << 21 or i == batch.num_rows - 1:
-                    named, score = fitted.predict(texts)
-                    languages += named
-                    scores.append(score)
-                    texts, held = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(languages, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)]))], names=["doc_id", "key", "lang_pred", "score"])
+            languages, scores = _predicted(batch.column(1), model.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(languages, pa.string()), pa.array(scores)], names=["doc_id", "key", "lang_pred", "score"])
 
     return run
 
@@ -201,7 +207,7 @@ def decided(texts: Column, model: Model) -> Column:
     shared = SparkSession.active().sparkContext.broadcast(model)  # bounded by languages, slots and doc_chars
 
     def ahead(column: pa.Array) -> pa.Array:
-        names, scores = shared.value.predict(column.to_pylist())
+        names, scores = _predicted(column, shared.value)
         return pa.array([n != UNKNOWN and s > 0 for n, s in zip(names, scores, strict=True)], pa.bool_())
 
     return F.arrow_udf(ahead, T.BooleanType())(texts)

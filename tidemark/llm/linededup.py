@@ -35,7 +35,7 @@ _P = (1 << 127) - 1
 _BASE = 0x5DEECE66D2545F4914F6CDD1D
 _GRID = 4
 _LAST = (1 << 63) - 1
-_EMIT = 1 << 16
+_EMIT = 1 << 14
 
 LINES = "doc long, row long, line int, h1 long, h2 long, words int, front long, back long, front2 long, back2 long"
 
@@ -58,8 +58,11 @@ def _lines(min_words: int):
 
         whole, short = xxhash.xxh3_128_intdigest, xxhash.xxh3_64_intdigest
         signed = lambda v: v - (1 << 64) if v >> 63 else v
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()] + [pa.int64()] * 4
+        names = [x.split()[0] for x in LINES.split(", ")]
+        made = lambda found: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, types, strict=True)], names=names)
+        columns: list[list] = [[] for _ in names]
         for batch in batches:
-            columns: list[list] = [[] for _ in range(10)]
             docs, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for doc, row, text in zip(docs, rows, batch.column(2), strict=True):
                 for place, line in enumerate((text.as_py() or "").encode().split(b"\n")):
@@ -74,9 +77,10 @@ def _lines(min_words: int):
                     h1, h2 = _halves(whole(b" ".join(words)))
                     for column, value in zip(columns, (doc, row, place, h1, h2, n, *sides), strict=True):
                         column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()] + [pa.int64()] * 4
-            for at in range(0, len(columns[0]) or 1, _EMIT):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + _EMIT], t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in LINES.split(", ")])
+                    if len(columns[0]) >= _EMIT:
+                        yield made(columns)
+                        columns = [[] for _ in names]
+        yield made(columns)
 
     return run
 
@@ -144,7 +148,7 @@ def _compressed(texts: pa.Array) -> pa.Array:
     import zstandard
 
     packer = zstandard.ZstdCompressor(level=3)
-    return pa.array([None if t is None else packer.compress(t.encode()) for t in texts.to_pylist()], pa.binary())
+    return pa.array((packer.compress(t.as_py().encode()) if t.is_valid else None for t in texts), pa.binary())
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -161,14 +165,19 @@ def _chosen_lines(blobs: pa.Array, places: pa.Array) -> pa.Array:
 
 _CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("lines", T.IntegerType()), T.StructField("gone", T.IntegerType()), T.StructField("blank", T.BooleanType())])
 
+_CUT_ARROW = pa.struct([("text", pa.string()), ("lines", pa.int32()), ("gone", pa.int32()), ("blank", pa.bool_())])
+
 
 @F.arrow_udf(_CUT)
 def _without(blobs: pa.Array, places: pa.Array) -> pa.Array:
     """A compressed text without the lines at some places; whether that leaves none of its words."""
     import zstandard
 
-    reader, out = zstandard.ZstdDecompressor(), []
-    for blob, gone in zip(blobs, places.to_pylist(), strict=True):
+    reader, out, done = zstandard.ZstdDecompressor(), [], []
+    for i, (blob, gone) in enumerate(zip(blobs, places.to_pylist(), strict=True)):
+        if i % 1000 == 0 and out:
+            done.append(pa.array(out, _CUT_ARROW))
+            out = []
         if not blob.is_valid:
             out.append({"text": None, "lines": 0, "gone": 0, "blank": False})
             continue
@@ -176,7 +185,7 @@ def _without(blobs: pa.Array, places: pa.Array) -> pa.Array:
         lines, drop = raw.split(b"\n"), set(gone or ())
         text = b"\n".join([x for i, x in enumerate(lines) if i not in drop]) if drop else raw
         out.append({"text": text.decode(), "lines": len(lines), "gone": len(drop), "blank": bool(drop) and not text.split()})
-    return pa.array(out, pa.struct([("text", pa.string()), ("lines", pa.int32()), ("gone", pa.int32()), ("blank", pa.bool_())]))
+    return pa.concat_arrays([*done, pa.array(out, _CUT_ARROW)])
 
 
 def _near_lines(occurrences: DataFrame, classes: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:

@@ -14,7 +14,7 @@ other. Buckets above ``block_rows`` classes are searched in blocks. A query that
 searched against all rows, in blocks.
 
 Vectors that are null, empty, zero, or hold null or non-finite numbers take no part; a query among them has no rows.
-Only vectors of equal dimension meet. A repeated vec_id with the same vector counts once; a null vec_id is left out. An
+Only vectors of equal dimension meet. Rows that share a vec_id never answer each other. A repeated vec_id with the same vector counts once; a null vec_id is left out. An
 empty table gives no rows. Other columns are ignored.
 """
 
