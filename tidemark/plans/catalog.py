@@ -1075,6 +1075,27 @@ def recommend(spark, folder):
     return report(reports.recommendation(df, FEATURES, LABEL, QUANTILES, MIN_CS, MAX_CORR), _CLASS_KEYS, _CLASS_VALUES)
 
 
+def _placed_sql(section: str, value: str, limit: bool) -> str:
+    size = f"abs({value})" if limit else value
+    inner = f"SELECT {section} AS section, feature, {value} AS value, row_number() OVER (PARTITION BY {section} ORDER BY {size} DESC NULLS LAST, feature) AS place FROM classes"
+    return f"SELECT * FROM ({inner})" + (" WHERE value IS NOT NULL AND place <= 10" if limit else "")
+
+
+_SUMMARY = " UNION ALL ".join([
+    _placed_sql("recommendation", "score", False),
+    _placed_sql("'top_rank_ic'", "rank_ic_mean", True),
+    _placed_sql("'top_spread'", "long_short_mean_return", True),
+])
+
+
+@query("class_summary", sreport(f"({_SUMMARY})", ["section", "feature", "place"], ["value"]))
+def class_summary(spark, folder):
+    """Features of each class, and the strongest by rank IC and spread."""
+    df = tb.dataset(spark, folder).where(F.col("trade_date") <= TRAIN_END)
+    classes = reports.recommendation(df, FEATURES, LABEL, QUANTILES, MIN_CS, MAX_CORR)
+    return report(reports.class_summary(classes).withColumn("place", F.col("place").cast("long")), ["section", "feature", "place"], ["value"])
+
+
 @query(
     "holdout_spread",
     sreport(

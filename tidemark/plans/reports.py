@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators import factors, regimes, selection
 from tidemark.operators.state import query_summary
@@ -83,6 +83,22 @@ def holdout_spread(
     return factors.quantile_spread(judge, chosen, label, quantiles, min_cross_section)
 
 
+def class_summary(classes: DataFrame, held: DataFrame | None = None, top: int = 10) -> DataFrame:
+    """(section, place, feature, value): the features of each class by score, then the ``top`` features by absolute rank
+    IC, by absolute spread and, with ``held``, by absolute hold-out spread. One row per feature and section at most."""
+
+    def section(table: DataFrame, name: Column | str, value: str, limit: int | None) -> DataFrame:
+        named = table.select(F.lit(name).alias("section") if isinstance(name, str) else name.alias("section"), "feature", F.col(value).alias("value"))
+        size = F.col("value") if limit is None else F.abs("value")
+        order = Window.partitionBy("section").orderBy(F.desc_nulls_last(size), "feature")
+        placed = named.withColumn("place", F.row_number().over(order))
+        return (placed if limit is None else placed.where(F.col("value").isNotNull() & (F.col("place") <= limit))).select("section", "place", "feature", "value")
+
+    out = section(classes, F.col("recommendation"), "score", None)
+    out = out.unionByName(section(classes, "top_rank_ic", "rank_ic_mean", top)).unionByName(section(classes, "top_spread", "long_short_mean_return", top))
+    return out if held is None else out.unionByName(section(held, "top_holdout_spread", "long_short_mean_return", top))
+
+
 def run_reports(
     df: DataFrame,
     market: DataFrame,
@@ -149,6 +165,10 @@ def run_reports(
         emit("feature_recommendations", classes.orderBy(F.desc("score"), "feature"))
         held = holdout_spread(judge, classes, features, label, q, cs)
         emit("factor_holdout_quantile_long_short", factors.ordered_spread(held))
+        emit("class_summary", class_summary(classes, held).orderBy("section", "place"))
         emit("recommendation_counts", classes.groupBy("recommendation").agg(F.count(F.lit(1)).alias("features")))
     emit("summary", query_summary(df))
+    chosen = {**vars(settings), "benchmark": benchmark, "features": ",".join(features), "stages": ",".join(stages)}
+    rows = [(k, None if v is None else str(v)) for k, v in chosen.items()]
+    emit("parameters", df.sparkSession.createDataFrame(rows, "parameter string, value string").coalesce(1))
     return paths
