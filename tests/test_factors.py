@@ -273,7 +273,7 @@ def test_all_reports_are_written(spark, tmp_path):
     market = pd.DataFrame({"ts_code": "B", "trade_date": sorted(pdf["trade_date"].unique()), "close": np.arange(9) + 10.0, "pre_close": np.arange(9) + 9.0, "amount": 1.0})
     settings = reports.ReportSettings(label="y", train_end="20200106", eval_start="20200107")
     paths = reports.run_reports(spark_frame(spark, pdf), spark_frame(spark, market), "B", str(tmp_path), settings=settings)
-    assert len(paths) == 14
+    assert len(paths) == 16
     tables = {n: spark.read.parquet(p) for n, p in paths.items()}
     assert tables["factor_ic_rankic"].count() == 6 and tables["feature_quality"].count() == 6
     assert tables["factor_yearly_quantile_long_short"].select("year").distinct().count() == 1
