@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: the pieces of all documents with their place."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, cached=150_000)  # the workers also hold what earlier stages left behind
 
 
 STAGES = [

@@ -11,6 +11,7 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use the cores
 
@@ -101,14 +102,21 @@ class CachedEncoder:
 _ENCODERS: dict[tuple, CachedEncoder] = {}
 
 
-def encoder(path: str, style: str) -> CachedEncoder:
-    """One encoder per worker process and file, kept between tasks."""
-    key = (path, style)
+def encoder(path: str, style: str, cached: int = 400_000) -> CachedEncoder:
+    """The worker process's encoder, kept between tasks of one operator; asking for another gives this one back."""
+    key = (path, style, cached)
     if key not in _ENCODERS:
-        _ENCODERS[key] = CachedEncoder(path, style)
+        _ENCODERS.clear()
+        _ENCODERS[key] = CachedEncoder(path, style, cached)
     return _ENCODERS[key]
 
 
+def release_encoder() -> None:
+    """Give the kept words back, where a reused worker goes on with another operator."""
+    _ENCODERS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """Where a public vocabulary file lies; ``folder`` overrides the installed place."""
     if folder:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import base
+from tidemark.llm.encoding import release_encoder
 
 BLOCK = 256
 UNKNOWN = "und"
@@ -181,6 +182,7 @@ def train(docs: DataFrame, slots: int = 64, doc_chars: int = 256, learn: Column
 
 def _predicted(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     """Languages and scores of a batch, whole texts at a time, about ``_CHARS`` characters together."""
+    release_encoder()
     languages, scores, texts, held = [], [], [], 0
     for i, text in enumerate(column):
         texts.append(text.as_py())

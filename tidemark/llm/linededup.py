@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import base
+from tidemark.llm.encoding import release_encoder
 
 _P = (1 << 127) - 1
 _BASE = 0x5DEECE66D2545F4914F6CDD1D
@@ -56,6 +57,7 @@ def _lines(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        release_encoder()
         whole, short = xxhash.xxh3_128_intdigest, xxhash.xxh3_64_intdigest
         signed = lambda v: v - (1 << 64) if v >> 63 else v
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()] + [pa.int64()] * 4
@@ -105,6 +107,7 @@ def deletion_keys(words: list[bytes]) -> list[int]:
 
 def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["v1", "v2", "at", "words", "doc", "row", "line"]
+    release_encoder()
     for batch in batches:
         out: list[list] = [[] for _ in names]
         lines = batch.column(3)

@@ -76,9 +76,9 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], l
     return windows, offsets
 
 
-def _tokenize(path: str, style: str, end_id: int, seq_len: int, width: int):
+def _tokenize(path: str, style: str, end_id: int, seq_len: int, width: int, cached: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, window = encoder(path, style), np.array([end_id], dtype="<u4").tobytes(), width * seq_len
+        coder, end, window = encoder(path, style, cached), np.array([end_id], dtype="<u4").tobytes(), width * seq_len
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
         rows: list[list] = [[], [], [], [], []]
         held = 0
@@ -100,12 +100,12 @@ def _tokenize(path: str, style: str, end_id: int, seq_len: int, width: int):
     return run
 
 
-def token_pieces(docs: DataFrame, path: str, style: str = "byte", end_id: int = 1, seq_len: int = 2048, width: int = 2) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, style: str = "byte", end_id: int = 1, seq_len: int = 2048, width: int = 2, cached: int = 400_000) -> DataFrame:
     """Every id of every document in exactly one piece of at most ``seq_len`` ids; all but a document's last are full.
 
-    ``ids`` are little-endian of ``width`` bytes; 2 serve vocabularies of up to 65,536.
+    ``ids`` are little-endian of ``width`` bytes; 2 serve vocabularies of up to 65,536. ``cached`` words are kept per worker.
     """
-    return base.pick(docs, "doc_id", "text").mapInArrow(_tokenize(path, style, end_id, seq_len, width), PIECES)
+    return base.pick(docs, "doc_id", "text").mapInArrow(_tokenize(path, style, end_id, seq_len, width, cached), PIECES)
 
 
 def _widened(column: pa.ChunkedArray, width: int) -> pa.Array:
@@ -139,6 +139,7 @@ def pack_documents(
     seq_len: int = 2048,
     shard_tokens: int = 1 << 20,
     width: int = 2,
+    cached: int = 400_000,
 ) -> DataFrame:
     """Pieces with their ``ids`` (4-byte little-endian), the sequence that holds them and their offset there.
 
@@ -147,7 +148,7 @@ def pack_documents(
     65,536), in the result 4. Each shard leaves about one window partly filled.
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
-    pieces = base.stage(token_pieces(docs, path, style, end_id, seq_len, width), "token-pieces")
+    pieces = base.stage(token_pieces(docs, path, style, end_id, seq_len, width, cached), "token-pieces")
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_tokens))
     dealt = pieces.withColumn("check", F.crc32("ids")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "check"), F.lit(shards)))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import base
 from tidemark.llm.components import components
+from tidemark.llm.encoding import release_encoder
 
 SEED = 42
 _WORDS_AT_ONCE = 1 << 16
@@ -55,6 +56,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoder()
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), size) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], names=["doc_id", "key", "print"])
