@@ -150,6 +150,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compressed(texts: pa.Array) -> pa.Array:
     import zstandard
 
+    release_encoder()
     packer = zstandard.ZstdCompressor(level=3)
     return pa.array((packer.compress(t.as_py().encode()) if t.is_valid else None for t in texts), pa.binary())
 
@@ -176,6 +177,7 @@ def _without(blobs: pa.Array, places: pa.Array) -> pa.Array:
     """A compressed text without the lines at some places; whether that leaves none of its words."""
     import zstandard
 
+    release_encoder()
     reader, out, done = zstandard.ZstdDecompressor(), [], []
     for i, (blob, gone) in enumerate(zip(blobs, places.to_pylist(), strict=True)):
         if i % 1000 == 0 and out:
