@@ -197,12 +197,12 @@ def write_token_store(
 ) -> DataFrame:
     """Write all documents and return the stored manifest, one row per file.
 
-    ``folder`` is one that all executors share (by default under spark.checkpoint.dir). ``width`` is the bytes of an
+    ``folder`` is one that all executors share (by default the session's own under spark.checkpoint.dir). ``width`` is the bytes of an
     id; 2 serve vocabularies of up to 65,536.
     """
     spark = docs.sparkSession
     path = path or tokenizer_path("word_bpe_49k.json")
-    folder = folder or f"{base.checkpoint_root(spark)}/tidemark/tokens-{uuid.uuid4().hex}"
+    folder = folder or f"{base.run_folder(spark)}/tokens-{uuid.uuid4().hex}"
     system, place = _open(folder)
     system.create_dir(place, recursive=True)
     keyed = base.pick(docs, "doc_id", "text").withColumn("key", base.text_key(F.col("text")))
@@ -230,4 +230,4 @@ def read_token_store(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """
     earlier = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("file", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("before"))
-    return files.repartition("file").mapInArrow(_read, DOCS)
+    return files.repartition(max(1, manifest.count()), "file").mapInArrow(_read, DOCS)
