@@ -20,7 +20,8 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose language is undecided: no letter, or no language ahead of the others.
 
-    The model is learned from the labelled rows among the stage's own input.
+    The model is learned from the labelled rows among the stage's own input. Where none of them has a language and a letter,
+    only null texts and texts without a letter go.
     """
     plain = base.positional(docs)
     text = F.col(f"col_{docs.columns.index('text')}")

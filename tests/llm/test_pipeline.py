@@ -129,3 +129,13 @@ def test_run_on_given_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, None)
         assert empty.count() == 0
+
+
+@pytest.mark.parametrize("label", [None, "12 34"])
+def test_language_stage_without_a_learned_language(spark, label):
+    texts = ["the house of water", None, "", "12 34 !!", "é", "der und von"]
+    rows = [(i, t, None, "s", 0, "r", "c") for i, t in enumerate(texts)]
+    if label:
+        rows.append((9, label, "en", "s", 0, "r", "c"))
+    kept = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, SCHEMA), None)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 4, 5]

@@ -205,10 +205,15 @@ def _predictor(model):
 
 
 def decided(texts: Column, model: Model) -> Column:
-    """Whether a text has a language ahead of the others; false for a null text or one without a letter."""
+    """Whether a text has a language ahead of the others; false for a null text or one without a letter.
+
+    A model that learned no letter tells no languages apart: then every text with a letter counts.
+    """
     shared = SparkSession.active().sparkContext.broadcast(model)  # bounded by languages, slots and doc_chars
 
     def ahead(column: pa.Array) -> pa.Array:
+        if not shared.value.letters.strip():
+            return pa.array([any(map(str.isalpha, t.as_py() or "")) for t in column], pa.bool_())
         names, scores = _predicted(column, shared.value)
         return pa.array([n != UNKNOWN and s > 0 for n, s in zip(names, scores, strict=True)], pa.bool_())
 
