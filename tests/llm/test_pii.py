@@ -85,3 +85,68 @@ def test_without_candidates(spark):
     docs = spark.createDataFrame([(1, "plain words"), (2, None)], "doc_id long, text string")
     assert [(r["base"], r["added"]) for r in pii.find_personal_data(docs).collect()] == [([], [])] * 2
     assert pii.find_personal_data(docs.limit(0)).count() == 0
+
+
+def wrapped(rng, value, before=""):
+    words = ["the river of stone", "under a cold moon", "they walked home", "und der alte baum"]
+    return f"{rng.choice(words)} {before}{value} {rng.choice(words)}"
+
+
+def test_each_generator_adds_true_forms_and_no_failing_look_alikes(spark):
+    rng = random.Random(5)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    failing = lambda n: next(d for d in iter(lambda: number(n), None) if not luhn(d))
+    octets = lambda: [str(rng.randrange(1, 256)) for _ in range(4)]
+    word = lambda: "".join(rng.choice("bcdfgmnprst") + rng.choice("aeiou") for _ in range(4))
+    true = {
+        "spelled": lambda: (0, f"{word()} at {word()} dot com", ""),
+        "bracketed at": lambda: (0, f"{word()} [at] {word()} [dot] org", ""),
+        "at, cue": lambda: (0, f"{word()} at {word()}.com", "mail "),
+        "bracketed address": lambda: (1, "[.]".join(octets()), ""),
+        "hexadecimal": lambda: (1, ":".join(f"{rng.getrandbits(16) | 0xA000:x}" for _ in range(8)), ""),
+        "pairs": lambda: (1, ":".join(f"{rng.getrandbits(8) | 0xA0:02x}" for _ in range(6)), ""),
+        "dotted card": lambda: (2, ".".join(re.findall("....", card(rng))), ""),
+        "short card, cue": lambda: (2, card(rng, 15), "card "),
+        "phone": lambda: (3, f"({number(3)}) 555-{number(4)}", ""),
+        "phone, cue": lambda: (3, f"({number(3)}) 555-{number(4)}", "call "),
+        "token": lambda: (4, f"{rng.getrandbits(160):040x}", "token = "),
+    }
+    false = {
+        "prose": lambda: f"look at {word()}.com",
+        "prose, dot": lambda: f"arrive at {word()} dot then",
+        "octets": lambda: "[.]".join([str(rng.randrange(256, 999)), *octets()[1:]]),
+        "groups": lambda: ":".join(f"{rng.getrandbits(16) | 0xA000:x}" for _ in range(5)),
+        "luhn": lambda: failing(16),
+        "luhn, dotted": lambda: ".".join(re.findall("....", failing(16))),
+        "luhn, cue": lambda: "card " + failing(15),
+        "card in fours": lambda: " ".join(re.findall("....", failing(16))),
+        "thousands": lambda: f"{rng.randrange(10, 999)}.{number(3)}.{number(3)}",
+        "order": lambda: f"order ({number(3)}) 555-{number(4)}",
+        "slug": lambda: f"{word()}-{word()}-{word()}-{rng.randrange(9)}",
+    }
+    base_forms = [lambda: f"{word()}@{word()}.com", lambda: ".".join(octets()), lambda: card(rng), lambda: f"+1 ({number(3)}) 555-{number(4)}"]
+    want, rows = {}, []
+    for i in range(60):
+        for name, make in true.items():
+            kind, value, before = make()
+            text = wrapped(rng, value, before)
+            want[len(rows)] = name, (kind, text.index(before + value) + len(before), text.index(before + value) + len(before) + len(value))
+            rows.append(text)
+        for name, make in false.items() if i % 3 == 0 else ():
+            want[len(rows)] = name, None
+            rows.append(wrapped(rng, make()))
+        rows += [wrapped(rng, make()) for make in base_forms]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found, missed, wrong = pii.find_personal_data(docs).collect(), [], []
+    for r in found:
+        name, span = want.get(r["doc_id"], ("base", None))
+        added = [tuple(s) for s in r["added"]]
+        if added != ([span] if span else []):
+            (missed if span else wrong).append((name, rows[r["doc_id"]], added))
+    assert not wrong, wrong[:5]
+    assert not missed, missed[:5]
+
+
+def test_true_forms_without_any_negative(spark):
+    docs = spark.createDataFrame([(i, f"reach jane{i} at example dot com today") for i in range(40)], "doc_id long, text string")
+    assert all(len(r["added"]) == 1 and r["added"][0]["kind"] == 0 for r in pii.find_personal_data(docs).collect())

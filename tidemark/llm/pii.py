@@ -7,17 +7,27 @@ Candidates: generators of high recall propose spans that may overlap: spelled-ou
 card shape, bracketed or hexadecimal network addresses, and long mixed tokens. Candidates and base spans that overlap
 form an island. Each candidate has format and context features on small fixed scales; a combination of their values
 is a pattern. Counts by pattern, over all documents, are the training rows, so they number at most as many as the scales
-allow, whatever the corpus. A candidate counts as positive if its island holds a base span, or, for tokens, if it is
-assigned to a name such as "token" or "password" (those words are no feature of tokens). Gradient-boosted trees are fitted on
-documents of one hash half. On the other half, each kind's threshold is the least score at which the candidates above it
-are positive with at least ``precision``. Unlabelled true spans count as negatives there, so thresholds err on the strict
-side. Of an island without a base span, the candidate of best score above its threshold is added.
+allow, whatever the corpus.
+
+Weak labels say which candidates to learn from. Positive: those that share an island with a base span of their own kind;
+those whose canonical form (brackets and "at" or "dot" undone, bare digits) is valid and that follow a word for their kind
+or leave no other reading (both signs of an address spelled out or bracketed, octets up to 255, 8 hexadecimal groups or 6
+pairs with a letter, Luhn on 16 digits or more); and tokens assigned to a name such as "token" or "password" (those words
+are no feature of tokens). Negative: those whose canonical form fails, that lie in a base span of another kind, that
+follow a word such as "order" or "version", prose such as "look at example.com", and tokens that are words joined by
+hyphens or parts of a path. All others are unlabelled: left out of training and calibration, but scored.
+
+Gradient-boosted trees are fitted on labelled candidates of documents of one hash half. On the other half, each kind's
+threshold is the least score at which the labelled candidates above it are positive with at least ``precision``. Negatives are never added, so those whose form fails only stand for
+look-alikes that pass by chance, as one random run of digits in ten passes Luhn: nine of them count as one there, and as
+two in training, on the strict side. Of an island without a base span, the candidate of best score above its threshold is
+added.
 
 All of it is DataFrame operations: matches and gaps of a pattern alternate, so a running sum of their lengths gives
 positions in code points (a doubling scan, n log n). Patterns use possessive runs, so long runs cost linear time.
 
-Null text is empty. Rows that agree in doc_id and text share their spans, null ids included. Without candidates, or
-with one class alone, only base spans are returned. An empty table gives no rows. Other columns are ignored.
+Null text is empty. Rows that agree in doc_id and text share their spans, null ids included. Without a positive in both
+halves only base spans are returned; without a negative every score is 1. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,10 +49,12 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?:\G|(?<![0-9]))[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+#: A spelled-out "at" with a name behind it that goes on after a dot.
+_AT = r"[(\[ ]at[)\] ] ?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]| ?[(\[]dot[)\]]| dot )"
 
 #: Generators: kind, pattern, and a cheap test that must hold for the pattern to match at all.
 GENERATORS: list[tuple[int, str, Callable[[Column], Column]]] = [
-    (0, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?@ ?| ?[(\[]at[)\]] ?| at )[A-Za-z0-9-]++(?:(?:\.| ?[(\[]dot[)\]] ?| dot )[A-Za-z0-9-]++)++", lambda t: t.contains("@") | t.rlike(r"[(\[ ]dot[)\] ]")),
+    (0, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?@ ?| ?[(\[]at[)\]] ?| at )[A-Za-z0-9-]++(?:(?:\.| ?[(\[]dot[)\]] ?| dot )[A-Za-z0-9-]++)++", lambda t: t.contains("@") | t.rlike(_AT)),
     (1, r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}(?:\[\.\]|\.)){3}[0-9]{1,3}(?![0-9A-Za-z])", lambda t: t.rlike(r"[0-9](?:\[\.\]|\.)[0-9]")),
     (1, r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", lambda t: t.rlike(r":[0-9A-Fa-f]{1,4}:")),
     (2, r"(?<![0-9A-Za-z])[0-9](?:[ ./-]{0,2}[0-9]){12,18}(?![0-9A-Za-z])", lambda t: t.rlike(r"[0-9](?:[ ./-]{0,2}[0-9]){12}")),
@@ -50,7 +62,18 @@ GENERATORS: list[tuple[int, str, Callable[[Column], Column]]] = [
     (4, r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,}+", lambda t: t.rlike(r"[A-Za-z0-9_-]{16}")),
 ]
 SECRET_NAMES = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\"' ]*[=:][\"' ]*$"
-FEATURES = ["kind", "size", "digits", "capitals", "separators", "before", "after", "variety", "cue"]
+#: Words before a candidate that name its kind, in the order of ``KINDS``; then words that name something else.
+_FILLER = r"(?:\W+(?:no|nr|number|is|me|us|at|on|to|under))*(?:\W*\+[0-9]{1,3})?\W*$"
+CUES = [
+    r"(?i)\b(?:mail|contact|write)" + _FILLER,
+    r"(?i)\b(?:host|server|addr(?:ess)?|ip|ipv[46]|mac)" + _FILLER,
+    r"(?i)\b(?:card|visa|mastercard|iban|account)" + _FILLER,
+    r"(?i)\b(?:(?:tele)?phone|tel|call|fax|mobile)" + _FILLER,
+]
+OTHER_CUE = r"(?i)\b(?:order|invoice|isbn|serial|version|part|sku|ticket|tracking|article|build)" + _FILLER
+_TOP_LEVEL = r"(?i)\.(?:com|org|net|edu|gov|info|io|eu|de|fr|es|it|uk|us|ch|nl|pl|ca|au|jp|br|in|co|dev|app|biz|example|test|invalid)$"
+_WORDS = r"(?:^|[_-])[A-Za-z]?[a-z]{3,}[_-](?:.*[_-])?[A-Za-z]?[a-z]{3,}(?:[_-]|$)"
+FEATURES = ["kind", "size", "digits", "capitals", "separators", "before", "after", "variety", "cue", "form"]
 _SCAN_ROUNDS = 26
 
 
@@ -76,7 +99,7 @@ def running_sum(numbers: Column) -> Column:
 def matches(text: Column, pattern: str, gate: Column) -> Column:
     """All matches of a pattern: array of (start, end, value, before, after), places in code points.
 
-    ``before`` holds up to 24 characters of the gap before the match, ``after`` the first of the gap behind it.
+    ``before`` holds up to 24 characters before the match, ``after`` the first two of the gap behind it.
     """
 
     def place(found: Column) -> Column:
@@ -84,7 +107,9 @@ def matches(text: Column, pattern: str, gate: Column) -> Column:
 
         def build(g: Column) -> Column:
             lengths = F.zip_with(F.slice(g, 1, F.size(found)), found, lambda a, b: F.char_length(a) + F.char_length(b))
-            sides = F.zip_with(F.slice(g, 1, F.size(found)), F.slice(g, 2, F.size(found)), lambda a, b: F.struct(F.right(a, F.lit(24)).alias("before"), F.left(b, F.lit(1)).alias("after")))
+            earlier = F.transform(F.concat(F.array(F.lit("")), F.slice(found, 1, F.size(found) - 1)), lambda v: F.right(v, F.lit(24)))
+            befores = F.zip_with(earlier, F.slice(g, 1, F.size(found)), lambda v, a: F.right(F.concat(v, F.right(a, F.lit(24))), F.lit(24)))
+            sides = F.zip_with(befores, F.slice(g, 2, F.size(found)), lambda a, b: F.struct(a.alias("before"), F.left(b, F.lit(2)).alias("after")))
             spans = F.zip_with(found, running_sum(lengths), lambda v, e: F.struct((e - F.char_length(v)).alias("start"), e.alias("end"), v.alias("value")))
             return F.zip_with(spans, sides, lambda s, c: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), c["before"].alias("before"), c["after"].alias("after")))
 
@@ -135,56 +160,87 @@ def candidates(text: Column) -> Column:
     """Array of (kind, start, end, value, before, after) that the generators propose."""
     found = []
     for kind, pattern, gate in GENERATORS:
-        spans = matches(text, pattern, gate(text) & text.rlike("[0-9@]|[(\\[ ]dot[)\\] ]"))
+        spans = matches(text, pattern, gate(text))
         found.append(F.transform(spans, _of_kind(kind, "start", "end", "value", "before", "after")))
     return F.concat(*found)
 
 
+def _valid(kind: Column, value: Column, before: Column, after: Column, cued: Column) -> Column:
+    """Whether the canonical form of a candidate can be of its kind."""
+    bare, digits = F.regexp_replace(value, r"[\[\]]", ""), F.regexp_replace(value, "[^0-9]", "")
+    undone = F.regexp_replace(F.regexp_replace(value, r" ?[(\[]at[)\]] ?| at | ?@ ?", "@"), r" ?[(\[]dot[)\]] ?| dot ", ".")
+    address = undone.rlike(r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++$") & undone.rlike(r"\.[A-Za-z]{2,24}$") & ~undone.rlike(r"^\.|\.\.|\.@|@[.-]|@[^@]*(?:-\.|\.-)")
+    address &= ~value.contains(" dot ") | undone.rlike(_TOP_LEVEL) | cued
+    network = bare.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$") | value.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$|^(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}$")
+    beside = after.rlike("^ [0-9]") | before.rlike(r"[0-9]{4,}[ ./-]{1,2}$|[0-9][ ./-]{1,2}[0-9]+[ ./-]{1,2}$")
+    grouped = value.rlike(r"^[0-9]{2,3}([ .])[0-9]{3}\1[0-9]{3}$|^(?:(?:19|20)[0-9]{2}[ .-]{0,2}){3}$")
+    phone = F.char_length(digits).between(8, 15) & ~after.rlike("^[./-][0-9]") & (cued | (~grouped & (value.startswith("(") | ~beside)))
+    card = F.char_length(digits).between(13, 19) & ~after.rlike(r"^[ ./-]?[0-9]") & F.call_function("luhn_check", digits)
+    return F.when(kind == 0, address).when(kind == 1, network).when(kind == 2, card).when(kind == 3, phone).otherwise(True)
+
+
 def _with_features(spans: DataFrame) -> DataFrame:
-    """The pattern of each candidate: small whole numbers in ``FEATURES``."""
-    value, before = F.col("value"), F.col("before")
+    """The pattern of each candidate, small whole numbers in ``FEATURES``, and its weak ``label``: 1, 0 or null."""
+    kind, value, before, after = F.col("kind"), F.col("value"), F.col("before"), F.col("after")
     n = F.greatest(F.char_length(value), F.lit(1))
     count = lambda pattern: F.char_length(F.regexp_replace(value, pattern, ""))
     kinds = lambda pattern: value.rlike(pattern).cast("int")
-    cue = F.when(F.col("kind") == 4, 0).when(before.rlike(r"(?i)(?:card|visa|iban|account)\W*$"), 1).when(before.rlike(r"(?i)(?:phone|tel|call|fax|mobile)\W*$"), 2).when(before.rlike(r"(?i)(?:mail|contact|write)\W*$"), 3).when(before.rlike(r"(?i)(?:host|server|addr(?:ess)?|ip)\W*$"), 4).otherwise(0)
-    return spans.withColumns({
+    own = reduce(lambda out, k: out.when(kind == k, before.rlike(CUES[k])), range(1, 4), F.when(kind == 0, before.rlike(CUES[0]))).otherwise(False)
+    other = (kind != 4) & before.rlike(OTHER_CUE)
+    wrong = kind.isin(2, 3) & ~own & reduce(lambda out, c: out | before.rlike(c), CUES[1:], F.lit(False))
+    halfway = ~value.rlike(r"[@(\[]") & ~value.rlike(" dot ")
+    plain = value.rlike("^[A-Za-z]+ ")
+    email = F.when(value.contains("@"), 0).when(value.rlike(r"[(\[]"), 1).when(~halfway, 2).when(~plain | own, 3).otherwise(4)
+    network = F.when(value.contains("["), 1).when(value.contains(":") & value.rlike("[A-Fa-f]"), 2).when(value.contains(":"), 3).otherwise(0)
+    form = F.when(kind == 0, email).when(kind == 1, network).when(kind == 3, kinds(r"[(]") + 2 * kinds(r"^[0-9]{2,3}([ .])[0-9]{3}\1[0-9]{3}$")).when(kind == 4, kinds(_WORDS)).otherwise(0)
+    spans = spans.withColumns({"own": own, "form": form, "valid": _valid(kind, value, before, after, own)}).withColumns({
         "size": F.least(F.floor(n / 4), F.lit(16)).cast("int"),
         "digits": F.floor(4 * count("[^0-9]") / n).cast("int"),
         "capitals": F.floor(2 * count("[^A-Z]") / n).cast("int"),
         "separators": kinds(" ") + 2 * kinds(r"[./-]") + 4 * kinds(r"[@(\[:]"),
-        "before": F.when(before.rlike(r"[=:][\"' ]*$"), 1).when(before.rlike(r"[\"']$"), 2).when(before.rlike(r"[(+#]\s*$"), 3).when(before.rlike(r"[A-Za-z0-9]$"), 4).otherwise(0),
-        "after": F.when(F.col("after").rlike(r"[\"']"), 1).when(F.col("after").rlike(r"[A-Za-z0-9]"), 2).when(F.col("after").rlike(r"[.,;:!?)]"), 3).otherwise(0),
+        "before": F.when(before.rlike(r"[=:][\"' ]*$"), 1).when(before.rlike(r"[\"']$"), 2).when(before.rlike(r"[(+#]\s*$"), 3).when(before.rlike(r"[A-Za-z0-9]$"), 4).when(before.rlike(r"[/\\.]$"), 5).otherwise(0),
+        "after": F.when(after.rlike(r"^[\"']"), 1).when(after.rlike(r"^[A-Za-z0-9]"), 2).when(after.rlike(r"^[.,;:!?)]"), 3).otherwise(0),
         "variety": F.least(F.floor(F.size(F.array_distinct(F.split(value, ""))) / 4), F.lit(5)).cast("int"),
-        "cue": cue,
-        "named": (F.col("kind") == 4) & before.rlike(SECRET_NAMES),
+        "cue": F.when(F.col("own"), 1).when(other, 2).when(wrong, 3).otherwise(0),
+        "clear": F.when(kind == 0, F.col("form") < 4).when(kind == 1, F.col("form").isin(1, 2)).when(kind == 2, count("[^0-9]") >= 16).otherwise(False),
+        "named": (kind == 4) & before.rlike(SECRET_NAMES),
+        "apart": F.when(kind == 0, F.col("form") == 4).when(kind == 4, (F.col("form") == 1) | before.rlike(r"[/\\.]$")).otherwise(False),
     })
+    good = F.col("of_kind") | F.col("named") | (F.col("valid") & ~F.col("covered") & (F.col("own") | (F.col("clear") & (F.col("cue") == 0))))
+    bad = F.col("covered") | ~F.col("valid") | (F.col("cue") >= 2) | F.col("apart")
+    return spans.withColumn("label", F.when(good, 1).when(bad, 0))
 
 
 def _spans(found: DataFrame) -> DataFrame:
-    """One row for each span or candidate, each once, with its island and whether that holds a base span."""
+    """One row for each candidate, each once, with its island and whether that holds a base span, and one of its kind."""
     of_base = found.select("doc_id", "key", F.explode("base").alias("s")).select("doc_id", "key", "s.*").withColumns({"is_base": F.lit(True), "value": F.lit(""), "before": F.lit(""), "after": F.lit("")})
     proposed = found.select("doc_id", "key", F.explode("proposed").alias("s")).select("doc_id", "key", "s.*").withColumn("is_base", F.lit(False))
     spans = of_base.unionByName(proposed).distinct()
     row = Window.partitionBy("doc_id", "key").orderBy("start", "end", "kind", "is_base")
     reach = F.max("end").over(row.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("opens", (reach.isNull() | (F.col("start") >= reach)).cast("int")).withColumn("island", F.sum("opens").over(row))
-    spans = spans.withColumn("covered", F.max("is_base").over(Window.partitionBy("doc_id", "key", "island")))
-    return _with_features(spans.where(~F.col("is_base"))).select("doc_id", "key", "island", "covered", "start", "end", "named", *FEATURES)
+    island = Window.partitionBy("doc_id", "key", "island")
+    spans = spans.withColumns({"covered": F.max("is_base").over(island), "of_kind": F.max("is_base").over(Window.partitionBy("doc_id", "key", "island", "kind"))})
+    return _with_features(spans.where(~F.col("is_base"))).select("doc_id", "key", "island", "covered", "start", "end", "valid", "label", *FEATURES)
 
 
 def _scores(spans: DataFrame, precision: float, trees: int, depth: int) -> DataFrame | None:
     """(pattern, score) above the threshold of each kind; None where nothing can be learned."""
     half = F.pmod(F.xxhash64("doc_id", "key"), F.lit(2))
-    label = (F.col("covered") | F.col("named")).cast("int")
-    patterns = spans.groupBy(*FEATURES).agg(*[F.sum(F.when((half == h) & (label == y), 1).otherwise(0)).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)])
-    patterns = base.stage(patterns, "patterns")
+    label = F.col("label")
+    weights = [F.when((label == 0) & ~F.col("valid"), w).otherwise(9) for w in (2, 1)]  # in ninths, by half
+    counts = [F.sum(F.when((half == h) & (label == y), weights[h]).otherwise(0)).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)]
+    patterns = base.stage(spans.groupBy(*FEATURES).agg(*counts), "patterns")
     seen = patterns.agg(F.sum("n00"), F.sum("n01")).first()
-    if not seen[0] or not seen[1]:
+    if not seen[1]:
         return None
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(patterns)
-    rows = assembled.select("features", F.explode(F.array(*[F.struct(F.lit(float(y)).alias("label"), F.col(f"n0{y}").cast("double").alias("weight")) for y in (0, 1)])).alias("r")).select("features", "r.*").where("weight > 0")
-    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, cacheNodeIds=False).fit(rows.coalesce(1))
-    scored = model.transform(assembled).select(*FEATURES, "n10", "n11", vector_to_array("probability")[1].alias("score"))
+    rows = assembled.select("features", F.explode(F.array(*[F.struct(F.lit(float(y)).alias("label"), (F.col(f"n0{y}") / 9).alias("weight")) for y in (0, 1)])).alias("r")).select("features", "r.*").where("weight > 0")
+    if seen[0]:
+        model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, cacheNodeIds=False).fit(rows.coalesce(1))
+        scored = model.transform(assembled).select(*FEATURES, "n10", "n11", vector_to_array("probability")[1].alias("score"))
+    else:
+        scored = patterns.select(*FEATURES, "n10", "n11", F.lit(1.0).alias("score"))
     down = Window.partitionBy("kind").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     held = scored.withColumns({"above": F.sum(F.col("n10") + F.col("n11")).over(down), "hits": F.sum("n11").over(down)})
     limits = held.where(F.col("hits") > 0).where(F.col("hits") >= precision * F.col("above")).groupBy("kind").agg(F.greatest(F.min("score"), F.lit(0.5)).alias("limit"))
@@ -204,7 +260,7 @@ def find_personal_data(docs: DataFrame, precision: float = 0.9, trees: int = 12,
     if scores is None:
         return found.select("doc_id", "key", "base", none.alias("added"))
     best = Window.partitionBy("doc_id", "key", "island").orderBy(F.desc("score"), F.desc(F.col("end") - F.col("start")), "start", "kind")
-    chosen = spans.where(~F.col("covered")).join(scores, FEATURES).withColumn("place", F.row_number().over(best)).where("place = 1")
+    chosen = spans.where(~F.col("covered") & F.coalesce(F.col("label") == 1, F.lit(True))).join(scores, FEATURES).withColumn("place", F.row_number().over(best)).where("place = 1")
     added = chosen.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
     a, b = found.alias("a"), added.alias("b")
     joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key")), "left")
