@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import base, langid, linededup, mixing, neighbours, packing, pii, quality_rules, simhash, site_quality, token_store
+from tidemark.llm import base, langid, linededup, merkle, mixing, neighbours, packing, pii, quality_rules, simhash, site_quality, token_store
 
 
 def op1_boosted_personal_data(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,6 +66,14 @@ def op10_multiprobe_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest_neighbours(vectors, F.col("id") % 100 == 0).withColumnRenamed("distance", "score")
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    tampered = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = merkle.manifest(base.documents(spark, folder), revised={"text": tampered}).withColumn("folded_root", merkle.folded(F.col("revised_leaf"), F.col("path")))
+    proof = F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_boosted_personal_data": op1_boosted_personal_data,
     "op2_adaptive_quality_rules": op2_adaptive_quality_rules,
@@ -77,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_trie": op8_simhash_trie,
     "op9_site_quality": op9_site_quality,
     "op10_multiprobe_neighbours": op10_multiprobe_neighbours,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE: dict[str, str] = {"op2_adaptive_quality_rules": quality_rules.SQL, "op7_poisson_mixing": mixing.SQL, "op9_site_quality": site_quality.SQL}
+ORACLE: dict[str, str] = {"op2_adaptive_quality_rules": quality_rules.SQL, "op7_poisson_mixing": mixing.SQL, "op9_site_quality": site_quality.SQL, "op13_merkle_manifest": merkle.SQL}
