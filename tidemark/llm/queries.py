@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import base, langid, linededup, merkle, mixing, neighbours, packing, pii, quality_rules, simhash, site_quality, token_store
+from tidemark.llm import base, langid, lexical, linededup, merkle, mixing, neighbours, packing, pii, quality_rules, simhash, site_quality, token_store
 
 
 def op1_boosted_personal_data(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_multiprobe_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest_neighbours(vectors, F.col("id") % 100 == 0).withColumnRenamed("distance", "score")
 
 
+def op12_bag_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(base.documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     even = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
     tampered = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
@@ -85,7 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_trie": op8_simhash_trie,
     "op9_site_quality": op9_site_quality,
     "op10_multiprobe_neighbours": op10_multiprobe_neighbours,
+    "op12_bag_search": op12_bag_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE: dict[str, str] = {"op2_adaptive_quality_rules": quality_rules.SQL, "op7_poisson_mixing": mixing.SQL, "op9_site_quality": site_quality.SQL, "op13_merkle_manifest": merkle.SQL}
+ORACLE: dict[str, str] = {"op2_adaptive_quality_rules": quality_rules.SQL, "op7_poisson_mixing": mixing.SQL, "op9_site_quality": site_quality.SQL, "op12_bag_search": lexical.SQL, "op13_merkle_manifest": merkle.SQL}
