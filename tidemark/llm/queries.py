@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import base, langid, lexical, linededup, merkle, mixing, neighbours, packing, pii, quality_rules, simhash, site_quality, token_store
+from tidemark.llm import base, langid, lexical, linededup, merkle, mixing, neighbours, packing, pii, quality_rules, simhash, site_quality, token_store, toxicity
 
 
 def op1_boosted_personal_data(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,6 +66,13 @@ def op10_multiprobe_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest_neighbours(vectors, F.col("id") % 100 == 0).withColumnRenamed("distance", "score")
 
 
+def op11_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    found = toxicity.score_toxicity(base.documents(spark, folder), labels, learn=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op12_bag_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(base.documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
@@ -89,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_trie": op8_simhash_trie,
     "op9_site_quality": op9_site_quality,
     "op10_multiprobe_neighbours": op10_multiprobe_neighbours,
+    "op11_weak_toxicity": op11_weak_toxicity,
     "op12_bag_search": op12_bag_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
