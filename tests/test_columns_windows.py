@@ -60,20 +60,6 @@ def test_rolling_equals_pandas(spark, fn, pd_fn):
     np.testing.assert_allclose(got["r"].to_numpy(float), want.to_numpy(), rtol=1e-10)
 
 
-@pytest.mark.parametrize("gaps", [False, True])
-@pytest.mark.parametrize("span", [9, 12, 26])
-def test_ema_equals_pandas(spark, gaps, span):
-    pdf = series(gaps)
-    ordered = F.sort_array(F.collect_list(F.struct("trade_date", "x")))
-    got = (
-        frame(spark, pdf).groupBy("ts_code").agg(ordered.alias("h"))
-        .select("ts_code", F.posexplode(w.ema(F.transform("h", lambda r: r["x"]), span, span)).alias("i", "m"))
-        .toPandas().sort_values(["ts_code", "i"])
-    )
-    want = pdf.groupby("ts_code")["x"].transform(lambda v: v.ewm(span=span, adjust=False, min_periods=span).mean())
-    np.testing.assert_allclose(got["m"].to_numpy(float), want.to_numpy(), rtol=1e-12)
-
-
 def test_rolling_rank_equals_pandas(spark):
     pdf = series()
     pdf["x"] = pdf["x"].round(0)

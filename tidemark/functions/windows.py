@@ -61,39 +61,6 @@ def led(c: str, k: int, entity: str = ENTITY, date: str = DATE) -> Column:
     return F.expr(f"lead({c}, {k}) {over('', entity, date)}")
 
 
-def ema(series: Column, span: int, min_obs: int) -> Column:
-    """Exponential mean of an array in time order, as an array of the same length.
-
-    The mean starts at the first non-null value; over a gap the old mean's weight decays once per
-    skipped row; null until ``min_obs`` values were seen.
-    """
-    alpha = 2.0 / (span + 1.0)
-    start = F.struct(
-        F.lit(None).cast("double").alias("mean"),
-        F.lit(1.0).alias("weight"),
-        F.lit(0).alias("seen"),
-        F.array().cast("array<double>").alias("out"),
-    )
-
-    def step(state: Column, x: Column) -> Column:
-        started = state["mean"].isNotNull()
-        weight = F.when(started, state["weight"] * F.lit(1.0 - alpha)).otherwise(F.lit(1.0))
-        blended = F.when(
-            weight == F.lit(1.0 - alpha), weight * state["mean"] + F.lit(alpha) * x
-        ).otherwise((weight * state["mean"] + F.lit(alpha) * x) / (weight + F.lit(alpha)))
-        mean = F.when(x.isNull(), state["mean"]).when(started, blended).otherwise(x)
-        seen = state["seen"] + F.when(x.isNull(), 0).otherwise(1)
-        value = F.when(seen >= F.lit(min_obs), mean)
-        return F.struct(
-            mean.alias("mean"),
-            F.when(x.isNull(), weight).otherwise(F.lit(1.0)).alias("weight"),
-            seen.alias("seen"),
-            F.concat(state["out"], F.array(value)).alias("out"),
-        )
-
-    return F.aggregate(series, start, step, lambda state: state["out"])
-
-
 def rolling_rank_pct(c: str, n: int, min_obs: int, entity: str = ENTITY, date: str = DATE) -> Column:
     """Average-tie percentile rank of the current value among the last n rows."""
     seen = F.expr(f"collect_list({c}) {trailing(n, entity, date)}")

@@ -6,10 +6,10 @@ sorts a whole cross-section in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalars import finite, sdiv
@@ -297,19 +297,30 @@ def quality(df: DataFrame, features: Sequence[str]) -> DataFrame:
 # --- correlation between features -------------------------------------------------------------------
 
 
+def _mask_products(n: int):
+    """(i, j, rows): how many rows know both features, summed over a task's patterns (known, rows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            known = np.asarray(batch.column(0).flatten()).reshape(-1, n).astype(float)
+            total += known.T @ (known * batch.column(1).to_numpy()[:, None])
+        i, j = np.nonzero(np.triu(total))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j].astype(np.int64))], ["i", "j", "rows"])
+
+    return run
+
+
 def _shared_counts(df: DataFrame, features: Sequence[str]) -> dict[tuple[str, str], int]:
     """Rows where both features are known, for every pair (and each feature with itself).
 
-    Rows are counted per pattern of known features first, which leaves few rows for the pair sums. The
+    Rows are counted per pattern of known features first, which leaves few rows for the products. The
     result has one number per pair of configured features.
     """
-    names = [f"k{i}" for i in range(len(features))]
-    known = df.select(*[finite(f).isNotNull().alias(k) for f, k in zip(features, names)])
-    patterns = known.groupBy(*names).agg(F.count(F.lit(1)).alias("rows"))
-    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    sums = [F.sum(F.when(F.col(names[i]) & F.col(names[j]), F.col("rows"))).alias(f"c{i}_{j}") for i, j in pairs]
-    row = patterns.agg(*sums).first()
-    return {(features[i], features[j]): int(row[n] or 0) for n, (i, j) in enumerate(pairs)}
+    patterns = df.groupBy(F.array(*[finite(f).isNotNull() for f in features]).alias("known")).agg(F.count(F.lit(1)).alias("rows"))
+    summed = patterns.mapInArrow(_mask_products(len(features)), "i long, j long, rows long").groupBy("i", "j").agg(F.sum("rows").alias("rows"))
+    found = {(r["i"], r["j"]): r["rows"] for r in summed.collect()}
+    return {(a, features[j]): found.get((i, j), 0) for i, a in enumerate(features) for j in range(i, len(features))}
 
 
 def _row_sets(features: Sequence[str], shared: dict[tuple[str, str], int]) -> dict[tuple[str, str], tuple[str, ...]]:
@@ -337,55 +348,71 @@ def _row_sets(features: Sequence[str], shared: dict[tuple[str, str], int]) -> di
     return out
 
 
+def _rank_products(n: int):
+    """(row_set, i, j, product) summed over a task's rows (row_set, ranks): ranks lists (feature, centred rank)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.asarray(lists.value_lengths())
+            feature, rank = (np.asarray(c) for c in lists.flatten().flatten())
+            dense = np.zeros((len(lists), n))
+            dense[np.repeat(np.arange(len(lists)), sizes), feature] = rank
+            numbers = batch.column(0).to_numpy()
+            for k in np.unique(numbers):
+                part = dense[numbers == k]
+                totals[k] = totals.get(k, 0.0) + part.T @ part
+        for k, total in totals.items():
+            i, j = np.nonzero(np.triu(total))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k, dtype=np.int32)), pa.array(i), pa.array(j), pa.array(total[i, j])], ["row_set", "i", "j", "product"])
+
+    return run
+
+
 def correlation_pairs(df: DataFrame, features: Sequence[str], top_n: int | None = 100, min_shared: int | None = None) -> DataFrame:
     """Spearman correlation of every feature pair over its pairwise complete rows, strongest first.
 
     Pairs with fewer than ``min_shared`` common rows (by default a hundredth of all rows, 20 at least) have none.
     ``top_n`` is for printed tables; None gives all pairs.
 
-    Pairs that share the same complete rows share one ranking: features are ranked once per such row set,
-    and a distributed Gram matrix of the ranks gives all its correlations.
+    Pairs that share the same complete rows share one ranking: features are ranked once per such row set. A row is read once and
+    dealt to the row sets it is complete for, and one aggregation of rank products, blocked by task, serves all row sets: ranks are centred on
+    their known mean, so the products are the covariances.
     """
     features = list(features)
     total = df.count()
     need = max(20, total // 100) if min_shared is None else min_shared
     shared = _shared_counts(df, features)
     sets = _row_sets(features, shared)
-    members: dict[tuple[str, ...], list[str]] = {}
+    number: dict[tuple[str, ...], int] = {}
+    members: dict[tuple[str, ...], set[str]] = {}
+    pairs = []
     for (a, b), rows in sets.items():
         if shared[(a, b)] >= need:
-            names = members.setdefault(rows, [])
-            names += [f for f in (a, b) if f not in names]
-    clean = df.select(*KEYS, *[finite(f).alias(f) for f in features])
+            members.setdefault(rows, set()).update((a, b))
+            pairs.append((a, b, features.index(a), features.index(b), number.setdefault(rows, len(number))))
     spark = df.sparkSession
-    schema = "feature_left string, feature_right string, spearman_corr double"
-    if not members:
-        return spark.createDataFrame([], schema)
-    ordered_sets = sorted(members)
-    long = None
-    for number, rows in enumerate(ordered_sets):
-        complete = F.lit(True)
-        for f in rows:
-            complete = complete & F.col(f).isNotNull()
-        part = clean.where(complete).unpivot(KEYS, members[rows], "feature", "x").withColumn("row_set", F.lit(number))
-        long = part if long is None else long.unionByName(part)
+    if not pairs:
+        return spark.createDataFrame([], "feature_left string, feature_right string, spearman_corr double")
+    at = {f: i for i, f in enumerate(features)}
+    places = lambda names: F.array(*[F.lit(at[f]) for f in sorted(names, key=at.get)])
+    table = F.array(*[F.struct(F.lit(n).alias("row_set"), places(rows).alias("required"), places(members[rows]).alias("members")) for rows, n in number.items()])
+
+    values = df.select(*KEYS, F.array(*[finite(f) for f in features]).alias("v"))
+    complete = F.filter(table, lambda s: F.forall(s["required"], lambda i: F.get("v", i).isNotNull()))
+    dealt = values.select(*KEYS, "v", F.explode(complete).alias("s")).select(*KEYS, "v", "s.row_set", F.explode("s.members").alias("feature"))
+    long = dealt.select(*KEYS, "row_set", "feature", F.get("v", F.col("feature")).alias("x"))
     ranked = with_ranks(long, ["row_set", "feature"], ["x"], KEYS)
-    # one row per (row set, key): the ranks of its features, absent ones as 0
-    rank_of = {f: F.coalesce(F.max(F.when(F.col("feature") == f, average_rank("x"))), F.lit(0.0)) for f in features}
-    vectors = ranked.groupBy("row_set", *KEYS).agg(F.array(*rank_of.values()).alias("r"))
-    vectors = stage(vectors.select("row_set", "r"), "rank-vectors", ["row_set"])  # each row set reads its own folder
-    found = []
-    for number, rows in enumerate(ordered_sets):
-        places = [i for i, f in enumerate(features) if f in members[rows]]
-        used = F.array(*[F.col("r")[i] for i in places])
-        part = vectors.where(F.col("row_set") == number).select(array_to_vector(used).alias("v"))
-        matrix = Correlation.corr(part, "v", "pearson").first()[0].toArray()
-        at = {features[i]: n for n, i in enumerate(places)}
-        for (a, b), own in sets.items():
-            if own == rows and shared[(a, b)] >= need:
-                value = float(matrix[at[a], at[b]])
-                if value == value:
-                    found.append((a, b, value))
-    table = spark.createDataFrame(found, schema)
-    ordered = table.orderBy(F.desc(F.abs("spearman_corr")), "feature_left", "feature_right")
+    centred = (average_rank("x") - (F.col("x__n") + 1) / 2.0).alias("rank")
+    vectors = ranked.select("row_set", *KEYS, F.struct("feature", centred).alias("r")).groupBy("row_set", *KEYS).agg(F.collect_list("r").alias("ranks"))
+    products = vectors.select("row_set", "ranks").mapInArrow(_rank_products(len(features)), "row_set int, i long, j long, product double")
+    # at most a number for each pair of a row set's features
+    sums = stage(products.groupBy("row_set", "i", "j").agg(F.sum("product").alias("product")), "rank-products")
+    own = sums.where("i = j").select("row_set", "i", F.col("product").alias("own"))
+    wanted = spark.createDataFrame(pairs, "feature_left string, feature_right string, i long, j long, row_set int")
+    joined = wanted.join(sums, ["row_set", "i", "j"], "left").join(own, ["row_set", "i"]).join(own.select("row_set", F.col("i").alias("j"), F.col("own").alias("other")), ["row_set", "j"])
+    value = sdiv(F.coalesce("product", F.lit(0.0)), F.sqrt(F.col("own") * F.col("other")))
+    found = joined.select("feature_left", "feature_right", value.alias("spearman_corr")).where(F.col("spearman_corr").isNotNull())
+    ordered = found.orderBy(F.desc(F.abs("spearman_corr")), "feature_left", "feature_right")
     return ordered.limit(top_n) if top_n is not None else ordered

@@ -16,8 +16,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.scalars import as_date, clip, flag, growth, sdiv
-from tidemark.functions.windows import default_min_obs, ema, over, with_rolled
+from tidemark.functions.windows import default_min_obs, over, with_rolled
 from tidemark.operators.ranking import group_quantiles, rank_pct, with_ranks
+from tidemark.operators.recurrences import macd
 from tidemark.session import by_entity, stage
 
 WINDOWS = (5, 10, 20, 60)
@@ -223,29 +224,13 @@ def cross_features(df: DataFrame, returns: DataFrame, wanted: set[str] | None =
 # --- stage 3: one entity's history ------------------------------------------------------------------
 
 
-def with_macd(df: DataFrame) -> DataFrame:
+def with_macd(df: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     """Add macd_diff, macd_dea and macd_hist.
 
-    One history (at most one row per day) is gathered, folded in order and unrolled again; the rows stay
-    where the other entity windows need them.
+    The recurrences run on (entity, date, close) alone, by default of ``df``; ``prices`` gives those columns where ``df`` is wide and costly.
     """
-    rest = [c for c in df.columns if c != "ts_code"]
-    ordered = df.groupBy("ts_code").agg(
-        F.sort_array(F.collect_list(F.struct("trade_date", *[c for c in rest if c != "trade_date"]))).alias("rows")
-    )
-    closes = F.transform("rows", lambda r: r["close"])
-    diffs = ordered.withColumn(
-        "diff",
-        F.zip_with(ema(closes, 12, 12), ema(closes, 26, 26), lambda a, b: a - b),
-    )
-    both = diffs.withColumn("dea", ema(F.col("diff"), 9, 9))
-    rows = both.select("ts_code", F.inline(F.arrays_zip("rows", "diff", "dea")))
-    return rows.select(
-        *[F.col("ts_code") if c == "ts_code" else F.col("rows")[c].alias(c) for c in df.columns],
-        F.col("diff").alias("macd_diff"),
-        F.col("dea").alias("macd_dea"),
-        (2 * (F.col("diff") - F.col("dea"))).alias("macd_hist"),
-    )
+    narrow = by_entity((df if prices is None else prices).select(*KEYS, "close"))
+    return df.join(macd(narrow), KEYS, "left")
 
 
 @dataclass(frozen=True)
@@ -332,8 +317,8 @@ def beta_block(windows: Sequence[int] = (20, 60)) -> Block:
     return Block(inputs, rolled, outputs)
 
 
-def history_features(df: DataFrame, windows: Sequence[int] = WINDOWS, macd: bool = True) -> DataFrame:
-    out = with_macd(df) if macd else df
+def history_features(df: DataFrame, windows: Sequence[int] = WINDOWS, with_recurrences: bool = True, prices: DataFrame | None = None) -> DataFrame:
+    out = with_macd(df, prices) if with_recurrences else df
     return with_blocks(out, PRICES, RSI, TURNOVER, INDUSTRY, rolling_block(windows), beta_block())
 
 
@@ -349,8 +334,8 @@ def add_features(
     pruned by the optimizer anyway).
     """
     names = None if wanted is None else set(wanted)
-    macd = names is None or any(n.startswith("macd_") for n in names)
-    return history_features(cross_features(row_features(panel), returns, names), windows, macd=macd)
+    recurrent = names is None or any(n.startswith("macd_") for n in names)
+    return history_features(cross_features(row_features(panel), returns, names), windows, recurrent, panel)
 
 
 def lag_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:

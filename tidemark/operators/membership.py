@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.scalars import as_date, date_text
+from tidemark.operators.asof import asof_join
 from tidemark.operators.panel import latest
 
 # Fixed value: the end of an interval that is still open.
@@ -141,6 +142,19 @@ def members_only(panel: DataFrame, intervals: DataFrame) -> DataFrame:
     return panel.join(spans, inside, "left_semi")
 
 
+def membership_on(days: DataFrame, snapshots: DataFrame, max_age_days: int | None = None) -> DataFrame:
+    """(trade_date, index_code, ts_code, index_weight, known_on): the members of the last snapshot on or before each trading day.
+
+    ``days`` has (index_code, trade_date). A day without a snapshot at most ``max_age_days`` calendar days back has no members. An entity that
+    a later snapshot no longer holds is gone from that snapshot's day on. Snapshots are normalised rows, one per (index, entity, day).
+    """
+    listed = snapshots.select("index_code", "trade_date").distinct()
+    asked = days.select("index_code", "trade_date").distinct()
+    dated = asof_join(asked, listed, ["index_code"], [], max_age_days=max_age_days).where(F.col("known_on").isNotNull())
+    members = snapshots.select("index_code", "ts_code", F.col("trade_date").alias("known_on"), "index_weight")
+    return dated.join(members, ["index_code", "known_on"]).select("trade_date", "index_code", "ts_code", "index_weight", "known_on")
+
+
 def membership_files(registry: DataFrame, index_code: str) -> DataFrame:
     """Registered membership files whose name or path mentions the index."""
     return registry.where(
