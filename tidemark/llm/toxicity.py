@@ -3,7 +3,7 @@
 Voters. Terms of a text are its distinct lower-cased words, and the beginnings of three to seven letters that one, two or three of them share.
 Terms that are clearly more common in labelled toxic than in labelled clean texts (lower confidence limit of the log ratio of
 document shares) are dealt by rank into ``LISTS`` lexicons, short ones first; a lexicon votes toxic on a text with one of its
-terms. Pattern voters look at shouting, masked or stretched words, exclamation marks, forms of address, a short list of insults, notices,
+terms. Pattern voters look at shouting, masked words, letters repeated four times, exclamation marks, forms of address, a short list of insults, notices,
 tables, and at how many terms are in any lexicon. A voter votes toxic (2), clean (1) or not at all (0).
 
 Label model. Given the class, votes follow a tree: each voter's vote depends on one other's, so voters that see the same thing are
@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,60 +50,71 @@ VOTERS = [*[f"lexicon_{i}" for i in range(LISTS)], *PATTERNS]
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"[^\W\d_][*#@$]{2,}[^\W\d_]")
-_STRETCHED = re.compile(r"([^\W\d_])\1{3}")
-_NOTICE = re.compile(r"licen[sc]e|copyright", re.IGNORECASE)
-_CAPITAL = re.compile("[A-Z]")
 _STEMS = range(3, 8)
 _HELD = 400_000
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+    """Distinct runs of letters, lower-cased."""
+    tokens = set((text or "").lower().split())
+    words = {t for t in tokens if t.isalpha()}
+    words.update(_WORD.findall(" ".join(tokens - words)))
+    return words
 
 
-def terms_of(words: set[str], stems: set[str] | None = None) -> set[str]:
-    """Distinct words and beginnings: ``ab*`` of one longer word, also ``ab**`` and ``ab***`` if two and three share it.
-
-    With ``stems``, only those beginnings.
-    """
+def terms_of(words: set[str]) -> set[str]:
+    """Distinct words and beginnings: ``ab*`` of one longer word, also ``ab**`` and ``ab***`` if two and three share it."""
     shared: Counter[str] = Counter()
     for n in _STEMS:
-        if stems is None:
-            shared.update([w[:n] for w in words if len(w) > n])
-        else:
-            shared.update([s for w in words if len(w) > n and (s := w[:n]) in stems])
+        shared.update([w[:n] for w in words if len(w) > n])
     return words.union(*[[s + "*" * k for s, c in shared.items() if c >= k] for k in (1, 2, 3)])
 
 
-def stems_in(terms: set[str] | dict) -> set[str]:
-    return {t.rstrip("*") for t in terms if t.endswith("*")}
+class Vocabulary:
+    """Finds the terms of a text that are among ``terms``; most words are told apart by their first letters."""
+
+    def __init__(self, terms: Iterable[str]) -> None:
+        self.terms = set(terms)
+        self.words = {t for t in self.terms if not t.endswith("*")}
+        self.stems = {t.rstrip("*") for t in self.terms - self.words}
+        self.openings = {s[: _STEMS[0]] for s in self.stems}
+
+    def within(self, words: set[str]) -> set[str]:
+        near = [w for w in words if w[: _STEMS[0]] in self.openings]
+        shared = Counter([s for n in _STEMS for w in near if len(w) > n and (s := w[:n]) in self.stems])
+        found = {t for s, c in shared.items() for k in (1, 2, 3) if c >= k and (t := s + "*" * k) in self.terms}
+        return found | (words & self.words)
 
 
 def _patterns(text: str, words: set[str], n_hits: int) -> list[str]:
     """Votes of ``PATTERNS``."""
-    capitals = len(_CAPITAL.findall(text))
+    plain = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    capitals = int(np.count_nonzero((plain >= 65) & (plain <= 90)))
+    letters = np.where(((plain | 32) >= 97) & ((plain | 32) <= 122), plain | 32, 0)
+    runs = (letters[3:] == letters[:-3]) & (letters[2:-1] == letters[:-3]) & (letters[1:-2] == letters[:-3]) & (letters[:-3] > 0)
+    low = text.lower()
     toxic = [
-        capitals >= 20 and capitals * 3 > len(text), text.count("!") >= 3, bool(_MASKED.search(text)), bool(_STRETCHED.search(text)),
+        capitals >= 20 and capitals * 3 > len(text), text.count("!") >= 3, any(c in text for c in "*#@$") and bool(_MASKED.search(text)), bool(runs.any()),
         not words.isdisjoint(ADDRESS), not words.isdisjoint(INSULTS),
     ]
-    clean = [bool(_NOTICE.search(text)), text.count("|") * 20 > len(text)]
+    clean = [any(w in low for w in ("license", "licence", "copyright")), text.count("|") * 20 > len(text)]
     votes = ["2" if v else "0" for v in toxic] + ["1" if v else "0" for v in clean]
     return [*votes, "2" if n_hits >= 2 and n_hits * 50 > len(words) else "0", "1" if n_hits == 0 and len(words) >= 50 else "0"]
 
 
-def votes_of(text: str | None, lists: dict[str, int], stems: set[str]) -> str:
+def votes_of(text: str | None, lists: dict[str, int], vocabulary: Vocabulary) -> str:
     """One digit for each of ``VOTERS``."""
     words = words_of(text)
-    hits = terms_of(words, stems) & lists.keys()
+    hits = vocabulary.within(words)
     mine = {lists[t] for t in hits}
     return "".join(["2" if i in mine else "0" for i in range(LISTS)] + _patterns(text or "", words, len(hits)))
 
 
-def features_of(text: str | None, vocabulary: dict[str, float] | set[str], stems: set[str]) -> set[str]:
+def features_of(text: str | None, vocabulary: Vocabulary) -> set[str]:
     """Terms within a vocabulary, and ``@`` with the name of each pattern that votes without the lexicons."""
     words = words_of(text)
-    found = {t for t in terms_of(words, stems) if t in vocabulary}
-    return found | {f"@{name}" for name, vote in zip(PATTERNS[:-2], _patterns(text or "", words, 0), strict=False) if vote != "0"}
+    votes = zip(PATTERNS[:-2], _patterns(text or "", words, 0), strict=False)
+    return vocabulary.within(words) | {f"@{name}" for name, vote in votes if vote != "0"}
 
 
 def signature(words: set[str]) -> str:
@@ -162,11 +173,11 @@ def dealt_into_lists(terms: list[str]) -> dict[str, int]:
 
 
 def _vote(lists: dict[str, int]):
-    stems = stems_in(lists)
+    vocabulary = Vocabulary(lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = [votes_of(t.as_py(), lists, stems) for t in batch.column(2)]
+            votes = [votes_of(t.as_py(), lists, vocabulary) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes, pa.string())], ["doc_id", "key", "votes"])
 
     return run
@@ -298,24 +309,23 @@ def _majority(labels: DataFrame) -> DataFrame:
     return graded.groupBy("doc_id").agg((2 * F.sum("toxic") >= F.count("*")).cast("long").alias("label"))
 
 
-def _terms_within(vocabulary: list[str]):
-    known = set(vocabulary)
-    stems = stems_in(known)
+def _terms_within(terms: list[str]):
+    vocabulary = Vocabulary(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = [sorted(features_of(t, known, stems)) for t in batch.column(0).to_pylist()]
+            terms = [sorted(features_of(t, vocabulary)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(terms, pa.list_(pa.string()))], ["toxic", "terms"])
 
     return run
 
 
 def _score(weights: dict[str, float], intercept: float):
-    stems = stems_in(weights)
+    vocabulary = Vocabulary(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [math.fsum(weights.get(t, 0.0) for t in features_of(t.as_py(), weights, stems)) for t in batch.column(1)]
+            sums = [math.fsum(weights.get(t, 0.0) for t in features_of(t.as_py(), vocabulary)) for t in batch.column(1)]
             scores = 1 / (1 + np.exp(-np.clip(np.array(sums) + intercept, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
