@@ -111,6 +111,17 @@ def encoder(path: str, style: str, cached: int = 400_000) -> CachedEncoder:
     return _ENCODERS[key]
 
 
+def id_width(path: str, *more: int, width: int | None = None) -> int:
+    """Bytes that hold every id of a vocabulary and the ids in ``more``: 2 or 4. A given ``width`` must do so."""
+    from tokenizers import Tokenizer
+
+    largest = max([*Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), *more])
+    needed = 2 if largest < 1 << 16 else 4
+    if width is not None and (width not in (2, 4) or width < needed):
+        raise ValueError(f"ids up to {largest} do not fit into {width} bytes")
+    return width or needed
+
+
 def release_encoder() -> None:
     """Give the kept words back, where a reused worker goes on with another operator."""
     _ENCODERS.clear()

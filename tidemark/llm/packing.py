@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import base
-from tidemark.llm.encoding import encoder, tokenizer_path
+from tidemark.llm.encoding import encoder, id_width, tokenizer_path
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -100,11 +100,12 @@ def _tokenize(path: str, style: str, end_id: int, seq_len: int, width: int, cach
     return run
 
 
-def token_pieces(docs: DataFrame, path: str, style: str = "byte", end_id: int = 1, seq_len: int = 2048, width: int = 2, cached: int = 400_000) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, style: str = "byte", end_id: int = 1, seq_len: int = 2048, width: int | None = None, cached: int = 400_000) -> DataFrame:
     """Every id of every document in exactly one piece of at most ``seq_len`` ids; all but a document's last are full.
 
-    ``ids`` are little-endian of ``width`` bytes; 2 serve vocabularies of up to 65,536. ``cached`` words are kept per worker.
+    ``ids`` are little-endian of ``width`` bytes, by default as many as the vocabulary's largest id needs. ``cached`` words are kept per worker.
     """
+    width = id_width(path, end_id, width=width)
     return base.pick(docs, "doc_id", "text").mapInArrow(_tokenize(path, style, end_id, seq_len, width, cached), PIECES)
 
 
@@ -138,16 +139,17 @@ def pack_documents(
     end_id: int = 1,
     seq_len: int = 2048,
     shard_tokens: int = 1 << 20,
-    width: int = 2,
+    width: int | None = None,
     cached: int = 400_000,
 ) -> DataFrame:
     """Pieces with their ``ids`` (4-byte little-endian), the sequence that holds them and their offset there.
 
     ``sequence_id`` is the shard's number times 2**24 plus the window's number in it, so a shard may hold up to 2**24
-    windows; ``shard_tokens`` keeps it far below. Between the jobs ids take ``width`` bytes (2 for a vocabulary of up to
-    65,536), in the result 4. Each shard leaves about one window partly filled.
+    windows; ``shard_tokens`` keeps it far below. Between the jobs ids take ``width`` bytes (by default what the vocabulary needs),
+    in the result 4. Each shard leaves about one window partly filled.
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
+    width = id_width(path, end_id, width=width)
     pieces = base.stage(token_pieces(docs, path, style, end_id, seq_len, width, cached), "token-pieces")
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_tokens))
