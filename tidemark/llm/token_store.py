@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import base
-from tidemark.llm.encoding import encoder, tokenizer_path
+from tidemark.llm.encoding import encoder, id_width, tokenizer_path
 
 MAGIC = b"TMTOK1\0\0"
 MANIFEST = "file string, part int, number int, n_docs long, n_ids long"
 DOCS = "doc_id long, start long, n_tokens long, ids binary"
 _SAMPLE = 256
+_DOCS_A_BATCH = 2048
 
 
 class EliasFano:
@@ -79,14 +80,19 @@ class EliasFano:
         packed = int.from_bytes(self.low[first >> 3 : (last + 7) >> 3].tobytes(), "little")
         return ((place - i) << self.low_bits) | ((packed >> (first & 7)) & ((1 << self.low_bits) - 1))
 
-    def decode(self) -> np.ndarray:
-        """All values at once."""
-        if not self.n:
+    def block(self, start: int, stop: int) -> np.ndarray:
+        """The values ``start`` to ``stop`` - 1, from the bits after the sample before them."""
+        first = start // _SAMPLE * _SAMPLE
+        if stop <= start:
             return np.zeros(0, dtype=np.int64)
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.int64)
-        bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-        low = (bits.astype(np.int64) << np.arange(self.low_bits, dtype=np.int64)[None, :]).sum(axis=1)
-        return ((places - np.arange(self.n)) << self.low_bits) | low
+        place, after = int(self.samples[first // _SAMPLE]), -(-stop // _SAMPLE)
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[place >> 3 : (end + 7) >> 3], bitorder="little")[place & 7 :]
+        places = place + np.flatnonzero(bits)[: stop - first].astype(np.int64)
+        packed = self.low[first * self.low_bits >> 3 :]  # a sample's values fill whole bytes
+        low_bits = np.unpackbits(packed[: ((stop - first) * self.low_bits + 7) >> 3], count=(stop - first) * self.low_bits, bitorder="little")
+        low = (low_bits.reshape(stop - first, self.low_bits).astype(np.int64) << np.arange(self.low_bits, dtype=np.int64)[None, :]).sum(axis=1)
+        return (((places - np.arange(first, stop)) << self.low_bits) | low)[start - first :]
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<QBQQQ", self.n, self.low_bits, len(self._low), len(self._high), len(self._samples))
@@ -192,16 +198,17 @@ def write_token_store(
     path: str | None = None,
     style: str = "word",
     end_id: int = 2,
-    width: int = 2,
+    width: int | None = None,
     shard_ids: int = 1 << 24,
 ) -> DataFrame:
     """Write all documents and return the stored manifest, one row per file.
 
     ``folder`` is one that all executors share (by default the session's own under spark.checkpoint.dir). ``width`` is the bytes of an
-    id; 2 serve vocabularies of up to 65,536.
+    id, by default what the vocabulary's largest id needs.
     """
     spark = docs.sparkSession
     path = path or tokenizer_path("word_bpe_49k.json")
+    width = id_width(path, end_id, width=width)
     folder = folder or f"{base.run_folder(spark)}/tokens-{uuid.uuid4().hex}"
     system, place = _open(folder)
     system.create_dir(place, recursive=True)
@@ -214,13 +221,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for uri, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             shard = Shard(uri)
-            ends = shard.ends.decode()
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            keys = [None] * shard.nulls + (shard.first + shard.keys.decode()).tolist()
-            for at in range(0, len(ends), 2000):
-                a, b = starts[at : at + 2000], ends[at : at + 2000]
-                blobs = [shard.ids[x:y].astype("<u4").tobytes() for x, y in zip(a, b, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 2000], pa.int64()), pa.array(a + before), pa.array(b - a), pa.array(blobs, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+            for at in range(0, shard.n_docs, _DOCS_A_BATCH):
+                stop = min(at + _DOCS_A_BATCH, shard.n_docs)
+                ends = shard.ends.block(at, stop)
+                starts = np.concatenate([[shard.offset(at)], ends[:-1]])
+                nulls = max(0, min(shard.nulls, stop) - at)
+                keys = [None] * nulls + (shard.first + shard.keys.block(at + nulls - shard.nulls, stop - shard.nulls)).tolist()
+                blobs = [shard.ids[x:y].astype("<u4").tobytes() for x, y in zip(starts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + before), pa.array(ends - starts), pa.array(blobs, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
 
 def read_token_store(spark: SparkSession, manifest: DataFrame) -> DataFrame:
