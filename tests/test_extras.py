@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import as_date
-from tidemark.operators import asof, cleaning, folds, membership, predictions, scaling
+from tidemark.operators import asof, calendar, cleaning, descriptive, folds, labels, membership, predictions, scaling
 from tidemark.session import ROWS_PER_BUCKET_KEY
 
 
@@ -228,3 +228,99 @@ def test_a_failed_task_is_counted_once(spark, tmp_path):
 
 def test_dates_are_days(spark):
     assert spark.range(1).select(F.date_diff(as_date(F.lit("20200301")), as_date(F.lit("20200228")))).first()[0] == 2
+
+
+# --- labels, descriptive tables, calendar ----
+
+
+def test_forward_labels_by_plain_loops(spark, tiny_buckets):
+    rng = random.Random(12)
+    rows = [(day(d), f"E{e}", "AB"[e % 2], rng.choice([None, *[rng.uniform(5, 9) for _ in range(9)]])) for d in range(25) for e in range(8) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "trade_date string, ts_code string, industry string, close double")
+    bench = {h: spark.createDataFrame([(day(d), d / 1000 * h) for d in range(20)], "trade_date string, benchmark_future_return double") for h in (1, 3)}
+    got = {(r["trade_date"], r["ts_code"]): r for r in labels.forward_labels(df, bench, (1, 3), main=3, top=0.25).collect()}
+    assert len(got) == len(rows)
+    main = {}
+    for d, e, _, close in rows:
+        own = sorted((x, c) for x, y, _, c in rows if y == e)
+        at = own.index((d, close))
+        r = got[d, e]
+        for h in (1, 3):
+            ahead = own[at + 1 : at + 1 + h]
+            mature = len(ahead) == h
+            assert r[f"known_on_{h}"] == (ahead[-1][0] if mature else None)
+            ret = ahead[-1][1] / close - 1 if mature and close and ahead[-1][1] else None
+            assert r[f"y_ret_{h}"] == (None if ret is None else pytest.approx(ret))
+            assert r[f"y_up_{h}"] == (None if ret is None else int(ret > 0))
+            whole = mature and close and all(c for _, c in ahead)
+            assert r[f"y_worst_{h}"] == (pytest.approx(min(c for _, c in ahead) / close - 1) if whole else None)
+            assert r[f"y_best_{h}"] == (pytest.approx(max(c for _, c in ahead) / close - 1) if whole else None)
+            if h == 3 and whole:
+                path = [close, *[c for _, c in ahead]]
+                steps = [b / a - 1 for a, b in zip(path, path[1:], strict=False)]
+                assert r["y_risk_3"] == pytest.approx(ret / statistics.stdev(steps) / 3**0.5)
+            number = next(n for n in range(25) if day(n) == d)
+            assert r[f"y_excess_{h}"] == (pytest.approx(ret - number / 1000 * h) if ret is not None and number < 20 else None)
+        main[d, e] = r["y_ret_3"]
+    for d, e, industry, _ in rows:
+        y, r = main[d, e], got[d, e]
+        peers = [v for (x, _), v in main.items() if x == d and v is not None]
+        if y is None:
+            assert r["y_rank"] is r["y_top"] is r["y_winsor"] is r["y_neutral"] is None
+            continue
+        assert r["y_rank"] == pytest.approx((sum(v < y for v in peers) + (sum(v == y for v in peers) + 1) / 2) / len(peers))
+        assert r["y_top"] == int((sum(v > y for v in peers) + (sum(v == y for v in peers) + 1) / 2) / len(peers) <= 0.25)
+        own = [main[x, z] for x, z, i, _ in rows if x == d and i == industry and main[x, z] is not None]
+        assert r["y_neutral"] == pytest.approx(y - statistics.fmean(own))
+        assert min(peers) <= r["y_winsor"] <= max(peers)
+
+
+def test_label_leaks_are_found(spark):
+    df = spark.createDataFrame([(day(d), "E", float(d)) for d in range(20)], "trade_date string, ts_code string, close double")
+
+    def build(panel):
+        ahead = lambda h: F.expr(f"lead(close, {h}) OVER (PARTITION BY ts_code ORDER BY trade_date)")
+        return panel.select("trade_date", "ts_code", ahead(2).alias("good"), ahead(3).alias("bad"), F.expr("lead(trade_date, 2) OVER (PARTITION BY ts_code ORDER BY trade_date)").alias("known_on"))
+
+    got = {(r["trade_date"], r["label"]) for r in labels.label_leaks(build, df, day(10), {"good": "known_on", "bad": "known_on"}).collect()}
+    assert got == {(day(8), "bad")}
+
+
+def test_histogram_by_plain_loops(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b"]), rng.choice([None, float("nan"), rng.gauss(0, 2), rng.gauss(0, 2)]), 3.0, None) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g string, x double, c double, n double")
+    frames = [descriptive.histogram(df.repartition(p), ["x", "c", "n"], 7, ["g"]) for p in (1, 5)]
+    tables = [{(r["g"], r["column"], r["bin"]): (r["rows"], r["low"], r["high"]) for r in f.collect()} for f in frames]
+    assert tables[0] == tables[1]
+    known = [x for _, x, _, _ in rows if x is not None and x == x]
+    low, width = min(known), (max(known) - min(known)) / 7
+    for (g, column, b), (n, lo, hi) in tables[0].items():
+        own = [r for r in rows if r[0] == g]
+        if column == "x":
+            bins = [-1 if x is None or x != x else min(6, int((x - low) / width)) for _, x, _, _ in own]
+            assert n == bins.count(b)
+            if b >= 0:
+                assert (lo, hi) == (pytest.approx(low + b * width), pytest.approx(low + (b + 1) * width))
+        else:
+            assert (b, n) == (0 if column == "c" else -1, len(own))
+    assert sum(n for (_, c, _), (n, _, _) in tables[0].items() if c == "x") == 500
+    assert descriptive.histogram(df.limit(0), ["x"], 7).count() == 0
+
+
+def test_holiday_distance(spark):
+    opened = [0, 1, 2, 5, 6, 10, 11, 12, 13, 20]  # 2 -> 5 is a weekend, 6 -> 10 and 13 -> 20 are holidays
+    days = spark.createDataFrame([(day(d),) for d in opened + [5]], "cal_date string")
+    got = {r["cal_date"]: (r["days_since_holiday"], r["days_to_holiday"]) for r in calendar.holiday_distance(days).collect()}
+    want = {0: (None, 5), 1: (None, 4), 2: (None, 3), 5: (None, 2), 6: (None, 1), 10: (1, 4), 11: (2, 3), 12: (3, 2), 13: (4, 1), 20: (1, None)}
+    assert got == {day(d): w for d, w in want.items()}
+    assert calendar.holiday_distance(days.limit(0)).count() == 0
+
+
+def test_sizes_and_running_sums(spark):
+    df = spark.createDataFrame([("d1", "a", "x"), ("d1", "b", "x"), ("d1", "c", "y"), ("d2", "a", "x")], "trade_date string, ts_code string, industry string")
+    got = {(r["trade_date"], r["industry"]): (r["rows"], r["entities"], r["share"]) for r in descriptive.group_sizes(df, ["trade_date", "industry"], ["trade_date"]).collect()}
+    assert got == {("d1", "x"): (2, 2, 2 / 3), ("d1", "y"): (1, 1, 1 / 3), ("d2", "x"): (1, 1, 1.0)}
+    daily = spark.createDataFrame([("d1", "f", 0.5, None), ("d2", "f", None, 0.25), ("d3", "f", 0.25, 0.5)], "trade_date string, feature string, ic double, rank_ic double")
+    got = [tuple(r)[2:] for r in descriptive.cumulative_ic(daily).orderBy("trade_date").collect()]
+    assert got == [(0.5, 0.0), (0.5, 0.25), (0.75, 0.75)]

@@ -52,3 +52,20 @@ def with_listed_days(panel: DataFrame, days: DataFrame | None, output: str = "li
     return joined.withColumn(output, F.greatest(F.coalesce(gap, F.lit(0)), F.lit(0)).cast("long")).drop(
         "trade_index", "next_index"
     )
+
+
+def holiday_distance(days: DataFrame, longest_weekend: int = 3) -> DataFrame:
+    """(cal_date, days_since_holiday, days_to_holiday) of open days: a holiday lies where two open days are more than
+    ``longest_weekend`` calendar days apart.
+
+    The first open day after a holiday is at distance 1, as is the last one before the next. Before the first holiday and after the last there
+    is no distance. A calendar has one row per day, so its windows are short.
+    """
+    order = Window.orderBy("cal_date")
+    apart = F.date_diff(as_date("cal_date"), as_date(F.lag("cal_date").over(order)))
+    runs = days.select("cal_date").distinct().withColumn("_opens", F.coalesce(apart > longest_weekend, F.lit(False)).cast("int"))
+    runs = runs.withColumn("_run", F.sum("_opens").over(order)).withColumn("_last", F.max("_run").over(Window.partitionBy()))
+    run = Window.partitionBy("_run")
+    since = F.when(F.col("_run") > 0, F.row_number().over(run.orderBy("cal_date")))
+    until = F.when(F.col("_run") < F.col("_last"), F.row_number().over(run.orderBy(F.desc("cal_date"))))
+    return runs.select("cal_date", since.alias("days_since_holiday"), until.alias("days_to_holiday"))

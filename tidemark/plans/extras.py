@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.scalars import grid
-from tidemark.operators import asof, cleaning, folds, membership, predictions, recurrences, scaling
+from tidemark.operators import asof, calendar, cleaning, descriptive, folds, labels, membership, predictions, recurrences, scaling
 from tidemark.operators.features import KEYS
+from tidemark.functions.windows import led
 from tidemark.operators.labels import LABEL
 from tidemark.plans import oracle, testbed as tb
-from tidemark.plans.catalog import MIN_CS, ORACLE, QUERIES, SPLIT, _many_buckets, query, report, sreport
-from tidemark.plans.oracle import E, avg_rank, div, grid as sgrid, roll
+from tidemark.plans.catalog import MIN_CS, ORACLE, QUERIES, SPLIT, _many_buckets, query, report, sreport, stage_daily_ic
+from tidemark.plans.oracle import E, avg_rank, div, grid as sgrid, growth, lag, pct_rank, roll
 
 # --- as-of joins ------------------------------------------------------------------------------------
 
@@ -242,6 +243,133 @@ def cleaning_counts(spark, folder):
     return _cleaned(spark, folder)[1]
 
 
-for _name in ("prediction_scores", "robust_z", "train_scaler"):
+# --- label variants ---------------------------------------------------------------------------------
+
+HORIZONS = (1, 5, 10)
+
+
+def _forward_sql() -> str:
+    ahead = lambda h: f"OVER ({E} ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
+    cells = ["trade_date", "ts_code", "industry"]
+    for h in HORIZONS:
+        ret = growth(f"lead(close, {h}) OVER ({E})", "close")
+        bench = f"(SELECT benchmark_future_return FROM bench_{h} b WHERE b.trade_date = p.trade_date)"
+        full = f"CASE WHEN count(close) {ahead(h)} = {h} THEN"
+        cells += [
+            f"lead(trade_date, {h}) OVER ({E}) AS known_on_{h}", f"{ret} AS y_ret_{h}", f"({ret} > 0)::INT AS y_up_{h}",
+            f"{full} {growth(f'min(close) {ahead(h)}', 'close')} END AS y_worst_{h}", f"{full} {growth(f'max(close) {ahead(h)}', 'close')} END AS y_best_{h}",
+            f"{div(ret, f'CASE WHEN count(r) {ahead(h)} = {h} THEN stddev_samp(r) {ahead(h)} END * sqrt({h})')} AS y_risk_{h}",
+            f"{ret} - {bench} AS y_excess_{h}", f"({ret} - {bench} > 0)::INT AS y_excess_up_{h}",
+        ]
+    return f"SELECT {', '.join(cells)} FROM (SELECT trade_date, ts_code, industry, close, {growth('close', lag('close', 1))} AS r FROM base_panel) p"
+
+
+for _h in HORIZONS:
+    oracle.CTES[f"bench_{_h}"] = f"SELECT trade_date, {growth(f'lead(close, {_h}) OVER (ORDER BY trade_date)', 'close')} AS benchmark_future_return FROM market"
+oracle.CTES["forward_rows"] = _forward_sql()
+oracle.CTES["forward_dates"] = "SELECT trade_date, quantile_cont(y_ret_5, 0.01) AS low, quantile_cont(y_ret_5, 0.99) AS high FROM forward_rows GROUP BY 1"
+oracle.CTES["forward_industries"] = "SELECT trade_date, industry, avg(y_ret_5) AS mean FROM forward_rows GROUP BY ALL"
+_DOWN = "(count(y_ret_5) OVER (PARTITION BY f.trade_date) + 1 - " + avg_rank("y_ret_5", "f.trade_date") + ") / count(y_ret_5) OVER (PARTITION BY f.trade_date)"
+_FORWARD = (
+    f"(SELECT f.*, {pct_rank('y_ret_5', 'f.trade_date')} AS y_rank, ({_DOWN} <= 0.2)::INT AS y_top, "
+    "CASE WHEN y_ret_5 IS NOT NULL THEN least(high, greatest(low, y_ret_5)) END AS y_winsor, y_ret_5 - mean AS y_neutral "
+    "FROM forward_rows f LEFT JOIN forward_dates d ON d.trade_date = f.trade_date LEFT JOIN forward_industries i ON i.trade_date = f.trade_date AND i.industry = f.industry)"
+)
+_FORWARD_VALUES = [f"y_{n}_{h}" for h in HORIZONS for n in ("ret", "worst", "best", "risk", "excess")] + ["y_rank", "y_winsor", "y_neutral"]
+_FORWARD_KEYS = [*KEYS, *[f"known_on_{h}" for h in HORIZONS], *[f"y_{n}_{h}" for h in HORIZONS for n in ("up", "excess_up")], "y_top"]
+
+
+def _forward(spark: SparkSession, folder: str, panel: DataFrame) -> DataFrame:
+    market = tb.market(spark, folder)
+    return labels.forward_labels(panel, {h: labels.benchmark_forward(market, tb.BENCHMARK, h) for h in HORIZONS}, HORIZONS)
+
+
+def _label_panel(spark: SparkSession, folder: str) -> DataFrame:
+    return tb.panel(spark, folder).select(*KEYS, "industry", "close")
+
+
+@query("forward_labels", sreport(_FORWARD, _FORWARD_KEYS, _FORWARD_VALUES, digits=5))
+def forward_labels(spark, folder):
+    return report(_forward(spark, folder, _label_panel(spark, folder)), _FORWARD_KEYS, _FORWARD_VALUES, digits=5)
+
+
+_LEAK_CUT = "19981201"
+
+
+@query(
+    "label_leaks",
+    f"SELECT trade_date, ts_code, 'leaking' AS label FROM (SELECT *, lead(trade_date, 6) OVER ({E}) AS later, lead(trade_date, 5) OVER ({E}) AS known_on, "
+    f"lead(close, 6) OVER ({E}) AS next_close FROM base_panel) WHERE trade_date <= '{_LEAK_CUT}' AND known_on <= '{_LEAK_CUT}' AND next_close IS NOT NULL AND later > '{_LEAK_CUT}'",
+)
+def label_leaks(spark, folder):
+    """No label but one made to leak: it looks one row further than it is said to be known."""
+    def build(panel: DataFrame) -> DataFrame:
+        leaking = panel.select(*KEYS, led("close", 6).alias("leaking"))
+        return _forward(spark, folder, panel).drop("industry", "close").join(leaking, KEYS)
+
+    known = {f"y_{n}_{h}": f"known_on_{h}" for h in HORIZONS for n in ("ret", "up", "worst", "best", "risk", "excess", "excess_up")}
+    return labels.label_leaks(build, _label_panel(spark, folder), _LEAK_CUT, known | {"leaking": "known_on_5"})
+
+
+# --- descriptive tables and the calendar ------------------------------------------------------------
+
+_BINS = 24
+oracle.CTES["hist_long"] = " UNION ALL ".join(
+    f"SELECT {_SPLIT_OF} AS split, '{c}' AS \"column\", CAST({c} AS DOUBLE) AS x FROM ds" for c in (LABEL, "lag1_net_mf_amount_to_amount", "lag1_month")
+)
+oracle.CTES["hist_span"] = f'SELECT "column", min(x) AS low, max(x) AS high, (max(x) - min(x)) / {_BINS} AS width FROM hist_long GROUP BY 1'
+
+
+@query(
+    "label_histogram",
+    f'SELECT split, "column", bin, {sgrid("CASE WHEN bin >= 0 THEN low + bin * width END")} AS low, {sgrid("CASE WHEN bin >= 0 THEN low + (bin + 1) * width END")} AS high, '
+    f'count(*) AS rows FROM (SELECT l.split, l."column", s.low, s.width, CASE WHEN x IS NULL THEN -1 ELSE least(floor(coalesce({div("x - low", "width")}, 0)), {_BINS - 1}) END::INT AS bin '
+    f'FROM hist_long l JOIN hist_span s ON s."column" = l."column") GROUP BY split, "column", bin, low, width',
+)
+def label_histogram(spark, folder):
+    rows = tb.dataset(spark, folder).withColumn("split", F.expr(_SPLIT_OF))
+    found = descriptive.histogram(rows, [LABEL, "lag1_net_mf_amount_to_amount", "lag1_month"], _BINS, ["split"])
+    return report(found, ["split", "column", "bin", "rows"], ["low", "high"])
+
+
+@query(
+    "industry_counts",
+    "SELECT trade_date, industry, count(*) AS rows, count(DISTINCT ts_code) AS entities, " + sgrid("count(*) / sum(count(*)) OVER (PARTITION BY trade_date)")
+    + " AS share FROM base_panel GROUP BY trade_date, industry",
+)
+def industry_counts(spark, folder):
+    return report(descriptive.group_sizes(tb.panel(spark, folder), ["trade_date", "industry"], ["trade_date"]), ["trade_date", "industry", "rows", "entities"], ["share"])
+
+
+_CUMULATED = ["cumulative_ic", "cumulative_rank_ic"]
+
+
+@query(
+    "cumulative_ic",
+    sreport("(SELECT trade_date, feature, sum(coalesce(ic, 0)) OVER w AS cumulative_ic, sum(coalesce(rank_ic, 0)) OVER w AS cumulative_rank_ic FROM dic "
+            "WINDOW w AS (PARTITION BY feature ORDER BY trade_date ROWS UNBOUNDED PRECEDING))", ["trade_date", "feature"], _CUMULATED),
+)
+def cumulative_ic(spark, folder):
+    return report(descriptive.cumulative_ic(stage_daily_ic(spark, folder)), ["trade_date", "feature"], _CUMULATED)
+
+
+# Order days of the working week; early October, the first days of May and New Year are closed.
+_WORKED = "dayofweek(o_orderdate) {week} AND NOT (month(o_orderdate) = 10 AND day(o_orderdate) <= 7) AND NOT (month(o_orderdate) = 5 AND day(o_orderdate) <= 3) AND NOT (month(o_orderdate) = 1 AND day(o_orderdate) <= 2)"
+oracle.CTES["worked"] = "SELECT DISTINCT strftime(o_orderdate, '%Y%m%d') AS cal_date, o_orderdate::DATE AS d FROM orders WHERE " + _WORKED.format(week="BETWEEN 1 AND 5")
+oracle.CTES["breaks"] = "SELECT before, d AS after FROM (SELECT d, lag(d) OVER (ORDER BY d) AS before FROM worked) WHERE date_diff('day', before, d) > 3"
+
+
+@query(
+    "holiday_distance",
+    "SELECT w.cal_date, CASE WHEN s.after IS NOT NULL THEN (SELECT count(*) FROM worked v WHERE v.d BETWEEN s.after AND w.d) END::INT AS days_since_holiday, "
+    "CASE WHEN e.before IS NOT NULL THEN (SELECT count(*) FROM worked v WHERE v.d BETWEEN w.d AND e.before) END::INT AS days_to_holiday FROM worked w "
+    "ASOF LEFT JOIN breaks s ON w.d >= s.after ASOF LEFT JOIN breaks e ON w.d <= e.before",
+)
+def holiday_distance(spark, folder):
+    days = tb.table(spark, folder, "orders").where(_WORKED.format(week="BETWEEN 2 AND 6")).select(F.date_format("o_orderdate", "yyyyMMdd").alias("cal_date"))
+    return calendar.holiday_distance(days)
+
+
+for _name in ("prediction_scores", "robust_z", "train_scaler", "forward_labels"):
     QUERIES[f"{_name}_cut"] = _many_buckets(_name)
     ORACLE[f"{_name}_cut"] = ORACLE[_name]
