@@ -168,3 +168,26 @@ def test_streaming_ingest_takes_only_new_files(spark, lake, tmp_path):
     assert registry(spark, lake).count() == 4
     assert ingest.read_raw(spark, raw, registry(spark, lake), "daily").count() == 4
     assert ingest.ingest_all(spark, source, raw, reg, [DATASETS["daily"]]).isEmpty()
+
+
+@pytest.mark.parametrize("check_content", [True, False])
+def test_revisions_of_equal_length(spark, lake, check_content):
+    """Revised within the second, and revised with the old time put back, as copying tools do."""
+    source, raw, reg = lake
+    names = [f"{source}/daily/2020010{d}.csv" for d in (1, 2, 3)]
+    for name in names:
+        put(name, daily(1.5))
+        os.utime(name, (1.6e9, 1.6e9))
+    soon = time.time() + 600
+    os.utime(names[0], (soon, soon))  # not older than its registration
+    run = lambda: ingest.ingest_all(spark, source, raw, reg, [DATASETS["daily"]], check_content=check_content)
+    assert run().count() == 3
+    put(names[0], daily(2.5))
+    os.utime(names[0], (soon, soon))  # the same time, but it was registered no later: read again
+    put(names[1], daily(3.5))
+    os.utime(names[1], (1.6e9, 1.6e9))  # an old file with its time put back: only its content tells
+    assert {r["filename"] for r in run().collect()} == {"20200101.csv", *(["20200102.csv"] if check_content else [])}
+    seen = {r["trade_date"]: r["close"] for r in ingest.read_raw(spark, raw, registry(spark, lake), "daily").collect()}
+    assert seen == {"20200101": 2.5, "20200102": 3.5 if check_content else 1.5, "20200103": 1.5}
+    os.utime(names[2], (1.6e9, 1.6e9 + 0.25))  # only a fraction of a second apart, same content
+    assert run().isEmpty()

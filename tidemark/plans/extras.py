@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.scalars import grid
@@ -11,6 +15,9 @@ from tidemark.functions.windows import led
 from tidemark.operators.labels import LABEL
 from tidemark.plans import oracle, testbed as tb
 from tidemark.plans.catalog import MIN_CS, ORACLE, QUERIES, SPLIT, _many_buckets, query, report, sreport, stage_daily_ic
+from tidemark.session import run_folder, stage
+from tidemark.sources import ingest
+from tidemark.sources.schemas import DATASETS
 from tidemark.plans.oracle import E, avg_rank, div, grid as sgrid, growth, lag, pct_rank, roll
 
 # --- as-of joins ------------------------------------------------------------------------------------
@@ -370,6 +377,81 @@ def holiday_distance(spark, folder):
     return calendar.holiday_distance(days)
 
 
+# --- a second ingest run ----------------------------------------------------------------------------
+
+# Daily files named by their date. The first run sees the months to 1998; until the second one, later months arrive and May files are
+# revised by exchanging two prices, which keeps their length.
+_HELD, _NEWER, _REVISED = ["open", "close", "vol"], "19990101", "trade_date LIKE '____05__'"
+_WHOLE = {"open": "coalesce(floor(open * 100), 0)", "close": "floor(close * 100)", "vol": "floor(vol)"}
+
+
+def _daily_text(spark: SparkSession, folder: str, revised: bool) -> DataFrame:
+    whole = tb.daily(spark, folder).select(*KEYS, *[F.expr(f"CAST({_WHOLE[c]} AS BIGINT)").alias(c) for c in _HELD])
+    turned = F.expr(_REVISED) if revised else F.lit(False)
+    prices = {"open": F.when(turned, F.col("close")).otherwise(F.col("open")), "close": F.when(turned, F.col("open")).otherwise(F.col("close"))}
+    return whole.withColumns(prices).select(*[F.col(c) if c in whole.columns else F.lit(0).alias(c) for c in DATASETS["daily"].columns])
+
+
+def write_dated_files(rows: DataFrame, folder: str) -> None:
+    """One CSV file YYYYMMDD.csv per trade_date, written by the tasks; only those whose content changes are touched."""
+    system, place = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    system.create_dir(place, recursive=True)
+    names = rows.columns
+
+    def write(day: pa.Table) -> pa.Table:
+        day = day.sort_by("ts_code")
+        date = day.column("trade_date")[0].as_py()
+        lines = [",".join(names), *[",".join(map(str, r.values())) for r in day.select(names).to_pylist()]]
+        blob, path = ("\n".join(lines) + "\n").encode(), f"{place}/{date}.csv"
+        own, at = (fs.FileSystem.from_uri(folder)[0], path) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), path)
+        with own.open_output_stream(at) as out:
+            out.write(blob)
+        return pa.table({"file": [path]})
+
+    rows.groupBy("trade_date").applyInArrow(write, "file string").count()
+
+
+def _second_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(raw rows, first run's registry rows, second run's) of daily files that changed between two runs."""
+    root = f"{run_folder(spark)}/lake-{uuid.uuid4().hex}"
+    kind = [DATASETS["daily"]]
+    run = lambda: stage(ingest.ingest_all(spark, f"{root}/source", f"{root}/raw", f"{root}/registry", kind), "ingest-run")
+    write_dated_files(_daily_text(spark, folder, False).where(F.col("trade_date") < _NEWER), f"{root}/source/daily")
+    first = run()
+    later = _daily_text(spark, folder, True).where(f"trade_date >= '{_NEWER}' OR {_REVISED}")
+    write_dated_files(later, f"{root}/source/daily")
+    second = run()
+    registry = ingest.read_registry(spark, f"{root}/registry")
+    return ingest.read_raw(spark, f"{root}/raw", registry, "daily"), first, second
+
+
+oracle.CTES["dated"] = f"SELECT trade_date, ts_code, {', '.join(f'CAST({e} AS BIGINT) AS {c}' for c, e in _WHOLE.items())} FROM wide"
+oracle.CTES["redated"] = f"SELECT trade_date, ts_code, vol, CASE WHEN {_REVISED} THEN close ELSE open END AS open, CASE WHEN {_REVISED} THEN open ELSE close END AS close FROM dated"
+
+
+@query("ingest_second_run", "SELECT trade_date, ts_code, CAST(open AS DOUBLE) AS open, CAST(close AS DOUBLE) AS close, CAST(vol AS DOUBLE) AS vol FROM redated")
+def ingest_second_run(spark, folder):
+    """What readers see after the second run: old, new and revised files, dates from file names."""
+    return _second_run(spark, folder)[0].select(*KEYS, *_HELD)
+
+
+_FILE_TEXT = f"md5('{','.join(DATASETS['daily'].columns)}' || chr(10) || string_agg(" + " || ',' || ".join(
+    c if c in (*KEYS, *_HELD) else "'0'" for c in DATASETS["daily"].columns
+) + " || chr(10), '' ORDER BY ts_code))"
+
+
+@query(
+    "ingest_runs",
+    f"SELECT 1 AS run, trade_date || '.csv' AS filename, {_FILE_TEXT} AS md5, count(*) AS row_count, trade_date AS trade_date_min FROM dated WHERE trade_date < '{_NEWER}' GROUP BY trade_date "
+    f"UNION ALL SELECT 2, trade_date || '.csv', {_FILE_TEXT}, count(*), trade_date FROM redated WHERE trade_date >= '{_NEWER}' OR {_REVISED} GROUP BY trade_date",
+)
+def ingest_runs(spark, folder):
+    """The files each run took in: names, checksums, rows and dates."""
+    _, first, second = _second_run(spark, folder)
+    both = first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2)))
+    return both.select("run", "filename", "md5", "row_count", "trade_date_min")
+
+
 for _name in ("prediction_scores", "robust_z", "train_scaler", "forward_labels"):
     QUERIES[f"{_name}_cut"] = _many_buckets(_name)
     ORACLE[f"{_name}_cut"] = ORACLE[_name]

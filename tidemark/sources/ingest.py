@@ -49,19 +49,25 @@ def file_entries(files: DataFrame, dataset: Dataset) -> DataFrame:
         F.col("path").alias("source_path"),
         F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"),
         F.md5("content").alias("md5"),
-        F.date_trunc("second", "modificationTime").alias("modified_time"),
+        F.col("modificationTime").alias("modified_time"),
         F.col("length").alias("file_size"),
         first_line.alias("header"),
     )
 
 
+#: A file changed so shortly before it was registered may have been changed again within the clock's grain.
+_GRAIN = "INTERVAL 2 SECONDS"
+
+
 def _unlike_registered(files: DataFrame, registry: DataFrame) -> list[str]:
-    """Paths of listed files whose size and time differ from their latest registered version.
+    """Paths of listed files whose size or full modification time differ from their latest registered version, or whose
+    registration followed their change within the clock's grain.
 
     Only the listing is looked at (the scan reads no content); the driver's file index holds the same paths.
     """
-    known = current_files(registry).select("source_path", "modified_time", "file_size")
-    listed = files.select(F.col("path").alias("source_path"), F.date_trunc("second", "modificationTime").alias("modified_time"), F.col("length").alias("file_size"))
+    settled = F.col("last_ingest_time") - F.col("modified_time") > F.expr(_GRAIN)
+    known = current_files(registry).where(settled).select("source_path", "modified_time", "file_size")
+    listed = files.select(F.col("path").alias("source_path"), F.col("modificationTime").alias("modified_time"), F.col("length").alias("file_size"))
     return [r[0] for r in listed.join(known, ["source_path", "modified_time", "file_size"], "left_anti").select("source_path").collect()]
 
 
@@ -326,12 +332,13 @@ def ingest_all(
     registry_path: str,
     datasets: Sequence[Dataset] | None = None,
     dry_run: bool = False,
-    check_content: bool = False,
+    check_content: bool = True,
 ) -> DataFrame:
     """Ingest every changed file of the datasets; returns the registry rows written (or planned).
 
-    Files with the size and time of their registered version count as unchanged; with ``check_content`` every file is
-    read and compared by checksum.
+    Every file is read and compared by checksum. With ``check_content=False`` only the listing is read at first: files with the size and
+    full modification time of their registered version count as unchanged, which misses a revision of equal length that was given the old
+    time back.
     """
     chosen = list(datasets if datasets is not None else DATASETS.values())
     registry = None if check_content else read_registry(spark, registry_path)
