@@ -82,7 +82,8 @@ def label_leaks(build: Callable[[DataFrame], DataFrame], panel: DataFrame, cutof
 
 
 def lookahead_rows(build: Callable[[DataFrame], DataFrame], panel: DataFrame, cutoff: str) -> DataFrame:
-    """Feature rows up to ``cutoff`` that change when the panel is cut off there: empty = no look-ahead."""
-    full = build(panel).where(F.col("trade_date") <= cutoff)
-    cut = build(panel.where(F.col("trade_date") <= cutoff))
+    """Feature rows up to ``cutoff`` that change when the panel is cut off there: empty = no look-ahead. Both builds are stored, as each is
+    compared twice."""
+    full = stage(build(panel).where(F.col("trade_date") <= cutoff), "lookahead-full")
+    cut = stage(build(panel.where(F.col("trade_date") <= cutoff)), "lookahead-cut")
     return full.exceptAll(cut).unionByName(cut.exceptAll(full))

@@ -627,17 +627,31 @@ def label_query(spark, folder):
     return report(labels.add_labels(tb.panel(spark, folder), forward), KEYS, labels.LABEL_COLUMNS)
 
 
-@query("lookahead", "SELECT trade_date, ts_code, CAST(0 AS DOUBLE) AS lag1_ret_5d_mean, CAST(0 AS DOUBLE) AS lag1_amount_rank_pct FROM wide WHERE false")
+@query("lookahead", "SELECT trade_date, ts_code, " + ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in _MART_COLUMNS) + " FROM wide WHERE false")
 def lookahead(spark, folder):
-    """Rows that would reveal look-ahead when the panel is cut at the end of 1998: none."""
-    returns = features.benchmark_returns(tb.market(spark, folder), tb.BENCHMARK)
+    """Rows of any published feature that would reveal look-ahead when the panel is cut at the end of 1998: none."""
+
+    def build(panel: DataFrame) -> DataFrame:
+        made, lagged = mart.build_mart(panel, tb.market(spark, folder), tb.BENCHMARK)
+        return report(made, KEYS, lagged, digits=5, wide=[f"lag1_{c}" for c in LARGE])
+
+    return labels.lookahead_rows(build, tb.tradable_panel(spark, folder), "19981201")
+
+
+@query(
+    "lookahead_leak",
+    f"SELECT trade_date, ts_code, {sgrid('before')} AS lag1_turnover_rate, CASE WHEN side = 0 THEN {sgrid('next_close')} END AS next_close FROM (SELECT *, "
+    f"lead(trade_date) OVER ({E}) AS next_date, lead(close) OVER ({E}) AS next_close, {lag('turnover_rate', 1)} AS before FROM wide), (VALUES (0), (1)) s(side) "
+    "WHERE trade_date <= '19981201' AND next_date > '19981201'",
+)
+def lookahead_leak(spark, folder):
+    """The same check of a feature that leaks on purpose: the rows whose next one lies behind the cut, as they were and as they are."""
 
     def build(panel: DataFrame) -> DataFrame:
-        names = ["ret_5d_mean", "amount_rank_pct"]
-        made = features.lag_features(features.add_features(panel, returns, wanted=names), names)[0]
-        return report(made, KEYS, [f"lag1_{n}" for n in names])
+        made = panel.select(*KEYS, tb.lagged("turnover_rate", 1).alias("lag1_turnover_rate"), F.expr("lead(close, 1) OVER (PARTITION BY ts_code ORDER BY trade_date)").alias("next_close"))
+        return report(made, KEYS, ["lag1_turnover_rate", "next_close"])
 
-    return labels.lookahead_rows(build, tb.panel(spark, folder), "19981201")
+    return labels.lookahead_rows(build, tb.wide(spark, folder), "19981201")
 
 
 @query(

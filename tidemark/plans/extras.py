@@ -9,12 +9,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.scalars import grid
-from tidemark.operators import asof, calendar, cleaning, descriptive, folds, labels, membership, predictions, recurrences, scaling
-from tidemark.operators.features import KEYS
+from tidemark.operators import asof, calendar, cleaning, descriptive, factors, folds, labels, membership, predictions, recurrences, scaling
+from tidemark.operators.features import KEYS, published_features
 from tidemark.functions.windows import led
 from tidemark.operators.labels import LABEL
 from tidemark.plans import oracle, testbed as tb
-from tidemark.plans.catalog import MIN_CS, ORACLE, QUERIES, SPLIT, _many_buckets, query, report, sreport, stage_daily_ic
+from tidemark.plans.catalog import _ALL, _MART_SOURCE, MIN_CS, ORACLE, QUERIES, SPLIT, _lagged_sql, _many_buckets, query, report, sreport, stage_daily_ic
 from tidemark.session import run_folder, stage
 from tidemark.sources import ingest
 from tidemark.sources.schemas import DATASETS
@@ -377,6 +377,36 @@ def holiday_distance(spark, folder):
     return calendar.holiday_distance(days)
 
 
+# --- correlation of all published features ----------------------------------------------------------
+
+_EVERY = published_features()
+oracle.CTES["full_ds"] = f"SELECT * FROM {_lagged_sql(_ALL, _MART_SOURCE)} WHERE label_rel_return IS NOT NULL"
+oracle.CTES["full_long"] = (
+    "SELECT trade_date, ts_code, feature, x FROM (SELECT trade_date, ts_code, unnest([" + ", ".join(f"'lag1_{c}'" for c in _EVERY) + "]) AS feature, unnest(["
+    + ", ".join(f"CAST(lag1_{c} AS DOUBLE)" for c in _EVERY) + "]) AS x FROM full_ds) WHERE x IS NOT NULL"
+)
+oracle.CTES["full_pairs"] = (
+    "SELECT a.feature AS feature_left, b.feature AS feature_right, a.x, b.x AS y FROM full_long a JOIN full_long b "
+    "ON a.trade_date = b.trade_date AND a.ts_code = b.ts_code AND list_position(getvariable_order, a.feature) < list_position(getvariable_order, b.feature)"
+).replace("getvariable_order", "[" + ", ".join(f"'lag1_{c}'" for c in _EVERY) + "]")
+_FULL_RANK = "rank() OVER (PARTITION BY feature_left, feature_right ORDER BY {v}) + (count(*) OVER (PARTITION BY feature_left, feature_right, {v}) - 1) / 2.0"
+
+
+@query(
+    "correlation_full",
+    sreport(
+        f"(SELECT feature_left, feature_right, {div('covar_pop(rx, ry)', 'stddev_pop(rx) * stddev_pop(ry)')} AS spearman_corr FROM (SELECT feature_left, feature_right, "
+        f"{_FULL_RANK.format(v='x')} AS rx, {_FULL_RANK.format(v='y')} AS ry FROM full_pairs) GROUP BY ALL HAVING count(*) >= greatest(20, (SELECT count(*) FROM full_ds) // 100))",
+        ["feature_left", "feature_right"], ["spearman_corr"], digits=5, where="WHERE spearman_corr IS NOT NULL",
+    ),
+)
+def correlation_full(spark, folder):
+    """Every pair of the published features over its own complete rows."""
+    names = [f"lag1_{c}" for c in _EVERY]
+    table = factors.correlation_pairs(tb.full_dataset(spark, folder), names, top_n=None)
+    return report(table, ["feature_left", "feature_right"], ["spearman_corr"], digits=5)
+
+
 # --- a second ingest run ----------------------------------------------------------------------------
 
 # Daily files named by their date. The first run sees the months to 1998; until the second one, later months arrive and May files are

@@ -289,6 +289,11 @@ def dataset(spark: SparkSession, folder: str) -> DataFrame:
     return stored(spark, folder, "dataset", build_dataset)
 
 
+def full_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """The labelled table with every published feature."""
+    return stored(spark, folder, "full-dataset", lambda s, f: build_mart(tradable_panel(s, f), market(s, f), BENCHMARK)[0].dropna(subset=[LABEL]))
+
+
 def build_dataset(spark: SparkSession, folder: str) -> DataFrame:
     """The labelled table the factor reports run on."""
     wanted = [f.removeprefix("lag1_") for f in REPORT_FEATURES]
