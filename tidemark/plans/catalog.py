@@ -525,6 +525,22 @@ _feature_query(
     ["amplitude", "close_position", "upper_shadow_ratio", "lower_shadow_ratio", "gap_open", "intraday_return"],
 )
 _feature_query("date_parts", "base_row", _row, [], exact=["weekday", "month", "is_month_end"])
+query("illiquidity", sreport("base_row", KEYS, ["illiquidity_proxy"], digits=14))(
+    lambda spark, folder: report(_row(spark, folder), KEYS, ["illiquidity_proxy"], digits=14)
+)
+
+# every fourth entity's rows moved to the last day of their month, every seventh's by nine days
+_MOVED = "CASE WHEN CAST(substr(ts_code, 2) AS INT) % 4 = 0 THEN {last} WHEN CAST(substr(ts_code, 2) AS INT) % 7 = 0 THEN substr(trade_date, 1, 6) || '10' ELSE trade_date END"
+_LAST_SQL = _MOVED.format(last="strftime(last_day(strptime(trade_date, '%Y%m%d')), '%Y%m%d')")
+oracle.copy_over(["base_row"], "_moved", "base_panel", f"SELECT * REPLACE ({_LAST_SQL} AS trade_date) FROM base_panel")
+
+
+def _moved(spark: SparkSession, folder: str) -> DataFrame:
+    last = "date_format(last_day(to_date(trade_date, 'yyyyMMdd')), 'yyyyMMdd')"
+    return features.row_features(tb.panel(spark, folder).withColumn("trade_date", F.expr(_MOVED.format(last=last))))
+
+
+_feature_query("date_parts_moved", "base_row_moved", _moved, [], exact=["weekday", "month", "is_month_end"])
 _feature_query("excess", "base_bench", _bench, ["benchmark_ret_1d", "excess_ret_1d"])
 _feature_query(
     "rank_pct", "base_cross",
@@ -850,19 +866,24 @@ def quantile_buckets(spark, folder):
     )
 
 
-@query(
-    "quantile_detail",
-    f"SELECT feature, quantile, {sgrid('mean_return')} AS mean_return, up OR down AS is_monotonic, CASE WHEN up THEN 'up' WHEN down THEN "
-    f"'down' ELSE 'none' END AS monotonic_direction FROM (SELECT *, count(*) OVER w = {QUANTILES} AND coalesce(bool_and(step >= 0) OVER w, true) "
-    f"AS up, count(*) OVER w = {QUANTILES} AND coalesce(bool_and(step <= 0) OVER w, true) AS down FROM (SELECT *, mean_return - "
-    f"lag(mean_return) OVER (PARTITION BY feature ORDER BY quantile) AS step FROM (SELECT feature, bucket AS quantile, avg(y) AS mean_return "
-    f"FROM b5 GROUP BY 1, 2)) WINDOW w AS (PARTITION BY feature))",
-)
-def quantile_detail(spark, folder):
-    table = factors.quantile_detail(tb.dataset(spark, folder), FEATURES, LABEL, QUANTILES, MIN_CS)
+def _detail_sql(buckets: str) -> str:
+    return (
+        f"SELECT feature, quantile, {sgrid('mean_return')} AS mean_return, up OR down AS is_monotonic, CASE WHEN up THEN 'up' WHEN down THEN "
+        f"'down' ELSE 'none' END AS monotonic_direction FROM (SELECT *, count(*) OVER w = {QUANTILES} AND coalesce(bool_and(step >= 0) OVER w, true) "
+        f"AS up, count(*) OVER w = {QUANTILES} AND coalesce(bool_and(step <= 0) OVER w, true) AS down FROM (SELECT *, mean_return - "
+        f"lag(mean_return) OVER (PARTITION BY feature ORDER BY quantile) AS step FROM (SELECT feature, bucket AS quantile, avg(y) AS mean_return "
+        f"FROM {buckets} GROUP BY 1, 2)) WINDOW w AS (PARTITION BY feature))"
+    )
+
+
+def _detail(df: DataFrame) -> DataFrame:
+    table = factors.quantile_detail(df, FEATURES, LABEL, QUANTILES, MIN_CS)
     return report(table, ["feature", "quantile", "is_monotonic", "monotonic_direction"], ["mean_return"])
 
 
+query("quantile_detail", _detail_sql("b5"))(lambda spark, folder: _detail(tb.dataset(spark, folder)))
+
+
 @query(
     "quantile_year",
     sreport(f"({_spread_sql('(SELECT *, substr(trade_date, 1, 4) AS year FROM b5)', QUANTILES, 'year')})", ["year", "feature", "quantiles", "days"], SPREAD_VALUES),
@@ -1049,6 +1070,15 @@ def feature_score(spark, folder):
 _REPORT_BLOCKS = ["long", "dic_ranked", "dic", "ics", "b5", "ls5", "qual", "corr", "scored"]
 oracle.copy_over(_REPORT_BLOCKS, "_train", "ds", f"SELECT * FROM ds WHERE trade_date <= '{TRAIN_END}'")
 oracle.copy_over(["long", "b5", "ls5"], "_eval", "ds", f"SELECT * FROM ds WHERE trade_date >= '{EVAL_START}'")
+
+# two features that follow the label, up and down
+oracle.copy_over(
+    ["long", "b5"], "_followed", "ds", f"SELECT * REPLACE ({LABEL} AS lag1_ret_1d, -{LABEL} AS lag1_turnover_rate) FROM ds"
+)
+query("quantile_detail_followed", _detail_sql("b5_followed"))(
+    lambda spark, folder: _detail(tb.dataset(spark, folder).withColumns({"lag1_ret_1d": F.col(LABEL), "lag1_turnover_rate": -F.col(LABEL)}))
+)
+
 _GROUP = "CASE " + " ".join(f"WHEN feature IN ({', '.join(repr(f) for f in g)}) THEN {i}" for i, g in enumerate(selection.NEAR_DUPLICATES)) + " END"
 _RESERVED = " OR ".join(f"contains(feature, '{part}')" for part in selection.SEQUENCE_ONLY)
 oracle.CTES["gated"] = (
