@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tidemark.llm import packing
 from tidemark.llm.encoding import CachedEncoder, tokenizer_path
@@ -22,6 +22,31 @@ def test_cached_ids_equal_whole_ids():
         assert coder.encode(None) == b""
 
 
+def test_pieces_merge_as_in_the_library():
+    path = tokenizer_path("byte_bpe_50k.json")
+    coder, rng = CachedEncoder(path), random.Random(5)
+    assert coder.pairs is not None
+    syllables = "ent ion ble and the tion er ing sh ou wh ea ä ö ß é ñ ción ll rr ª µ".split()
+    pieces = [rng.choice(["", " "]) + "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 9))) for _ in range(3000)] + [".", "...", ",;:", "x" * 3000]
+    for piece in pieces:
+        shown = "".join(map(coder.alphabet.__getitem__, piece.encode()))
+        assert coder.pairs.encode_single_piece(piece.encode()) == [t.id for t in coder.model.tokenize(shown)]
+
+
+def test_other_vocabularies_keep_to_the_library(tmp_path):
+    """Merges whose order is not that of their ids, or tokens that no merge makes."""
+    letters = {c: i for i, c in enumerate(CachedEncoder(tokenizer_path("byte_bpe_50k.json")).alphabet)}
+    for number, (more, merges) in enumerate([({"ab": 257, "bc": 256}, [("a", "b"), ("b", "c")]), ({"ab": 256, "xyz": 257}, [("a", "b")])]):
+        tokenizer = Tokenizer(models.BPE(letters | more, merges))
+        tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        path = f"{tmp_path}/{number}.json"
+        tokenizer.save(path)
+        coder = CachedEncoder(path)
+        assert coder.pairs is None
+        for text in ("abc bc xyz", "aabbcc\nabcabc.", ""):
+            assert coder.encode(text) == coder.whole(text)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 32), max_size=80))
 def test_best_fit_against_linear_search(lengths):
