@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import base
-from tidemark.llm.encoding import encoder, id_width, tokenizer_path
+from tidemark.llm.encoding import encoder, id_width, release_encoder, tokenizer_path
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 PACKED = PIECES + ", sequence_id long, offset long"
 _BATCH_BYTES = 16 << 20
+_SHARDS_A_TASK = 4
 
 
 class OpenWindows:
@@ -100,7 +101,7 @@ def _tokenize(path: str, style: str, end_id: int, seq_len: int, width: int, cach
     return run
 
 
-def token_pieces(docs: DataFrame, path: str, style: str = "byte", end_id: int = 1, seq_len: int = 2048, width: int | None = None, cached: int = 400_000) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, style: str = "byte", end_id: int = 1, seq_len: int = 2048, width: int | None = None, cached: int = 300_000) -> DataFrame:
     """Every id of every document in exactly one piece of at most ``seq_len`` ids; all but a document's last are full.
 
     ``ids`` are little-endian of ``width`` bytes, by default as many as the vocabulary's largest id needs. ``cached`` words are kept per worker.
@@ -120,6 +121,7 @@ def _widened(column: pa.ChunkedArray, width: int) -> pa.Array:
 
 def _pack(seq_len: int, width: int):
     def run(shard: pa.Table) -> pa.Table:
+        release_encoder()  # a reused worker needs no words any more
         number = shard.column("shard")[0].as_py()
         keys = pa.table({"length": shard.column("length"), "doc_id": shard.column("doc_id"), "start": shard.column("start"), "check": shard.column("check")})
         order = pa.compute.sort_indices(keys, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("check", "ascending")])
@@ -140,7 +142,7 @@ def pack_documents(
     seq_len: int = 2048,
     shard_tokens: int = 1 << 20,
     width: int | None = None,
-    cached: int = 400_000,
+    cached: int = 300_000,
 ) -> DataFrame:
     """Pieces with their ``ids`` (4-byte little-endian), the sequence that holds them and their offset there.
 
@@ -154,4 +156,5 @@ def pack_documents(
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_tokens))
     dealt = pieces.withColumn("check", F.crc32("ids")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "check"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(_pack(seq_len, width), PACKED)
+    tasks = -(-shards // _SHARDS_A_TASK)
+    return dealt.repartition(tasks, "shard").groupBy("shard").applyInArrow(_pack(seq_len, width), PACKED)
