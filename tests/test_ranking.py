@@ -1,3 +1,5 @@
+import bisect
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -122,3 +124,22 @@ def test_hot_null_key_and_null_values(spark):
     assert got.count() == 52
     known = got.where("x__lt is not null").collect()
     assert [(r.id, r.x__lt, r.x__eq, r.x__n) for r in known] == [("y", 0, 1, 1)]
+
+
+@pytest.mark.parametrize("values", ["many", "one"])
+def test_rows_that_share_their_ids(spark, values):
+    """Thousands of rows of one id in a narrow span are cut by value; copies of one row end the cutting."""
+    from tidemark.session import MAX_CUTS_KEY, ROWS_PER_BUCKET_KEY
+
+    rows = [("g", f"E{i}", float(i)) for i in range(600)]
+    rows += [("g", "same", 300 + (i / 4000 if values == "many" else 0.5)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g string, e string, x double").repartition(5)
+    spark.conf.set(ROWS_PER_BUCKET_KEY, "64")
+    spark.conf.set(MAX_CUTS_KEY, "8")
+    try:
+        got = [(r["x"], r["x__lt"], r["x__eq"]) for r in ranking.with_ranks(df, ["g"], ["x"], ["e"]).collect()]
+    finally:
+        spark.conf.unset(ROWS_PER_BUCKET_KEY)
+        spark.conf.unset(MAX_CUTS_KEY)
+    ordered = sorted(x for _, _, x in rows)
+    assert sorted(got) == sorted((x, bisect.bisect_left(ordered, x), bisect.bisect_right(ordered, x) - bisect.bisect_left(ordered, x)) for x in ordered)

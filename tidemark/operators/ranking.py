@@ -49,7 +49,7 @@ def _cut_points(sampled: DataFrame, keys: Sequence[str], name: str, ids: Sequenc
     limit = _SAMPLES_PER_BUCKET * max_cuts(sampled.sparkSession)
     known = sampled.where(F.col(f"_v_{name}").isNotNull())
     sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    thin = F.pmod(F.xxhash64(F.lit(1), *ids), F.ceil(F.col("_n") / F.lit(float(limit)))) == 0
+    thin = F.pmod(F.xxhash64(F.lit(1), *ids, f"_v_{name}"), F.ceil(F.col("_n") / F.lit(float(limit)))) == 0
     ordered = known.join(sizes, list(keys)).where(thin).groupBy(*keys).agg(F.sort_array(F.collect_list(f"_v_{name}")).alias("_sample"))
     picked = F.expr(f"array_distinct(filter(_sample, (x, i) -> (i + 1) % {_SAMPLES_PER_BUCKET} = 0))")
     return ordered.select(*keys, picked.alias(f"cuts_{name}"))
@@ -112,15 +112,24 @@ def group_layout(
         cuts = None if cuts.isEmpty() else cuts
     binned = _with_buckets(narrow, keys, names, cuts, finer)
     counts = _bucket_counts(binned, keys, names, extremes is not None)
+    deepest = 62 // (2 * max_cuts(df.sparkSession) + 2).bit_length() - 1
     while cuts is not None:
         large = counts.where((F.col("bucket") >= 0) & (F.col("bucket") % 2 == 0) & (F.col("rows") > 4 * limit))
-        wide = [r["_which"] for r in large.select("_which").distinct().collect()]  # at most the value names
+        # at most the value names; bucket numbers of more levels would not fit into a long
+        wide = [r["_which"] for r in large.select("_which").distinct().collect() if sum(v == r["_which"] for v, _ in finer) < deepest]
         if not wide:
             break
+        progress = False
         for v in wide:
             inside = binned.join(large.where(F.col("_which") == v).select(*keys, F.col("bucket").alias(f"_b_{v}")), [*keys, f"_b_{v}"], "left_semi")
-            again = inside.where(F.pmod(F.xxhash64(F.lit(len(finer) + 2), *ids), F.lit(modulus)) == 0)
-            finer.append((v, stage(_cut_points(again, [*keys, f"_b_{v}"], v, ids), "finer-cuts")))
+            # by value too: rows that share their ids are then sampled apart
+            again = inside.where(F.pmod(F.xxhash64(F.lit(len(finer) + 2), *ids, f"_v_{v}"), F.lit(modulus)) == 0)
+            cut_again = stage(_cut_points(again, [*keys, f"_b_{v}"], v, ids).where(f"size(cuts_{v}) > 0"), "finer-cuts")
+            if not cut_again.isEmpty():
+                finer.append((v, cut_again))
+                progress = True
+        if not progress:  # what is left are copies of a few rows: their bucket is sorted as it is
+            break
         binned = _with_buckets(narrow, keys, names, cuts, finer)
         counts = _bucket_counts(binned, keys, names, extremes is not None)
     # one row per bucket of a group: a short window
