@@ -14,7 +14,7 @@ part with their posterior. A step sums weighted pair counts over distinct vote p
 Classifier. A logistic regression with a lasso penalty (``pyspark.ml``) over the terms and patterns is fitted to the posteriors given votes
 alone, and gives the scores. Bounds of the fit: the lexicons are learned from about ``fit_rows`` labelled rows of each class, the
 regression from about ``fit_rows`` rows of each posterior class and from its ``features`` clearest terms; rows are taken by hash and
-the classes weighted back to their share. Copies and near copies (equal smallest hashes of long words) count as one text in learning terms. Votes,
+the classes weighted back to their share. Copies and near copies (equal smallest hashes of neighbouring words) count as one text in learning terms. Votes,
 label model and scores cover all rows. Texts are read by four scans and only the bounded samples are moved.
 
 Null text counts as empty and scores as the classifier's intercept. Whole texts are used, of any length. Rows are scored one by one, repeated ones
@@ -30,6 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -117,15 +118,17 @@ def features_of(text: str | None, vocabulary: Vocabulary) -> set[str]:
     return vocabulary.within(words) | {f"@{name}" for name, vote in votes if vote != "0"}
 
 
-def signature(words: set[str]) -> str:
-    """The same for most near copies: the three smallest hashes of the longer words."""
-    return " ".join(map(str, sorted(xxhash.xxh64_intdigest(w.encode()) for w in words if len(w) > 5)[:3])) or "-"
+def signature(text: str | None) -> str:
+    """The same for most near copies and for few other texts: the two smallest hashes of neighbouring words."""
+    words = (text or "").lower().split()
+    hashes = [xxhash.xxh64_intdigest(f"{a} {b}") for a, b in set(zip(words, words[1:], strict=False))]
+    return " ".join(map(str, nsmallest(2, hashes) or words))
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(0).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([signature(words_of(t)) for t in texts], pa.string())], ["text", "toxic", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([signature(t) for t in texts], pa.string())], ["text", "toxic", "sig"])
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
