@@ -91,8 +91,12 @@ def build_cells(spark: SparkSession, folder: str) -> DataFrame:
     def volume(flag: str):
         return F.coalesce(F.sum(F.when(F.col("l_returnflag") == flag, qty)), F.lit(0).cast("decimal(18,2)"))
 
+    # a month of an entity has a few lines only, so sums before the exchange would move nearly as many rows, each many times as wide
+    lines = table(spark, folder, "lineitem").select(
+        "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"
+    )
     sums = (
-        table(spark, folder, "lineitem")
+        lines.repartition("l_suppkey")
         .groupBy("l_suppkey", F.date_format("l_shipdate", "yyyyMM").alias("ym"))
         .agg(
             F.sum(qty).cast("double").alias("vol"),
