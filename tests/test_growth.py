@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranking
 from tidemark.plans import testbed
+from tidemark.session import MAX_CUTS_KEY, ROWS_PER_BUCKET_KEY
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,3 +20,69 @@ def test_line_items_are_moved_before_they_are_summed(spark):
     assert "Aggregate" not in plan[plan.index("Exchange hashpartitioning") :]
     lines = testbed.table(spark, FOLDER, "lineitem")
     assert testbed.build_cells(spark, FOLDER).agg(F.sum("lines")).first()[0] == lines.count()
+
+
+def _many(spark, rows):
+    """Two groups, one value held by a third of the rows, nulls in key and value, every id unique."""
+    number = F.col("id")
+    return spark.range(rows).select(
+        F.when(number % 101 == 0, None).when(number % 4 == 0, "a").otherwise("b").alias("d"),
+        number.cast("string").alias("e"),
+        F.when(number % 53 == 0, None).when(number % 3 == 0, 7.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(5000)).cast("double")).alias("x"),
+        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(40)).cast("double").alias("y"),
+    )
+
+
+def _range_sorts(spark, monkeypatch, build):
+    """The result of ``build`` with tiny buckets, and the ranges it sorted."""
+    calls = []
+    by_range = ranking._by_range
+
+    def counted(*args, **kwargs):
+        out = by_range(*args, **kwargs)
+        calls.append(out.select("_range").distinct().count())
+        return out
+
+    with monkeypatch.context() as patch:
+        patch.setattr(ranking, "_by_range", counted)
+        spark.conf.set(ROWS_PER_BUCKET_KEY, "16")
+        spark.conf.set(MAX_CUTS_KEY, "8")
+        try:
+            return build().toPandas(), calls
+        finally:
+            spark.conf.unset(ROWS_PER_BUCKET_KEY)
+            spark.conf.unset(MAX_CUTS_KEY)
+
+
+def test_many_buckets_are_one_range_sort_per_value(spark, monkeypatch):
+    df = _many(spark, 4000)
+    got, calls = _range_sorts(spark, monkeypatch, lambda: ranking.with_ranks(df, ["d"], ["x", "y"], ["e"]))
+    assert len(calls) == 2 and min(calls) > 4  # the frequent value's copies lie in several ranges
+    pdf = got.set_index("e").sort_index()
+    assert len(pdf) == 4000
+    group = pdf.groupby("d")
+    for v in ("x", "y"):
+        known = pdf["d"].notna() & pdf[v].notna()
+        low, high = group[v].rank(method="min"), group[v].rank(method="max")
+        assert (pdf[f"{v}__lt"][known] == low[known] - 1).all() and (pdf[f"{v}__eq"][known] == (high - low + 1)[known]).all()
+        assert (pdf[f"{v}__n"][known] == group[v].transform("count")[known]).all()
+        assert pdf.loc[~known, [f"{v}__lt", f"{v}__eq", f"{v}__n"]].isna().all().all()
+
+
+def test_many_buckets_place_rows_and_find_quantiles(spark, monkeypatch):
+    df = _many(spark, 4000).where("x IS NOT NULL")
+    got, calls = _range_sorts(spark, monkeypatch, lambda: ranking.with_position(df, ["d"], ["x", "e"], ["e"]))
+    assert len(calls) == 1
+    pdf = got.sort_values(["x", "e"])
+    known = pdf[pdf["d"].notna()]
+    group = known.groupby("d")
+    assert (known["position"] == group.cumcount() + 1).all() and (known["group_rows"] == group["x"].transform("size")).all()
+    assert (known["group_min"] == group["x"].transform("min")).all() and (known["group_max"] == group["x"].transform("max")).all()
+    assert len(pdf) == df.count() and pdf[pdf["d"].isna()]["position"].isna().all()
+
+    probabilities = {"low": 0.01, "third": 1 / 3, "half": 0.5, "top": 1.0}
+    found, calls = _range_sorts(spark, monkeypatch, lambda: ranking.group_quantiles(df, ["d"], "x", probabilities, ["e"]))
+    assert len(calls) == 1
+    for name, p in probabilities.items():
+        want = group["x"].quantile(p)
+        assert (abs(found.set_index("d")[name].sort_index() - want) < 1e-9).all()

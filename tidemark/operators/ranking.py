@@ -14,20 +14,31 @@ A value so frequent that it becomes a cut point owns a bucket of its own. All it
 known from the counts, so they are spread over as many tasks as their number asks for, like null rows.
 The cut points depend on the data alone, so recomputed tasks agree with the first run.
 
+Cutting level by level reads all rows once more per level. Where a group needs more buckets than one level of cut
+points gives, the rows are range-partitioned by group and value instead and sorted once: ranges may split a group
+and even the copies of a value; each task places its rows inside its range, and the counts per range, one row for
+each group and range, give the offsets. Its cost does not depend on the number of buckets.
+
 Cut points and bucket counts are stored while a plan is built, so these functions run small jobs at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from tidemark.functions.scalars import ColumnOrName, sdiv
 from tidemark.session import max_cuts, rows_per_bucket, stage
 
 _SAMPLES_PER_BUCKET = 32
+_ROWS_PER_RANGE = 1_000_000  # a task of a range sort holds its range
 
 
 @dataclass
@@ -193,6 +204,9 @@ def with_ranks(df: DataFrame, keys: Sequence[str], values: Sequence[str], ids: S
     """Add per value column v: ``v__lt`` (smaller values in the group), ``v__eq`` (equal ones, itself
     included) and ``v__n`` (non-null values). ``ids`` tell the rows of a group apart."""
     keys, ids = list(keys), list(ids)
+    rows = _too_large(df, keys)
+    if rows:
+        return _ranks_by_range(df, keys, values, ids, rows)
     exprs = {v: F.col(v) for v in values}
     out, cut = _placed(df, keys, exprs, ids)
     for v in values:
@@ -212,6 +226,98 @@ def with_ranks(df: DataFrame, keys: Sequence[str], values: Sequence[str], ids: S
     return out.drop("_s")
 
 
+def _keyed(keys: Sequence[str]) -> Column:
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return known
+
+
+def _too_large(df: DataFrame, keys: Sequence[str]) -> int:
+    """The number of rows if some group needs more buckets than one level of cut points gives, else 0."""
+    sizes = df.where(_keyed(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    found = sizes.agg(F.max("rows").alias("largest"), F.sum("rows").alias("all")).first()
+    return found["all"] if (found["largest"] or 0) > rows_per_bucket(df.sparkSession) * max_cuts(df.sparkSession) else 0
+
+
+def _place_in_range(keys: Sequence[str], value: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A sorted range's rows with the rows of their group before the first equal one, the equal ones, and whether copies
+    may lie in a neighbouring range. Without ``value`` no two rows are equal."""
+
+    def changes(column: pa.ChunkedArray) -> np.ndarray:
+        """Whether a value differs from the one before; the first does."""
+        values = column.combine_chunks()
+        a, b = values.slice(0, len(values) - 1), values.slice(1)
+        differ = pc.not_equal(a, b).to_numpy(zero_copy_only=False)
+        if pa.types.is_floating(values.type):
+            differ = differ & ~(np.isnan(a.to_numpy(zero_copy_only=False)) & np.isnan(b.to_numpy(zero_copy_only=False)))
+        return np.concatenate([[True], differ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        n = rows.num_rows
+        group = np.logical_or.reduce([changes(rows[k]) for k in keys])
+        starts = np.flatnonzero(group | changes(rows[value])) if value else np.arange(n)
+        sizes = np.diff(np.append(starts, n))
+        group_start = np.maximum.accumulate(np.where(group, np.arange(n), 0))[starts]
+        edge = np.zeros(len(starts), dtype=bool)
+        edge[[0, -1]] = True
+        rows = rows.append_column("_lt", pa.array(np.repeat(starts - group_start, sizes)))
+        rows = rows.append_column("_eq", pa.array(np.repeat(sizes, sizes)))
+        rows = rows.append_column("_edge", pa.array(np.repeat(edge, sizes)))
+        rows = rows.append_column("_range", pa.array(np.full(n, TaskContext.get().partitionId(), dtype=np.int32)))
+        yield from rows.to_batches()
+
+    return run
+
+
+def _by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], ids: Sequence[str], rows: int, ties: bool) -> DataFrame:
+    """``df``, free of nulls in keys and order, with ``_before`` (smaller rows of the group), ``_equal`` and ``_n`` (all of
+    the group); with the group's least and greatest first order column, if rows do not tie."""
+    spark = df.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // _ROWS_PER_RANGE))
+    parts = min(most, -(-rows // rows_per_bucket(spark)))
+    dealt = df.repartitionByRange(parts, *keys, *order, F.xxhash64(*ids)).sortWithinPartitions(*keys, *order)
+    added = [StructField("_lt", LongType()), StructField("_eq", LongType()), StructField("_edge", BooleanType()), StructField("_range", IntegerType())]
+    placer = _place_in_range(keys, order[0] if ties else None)
+    # stored, because a range's bounds are sampled anew whenever it is computed
+    placed = stage(dealt.mapInArrow(placer, StructType([*df.schema.fields, *added])), "ranges")
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    limits = [] if ties else [F.min(order[0]).alias("_min"), F.max(order[0]).alias("_max")]
+    ends = [] if ties else [F.min("_min").over(group).alias("group_min"), F.max("_max").over(group).alias("group_max")]
+    counts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"), *limits)
+    offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"), F.sum("_rows").over(group).alias("_n"), *ends)
+    out = placed.join(stage(offsets, "range-offsets"), [*keys, "_range"])
+    if not ties:
+        return out.withColumns({"_before": F.col("_offset") + F.col("_lt"), "_equal": F.col("_eq")})
+    # copies of a value that lie in several ranges: two values of a range at most
+    value = order[0]
+    split = placed.where("_edge").groupBy(*keys, value, "_range").agg(F.count(F.lit(1)).alias("_own"))
+    same = Window.partitionBy(*keys, value)
+    sooner = same.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    split = split.select(*keys, value, "_range", "_own", F.coalesce(F.sum("_own").over(sooner), F.lit(0)).alias("_sooner"), F.sum("_own").over(same).alias("_all"))
+    out = out.join(stage(split.where("_all > _own").drop("_own"), "range-ties"), [*keys, value, "_range"], "left")
+    return out.withColumns(
+        {"_before": F.col("_offset") + F.col("_lt") - F.coalesce("_sooner", F.lit(0)), "_equal": F.coalesce("_all", "_eq")}
+    )
+
+
+def _ranks_by_range(df: DataFrame, keys: Sequence[str], values: Sequence[str], ids: Sequence[str], rows: int) -> DataFrame:
+    out = df
+    for v in values:
+        known = F.col(v).isNotNull() & _keyed(keys)
+        names = {"_before": f"{v}__lt", "_equal": f"{v}__eq", "_n": f"{v}__n"}
+        ranked = _by_range(out.where(known), keys, [v], ids, rows, ties=True)
+        ranked = ranked.select(*out.columns, *[F.col(c).alias(name) for c, name in names.items()])
+        other = out.where(~known).select("*", *[F.lit(None).cast("long").alias(name) for name in names.values()])
+        out = ranked.unionByName(other)
+    return out
+
+
 def average_rank(v: str) -> Column:
     """1-based rank with ties averaged."""
     return F.col(f"{v}__lt") + (F.col(f"{v}__eq") + 1) / 2.0
@@ -240,6 +346,15 @@ def with_position(
     ``order`` must be unique in the group and free of nulls.
     """
     keys, ids = list(keys), list(ids)
+    rows = _too_large(df, keys)
+    if rows:
+        first = df.schema[order[0]].dataType
+        sorted_rows = _by_range(df.where(_keyed(keys)), keys, order, ids, rows, ties=False)
+        found = sorted_rows.select(
+            *df.columns, (F.col("_before") + 1).alias(position), F.col("_n").alias(size), "group_min", "group_max"
+        )
+        unknown = {position: "long", size: "long", "group_min": first, "group_max": first}
+        return found.unionByName(df.where(~_keyed(keys)).select("*", *[F.lit(None).cast(t).alias(c) for c, t in unknown.items()]))
     place = {"o": F.struct(*order)}
     placed, cut = _placed(df, keys, place, ids, extremes=order[0])
     out = _spread(placed, keys, "o", ids, cut)
@@ -251,26 +366,20 @@ def with_position(
     )
 
 
-def group_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], ids: Sequence[str]
-) -> DataFrame:
-    """Exact linear-interpolation quantiles per group: one row per group, one column per probability.
-
-    Only the buckets that hold a wanted position are sorted.
-    """
-    keys, ids = list(keys), list(ids)
-    placed, cut = _placed(df.where(F.col(value).isNotNull()), keys, {"q": F.col(value)}, ids)
-    at, n = F.col("_at_q"), F.col("n_q")
-    low = {name: F.floor((n - 1) * F.lit(p)) for name, p in probabilities.items()}
+def _ranked_near(df: DataFrame, keys: Sequence[str], value: str, low: dict[str, Column], ids: Sequence[str]) -> DataFrame:
+    """(keys, value, n_q, lt, eq) of the rows in buckets that hold a wanted position."""
+    placed, cut = _placed(df, keys, {"q": F.col(value)}, ids)
+    at = F.col("_at_q")
     wanted = F.lit(False)
-    for name in probabilities:
-        for index in (low[name], low[name] + 1):
+    for place in low.values():
+        for index in (place, place + 1):
             wanted = wanted | ((at["offset"] <= index) & (index < at["offset"] + at["rows"]))
     near = _spread(placed.where(wanted), keys, "q", ids, cut)
     part = _part(keys, "q", cut)
     own = F.col("_b_q") % 2 == 1
     local, peers = _local_rank(part, value)
-    ranked = near.select(*keys, value, "n_q", at.alias("at"), own.alias("own"), local.alias("local"), peers.alias("peers")).select(
+    ranked = near.select(*keys, value, "n_q", at.alias("at"), own.alias("own"), local.alias("local"), peers.alias("peers"))
+    return ranked.select(
         *keys,
         value,
         "n_q",
@@ -278,6 +387,25 @@ def group_quantiles(
         F.when(F.col("own"), F.col("at.rows")).otherwise(F.col("peers")).alias("eq"),
     )
 
+
+def group_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], ids: Sequence[str]
+) -> DataFrame:
+    """Exact linear-interpolation quantiles per group: one row per group, one column per probability.
+
+    Only the buckets that hold a wanted position are sorted.
+    """
+    keys, ids = list(keys), list(ids)
+    known = df.where(F.col(value).isNotNull())
+    rows = _too_large(known, keys)
+    low = {name: F.floor((F.col("n_q") - 1) * F.lit(p)) for name, p in probabilities.items()}
+    if rows:
+        narrow = known.where(_keyed(keys)).select(*keys, value, F.pmod(F.xxhash64(*ids), F.lit(1024)).cast("short").alias("_salt"))
+        sorted_rows = _by_range(narrow, keys, [value], ["_salt"], rows, ties=True)
+        ranked = sorted_rows.select(*keys, value, F.col("_n").alias("n_q"), F.col("_before").alias("lt"), F.col("_equal").alias("eq"))
+    else:
+        ranked = _ranked_near(known, keys, value, low, ids)
+
     def at_index(index: Column) -> Column:
         return F.max(F.when((F.col("lt") <= index) & (index < F.col("lt") + F.col("eq")), F.col(value)))
 
