@@ -393,7 +393,7 @@ def group_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group: one row per group, one column per probability.
 
-    Only the buckets that hold a wanted position are sorted.
+    Only the buckets that hold a wanted position are sorted, but for groups that are sorted by range.
     """
     keys, ids = list(keys), list(ids)
     known = df.where(F.col(value).isNotNull())
