@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import ranking
+from tidemark.operators import factors, ranking
 from tidemark.plans import testbed
-from tidemark.session import MAX_CUTS_KEY, ROWS_PER_BUCKET_KEY
+from tidemark.session import MAX_CUTS_KEY, ROWS_PER_BUCKET_KEY, stage
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -86,3 +86,26 @@ def test_many_buckets_place_rows_and_find_quantiles(spark, monkeypatch):
     for name, p in probabilities.items():
         want = group["x"].quantile(p)
         assert (abs(found.set_index("d")[name].sort_index() - want) < 1e-9).all()
+
+
+def _moved(spark, build):
+    """Records written to shuffles while ``build`` runs."""
+
+    def total():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = total()
+    build()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return total() - before
+
+
+def test_correlation_moves_a_value_twice_whatever_the_row_sets(spark):
+    number, names = F.col("id"), [f"f{k}" for k in range(8)]
+    # every feature lacks other rows, so each of the 28 pairs has its own complete rows
+    values = [F.when(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10)) > 0, F.pmod(F.xxhash64("id", F.lit(k + 100)), F.lit(500)).cast("double")).alias(f) for k, f in enumerate(names)]
+    df = stage(spark.range(4000).select(F.lit("20200101").alias("trade_date"), number.cast("string").alias("ts_code"), *values), "wide-rows")
+    moved = _moved(spark, lambda: factors.correlation_pairs(df, names, None).collect())
+    assert moved < 3 * 4000 * len(names)

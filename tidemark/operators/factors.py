@@ -6,7 +6,9 @@ sorts a whole cross-section in one task.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalars import finite, sdiv
 from tidemark.operators.features import KEYS, LAG_PREFIX
-from tidemark.operators.ranking import average_rank, group_quantiles, with_position, with_ranks
-from tidemark.session import stage
+from tidemark.operators.ranking import average_rank, group_layout, group_quantiles, with_buckets, with_position, with_ranks
+from tidemark.session import rows_per_bucket, stage
 
 
 def lagged_columns(df: DataFrame) -> list[str]:
@@ -348,67 +350,193 @@ def _row_sets(features: Sequence[str], shared: dict[tuple[str, str], int]) -> di
     return out
 
 
-def _rank_products(n: int):
-    """(row_set, i, j, product) summed over a task's rows (row_set, ranks): ranks lists (feature, centred rank)."""
+_MASK_BITS = 60
+_ROWS_PER_SORT = 250_000  # a task holds a bucket's ranks in all row sets of its feature
+_ROWS_PER_PRODUCT = 8_192  # a task holds the ranks of all features of so many rows
+
+
+@dataclass(frozen=True)
+class RowSets:
+    """``of``: per feature the numbers of the row sets it is ranked in; ``needs``: per row set the bits a row's mask must have;
+    ``sizes``: rows of each row set; ``pairs``: per row set the feature places (i <= j) whose products are wanted."""
+
+    of: list[list[int]]
+    needs: list[list[int]]
+    sizes: list[int]
+    pairs: list[list[tuple[int, int]]]
+
+
+def _membership(needs: Sequence[Sequence[int]]):
+    """Whether rows with the given masks lie in a row set. What tasks run is closed over plain lists, as workers need not have this package."""
+
+    def member(masks: Sequence[np.ndarray], number: int) -> np.ndarray:
+        found = np.ones(len(masks[0]), dtype=bool)
+        for bit in needs[number]:
+            found &= (masks[bit // _MASK_BITS] >> (bit % _MASK_BITS)) & 1 == 1
+        return found
+
+    return member
+
+
+def _set_counts(sets: RowSets, masks: Sequence[str]):
+    """(feature, bucket, place, rows): rows of a bucket in each row set of its feature, from counts by pattern of known values."""
+    of, masks, member = sets.of, list(masks), _membership(sets.needs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            lists = batch.column(1)
-            sizes = np.asarray(lists.value_lengths())
-            feature, rank = (np.asarray(c) for c in lists.flatten().flatten())
-            dense = np.zeros((len(lists), n))
-            dense[np.repeat(np.arange(len(lists)), sizes), feature] = rank
-            numbers = batch.column(0).to_numpy()
-            for k in np.unique(numbers):
-                part = dense[numbers == k]
-                totals[k] = totals.get(k, 0.0) + part.T @ part
-        for k, total in totals.items():
-            i, j = np.nonzero(np.triu(total))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k, dtype=np.int32)), pa.array(i), pa.array(j), pa.array(total[i, j])], ["row_set", "i", "j", "product"])
+            column = {name: batch.column(k).to_numpy() for k, name in enumerate(batch.schema.names)}
+            for f in np.unique(column["feature"]):
+                own = column["feature"] == f
+                buckets, at = np.unique(column["_b_x"][own], return_inverse=True)
+                rows, bits = column["rows"][own], [column[m][own] for m in masks]
+                for place, number in enumerate(of[f]):
+                    counted = np.bincount(at, weights=rows * member(bits, number), minlength=len(buckets))
+                    same = lambda v: pa.array(np.full(len(buckets), v, dtype=np.int32))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays([same(f), pa.array(buckets), same(place), pa.array(counted.astype(np.int64))], ["feature", "_b_x", "place", "rows"])
+
+    return run
+
+
+def _set_ranks(sets: RowSets, masks: Sequence[str], keys: Sequence[str], wide: bool):
+    """A bucket's rows with their ranks in each row set of the feature: twice the average rank less its mean, 0 outside the set."""
+    of, set_rows, masks, keys, member = sets.of, sets.sizes, list(masks), list(keys), _membership(sets.needs)
+
+    def run(key: tuple, rows: pa.Table, at: pa.Table) -> pa.Table:
+        f, bucket = key[0].as_py(), key[1].as_py()
+        numbers, n = of[f], rows.num_rows
+        ranks = np.zeros((n, len(numbers)), dtype=np.int64 if wide else np.int32)
+        if n:
+            before = {p["place"]: p for p in at["at"][0].as_py()}
+            bits = [rows[m].to_numpy() for m in masks]
+            x = rows["x"].to_numpy()
+            order = np.argsort(x, kind="stable")
+            ordered = x[order]
+            starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            sizes = np.diff(np.append(starts, n))
+            for place, number in enumerate(numbers):
+                inside, known = member(bits, number), before[place]
+                if bucket % 2:  # copies of one value, of which this may be a part
+                    ranks[inside, place] = 2 * known["offset"] + known["rows"] - set_rows[number]
+                    continue
+                seen = np.concatenate([[0], np.cumsum(inside[order])])
+                lower, upper = seen[starts], seen[starts + sizes]
+                twice = np.empty(n, dtype=np.int64)
+                twice[order] = np.repeat(2 * known["offset"] + lower + upper - set_rows[number], sizes)
+                ranks[:, place] = np.where(inside, twice, 0)
+        lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(numbers), pa.array(ranks.ravel()))
+        return pa.table([*[rows[k] for k in keys], pa.array(np.full(n, f, dtype=np.int32)), lists], names=[*keys, "feature", "ranks"])
+
+    return run
+
+
+def _rank_products(sets: RowSets, keys: Sequence[str]):
+    """(row_set, i, j, product) summed over some rows, each given with all its features."""
+    of, pairs_of, keys = sets.of, sets.pairs, list(keys)
+    first = np.cumsum([0, *[len(numbers) for numbers in of]])
+
+    def run(rows: pa.Table) -> pa.Table:
+        place = np.zeros(rows.num_rows, dtype=np.int64)
+        for k in keys:
+            codes = rows[k].combine_chunks().dictionary_encode(null_encoding="encode")
+            place = place * len(codes.dictionary) + codes.indices.to_numpy()
+        found, row = np.unique(place, return_inverse=True)
+        dense = np.zeros((len(found), first[-1]))
+        feature = rows["feature"].to_numpy()
+        lists = rows["ranks"].combine_chunks()
+        values, begin = lists.values.to_numpy(), lists.offsets.to_numpy()[:-1]
+        for f in np.unique(feature):
+            own, size = feature == f, len(of[f])
+            dense[row[own], first[f] : first[f + 1]] = values[begin[own][:, None] + np.arange(size)]
+        out = []
+        for number, pairs in enumerate(pairs_of):
+            members = sorted({i for pair in pairs for i in pair})
+            part = dense[:, [first[i] + of[i].index(number) for i in members]]
+            product, at = part.T @ part, {i: k for k, i in enumerate(members)}
+            out += [(number, i, j, product[at[i], at[j]]) for i, j in pairs]
+        columns = list(zip(*out, strict=True))
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["row_set", "i", "j", "product"])
 
     return run
 
 
+def _rank_sums(df: DataFrame, features: Sequence[str], heads: Sequence[str], sets: RowSets, total: int) -> DataFrame:
+    """(row_set, i, j, product): sums of products of centred ranks, in quarters."""
+    used = [i for i, numbers in enumerate(sets.of) if numbers]
+    words = [heads[k : k + _MASK_BITS] for k in range(0, len(heads), _MASK_BITS)]
+    masks = [f"_m{k}" for k in range(len(words))]
+    bits = [functools.reduce(lambda a, b: a + b, [F.when(finite(h).isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, h in enumerate(w)]) for w in words]
+    cells = F.array(*[F.struct(F.lit(i).alias("feature"), finite(features[i]).alias("x")) for i in used])
+    marked = df.select(*KEYS, *[b.alias(m) for b, m in zip(bits, masks, strict=True)], F.inline(cells)).where(F.col("x").isNotNull())
+
+    limit = min(rows_per_bucket(df.sparkSession), _ROWS_PER_SORT)
+    layout = group_layout(marked, ["feature"], {"x": F.col("x")}, KEYS, limit=limit)
+    binned = with_buckets(marked.withColumn("_v_x", F.col("x")), ["feature"], ["x"], layout).drop("_v_x")
+    patterns = binned.groupBy("feature", "_b_x", *masks).agg(F.count(F.lit(1)).alias("rows"))
+    counts = patterns.mapInArrow(_set_counts(sets, masks), "feature int, _b_x long, place int, rows long")
+    counts = counts.groupBy("feature", "_b_x", "place").agg(F.sum("rows").alias("rows"))
+    # one row per bucket, feature and row set
+    earlier = Window.partitionBy("feature", "place").orderBy("_b_x").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct("place", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"), "rows")
+    placed = stage(counts.select("feature", "_b_x", at.alias("at")).groupBy("feature", "_b_x").agg(F.collect_list("at").alias("at")), "set-offsets")
+    # copies of a frequent value need no sort: as many parts as they ask for
+    sizes = layout.offsets["x"].select("feature", "_b_x", F.ceil(F.col("_at_x.rows") / F.lit(float(limit))).alias("_parts"))
+    split = stage(sizes.where("_b_x % 2 = 1 AND _parts > 1"), "set-parts")
+    salt = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*KEYS), F.col("_parts")))
+    dealt = binned.join(split, ["feature", "_b_x"], "left").withColumn("_s", salt.cast("long")).drop("_parts")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1))
+    offsets = placed.join(split, ["feature", "_b_x"], "left").select("feature", "_b_x", salts.alias("_s"), "at")
+
+    wide = 2 * total >= 1 << 31
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    kept = ", ".join(f"{k} {types[k]}" for k in KEYS)
+    group = ["feature", "_b_x", "_s"]
+    ranker = _set_ranks(sets, masks, KEYS, wide)
+    ranked = dealt.groupBy(*group).cogroup(offsets.groupBy(*group)).applyInArrow(ranker, f"{kept}, feature int, ranks array<{'long' if wide else 'int'}>")
+    part = F.pmod(F.xxhash64(*KEYS), F.lit(-(-total // _ROWS_PER_PRODUCT)))
+    products = ranked.groupBy(part.alias("_part")).applyInArrow(_rank_products(sets, KEYS), "row_set int, i long, j long, product double")
+    return products.groupBy("row_set", "i", "j").agg(F.sum("product").alias("product"))
+
+
 def correlation_pairs(df: DataFrame, features: Sequence[str], top_n: int | None = 100, min_shared: int | None = None) -> DataFrame:
     """Spearman correlation of every feature pair over its pairwise complete rows, strongest first.
 
     Pairs with fewer than ``min_shared`` common rows (by default a hundredth of all rows, 20 at least) have none.
     ``top_n`` is for printed tables; None gives all pairs.
 
-    Pairs that share the same complete rows share one ranking: features are ranked once per such row set. A row is read once and
-    dealt to the row sets it is complete for, and one aggregation of rank products, blocked by task, serves all row sets: ranks are centred on
-    their known mean, so the products are the covariances.
+    A feature's values are sorted once, in buckets: its rank within a set of complete rows is a running count of the set's rows, which
+    one sort gives for all sets. Each (row, feature) is moved twice, to its bucket and, with its ranks, back to its row; ranks are
+    centred on their known mean, so sums of their products are the covariances.
     """
     features = list(features)
     total = df.count()
     need = max(20, total // 100) if min_shared is None else min_shared
     shared = _shared_counts(df, features)
-    sets = _row_sets(features, shared)
+    place = {f: i for i, f in enumerate(features)}
     number: dict[tuple[str, ...], int] = {}
-    members: dict[tuple[str, ...], set[str]] = {}
+    wanted_pairs: list[list[tuple[int, int]]] = []
     pairs = []
-    for (a, b), rows in sets.items():
+    for (a, b), rows in _row_sets(features, shared).items():
         if shared[(a, b)] >= need:
-            members.setdefault(rows, set()).update((a, b))
-            pairs.append((a, b, features.index(a), features.index(b), number.setdefault(rows, len(number))))
+            k = number.setdefault(rows, len(number))
+            if k == len(wanted_pairs):
+                wanted_pairs.append([])
+            wanted_pairs[k].append((place[a], place[b]))
+            pairs.append((a, b, place[a], place[b], k))
     spark = df.sparkSession
     if not pairs:
         return spark.createDataFrame([], "feature_left string, feature_right string, spearman_corr double")
-    at = {f: i for i, f in enumerate(features)}
-    places = lambda names: F.array(*[F.lit(at[f]) for f in sorted(names, key=at.get)])
-    table = F.array(*[F.struct(F.lit(n).alias("row_set"), places(rows).alias("required"), places(members[rows]).alias("members")) for rows, n in number.items()])
-
-    values = df.select(*KEYS, F.array(*[finite(f) for f in features]).alias("v"))
-    complete = F.filter(table, lambda s: F.forall(s["required"], lambda i: F.get("v", i).isNotNull()))
-    dealt = values.select(*KEYS, "v", F.explode(complete).alias("s")).select(*KEYS, "v", "s.row_set", F.explode("s.members").alias("feature"))
-    long = dealt.select(*KEYS, "row_set", "feature", F.get("v", F.col("feature")).alias("x"))
-    ranked = with_ranks(long, ["row_set", "feature"], ["x"], KEYS)
-    centred = (average_rank("x") - (F.col("x__n") + 1) / 2.0).alias("rank")
-    vectors = ranked.select("row_set", *KEYS, F.struct("feature", centred).alias("r")).groupBy("row_set", *KEYS).agg(F.collect_list("r").alias("ranks"))
-    products = vectors.select("row_set", "ranks").mapInArrow(_rank_products(len(features)), "row_set int, i long, j long, product double")
+    members = [sorted({i for pair in group for i in pair}) for group in wanted_pairs]
+    heads = sorted({h for rows in number for h in rows}, key=place.get)
+    bit = {h: k for k, h in enumerate(heads)}
+    sets = RowSets(
+        of=[[k for k, group in enumerate(members) if i in group] for i in range(len(features))],
+        needs=[[bit[h] for h in rows] for rows in number],
+        sizes=[shared[min(rows, key=place.get), max(rows, key=place.get)] for rows in number],
+        pairs=[[*[(i, i) for i in group], *wanted] for group, wanted in zip(members, wanted_pairs, strict=True)],
+    )
     # at most a number for each pair of a row set's features
-    sums = stage(products.groupBy("row_set", "i", "j").agg(F.sum("product").alias("product")), "rank-products")
+    sums = stage(_rank_sums(df, features, heads, sets, total), "rank-products")
     own = sums.where("i = j").select("row_set", "i", F.col("product").alias("own"))
     wanted = spark.createDataFrame(pairs, "feature_left string, feature_right string, i long, j long, row_set int")
     joined = wanted.join(sums, ["row_set", "i", "j"], "left").join(own, ["row_set", "i"]).join(own.select("row_set", F.col("i").alias("j"), F.col("own").alias("other")), ["row_set", "j"])

@@ -97,6 +97,12 @@ def _with_buckets(df: DataFrame, keys: Sequence[str], names: Sequence[str], cuts
     return out
 
 
+def with_buckets(df: DataFrame, keys: Sequence[str], names: Sequence[str], layout: Layout) -> DataFrame:
+    """``df``, which has the value columns ``_v_*``, with each value's bucket ``_b_*``: even ones are sorted, an odd one holds
+    the copies of one value, -1 nulls."""
+    return _with_buckets(df, keys, names, layout.cuts, layout.finer)
+
+
 def _bucket_counts(binned: DataFrame, keys: Sequence[str], names: Sequence[str], extremes: bool) -> DataFrame:
     pieces = F.array(*[F.struct(F.lit(v).alias("_which"), F.col(f"_b_{v}").alias("bucket")) for v in names])
     placed = binned.select(*keys, *(["_x"] if extremes else []), F.inline(pieces))
@@ -105,11 +111,11 @@ def _bucket_counts(binned: DataFrame, keys: Sequence[str], names: Sequence[str],
 
 
 def group_layout(
-    df: DataFrame, keys: Sequence[str], values: dict[str, Column], ids: Sequence[str], extremes: str | None = None
+    df: DataFrame, keys: Sequence[str], values: dict[str, Column], ids: Sequence[str], extremes: str | None = None, limit: int | None = None
 ) -> Layout:
-    """Cut points and bucket offsets of each value's groups. The tables are stored: their size is then known, so the
+    """Cut points and bucket offsets of each value's groups, with buckets of about ``limit`` rows. The tables are stored: their size is then known, so the
     joins with them move only the small side while it is small, and are ordinary (skew-aware) joins beyond that."""
-    keys, names, limit = list(keys), list(values), rows_per_bucket(df.sparkSession)
+    keys, names, limit = list(keys), list(values), limit or rows_per_bucket(df.sparkSession)
     watched = [F.col(extremes).alias("_x")] if extremes else []
     narrow = df.select(*keys, *ids, *[values[v].alias(f"_v_{v}") for v in names], *watched)
     modulus = max(1, limit // _SAMPLES_PER_BUCKET)
