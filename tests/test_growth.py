@@ -109,3 +109,12 @@ def test_correlation_moves_a_value_twice_whatever_the_row_sets(spark):
     df = stage(spark.range(4000).select(F.lit("20200101").alias("trade_date"), number.cast("string").alias("ts_code"), *values), "wide-rows")
     moved = _moved(spark, lambda: factors.correlation_pairs(df, names, None).collect())
     assert moved < 3 * 4000 * len(names)
+
+
+def test_whole_groups_are_moved_without_joins(spark):
+    df = _many(spark, 4000)
+    plan = _plan(ranking.with_ranks(df, ["d"], ["x", "y"], ["e"]))
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    known = df.where("x IS NOT NULL")
+    assert "Join" not in _plan(ranking.with_position(known, ["d"], ["x", "e"], ["e"]))
+    assert "Join" not in _plan(ranking.group_quantiles(known, ["d"], "x", {"half": 0.5}, ["e"]))

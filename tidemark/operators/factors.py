@@ -41,7 +41,7 @@ def _pearson(x: Column, y: Column) -> Column:
 
 
 def _daily_ic(long: DataFrame, min_cross_section: int) -> DataFrame:
-    pairs = long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    pairs = long.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*KEYS, "feature", "x", "y")
     ranked = with_ranks(pairs, ["trade_date", "feature"], ["x", "y"], ["ts_code"])
     return (
         ranked.where(F.col("x__n") >= min_cross_section)

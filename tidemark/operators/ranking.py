@@ -210,9 +210,19 @@ def with_ranks(df: DataFrame, keys: Sequence[str], values: Sequence[str], ids: S
     """Add per value column v: ``v__lt`` (smaller values in the group), ``v__eq`` (equal ones, itself
     included) and ``v__n`` (non-null values). ``ids`` tell the rows of a group apart."""
     keys, ids = list(keys), list(ids)
-    rows = _too_large(df, keys)
+    sizes = _sizes(df, keys)
+    rows = _too_large(df, sizes)
     if rows:
         return _ranks_by_range(df, keys, values, ids, rows)
+    whole = _whole_groups(df, keys, ids, sizes)
+    if whole is not None:
+        out, part = whole
+        for v in values:
+            local, peers = _local_rank(part, v)
+            known = F.col(v).isNotNull() & _keyed(keys)
+            size = F.count(v).over(Window.partitionBy(*part))
+            out = out.withColumns({f"{v}__{name}": F.when(known, c) for name, c in (("lt", local.cast("long")), ("eq", peers), ("n", size))})
+        return out.drop("_s")
     exprs = {v: F.col(v) for v in values}
     out, cut = _placed(df, keys, exprs, ids)
     for v in values:
@@ -239,11 +249,28 @@ def _keyed(keys: Sequence[str]) -> Column:
     return known
 
 
-def _too_large(df: DataFrame, keys: Sequence[str]) -> int:
+def _sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int, int]:
+    """Rows of the largest group, of all groups, and without a group."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    live = F.when(_keyed(keys), F.col("rows"))
+    found = sizes.agg(F.max(live).alias("largest"), F.sum(live).alias("all"), F.sum("rows").alias("rows")).first()
+    return found["largest"] or 0, found["all"] or 0, (found["rows"] or 0) - (found["all"] or 0)
+
+
+def _too_large(df: DataFrame, sizes: tuple[int, int, int]) -> int:
     """The number of rows if some group needs more buckets than one level of cut points gives, else 0."""
-    sizes = df.where(_keyed(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    found = sizes.agg(F.max("rows").alias("largest"), F.sum("rows").alias("all")).first()
-    return found["all"] if (found["largest"] or 0) > rows_per_bucket(df.sparkSession) * max_cuts(df.sparkSession) else 0
+    return sizes[1] if sizes[0] > rows_per_bucket(df.sparkSession) * max_cuts(df.sparkSession) else 0
+
+
+def _whole_groups(df: DataFrame, keys: Sequence[str], ids: Sequence[str], sizes: tuple[int, int, int]) -> tuple[DataFrame, list[str]] | None:
+    """``df`` with each group in one place, if every group is small enough to be sorted there, and the columns of a place.
+    Nothing but the rows is moved; rows with a null key go anywhere."""
+    if sizes[0] > rows_per_bucket(df.sparkSession):
+        return None
+    if not sizes[2]:
+        return df.repartition(*keys), list(keys)
+    salted = df.withColumn("_s", F.when(_keyed(keys), F.lit(0).cast("long")).otherwise(F.xxhash64(*ids)))
+    return salted.repartition(*keys, "_s"), [*keys, "_s"]
 
 
 def _place_in_range(keys: Sequence[str], value: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -352,7 +379,8 @@ def with_position(
     ``order`` must be unique in the group and free of nulls.
     """
     keys, ids = list(keys), list(ids)
-    rows = _too_large(df, keys)
+    sizes = _sizes(df, keys)
+    rows = _too_large(df, sizes)
     if rows:
         first = df.schema[order[0]].dataType
         sorted_rows = _by_range(df.where(_keyed(keys)), keys, order, ids, rows, ties=False)
@@ -361,6 +389,17 @@ def with_position(
         )
         unknown = {position: "long", size: "long", "group_min": first, "group_max": first}
         return found.unionByName(df.where(~_keyed(keys)).select("*", *[F.lit(None).cast(t).alias(c) for c, t in unknown.items()]))
+    whole = _whole_groups(df, keys, ids, sizes)
+    if whole is not None:
+        out, part = whole
+        group = Window.partitionBy(*part)
+        made = {
+            position: F.row_number().over(group.orderBy(*order)).cast("long"),
+            size: F.count(F.lit(1)).over(group),
+            "group_min": F.min(order[0]).over(group),
+            "group_max": F.max(order[0]).over(group),
+        }
+        return out.withColumns({name: F.when(_keyed(keys), c) for name, c in made.items()}).drop("_s")
     place = {"o": F.struct(*order)}
     placed, cut = _placed(df, keys, place, ids, extremes=order[0])
     out = _spread(placed, keys, "o", ids, cut)
@@ -403,12 +442,17 @@ def group_quantiles(
     """
     keys, ids = list(keys), list(ids)
     known = df.where(F.col(value).isNotNull())
-    rows = _too_large(known, keys)
+    sizes = _sizes(known, keys)
+    rows = _too_large(known, sizes)
+    whole = None if rows else _whole_groups(known.where(_keyed(keys)).select(*keys, value), keys, ids, (*sizes[:2], 0))
     low = {name: F.floor((F.col("n_q") - 1) * F.lit(p)) for name, p in probabilities.items()}
     if rows:
         narrow = known.where(_keyed(keys)).select(*keys, value, F.pmod(F.xxhash64(*ids), F.lit(1024)).cast("short").alias("_salt"))
         sorted_rows = _by_range(narrow, keys, [value], ["_salt"], rows, ties=True)
         ranked = sorted_rows.select(*keys, value, F.col("_n").alias("n_q"), F.col("_before").alias("lt"), F.col("_equal").alias("eq"))
+    elif whole is not None:
+        local, peers = _local_rank(keys, value)
+        ranked = whole[0].select(*keys, value, F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n_q"), local.alias("lt"), peers.alias("eq"))
     else:
         ranked = _ranked_near(known, keys, value, low, ids)
 
