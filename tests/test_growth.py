@@ -118,3 +118,7 @@ def test_whole_groups_are_moved_without_joins(spark):
     known = df.where("x IS NOT NULL")
     assert "Join" not in _plan(ranking.with_position(known, ["d"], ["x", "e"], ["e"]))
     assert "Join" not in _plan(ranking.group_quantiles(known, ["d"], "x", {"half": 0.5}, ["e"]))
+
+
+def test_cells_are_moved_once_for_their_histories(spark):
+    assert _plan(testbed.build_wide(spark, FOLDER)).count("Exchange hashpartitioning") == 1
