@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import factors, ranking
+from tidemark.operators import factors, ranking, scaling
 from tidemark.plans import testbed
 from tidemark.session import MAX_CUTS_KEY, ROWS_PER_BUCKET_KEY, stage
 
@@ -122,3 +122,18 @@ def test_whole_groups_are_moved_without_joins(spark):
 
 def test_cells_are_moved_once_for_their_histories(spark):
     assert _plan(testbed.build_wide(spark, FOLDER)).count("Exchange hashpartitioning") == 1
+
+
+def test_scaling_stores_wide_values(spark, monkeypatch):
+    rows, write = {}, scaling.stage
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(scaling, "stage", counted)
+    values = [F.col("id").cast("double").alias(f) for f in ("a", "b", "c")]
+    df = spark.range(500).select(F.lit("20200101").alias("trade_date"), F.col("id").cast("string").alias("ts_code"), *values)
+    assert scaling.cross_section_z(df, ["a", "b", "c"]).count() == 1500
+    assert max(rows.values()) == 500

@@ -29,7 +29,7 @@ def _spread_sides(long: DataFrame, keys: Sequence[str], method: str) -> DataFram
     if method != ROBUST:
         raise ValueError(f"unknown method: {method}")
     ids = [k for k in KEYS if k not in keys]
-    rows = stage(known.select(*keys, *ids, "x"), "scaling-rows")
+    rows = known.select(*keys, *ids, "x")
     centers = stage(group_quantiles(rows, keys, "x", {"center": 0.5}, ids=ids), "centers")
     apart = rows.join(centers, keys).withColumn("x", F.abs(F.col("x") - F.col("center")))
     spreads = group_quantiles(apart.select(*rows.columns), keys, "x", {"spread": 0.5}, ids=ids)
@@ -44,7 +44,8 @@ def _scaled(x: Column, center: Column, spread: Column, limit: float | None) -> C
 
 def cross_section_z(df: DataFrame, features: Sequence[str], method: str = ROBUST, limit: float | None = None) -> DataFrame:
     """(date, entity, feature, z): each value against its date's median and median absolute deviation (or mean and deviation)."""
-    long = long_rows(df, features, None)
+    # read several times: the wide values are stored, not the long rows
+    long = long_rows(stage(df.select(*KEYS, *features), "scaling-values"), features, None)
     sides = stage(_spread_sides(long, ["trade_date", "feature"], method), "cross-section-sides")
     joined = long.join(sides, ["trade_date", "feature"], "left")
     return joined.select(*KEYS, "feature", _scaled(F.col("x"), F.col("center"), F.col("spread"), limit).alias("z"))
@@ -52,7 +53,8 @@ def cross_section_z(df: DataFrame, features: Sequence[str], method: str = ROBUST
 
 def fit_scaler(train: DataFrame, features: Sequence[str], method: str = ROBUST) -> DataFrame:
     """(feature, method, center, spread, n): to be kept beside the model; a feature without a value has nulls and n = 0."""
-    sides = _spread_sides(long_rows(train, features, None), ["feature"], method)
+    values = train.select(*KEYS, *features)
+    sides = _spread_sides(long_rows(stage(values, "scaling-values") if method == ROBUST else values, features, None), ["feature"], method)
     names = train.sparkSession.createDataFrame([(f,) for f in features], "feature string")  # the configured features
     return names.join(sides, "feature", "left").select(
         "feature", F.lit(method).alias("method"), "center", "spread", F.coalesce("n", F.lit(0).cast("long")).alias("n")
