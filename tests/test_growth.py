@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import factors, ranking, scaling
+from tidemark.operators import factors, labels, ranking, scaling
 from tidemark.plans import testbed
 from tidemark.session import MAX_CUTS_KEY, ROWS_PER_BUCKET_KEY, stage
 
@@ -137,3 +137,9 @@ def test_scaling_stores_wide_values(spark, monkeypatch):
     df = spark.range(500).select(F.lit("20200101").alias("trade_date"), F.col("id").cast("string").alias("ts_code"), *values)
     assert scaling.cross_section_z(df, ["a", "b", "c"]).count() == 1500
     assert max(rows.values()) == 500
+
+
+def test_lookahead_moves_a_row_once(spark):
+    df = stage(spark.range(3000).select(F.lit("20200101").alias("trade_date"), F.col("id").cast("string").alias("ts_code"), F.rand(1).alias("f")), "panel-rows")
+    moved = _moved(spark, lambda: labels.lookahead_rows(lambda p: p, df, "20200101").collect())
+    assert moved < 2.5 * 3000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -82,8 +83,22 @@ def label_leaks(build: Callable[[DataFrame], DataFrame], panel: DataFrame, cutof
 
 
 def lookahead_rows(build: Callable[[DataFrame], DataFrame], panel: DataFrame, cutoff: str) -> DataFrame:
-    """Feature rows up to ``cutoff`` that change when the panel is cut off there: empty = no look-ahead. Both builds are stored, as each is
-    compared twice."""
-    full = stage(build(panel).where(F.col("trade_date") <= cutoff), "lookahead-full")
-    cut = stage(build(panel.where(F.col("trade_date") <= cutoff)), "lookahead-cut")
+    """Feature rows up to ``cutoff`` that change when the panel is cut off there: empty = no look-ahead.
+
+    Of each row only its key and the SHA-256 of its values are moved; the rows of keys whose digests differ are then compared in full.
+    """
+    keys = ["trade_date", "ts_code"]
+    full = build(panel).where(F.col("trade_date") <= cutoff)
+    cut = build(panel.where(F.col("trade_date") <= cutoff))
+    digest = lambda df, side: df.select(*keys, F.unhex(F.sha2(F.to_json(F.struct(*full.columns)), 256)).alias("digest"), F.lit(side).alias("side"))
+    sides = digest(full, 1).unionByName(digest(cut, -1)).groupBy(*keys, "digest").agg(F.sum("side").alias("more"))
+    suspects = stage(sides.where("more <> 0").select(*keys).distinct(), "lookahead-suspects")
+    if suspects.isEmpty():
+        return panel.sparkSession.createDataFrame([], full.schema)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        same = functools.reduce(lambda a, b: a & b, [df[k].eqNullSafe(suspects[k]) for k in keys])
+        return stage(df.join(suspects, same, "left_semi"), name)
+
+    full, cut = kept(full, "lookahead-full"), kept(cut, "lookahead-cut")
     return full.exceptAll(cut).unionByName(cut.exceptAll(full))
