@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer, models, pre_tokenizers
+from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
 from tidemark.llm import packing
 from tidemark.llm.encoding import CachedEncoder, tokenizer_path
@@ -33,6 +33,30 @@ def test_pieces_merge_as_in_the_library():
         assert coder.pairs.encode_single_piece(piece.encode()) == [t.id for t in coder.model.tokenize(shown)]
 
 
+def test_plain_texts_are_encoded_in_one_call_and_keep_nothing():
+    """Unseen words must not be split, kept and looked up one by one."""
+    rng = random.Random(6)
+    words = "the of ention thonre Étéñ ß don't we're I'LL 'S 's a|b #1 12,345 x...y ~ <| |> $ (a) \" ' '' 'st 're1 A1b2".split()
+    coder = CachedEncoder(tokenizer_path("byte_bpe_50k.json"))
+    for _ in range(600):
+        lines = [" ".join(rng.choice(words) + rng.choice(["", "", ".", "q"]) for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(1, 5))]
+        text = rng.choice(["", " ", "\n"]) + "\n".join(lines) + rng.choice(["", " ", "\n"])
+        assert coder.encode(text) == coder.whole(text), repr(text)
+    assert not coder.chunks and not coder.words
+    for text in ("a <|endoftext|> b", "a\tb", "a  b", "a\n b", "a\n\nb", "½ a", "a\x85b", "a\x1cb"):  # not plain
+        assert coder.encode(text) == coder.whole(text), repr(text)
+
+
+def test_other_splitters_keep_to_the_library(tmp_path):
+    for number, change in enumerate([{"pre_tokenizer": pre_tokenizers.ByteLevel(add_prefix_space=True)}, {"pre_tokenizer": pre_tokenizers.Whitespace()}, {"normalizer": normalizers.Lowercase()}]):
+        tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+        for name, value in change.items():
+            setattr(tokenizer, name, value)
+        path = f"{tmp_path}/{number}.json"
+        tokenizer.save(path)
+        assert CachedEncoder(path).pairs is None
+
+
 def test_other_vocabularies_keep_to_the_library(tmp_path):
     """Merges whose order is not that of their ids, or tokens that no merge makes."""
     letters = {c: i for i, c in enumerate(CachedEncoder(tokenizer_path("byte_bpe_50k.json")).alphabet)}

@@ -2,7 +2,8 @@
 
 Byte-pair merges never cross the pieces that a tokenizer's own splitter makes, and both supported splitters cut
 between a word and the white space before the next. A text can therefore be encoded chunk by chunk, and a chunk's
-ids kept for its next occurrence. Texts in which that cut could be wrong are encoded whole.
+ids kept for its next occurrence. Texts in which that cut could be wrong are encoded whole. Plain byte-level texts
+(``_ODD`` and ``_DOUBLED`` not found) are split and merged in one call instead, which keeps nothing.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 import struct
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use the cores
@@ -22,6 +24,11 @@ _STEM = re.compile(f"( ?)([{_LETTERS}]+)([.,;:!?]*)")
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _DOUBLE = re.compile(r"\s\s")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
+#: What a plain text lacks: all but letters of ``_LETTERS``, printable ASCII and line ends; white space next to white space.
+_ODD = re.compile("[^\n -~À-ÖØ-öø-ÿ]")
+_DOUBLED = ("  ", "\n\n", "\n ", " \n")
+#: The byte-level splitter without its look ahead, which only matters where white space follows white space.
+_PIECE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -32,14 +39,17 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 def _pair_merger(path: str):
-    """A faster merger of one piece's byte pairs over a tokenizer file's own vocabulary; none where it could give other ids.
+    """A faster splitter and merger of byte pairs over a tokenizer file's own vocabulary; none where it could give other ids.
 
     It merges the pair whose product has the smallest id first, so the file's merges must be in the order of their products' ids.
     """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        parts = json.load(f)
+    model, splitter = parts["model"], parts.get("pre_tokenizer") or {}
+    if parts.get("normalizer") or splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space") or not splitter.get("use_regex", True):
+        return None
     plain = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False}
     byte_of = {c: b for b, c in _byte_alphabet().items()}
     if model.get("type") != "BPE" or any(model.get(k) not in (v, None, "") for k, v in plain.items()) or any(set(t) - byte_of.keys() for t in model["vocab"]):
@@ -50,7 +60,7 @@ def _pair_merger(path: str):
     if None in made or None in letters or any(a >= b for a, b in zip(made, made[1:], strict=False)) or len(model["vocab"]) != len(made) + 256:
         return None
     ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items()}
-    return tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+    return tiktoken.Encoding("pieces", pat_str=_PIECE, mergeable_ranks=ranks, special_tokens={})._core_bpe
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -86,6 +96,7 @@ class CachedEncoder:
         alphabet = _byte_alphabet()
         self.alphabet = [alphabet[b] for b in range(256)]
         self.pairs = _pair_merger(path) if style == "byte" else None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
@@ -121,6 +132,8 @@ class CachedEncoder:
         """All ids of the whole text; empty for a null or empty one."""
         if not text:
             return b""
+        if self.pairs is not None and not _ODD.search(text) and not any(map(text.__contains__, _DOUBLED)) and not any(map(text.__contains__, self.added)):
+            return np.frombuffer(self.pairs.encode_to_tiktoken_buffer(text, set()), dtype=np.uint32).astype("<u4").tobytes()
         if _CONTROL.search(text):
             return self.whole(text)
         if self.style == "word":
