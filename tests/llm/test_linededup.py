@@ -92,3 +92,12 @@ def test_odd_rows(spark):
     left = linededup.dedup_lines(docs, drop_emptied=True)
     assert sorted(r[0] or 0 for r in left.collect()) == [0, 1, 1, 3, 4, 5, 6, 7, 8]
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_dropping_emptied_rows_cuts_once(spark):
+    """A filter on what the cut returns must not bring a second cut, with workers of its own, into the same tasks."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None), (4, "c d\na b")], "doc_id long, text string")
+    cut = linededup.dedup_lines(docs, drop_emptied=True).select("doc_id", "text")
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [_without(") == 1
+    assert sorted(map(tuple, cut.collect())) == [(1, "a b"), (3, None), (4, "c d")]
