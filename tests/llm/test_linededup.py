@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -101,3 +102,48 @@ def test_dropping_emptied_rows_cuts_once(spark):
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [_without(") == 1
     assert sorted(map(tuple, cut.collect())) == [(1, "a b"), (3, None), (4, "c d")]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("ab"), min_size=5, max_size=40), st.integers(0, 2), st.integers(0, 40), st.sampled_from("abc"))
+def test_members_past_the_shared_side_suffice(a, kind, at, word):
+    """A line that shares only its first words emits no member that lacks one of those; two lines within one edit still meet."""
+    at %= len(a)
+    b = a[:at] + [[word], [], [word, a[at]]][kind] + a[at + 1 :]
+    if a == b:
+        return
+    longer = max(len(a), len(b))
+    k = ((longer - 1) // 2) // linededup._GRID * linededup._GRID
+    for front, back in ((k, None), (None, k)):
+        if k and (a[:k] != b[:k] if front else a[len(a) - k :] != b[len(b) - k :]):
+            continue
+        lines = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([" ".join(a), " ".join(b)]), pa.array([front] * 2, pa.int32()), pa.array([back] * 2, pa.int32())], names=["id", "text", "front", "back"])
+        keys = [r for batch in linededup._neighbourhoods(iter([lines])) for r in batch.to_pylist()]
+        assert len(keys) == 2 + len(a) + len(b) - 2 * k
+        x, y = ({(r["v1"], r["v2"], r["at"]) for r in keys if r["id"] == i} for i in (1, 2))
+        if len(a) == len(b):
+            assert {v for v in x if v[2] >= 0} & y
+        else:
+            x, y = (x, y) if len(a) > len(b) else (y, x)
+            assert {v[:2] for v in x if v[2] >= 0} & {v[:2] for v in y if v[2] < 0}
+
+
+def test_lines_of_uneven_texts():
+    """Lines are told by their words, however these are spaced."""
+    line = "one two\x1fand three é x five six seven eight nine ten"
+    texts = [line, f" {line} ", line.replace(" ", "\t \r"), None, "", "\n\n \n", f"\x0b\n{line}\x0c\n\n  a \x00b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(range(7)), pa.array(texts)], names=["doc", "row", "text"])
+    found = [r for b in linededup._lines(5)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["doc"], r["line"], r["words"]) for r in found] == [(0, 0, 10), (1, 0, 10), (2, 0, 10), (6, 1, 10), (6, 3, 2)]
+    assert len({tuple(r[c] for c in ("h1", "h2", "front", "back", "front2", "back2")) for r in found}) == 2
+    assert found[0]["front"] is not None and found[0]["front2"] is None and found[-1]["front"] is None
+
+
+def test_near_lines_with_other_spaces(spark):
+    """White space other than ASCII parts words for the edit distance; a line told apart by it hides no other near line."""
+    rest = "w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15"
+    texts = [(1, f"a\xa0b w2 {rest}"), (2, f"x w2 {rest}"), (3, f"y w2 {rest}"), (4, f"y\xa0 w2 {rest}"), (5, f"u v {rest}")]
+    got = {r["doc_id"]: r["lines_removed"] for r in linededup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    gone = brute(texts)
+    assert gone == {3: {0}, 4: {0}}
+    assert got == {doc: len(gone.get(doc, ())) for doc, _ in texts}
