@@ -143,3 +143,16 @@ def test_lookahead_moves_a_row_once(spark):
     df = stage(spark.range(3000).select(F.lit("20200101").alias("trade_date"), F.col("id").cast("string").alias("ts_code"), F.rand(1).alias("f")), "panel-rows")
     moved = _moved(spark, lambda: labels.lookahead_rows(lambda p: p, df, "20200101").collect())
     assert moved < 2.5 * 3000
+
+
+def test_suppliers_with_long_keys_keep_their_own_codes(spark, tmp_path):
+    far = {"supplier": "s_suppkey", "lineitem": "l_suppkey"}
+    for name in ("supplier", "lineitem", "orders", "nation", "region"):
+        rows = testbed.table(spark, FOLDER, name)
+        if name in far:  # a copy of every supplier, the copies' keys have six digits
+            rows = rows.unionByName(rows.withColumn(far[name], F.col(far[name]) + 123450))
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    months = testbed.table(spark, str(tmp_path), "lineitem").select("l_suppkey", F.date_format("l_shipdate", "yyyyMM")).distinct().count()
+    panel = testbed.panel(spark, str(tmp_path))
+    assert panel.count() == panel.select("trade_date", "ts_code").distinct().count() == months
+    assert testbed.tradable_panel(spark, str(tmp_path)).count() == 2 * testbed.tradable_panel(spark, FOLDER).count()

@@ -69,7 +69,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def entity_code(suppkey) -> F.Column:
-    return F.concat(F.lit("S"), F.lpad(suppkey.cast("string"), 5, "0"))
+    """S and the key, padded to five digits; a longer key keeps all of them, as lpad alone would cut it and let suppliers share a code."""
+    digits = suppkey.cast("string")
+    return F.concat(F.lit("S"), F.lpad(digits, F.greatest(F.length(digits), F.lit(5)), "0"))
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
