@@ -156,3 +156,11 @@ def test_suppliers_with_long_keys_keep_their_own_codes(spark, tmp_path):
     panel = testbed.panel(spark, str(tmp_path))
     assert panel.count() == panel.select("trade_date", "ts_code").distinct().count() == months
     assert testbed.tradable_panel(spark, str(tmp_path)).count() == 2 * testbed.tradable_panel(spark, FOLDER).count()
+
+
+def test_correlation_moves_values_in_arrays(spark):
+    names = [f"f{k}" for k in range(8)]
+    values = [F.when(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10)) > 0, F.xxhash64("id", F.lit(k)).cast("double")).alias(f) for k, f in enumerate(names)]
+    df = stage(spark.range(4000).select(F.lit("20200101").alias("trade_date"), F.col("id").cast("string").alias("ts_code"), *values), "wide-rows")
+    moved = _moved(spark, lambda: factors.correlation_pairs(df, names, None).collect())
+    assert moved < 4000  # not even once a row, let alone a value

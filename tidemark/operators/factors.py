@@ -7,16 +7,18 @@ sorts a whole cross-section in one task.
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalars import finite, sdiv
 from tidemark.operators.features import KEYS, LAG_PREFIX
-from tidemark.operators.ranking import average_rank, group_layout, group_quantiles, with_buckets, with_position, with_ranks
+from tidemark.operators.ranking import average_rank, cut_points, group_quantiles, sampled_rows, with_position, with_ranks
 from tidemark.session import rows_per_bucket, stage
 
 
@@ -352,7 +354,7 @@ def _row_sets(features: Sequence[str], shared: dict[tuple[str, str], int]) -> di
 
 _MASK_BITS = 60
 _ROWS_PER_SORT = 250_000  # a task holds a bucket's ranks in all row sets of its feature
-_ROWS_PER_PRODUCT = 8_192  # a task holds the ranks of all features of so many rows
+_ROWS_PER_PRODUCT = 8_192  # a task holds the ranks of all features of so many rows; their places fit into 16 bits
 
 
 @dataclass(frozen=True)
@@ -378,123 +380,183 @@ def _membership(needs: Sequence[Sequence[int]]):
     return member
 
 
-def _set_counts(sets: RowSets, masks: Sequence[str]):
-    """(feature, bucket, place, rows): rows of a bucket in each row set of its feature, from counts by pattern of known values."""
-    of, masks, member = sets.of, list(masks), _membership(sets.needs)
+def _binning(cuts: dict[int, list[float]]):
+    """The bucket of values of a feature: even ones lie between its cut points, odd ones on them."""
+    points = {f: np.unique(np.asarray(c)) for f, c in cuts.items()}
+    none = np.empty(0)
+
+    def bucket(f: int, x: np.ndarray) -> np.ndarray:
+        own = points.get(f, none)
+        if not len(own):
+            return np.zeros(len(x), dtype=np.int64)
+        below = np.searchsorted(own, x)
+        return 2 * below + (own[np.minimum(below, len(own) - 1)] == x)
+
+    return bucket
+
+
+def _set_counts(sets: RowSets, used: Sequence[int], cuts: dict[int, list[float]], words: int):
+    """(feature, bucket, place, rows): rows of a bucket in each row set of its feature, and all of them at place -1, summed over a task's rows."""
+    of, used, member, bucket_of = sets.of, list(used), _membership(sets.needs), _binning(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            column = {name: batch.column(k).to_numpy() for k, name in enumerate(batch.schema.names)}
-            for f in np.unique(column["feature"]):
-                own = column["feature"] == f
-                buckets, at = np.unique(column["_b_x"][own], return_inverse=True)
-                rows, bits = column["rows"][own], [column[m][own] for m in masks]
-                for place, number in enumerate(of[f]):
-                    counted = np.bincount(at, weights=rows * member(bits, number), minlength=len(buckets))
-                    same = lambda v: pa.array(np.full(len(buckets), v, dtype=np.int32))  # noqa: E731, B023
-                    yield pa.RecordBatch.from_arrays([same(f), pa.array(buckets), same(place), pa.array(counted.astype(np.int64))], ["feature", "_b_x", "place", "rows"])
+            masks = [batch.column(k).to_numpy() for k in range(words)]
+            inside = {number: member(masks, number) for number in {n for f in used for n in of[f]}}
+            for k, f in enumerate(used):
+                x = batch.column(words + 1 + k).to_numpy(zero_copy_only=False)
+                known = ~np.isnan(x)
+                bucket = bucket_of(f, x[known])
+                size = 2 * len(cuts.get(f, ())) + 1
+                counted = [np.bincount(bucket, minlength=size), *[np.bincount(bucket[inside[number][known]], minlength=size) for number in of[f]]]
+                total[f] = total.get(f, 0) + np.stack(counted)
+        for f, counted in total.items():
+            held = np.flatnonzero(counted[0])
+            places, n = len(counted), len(held)
+            columns = [np.full(n * places, f, dtype=np.int32), np.tile(held, places), np.repeat(np.arange(-1, places - 1, dtype=np.int32), n), counted[:, held].ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["feature", "_b_x", "place", "rows"])
 
     return run
 
 
-def _set_ranks(sets: RowSets, masks: Sequence[str], keys: Sequence[str], wide: bool):
+def _dealt_values(sets: RowSets, used: Sequence[int], cuts: dict[int, list[float]], masks: Sequence[str], most: int):
+    """(feature, bucket, chunk, seal, at, x, masks..): a chunk is up to ``most`` rows that lie together; of each of its features a row for each bucket, with the
+    places in the chunk, values and masks of all its rows there. The seal tells whether a chunk that is read again holds the same rows."""
+    used, masks, bucket_of = list(used), list(masks), _binning(cuts)
+    words = len(masks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for begin in range(0, batch.num_rows, most):
+                rows = batch.slice(begin, most)
+                bits = [rows.column(k).to_numpy() for k in range(words)]
+                seal = zlib.crc32(rows.column(words).to_numpy().tobytes())
+                features, buckets, sizes, ats, values = [], [], [], [], []
+                for k, f in enumerate(used):
+                    x = rows.column(words + 1 + k).to_numpy(zero_copy_only=False)
+                    at = np.flatnonzero(~np.isnan(x))
+                    bucket = bucket_of(f, x[at])
+                    order = np.argsort(bucket, kind="stable")
+                    found, rows_in = np.unique(bucket, return_counts=True)
+                    features.append(np.full(len(found), f, dtype=np.int32))
+                    buckets.append(found)
+                    sizes.append(rows_in)
+                    ats.append(at[order])
+                    values.append(x[at[order]])
+                at, n = np.concatenate(ats), sum(len(b) for b in buckets)
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (at.astype(np.int16), np.concatenate(values), *[b[at] for b in bits])]
+                plain = [np.concatenate(features), np.concatenate(buckets), np.full(n, chunk), np.full(n, seal)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in plain], *lists], ["feature", "_b_x", "chunk", "seal", "at", "x", *masks])
+                chunk += 1
+
+    return run
+
+
+def _set_ranks(sets: RowSets, masks: Sequence[str], wide: bool):
     """A bucket's rows with their ranks in each row set of the feature: twice the average rank less its mean, 0 outside the set."""
-    of, set_rows, masks, keys, member = sets.of, sets.sizes, list(masks), list(keys), _membership(sets.needs)
+    of, set_rows, masks, member = sets.of, sets.sizes, list(masks), _membership(sets.needs)
 
     def run(key: tuple, rows: pa.Table, at: pa.Table) -> pa.Table:
         f, bucket = key[0].as_py(), key[1].as_py()
-        numbers, n = of[f], rows.num_rows
+        numbers = of[f]
+        flat = lambda c: rows[c].combine_chunks().flatten().to_numpy()
+        x = flat("x") if rows.num_rows else np.empty(0)
+        n = len(x)
         ranks = np.zeros((n, len(numbers)), dtype=np.int64 if wide else np.int32)
+        sizes = np.zeros(0, dtype=np.int64)
         if n:
+            sizes = rows["x"].combine_chunks().value_lengths().to_numpy()
             before = {p["place"]: p for p in at["at"][0].as_py()}
-            bits = [rows[m].to_numpy() for m in masks]
-            x = rows["x"].to_numpy()
+            bits = [flat(m) for m in masks]
             order = np.argsort(x, kind="stable")
             ordered = x[order]
             starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            sizes = np.diff(np.append(starts, n))
+            copies = np.diff(np.append(starts, n))
             for place, number in enumerate(numbers):
                 inside, known = member(bits, number), before[place]
                 if bucket % 2:  # copies of one value, of which this may be a part
                     ranks[inside, place] = 2 * known["offset"] + known["rows"] - set_rows[number]
                     continue
                 seen = np.concatenate([[0], np.cumsum(inside[order])])
-                lower, upper = seen[starts], seen[starts + sizes]
+                lower, upper = seen[starts], seen[starts + copies]
                 twice = np.empty(n, dtype=np.int64)
-                twice[order] = np.repeat(2 * known["offset"] + lower + upper - set_rows[number], sizes)
+                twice[order] = np.repeat(2 * known["offset"] + lower + upper - set_rows[number], copies)
                 ranks[:, place] = np.where(inside, twice, 0)
-        lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(numbers), pa.array(ranks.ravel()))
-        return pa.table([*[rows[k] for k in keys], pa.array(np.full(n, f, dtype=np.int32)), lists], names=[*keys, "feature", "ranks"])
+        ends = np.concatenate([[0], np.cumsum(sizes)]) * len(numbers)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ranks.ravel()))
+        return pa.table([*[rows[c] for c in ("chunk", "seal", "feature", "at")], lists], names=["chunk", "seal", "feature", "at", "ranks"])
 
     return run
 
 
-def _rank_products(sets: RowSets, keys: Sequence[str]):
-    """(row_set, i, j, product) summed over some rows, each given with all its features."""
-    of, pairs_of, keys = sets.of, sets.pairs, list(keys)
-    first = np.cumsum([0, *[len(numbers) for numbers in of]])
+def _rank_products(sets: RowSets):
+    """(row_set, i, j, product) summed over a chunk's rows, each given with all its features."""
+    of, pairs_of = sets.of, sets.pairs
+    members = [sorted({i for pair in pairs for i in pair}) for pairs in pairs_of]
+    first = [0, *np.cumsum([len(m) for m in members]).tolist()]
+    column = [[first[number] + members[number].index(f) for number in numbers] for f, numbers in enumerate(of)]
+    inner = [np.array([[m.index(i), m.index(j)] for i, j in pairs]).T for m, pairs in zip(members, pairs_of, strict=True)]
+    named = [np.array([p[side] for pairs in pairs_of for p in pairs], dtype=np.int64) for side in (0, 1)]
+    row_set = np.repeat(np.arange(len(pairs_of), dtype=np.int32), [len(p) for p in pairs_of])
 
     def run(rows: pa.Table) -> pa.Table:
-        place = np.zeros(rows.num_rows, dtype=np.int64)
-        for k in keys:
-            codes = rows[k].combine_chunks().dictionary_encode(null_encoding="encode")
-            place = place * len(codes.dictionary) + codes.indices.to_numpy()
-        found, row = np.unique(place, return_inverse=True)
-        dense = np.zeros((len(found), first[-1]))
+        if len(rows["seal"].unique()) > 1:
+            raise ValueError("the rows came in another order when they were read again: store the table first")
+        at, ranks = rows["at"].combine_chunks(), rows["ranks"].combine_chunks()
+        dense = np.zeros((int(at.flatten().to_numpy().max()) + 1, first[-1]))
         feature = rows["feature"].to_numpy()
-        lists = rows["ranks"].combine_chunks()
-        values, begin = lists.values.to_numpy(), lists.offsets.to_numpy()[:-1]
         for f in np.unique(feature):
-            own, size = feature == f, len(of[f])
-            dense[row[own], first[f] : first[f + 1]] = values[begin[own][:, None] + np.arange(size)]
+            own = pa.array(np.flatnonzero(feature == f))
+            places, found = at.take(own).flatten().to_numpy(), ranks.take(own).flatten().to_numpy()
+            dense[places[:, None], column[f]] = found.reshape(len(places), -1)
         out = []
-        for number, pairs in enumerate(pairs_of):
-            members = sorted({i for pair in pairs for i in pair})
-            part = dense[:, [first[i] + of[i].index(number) for i in members]]
-            product, at = part.T @ part, {i: k for k, i in enumerate(members)}
-            out += [(number, i, j, product[at[i], at[j]]) for i, j in pairs]
-        columns = list(zip(*out, strict=True))
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.float64()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["row_set", "i", "j", "product"])
+        for number, (i, j) in enumerate(inner):
+            part = dense[:, first[number] : first[number + 1]]
+            out.append((part.T @ part)[i, j])
+        return pa.table([pa.array(row_set), *[pa.array(c) for c in named], pa.array(np.concatenate(out))], names=["row_set", "i", "j", "product"])
 
     return run
 
 
 def _rank_sums(df: DataFrame, features: Sequence[str], heads: Sequence[str], sets: RowSets, total: int) -> DataFrame:
     """(row_set, i, j, product): sums of products of centred ranks, in quarters."""
+    spark = df.sparkSession
     used = [i for i, numbers in enumerate(sets.of) if numbers]
     words = [heads[k : k + _MASK_BITS] for k in range(0, len(heads), _MASK_BITS)]
     masks = [f"_m{k}" for k in range(len(words))]
     bits = [functools.reduce(lambda a, b: a + b, [F.when(finite(h).isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, h in enumerate(w)]) for w in words]
+    rows = df.select(*[b.alias(m) for b, m in zip(bits, masks, strict=True)], F.xxhash64(*KEYS).alias("_id"), *[finite(features[i]).alias(f"_x{i}") for i in used])
+
+    limit = min(rows_per_bucket(spark), _ROWS_PER_SORT)
     cells = F.array(*[F.struct(F.lit(i).alias("feature"), finite(features[i]).alias("x")) for i in used])
-    marked = df.select(*KEYS, *[b.alias(m) for b, m in zip(bits, masks, strict=True)], F.inline(cells)).where(F.col("x").isNotNull())
-
-    limit = min(rows_per_bucket(df.sparkSession), _ROWS_PER_SORT)
-    layout = group_layout(marked, ["feature"], {"x": F.col("x")}, KEYS, limit=limit)
-    binned = with_buckets(marked.withColumn("_v_x", F.col("x")), ["feature"], ["x"], layout).drop("_v_x")
-    patterns = binned.groupBy("feature", "_b_x", *masks).agg(F.count(F.lit(1)).alias("rows"))
-    counts = patterns.mapInArrow(_set_counts(sets, masks), "feature int, _b_x long, place int, rows long")
-    counts = counts.groupBy("feature", "_b_x", "place").agg(F.sum("rows").alias("rows"))
+    sampled = sampled_rows(df, KEYS, limit).select(*KEYS, F.inline(cells))
+    # at most max_cuts numbers a feature
+    cuts = {r["feature"]: r["cuts"] for r in cut_points(sampled, ["feature"], "x", KEYS).collect()}
+    counts = rows.mapInArrow(_set_counts(sets, used, cuts, len(words)), "feature int, _b_x long, place int, rows long")
+    counts = stage(counts.groupBy("feature", "_b_x", "place").agg(F.sum("rows").alias("rows")), "set-counts")
     # one row per bucket, feature and row set
     earlier = Window.partitionBy("feature", "place").orderBy("_b_x").rowsBetween(Window.unboundedPreceding, -1)
     at = F.struct("place", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"), "rows")
-    placed = stage(counts.select("feature", "_b_x", at.alias("at")).groupBy("feature", "_b_x").agg(F.collect_list("at").alias("at")), "set-offsets")
+    placed = counts.select("feature", "_b_x", at.alias("at")).groupBy("feature", "_b_x").agg(F.collect_list("at").alias("at"))
     # copies of a frequent value need no sort: as many parts as they ask for
-    sizes = layout.offsets["x"].select("feature", "_b_x", F.ceil(F.col("_at_x.rows") / F.lit(float(limit))).alias("_parts"))
-    split = stage(sizes.where("_b_x % 2 = 1 AND _parts > 1"), "set-parts")
-    salt = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*KEYS), F.col("_parts")))
-    dealt = binned.join(split, ["feature", "_b_x"], "left").withColumn("_s", salt.cast("long")).drop("_parts")
+    sizes = counts.where("place = -1 AND _b_x % 2 = 1").select("feature", "_b_x", F.ceil(F.col("rows") / F.lit(float(limit))).alias("_parts"))
+    split = stage(sizes.where("_parts > 1"), "set-parts")
+    salt = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("chunk"), F.col("_parts")))
+    lists = ", ".join(["at array<short>", "x array<double>", *[f"{m} array<long>" for m in masks]])
+    dealt = rows.mapInArrow(_dealt_values(sets, used, cuts, masks, _ROWS_PER_PRODUCT), f"feature int, _b_x long, chunk long, seal long, {lists}")
+    dealt = dealt.join(split, ["feature", "_b_x"], "left").withColumn("_s", salt.cast("long")).drop("_parts")
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1))
     offsets = placed.join(split, ["feature", "_b_x"], "left").select("feature", "_b_x", salts.alias("_s"), "at")
 
     wide = 2 * total >= 1 << 31
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    kept = ", ".join(f"{k} {types[k]}" for k in KEYS)
     group = ["feature", "_b_x", "_s"]
-    ranker = _set_ranks(sets, masks, KEYS, wide)
-    ranked = dealt.groupBy(*group).cogroup(offsets.groupBy(*group)).applyInArrow(ranker, f"{kept}, feature int, ranks array<{'long' if wide else 'int'}>")
-    part = F.pmod(F.xxhash64(*KEYS), F.lit(-(-total // _ROWS_PER_PRODUCT)))
-    products = ranked.groupBy(part.alias("_part")).applyInArrow(_rank_products(sets, KEYS), "row_set int, i long, j long, product double")
+    ranker = _set_ranks(sets, masks, wide)
+    schema = f"chunk long, seal long, feature int, at array<short>, ranks array<{'long' if wide else 'int'}>"
+    ranked = dealt.groupBy(*group).cogroup(offsets.groupBy(*group)).applyInArrow(ranker, schema)
+    products = ranked.groupBy("chunk").applyInArrow(_rank_products(sets), "row_set int, i long, j long, product double")
     return products.groupBy("row_set", "i", "j").agg(F.sum("product").alias("product"))
 
 
@@ -505,8 +567,9 @@ def correlation_pairs(df: DataFrame, features: Sequence[str], top_n: int | None
     ``top_n`` is for printed tables; None gives all pairs.
 
     A feature's values are sorted once, in buckets: its rank within a set of complete rows is a running count of the set's rows, which
-    one sort gives for all sets. Each (row, feature) is moved twice, to its bucket and, with its ranks, back to its row; ranks are
-    centred on their known mean, so sums of their products are the covariances.
+    one sort gives for all sets. Each (row, feature) is moved twice, to its bucket and, with its ranks, back to the chunk of rows it came from, together
+    with the chunk's others in that bucket; ranks are centred on their known mean, so sums of their products are the covariances. ``df`` should be
+    a stored table: a lost task that reads its rows in another order stops the run.
     """
     features = list(features)
     total = df.count()

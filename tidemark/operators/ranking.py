@@ -97,10 +97,15 @@ def _with_buckets(df: DataFrame, keys: Sequence[str], names: Sequence[str], cuts
     return out
 
 
-def with_buckets(df: DataFrame, keys: Sequence[str], names: Sequence[str], layout: Layout) -> DataFrame:
-    """``df``, which has the value columns ``_v_*``, with each value's bucket ``_b_*``: even ones are sorted, an odd one holds
-    the copies of one value, -1 nulls."""
-    return _with_buckets(df, keys, names, layout.cuts, layout.finer)
+def sampled_rows(df: DataFrame, ids: Sequence[str], limit: int) -> DataFrame:
+    """About 32 rows of every ``limit``, the same ones whenever they are taken."""
+    return df.where(F.pmod(F.xxhash64(*ids), F.lit(max(1, limit // _SAMPLES_PER_BUCKET))) == 0)
+
+
+def cut_points(sampled: DataFrame, keys: Sequence[str], value: str, ids: Sequence[str]) -> DataFrame:
+    """(keys, cuts): the ascending cut points of each group's ``sampled_rows``, at most ``max_cuts``."""
+    rows = stage(sampled.select(*keys, *ids, F.col(value).alias("_v_x")), "rank-sample")
+    return _cut_points(rows, keys, "x", ids).select(*keys, F.col("cuts_x").alias("cuts"))
 
 
 def _bucket_counts(binned: DataFrame, keys: Sequence[str], names: Sequence[str], extremes: bool) -> DataFrame:
@@ -111,15 +116,14 @@ def _bucket_counts(binned: DataFrame, keys: Sequence[str], names: Sequence[str],
 
 
 def group_layout(
-    df: DataFrame, keys: Sequence[str], values: dict[str, Column], ids: Sequence[str], extremes: str | None = None, limit: int | None = None
+    df: DataFrame, keys: Sequence[str], values: dict[str, Column], ids: Sequence[str], extremes: str | None = None
 ) -> Layout:
-    """Cut points and bucket offsets of each value's groups, with buckets of about ``limit`` rows. The tables are stored: their size is then known, so the
+    """Cut points and bucket offsets of each value's groups. The tables are stored: their size is then known, so the
     joins with them move only the small side while it is small, and are ordinary (skew-aware) joins beyond that."""
-    keys, names, limit = list(keys), list(values), limit or rows_per_bucket(df.sparkSession)
+    keys, names, limit = list(keys), list(values), rows_per_bucket(df.sparkSession)
     watched = [F.col(extremes).alias("_x")] if extremes else []
     narrow = df.select(*keys, *ids, *[values[v].alias(f"_v_{v}") for v in names], *watched)
-    modulus = max(1, limit // _SAMPLES_PER_BUCKET)
-    sampled = stage(narrow.where(F.pmod(F.xxhash64(*ids), F.lit(modulus)) == 0), "rank-sample")
+    sampled = stage(sampled_rows(narrow, ids, limit), "rank-sample")
     cuts, finer = None, []
     if not sampled.isEmpty():
         for v in names:
@@ -129,6 +133,7 @@ def group_layout(
         cuts = None if cuts.isEmpty() else cuts
     binned = _with_buckets(narrow, keys, names, cuts, finer)
     counts = _bucket_counts(binned, keys, names, extremes is not None)
+    modulus = max(1, limit // _SAMPLES_PER_BUCKET)
     deepest = 62 // (2 * max_cuts(df.sparkSession) + 2).bit_length() - 1
     while cuts is not None:
         large = counts.where((F.col("bucket") >= 0) & (F.col("bucket") % 2 == 0) & (F.col("rows") > 4 * limit))
