@@ -88,12 +88,12 @@ def test_many_buckets_place_rows_and_find_quantiles(spark, monkeypatch):
         assert (abs(found.set_index("d")[name].sort_index() - want) < 1e-9).all()
 
 
-def _moved(spark, build):
-    """Records written to shuffles while ``build`` runs."""
+def _moved(spark, build, what="shuffleWriteRecords"):
+    """Records (or bytes) written to shuffles while ``build`` runs."""
 
     def total():
         stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
-        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+        return sum(getattr(stages.apply(k), what)() for k in range(stages.size()))
 
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     before = total()
@@ -164,3 +164,12 @@ def test_correlation_moves_values_in_arrays(spark):
     df = stage(spark.range(4000).select(F.lit("20200101").alias("trade_date"), F.col("id").cast("string").alias("ts_code"), *values), "wide-rows")
     moved = _moved(spark, lambda: factors.correlation_pairs(df, names, None).collect())
     assert moved < 4000  # not even once a row, let alone a value
+
+
+def test_ranks_in_many_row_sets_are_moved_as_small_steps(spark):
+    names = [f"f{k}" for k in range(16)]
+    # each of the 120 pairs has its own complete rows, so a value has 15 ranks
+    values = [F.when(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10)) > 0, F.xxhash64("id", F.lit(k + 100)).cast("double")).alias(f) for k, f in enumerate(names)]
+    df = stage(spark.range(8000).select(F.lit("20200101").alias("trade_date"), F.col("id").cast("string").alias("ts_code"), *values), "wide-rows")
+    moved = _moved(spark, lambda: factors.correlation_pairs(df, names, None).collect(), "shuffleWriteBytes")
+    assert moved < 45 * 8000 * 16

@@ -422,7 +422,7 @@ def _set_counts(sets: RowSets, used: Sequence[int], cuts: dict[int, list[float]]
 
 def _dealt_values(sets: RowSets, used: Sequence[int], cuts: dict[int, list[float]], masks: Sequence[str], most: int):
     """(feature, bucket, chunk, seal, at, x, masks..): a chunk is up to ``most`` rows that lie together; of each of its features a row for each bucket, with the
-    places in the chunk, values and masks of all its rows there. The seal tells whether a chunk that is read again holds the same rows."""
+    places in the chunk, values and masks of all its rows there, by ascending value. The seal tells whether a chunk that is read again holds the same rows."""
     used, masks, bucket_of = list(used), list(masks), _binning(cuts)
     words = len(masks)
 
@@ -437,14 +437,13 @@ def _dealt_values(sets: RowSets, used: Sequence[int], cuts: dict[int, list[float
                 for k, f in enumerate(used):
                     x = rows.column(words + 1 + k).to_numpy(zero_copy_only=False)
                     at = np.flatnonzero(~np.isnan(x))
-                    bucket = bucket_of(f, x[at])
-                    order = np.argsort(bucket, kind="stable")
-                    found, rows_in = np.unique(bucket, return_counts=True)
+                    at = at[np.argsort(x[at], kind="stable")]
+                    found, rows_in = np.unique(bucket_of(f, x[at]), return_counts=True)
                     features.append(np.full(len(found), f, dtype=np.int32))
                     buckets.append(found)
                     sizes.append(rows_in)
-                    ats.append(at[order])
-                    values.append(x[at[order]])
+                    ats.append(at)
+                    values.append(x[at])
                 at, n = np.concatenate(ats), sum(len(b) for b in buckets)
                 ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (at.astype(np.int16), np.concatenate(values), *[b[at] for b in bits])]
@@ -455,49 +454,60 @@ def _dealt_values(sets: RowSets, used: Sequence[int], cuts: dict[int, list[float
     return run
 
 
-def _set_ranks(sets: RowSets, masks: Sequence[str], wide: bool):
-    """A bucket's rows with their ranks in each row set of the feature: twice the average rank less its mean, 0 outside the set."""
+def _set_ranks(sets: RowSets, masks: Sequence[str], size: int):
+    """A bucket's rows with their ranks in each row set of the feature: twice the average rank less its mean.
+
+    Ranks of a chunk's rows ascend, and grow alike in all sets. So ``first`` holds the ranks of the first row, and for the others ``b0..`` the bytes, lowest first, of the steps in the
+    largest set and of what the other sets' steps lack: small numbers, whose upper bytes are all equal and take no room once compressed.
+    """
     of, set_rows, masks, member = sets.of, sets.sizes, list(masks), _membership(sets.needs)
 
     def run(key: tuple, rows: pa.Table, at: pa.Table) -> pa.Table:
         f, bucket = key[0].as_py(), key[1].as_py()
         numbers = of[f]
+        kept = [rows[c] for c in ("chunk", "seal", "feature", "at")]
+        names = ["chunk", "seal", "feature", "at", "first", *[f"b{k}" for k in range(size)]]
+        if not rows.num_rows:
+            empty = [pa.array([], pa.list_(pa.int64())), *[pa.array([], pa.binary())] * size]
+            return pa.table([*kept, *empty], names=names)
         flat = lambda c: rows[c].combine_chunks().flatten().to_numpy()
-        x = flat("x") if rows.num_rows else np.empty(0)
-        n = len(x)
-        ranks = np.zeros((n, len(numbers)), dtype=np.int64 if wide else np.int32)
-        sizes = np.zeros(0, dtype=np.int64)
-        if n:
-            sizes = rows["x"].combine_chunks().value_lengths().to_numpy()
-            before = {p["place"]: p for p in at["at"][0].as_py()}
+        x, n = flat("x"), rows.num_rows
+        ends = np.concatenate([[0], np.cumsum(rows["x"].combine_chunks().value_lengths().to_numpy())])
+        before = {p["place"]: p for p in at["at"][0].as_py()}
+        ranks = np.empty((len(x), len(numbers)), dtype=np.int64)
+        if bucket % 2:  # copies of one value, of which these may be a part
+            for place, number in enumerate(numbers):
+                ranks[:, place] = 2 * before[place]["offset"] + before[place]["rows"] - set_rows[number]
+        else:
             bits = [flat(m) for m in masks]
             order = np.argsort(x, kind="stable")
             ordered = x[order]
             starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            copies = np.diff(np.append(starts, n))
+            copies = np.diff(np.append(starts, len(x)))
             for place, number in enumerate(numbers):
-                inside, known = member(bits, number), before[place]
-                if bucket % 2:  # copies of one value, of which this may be a part
-                    ranks[inside, place] = 2 * known["offset"] + known["rows"] - set_rows[number]
-                    continue
-                seen = np.concatenate([[0], np.cumsum(inside[order])])
-                lower, upper = seen[starts], seen[starts + copies]
-                twice = np.empty(n, dtype=np.int64)
-                twice[order] = np.repeat(2 * known["offset"] + lower + upper - set_rows[number], copies)
-                ranks[:, place] = np.where(inside, twice, 0)
-        ends = np.concatenate([[0], np.cumsum(sizes)]) * len(numbers)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ranks.ravel()))
-        return pa.table([*[rows[c] for c in ("chunk", "seal", "feature", "at")], lists], names=["chunk", "seal", "feature", "at", "ranks"])
+                seen = np.concatenate([[0], np.cumsum(member(bits, number)[order])])
+                ranks[order, place] = np.repeat(2 * before[place]["offset"] + seen[starts] + seen[starts + copies] - set_rows[number], copies)
+        first = ranks[ends[:-1]]
+        steps = np.diff(ranks, axis=0, prepend=ranks[:1])
+        steps[ends[:-1]] = 0
+        most = max(range(len(numbers)), key=lambda k: set_rows[numbers[k]])
+        lacks = steps[:, [most]] - steps
+        lacks[:, most] = steps[:, most]
+        planes = lacks.astype(f"<i{size}").view(np.uint8).reshape(len(x), len(numbers), size)
+        offsets = pa.py_buffer((ends * len(numbers)).astype(np.int32))
+        blobs = [pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(planes[:, :, k]))]) for k in range(size)]
+        firsts = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(numbers), pa.array(first.ravel()))
+        return pa.table([*kept, firsts, *blobs], names=names)
 
     return run
 
 
-def _rank_products(sets: RowSets):
-    """(row_set, i, j, product) summed over a chunk's rows, each given with all its features."""
-    of, pairs_of = sets.of, sets.pairs
+def _rank_products(sets: RowSets, heads: Sequence[int], size: int):
+    """(row_set, i, j, product) summed over a chunk's rows, each given with all its features. ``heads``: the feature of each bit of a mask."""
+    of, pairs_of, needs, heads, set_rows = sets.of, sets.pairs, sets.needs, list(heads), sets.sizes
     members = [sorted({i for pair in pairs for i in pair}) for pairs in pairs_of]
-    first = [0, *np.cumsum([len(m) for m in members]).tolist()]
-    column = [[first[number] + members[number].index(f) for number in numbers] for f, numbers in enumerate(of)]
+    start = [0, *np.cumsum([len(m) for m in members]).tolist()]
+    column = [[start[number] + members[number].index(f) for number in numbers] for f, numbers in enumerate(of)]
     inner = [np.array([[m.index(i), m.index(j)] for i, j in pairs]).T for m, pairs in zip(members, pairs_of, strict=True)]
     named = [np.array([p[side] for pairs in pairs_of for p in pairs], dtype=np.int64) for side in (0, 1)]
     row_set = np.repeat(np.arange(len(pairs_of), dtype=np.int32), [len(p) for p in pairs_of])
@@ -505,16 +515,34 @@ def _rank_products(sets: RowSets):
     def run(rows: pa.Table) -> pa.Table:
         if len(rows["seal"].unique()) > 1:
             raise ValueError("the rows came in another order when they were read again: store the table first")
-        at, ranks = rows["at"].combine_chunks(), rows["ranks"].combine_chunks()
-        dense = np.zeros((int(at.flatten().to_numpy().max()) + 1, first[-1]))
+        at, firsts = rows["at"].combine_chunks(), rows["first"].combine_chunks()
+        blobs = [rows[f"b{k}"].combine_chunks() for k in range(size)]
+        height = int(at.flatten().to_numpy().max()) + 1
+        dense = np.zeros((height, start[-1]))
+        known: dict[int, np.ndarray] = {}
         feature = rows["feature"].to_numpy()
         for f in np.unique(feature):
-            own = pa.array(np.flatnonzero(feature == f))
-            places, found = at.take(own).flatten().to_numpy(), ranks.take(own).flatten().to_numpy()
-            dense[places[:, None], column[f]] = found.reshape(len(places), -1)
+            own, sets_of = pa.array(np.flatnonzero(feature == f)), len(of[f])
+            held = at.take(own)
+            places = held.flatten().to_numpy()
+            begin = np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy())[:-1]])
+            planes = [np.frombuffer(b.take(own).buffers()[2], np.uint8, len(places) * sets_of) for b in blobs]
+            lacks = np.stack(planes, axis=-1).view(f"<i{size}").reshape(len(places), sets_of).astype(np.int64)
+            most = max(range(sets_of), key=lambda k: set_rows[of[f][k]])
+            steps = lacks[:, [most]] - lacks
+            steps[:, most] = lacks[:, most]
+            steps[begin] = firsts.take(own).flatten().to_numpy().reshape(-1, sets_of)
+            steps[begin[1:]] -= np.add.reduceat(steps, begin, axis=0)[:-1]
+            dense[places[:, None], column[f]] = np.cumsum(steps, axis=0)
+            if f in heads:
+                known[f] = np.zeros(height, dtype=bool)
+                known[f][places] = True
         out = []
         for number, (i, j) in enumerate(inner):
-            part = dense[:, first[number] : first[number + 1]]
+            inside = np.ones(height, dtype=bool)
+            for bit in needs[number]:
+                inside &= known.get(heads[bit], False)
+            part = dense[inside, start[number] : start[number + 1]]
             out.append((part.T @ part)[i, j])
         return pa.table([pa.array(row_set), *[pa.array(c) for c in named], pa.array(np.concatenate(out))], names=["row_set", "i", "j", "product"])
 
@@ -551,12 +579,11 @@ def _rank_sums(df: DataFrame, features: Sequence[str], heads: Sequence[str], set
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1))
     offsets = placed.join(split, ["feature", "_b_x"], "left").select("feature", "_b_x", salts.alias("_s"), "at")
 
-    wide = 2 * total >= 1 << 31
+    size = 8 if 2 * total >= 1 << 31 else 4  # bytes of a step
     group = ["feature", "_b_x", "_s"]
-    ranker = _set_ranks(sets, masks, wide)
-    schema = f"chunk long, seal long, feature int, at array<short>, ranks array<{'long' if wide else 'int'}>"
-    ranked = dealt.groupBy(*group).cogroup(offsets.groupBy(*group)).applyInArrow(ranker, schema)
-    products = ranked.groupBy("chunk").applyInArrow(_rank_products(sets), "row_set int, i long, j long, product double")
+    schema = f"chunk long, seal long, feature int, at array<short>, first array<long>, {', '.join(f'b{k} binary' for k in range(size))}"
+    ranked = dealt.groupBy(*group).cogroup(offsets.groupBy(*group)).applyInArrow(_set_ranks(sets, masks, size), schema)
+    products = ranked.groupBy("chunk").applyInArrow(_rank_products(sets, [features.index(h) for h in heads], size), "row_set int, i long, j long, product double")
     return products.groupBy("row_set", "i", "j").agg(F.sum("product").alias("product"))
 
 
